@@ -10,11 +10,18 @@ from collections.abc import Callable, Iterable
 
 #: Code points from here on go to the library itself: what counts as a letter there depends on its Unicode tables.
 FAST_BELOW = 0x530
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 CACHE_KEY_CHARS = 128
 _READY: dict = {}
 
 
+def _visible() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others take the code points from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
 def _ranges(major: str) -> str:
     """The code points below FAST_BELOW whose category starts with major, as ranges of a character class."""
     points = [c for c in range(FAST_BELOW) if unicodedata.category(chr(c))[0] == major]
@@ -84,7 +91,8 @@ class PieceEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.split = splitter().findall
         self.base = {w: value(ids) for w, ids in frequent.items()}
-        self.known = dict(self.base)
+        self.known, self.older = dict(self.base), {}
+        self.visible = _visible()
 
     def plain(self, text: str) -> bool:
         return self.alike and not _ODD.search(text) and not any(s in text for s in self.special)
@@ -92,6 +100,10 @@ class PieceEncoder:
     def whole(self, text: str):
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, text: str) -> list[int]:
+        """Ids of one pre-token, by the library's merge model."""
+        return [t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.visible))]
+
     def each(self, texts: Iterable[str], join: Callable):
         """join(stored values) for each text. Texts are taken in runs of about 1 MB, so that misses are encoded together."""
         run: list[str] = []
@@ -107,14 +119,13 @@ class PieceEncoder:
     def _run(self, texts: list[str], join: Callable):
         pieces = [self.split(t) if self.plain(t) else None for t in texts]
         if len(self.known) > len(self.base) + CACHE_ENTRIES:
-            self.known = dict(self.base)
-        known = self.known
-        missed = list({p for ps in pieces if ps for p in ps}.difference(known))
+            # what was met lately stays within reach for another generation
+            self.known, self.older = dict(self.base), self.known
+        known, older = self.known, self.older
         extra = {}
-        for i in range(0, len(missed), 20_000):
-            part = missed[i : i + 20_000]
-            for p, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= CACHE_KEY_CHARS else extra)[p] = self.value(e.ids)
+        for p in {p for ps in pieces if ps for p in ps}.difference(known):
+            made = older.get(p)
+            (known if len(p) <= CACHE_KEY_CHARS else extra)[p] = self.value(self.piece(p)) if made is None else made
         for text, ps in zip(texts, pieces, strict=True):
             if ps is None:
                 yield join([self.whole(text)])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .chat_format import op1_chat_format
+from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language_id import op5_language_id
+from .packing import op7_best_fit_packing
 from .token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_token_counts,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op4_token_counts, op5_language_id, op6_exact_dedup, op7_best_fit_packing)}
+SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
