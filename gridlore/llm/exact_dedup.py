@@ -84,7 +84,14 @@ class DigestFilter:
 
     def might_hold(self, docs: DataFrame, digest: str = "digest") -> DataFrame:
         """The rows of docs whose digest may be in the filter."""
-        sent = docs.sparkSession.sparkContext.broadcast(self.words)
+        return docs.where(self.test(docs.sparkSession, digest))
+
+    def flag(self, docs: DataFrame, name: str, digest: str = "digest") -> DataFrame:
+        """docs with a boolean column: whether the digest may be in the filter."""
+        return docs.withColumn(name, self.test(docs.sparkSession, digest))
+
+    def test(self, spark, digest: str) -> Column:
+        sent = spark.sparkContext.broadcast(self.words)
 
         @F.pandas_udf("boolean")
         def test(*at):
@@ -96,7 +103,7 @@ class DigestFilter:
                 ok &= (sent.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
             return pd.Series(ok)
 
-        return docs.where(test(*self.positions(F.col(digest), self.bits)))
+        return test(*self.positions(F.col(digest), self.bits))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest_of: Callable[[Column], Column] = sha256_of, filter_bits: int = FILTER_BITS) -> DataFrame:
