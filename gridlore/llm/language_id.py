@@ -87,6 +87,9 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
     given = labelled.where(F.col(lang_col).isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     ids = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    # a share of each language that holds about sixteen times as many rows as are taken, so that the window meets no more, however large the table
+    share = ids.groupBy("lang").agg((F.lit(16.0 * p.per_language) / F.count(F.lit(1))).alias("share"))
+    ids = ids.join(share, "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40)).drop("share")
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= p.per_language).orderBy("rank", "lang").limit(p.max_training)
     chosen = ids.groupBy("id", "lang").agg(F.min("rank").alias("rank"))
     rows = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
@@ -116,8 +119,8 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
     return KernelModel(languages, marks, weights.astype(np.float32), p)
 
 
-def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """id_col, the columns of extra, lang_pred and score (softmax of the one-versus-rest scores) for each row; one map pass.
+def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """id_col, the columns of extra, text_col (with keep_text; null as empty), lang_pred and score (softmax of the one-versus-rest scores) for each row; one map pass.
 
     Null text and text without a letter: und, score 0. So is everything when the model is None. Whole texts count, in
     products of rows_per_product texts. An empty table gives an empty result; other columns are left out.
@@ -139,13 +142,13 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
                     best = s.argmax(1)
                     for (i, _), k, q in zip(on, best, (e / e.sum(1, keepdims=True))[np.arange(len(on)), best], strict=True):
                         names[i], score[i] = m.languages[k], q
-            keep = [b.column(c) for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*(c for c in b.schema.names if c != "text"), "lang_pred", "score"])
+            keep = [c for c in b.schema.names if c != "text" or keep_text]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), *(c.alias(f"x_{n}") for n, c in extra.items()), text_of(text_col).alias("text"))
-    kept = [f for f in rows.schema.fields if f.name != "text"]
+    kept = [f for f in rows.schema.fields if f.name != "text" or keep_text]
     out = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), *(F.col(f"x_{n}").alias(n) for n in extra), "lang_pred", "score")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"x_{n}").alias(n) for n in extra), *([F.col("text").alias(text_col)] if keep_text else []), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
