@@ -18,13 +18,15 @@ COORDINATES = 32
 FAN_OUT = 32
 #: A group of candidates with more shingles than this is compared in pairs of chunks, each about so large.
 CHUNK_SHINGLES = 3_000_000
+#: Rows of a batch whose sets are held at once.
+ROWS_HELD = 128
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F], np.uint64)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64 and len(self) < 1_000_000:
+        if len(word) <= 64 and len(self) < 300_000:
             self[word] = h
         return h
 
@@ -176,7 +178,9 @@ def _sets(rows: DataFrame, width: int, make, schema: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield from make(b, [shingle_set(t.as_py(), width) for t in b.column("text")])
+            for at in range(0, len(b), ROWS_HELD):
+                part = b.slice(at, ROWS_HELD)
+                yield from make(part, [shingle_set(t.as_py(), width) for t in part.column("text")])
 
     return rows.mapInArrow(run, schema)
 
@@ -239,7 +243,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
                 keys.append(k)
                 owner.append(np.full(len(k), c, np.int64))
                 size += len(k)
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield from fold()
                     size = 0
         if keys:
