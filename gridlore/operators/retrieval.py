@@ -111,7 +111,7 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
     base = with_documents(chunks.select("chunk_id", "document_id", "chunk_index", "content", "meta"), documents).where("status = 'ready'")
     outs = []
     for part in _passes(questions.select("question_id", "query"), per_pass):
-        asked = part.withColumn("i", intent(F.col("query"))).select("question_id", query_terms(F.col("query")).alias("terms"), F.col("i.*"))
+        asked = part.withColumn("i", intent(F.col("query"))).select("question_id", query_terms(F.col("query")).alias("terms"), "i.row_intent", "i.column_value", F.col("i.filename").alias("asked_file"), "i.wants_last")
         marker = F.concat(F.col("column_value.column_name"), F.lit("="), F.col("column_value.value"))
         asked = asked.withColumns({"marker": marker, "row_no": F.col("row_intent.row_number")})
         q = F.broadcast(asked)
@@ -126,15 +126,15 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
             return found.withColumn("pos", r).where(F.col("pos") <= k).select("question_id", "chunk_id", "pos")
 
         by_value = ranked(base.join(q, value_hit), TARGETED)
-        by_file = ranked(base.join(q, F.contains(F.lower("filename"), F.lower(asked["filename"]))).select("question_id", "chunk_id", "chunk_index", "wants_last"), F.when(F.col("wants_last"), 1).otherwise(keyword_k), F.col("wants_last"))
+        by_file = ranked(base.join(q, F.contains(F.lower("filename"), F.lower("asked_file"))).select("question_id", "chunk_id", "chunk_index", "wants_last"), F.when(F.col("wants_last"), 1).otherwise(keyword_k), F.col("wants_last"))
         by_row = ranked(base.join(q, F.contains(content, F.concat(F.lit("Row "), F.col("row_no").cast("string")))), TARGETED)
         by_word = ranked(base.join(q, F.exists("terms", lambda t: F.contains(low, t))), keyword_k)
         branches = [by_value, by_file, by_row, *([semantic.select("question_id", "chunk_id", F.col("rank").alias("pos"))] if semantic is not None else []), by_word]
         listed = merged(branches, by=["question_id"]).join(q, "question_id")
         w = Window.partitionBy("question_id")
         hits = F.max(F.col("branch").isin(0, 2).cast("int")).over(w) == 1
-        precise = (hits & (F.col("column_value").isNotNull() | F.col("row_intent").isNotNull())) | (F.col("wants_last") & F.col("filename").isNotNull())
-        listed = listed.withColumns({"hits": hits, "precise": precise}).where(~F.col("precise") | (F.col("branch") <= 2)).withColumnRenamed("filename", "asked_file")
+        precise = (hits & (F.col("column_value").isNotNull() | F.col("row_intent").isNotNull())) | (F.col("wants_last") & F.col("asked_file").isNotNull())
+        listed = listed.withColumns({"hits": hits, "precise": precise}).where(~F.col("precise") | (F.col("branch") <= 2))
         full = listed.join(base, "chunk_id")
         of_value, of_row = F.col("column_value").isNotNull(), F.col("row_intent").isNotNull()
         row_text = F.concat(F.lit("Row "), F.col("row_no").cast("string"))

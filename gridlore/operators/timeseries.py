@@ -66,7 +66,8 @@ def filled(series: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """value with gaps filled from before, then from after; a window sorts one series at a time and spills."""
     w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
     before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # only the leading gap is filled from after, so the series' first value will do: one frame for all rows
+    after = F.first(value, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return series.withColumn(value, F.coalesce(before, after))
 
 
