@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +14,28 @@ from gridlore.operators.freshness import status
 from gridlore.operators.tables import first_by
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, size: int = 2000) -> StreamingQuery:
-    """New Parquet files of page texts (document_id, page, content) to chunks under out, then stop.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/gridlore-checkpoints'}/gridlore/{name}-{uuid.uuid4().hex}"
+
+
+def source_path(path: str) -> str:
+    """path as a pattern, which a file stream takes for a single file as well as for a folder."""
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
+def ingest_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, size: int = 2000, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
+    """New Parquet files of page texts (document_id, page, content; prepare makes them from other columns) to chunks under out, then stop.
 
     Each micro-batch overwrites its own partition, so a batch that runs again after a failure changes nothing; read_chunks
     settles documents that came twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        made = chunk_texts(batch, size).withColumn("status", F.lit("ready"))
+        made = chunk_texts(prepare(batch), size).withColumn("status", F.lit("ready"))
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    pages = spark.readStream.schema(schema).parquet(source)
+    pages = spark.readStream.schema(schema).parquet(source_path(source))
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -37,7 +48,7 @@ def read_chunks(spark: SparkSession, out: str) -> DataFrame:
 
 def last_seen_stream(spark: SparkSession, source: str, schema: str, key: str, time: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """The newest time of each source over all files so far; sink gets the sources that changed (name, last_modified)."""
-    rows = spark.readStream.schema(schema).parquet(source)
+    rows = spark.readStream.schema(schema).parquet(source_path(source))
     newest = rows.groupBy(F.col(key).alias("name")).agg(F.max(time).alias("last_modified"))
     return newest.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
