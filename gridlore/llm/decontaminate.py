@@ -169,3 +169,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+iw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from benchmark),
+i as (select distinct item_id, least(len(w), 5) as k, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') as s from (select item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from iw where len(w) > 0)),
+d as (select distinct doc_id, k, array_to_string(w[p : p + k - 1], ' ') as s from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from dw, (select distinct k from i) where len(w) >= k)),
+n as (select item_id, count(*) as item_shingles from i group by 1),
+h as (select doc_id, item_id, count(*) as shared from d join i using (k, s) group by 1, 2)
+select doc_id, item_id, shared, item_shingles, shared / item_shingles as containment from h join n using (item_id) where shared * 5 >= item_shingles * 4"""

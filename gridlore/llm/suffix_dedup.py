@@ -328,3 +328,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+b as (select doc_id, unnest(list_transform(range(0, length(x) // 2), lambda p: substr(x, 2 * p + 1, 2))) as y, unnest(range(0, length(x) // 2)) as p from h),
+t as (select doc_id, unnest(list_transform(range(0, greatest(length(x) // 2 - 99, 0)), lambda p: md5_number(substr(x, 2 * p + 1, 200)))) as w, unnest(range(0, greatest(length(x) // 2 - 99, 0))) as p from h),
+g as (select doc_id, p, row_number() over (partition by w order by doc_id, p) > 1 as again from t),
+m as (select doc_id, p, y, coalesce(max(case when again then 1 else 0 end) over (partition by doc_id order by p rows between 99 preceding and current row), 0) = 1 as gone from b left join g using (doc_id, p)),
+v as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as head from m),
+a as (select doc_id, count(*) as n_bytes, count_if(gone)::bigint as n_removed, count_if(head)::bigint as n_spans, coalesce(string_agg(y, '' order by p) filter (not gone), '') as kept from v group by 1)
+select doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from documents left join a using (doc_id)"""
