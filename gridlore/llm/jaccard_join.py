@@ -325,6 +325,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     low = linked_classes.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     label = linked_classes.join(low, "grp").select("cls", "component_id")
     all_ = classes.select("cls", "first_id").join(label, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
+    all_ = written(all_, "labels")  # so that the join with a hot class's rows is one that Spark can split
     out = named.where("cls is not null").join(all_, "cls").select("id", "n", "component_id")
     out = out.unionByName(named.where("cls is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -332,3 +333,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with recursive w as (select doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' '), ' ') as w from documents),
+k as (select doc_id, case when len(w) = 1 and w[1] = '' then [] else w end as w from w),
+s as (select distinct doc_id, array_to_string(w[p : p + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as p from k where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+l as materialized (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2) t join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 90 * (p.n + q.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as x, doc_id as m from documents union select e.b, r.m from r join e on e.a = r.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m as component_id from documents d left join n using (doc_id) join (select x, min(m) as m from r group by 1) on x = d.doc_id"""
