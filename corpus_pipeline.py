@@ -33,10 +33,13 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: null text, or no letter in it. The prediction replaces no column.
 
-    Learns from labelled rows of docs themselves.
+    Learns from labelled rows of docs themselves; without any, texts that have a letter stay.
     """
+    model = fit(docs)
+    if model is None:  # nothing to learn from: only texts without a letter can be told apart
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     others = {c: F.col(c) for c in docs.columns if c not in ("doc_id", "text")}
-    found = predict(docs, fit(docs), extra=others, keep_text=True)
+    found = predict(docs, model, extra=others, keep_text=True)
     return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 

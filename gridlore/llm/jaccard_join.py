@@ -26,7 +26,7 @@ _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64 and len(self) < 300_000:
+        if len(word) <= 64 and len(self) < 150_000:
             self[word] = h
         return h
 

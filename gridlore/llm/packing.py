@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, items_per_group: int = 40_000,
     return out
 
 
+def _packed_ids(ids) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids (binary: little-endian unsigned 32-bit) of each document's ids and eos.
 
@@ -123,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
     names = ["id", "piece", "start", "length", "ids"]
 
     def cut(batches):
-        enc = encoder(tokenizer_path, frequent.value, "bytes", lambda ids: np.array(ids, "<u4").tobytes())
+        enc = encoder(tokenizer_path, frequent.value, "bytes", _packed_ids)
         kinds = None
         for b in batches:
             kinds = kinds or [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -137,7 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
                 for k in range(len(cuts) - 1):
                     out.append((i, k, cuts[k], cuts[k + 1] - cuts[k], ids[4 * cuts[k] : 4 * cuts[k + 1]]))
                 size += len(ids)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out, size = [], 0
             if out:
