@@ -88,7 +88,8 @@ def intent(c: Column) -> Column:
 
 def requested_rows(c: Column) -> Column:
     """How many rows the question asks for, at most 500; null when it doesn't say."""
-    return F.least(F.lit(ROW_COUNT_CAP).cast("bigint"), F.coalesce(*[_group(c, p).try_cast("bigint") for p in ROW_COUNT]))
+    n = F.coalesce(*[_group(c, p).try_cast("bigint") for p in ROW_COUNT])
+    return F.when(n > ROW_COUNT_CAP, ROW_COUNT_CAP).otherwise(n)
 
 
 def chart_type(c: Column) -> Column:

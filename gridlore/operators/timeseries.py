@@ -84,7 +84,7 @@ def forecast(series: DataFrame, keys: Sequence[str], order: Sequence[str], value
     y = F.col(value).cast("double")
     fit = gap_free.withColumn("x", x).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, F.col("x")).alias("slope"), F.regr_intercept(y, F.col("x")).alias("intercept"),
-        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, F.col("x")) - F.pow(F.regr_sxy(y, F.col("x")), 2) / F.regr_sxx(y, F.col("x"))) / F.count(F.lit(1))).alias("std"),
+        F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, F.col("x")) - F.try_divide(F.pow(F.regr_sxy(y, F.col("x")), 2), F.regr_sxx(y, F.col("x")))) / F.count(F.lit(1))).alias("std"),
         F.first("missing").alias("missing"), F.first("policy").alias("policy"),
     ).where("n >= 2")
     steps = F.sequence(F.lit(0), F.lit(horizon - 1))

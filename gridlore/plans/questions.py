@@ -364,5 +364,5 @@ def _cv(which: str) -> str:
 
 _log("q04_column_values", lambda q: [intents.column_value_intent(q)["column_name"].alias("column_name"), intents.column_value_intent(q)["value"].alias("value")], f"{_cv('name')} as column_name, {_cv('value')} as value")
 _log("q05_files", lambda q: [intents.file_intent(q).alias("file"), intents.wants_last(q).alias("wants_last")], f"coalesce({_group_sql(intents.FILE_FROM)}, {_group_sql(intents.FILE_IN)}) as file, {_any_sql([intents.LAST])} as wants_last")
-_log("q06_requested_rows", lambda q: [intents.requested_rows(q).alias("rows")], "least(500, coalesce(" + ", ".join(f"try_cast({_group_sql(p)} as bigint)" for p in intents.ROW_COUNT) + "))::bigint as rows")
+_log("q06_requested_rows", lambda q: [intents.requested_rows(q).alias("rows")], "case when {0} > 500 then 500 else {0} end as rows".format("coalesce(" + ", ".join(f"try_cast({_group_sql(p)} as bigint)" for p in intents.ROW_COUNT) + ")"))
 _log("q07_chart_types", lambda q: [intents.chart_type(q).alias("chart")], "case when regexp_matches(lower(query), 'trend|over time|forecast|predict') then 'line_chart' when regexp_matches(lower(query), 'compare|distribution|by category') then 'bar_chart' else 'line_chart' end as chart")
