@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,34 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "/tmp/gridlore-checkpoints"
 
 
+_OWNER: list[str] = []
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, key, make):
+    """What a Python worker keeps between tasks for one operator. Spark reuses workers, so when another operator's task
+    comes, the one before gives its memory back, to the system too where the C library can."""
+    claim(owner)
+    held = _CACHES.setdefault(owner, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def claim(owner: str) -> None:
+    """This worker now works for owner: caches of others go."""
+    if _OWNER == [owner]:
+        return
+    for other in [o for o in _CACHES if o != owner]:
+        del _CACHES[other]
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+    _OWNER[:] = [owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

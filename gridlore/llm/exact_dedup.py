@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import claim, table, text_of, written
 
 #: Entries of a memtable (one per distinct digest) before it is flushed; bits of the filter over repeated digests.
 MEMTABLE_ENTRIES = 200_000
@@ -31,6 +31,7 @@ def flush(rows: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTRIE
     best = max if keep == "largest" else min
 
     def fill(batches):
+        claim("exact")
         mem: dict[bytes, list[int]] = {}
 
         def run():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, text_of, written
+from .common import claim, components, table, text_of, worker_cache, written
 from .exact_dedup import DigestFilter
 
 #: Groups that tokens are hashed into for the count vectors; fan-out of the R-tree.
@@ -31,7 +31,9 @@ class _Hashes(dict):
         return h
 
 
-_HASH = _Hashes()
+def _hash_of():
+    """The worker's hash of a word."""
+    return worker_cache("jaccard", "words", _Hashes).__getitem__
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,7 +47,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(_hash_of(), words), np.uint64, len(words))
     if len(w) < width:
         seed = np.uint64(len(w))
         return _mixed(np.array([xxhash.xxh3_64_intdigest(w.tobytes())], np.uint64) + seed)
@@ -297,6 +299,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     def solve(batches):
         """Rows sorted by group and chunk pair; one pair is held at a time."""
+        claim("jaccard")
         at, held = None, []
 
         def done():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import claim, table, text_of
 
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
@@ -95,6 +95,7 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
     rows = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
 
     def bits(batches):
+        claim("language")
         for b in batches:
             on = [presence(t.as_py(), p) for t in b.column("text")]
             packed = [None if x is None else np.packbits(x).tobytes() for x in on]
@@ -129,6 +130,7 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     extra = extra or {}
 
     def run(batches):
+        claim("language")
         m = sent.value
         for b in batches:
             texts = b.column("text")

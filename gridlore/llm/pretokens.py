@@ -8,11 +8,12 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
+from .common import worker_cache
+
 #: Code points from here on go to the library itself: what counts as a letter there depends on its Unicode tables.
 FAST_BELOW = 0x530
 CACHE_ENTRIES = 250_000
 CACHE_KEY_CHARS = 128
-_READY: dict = {}
 
 
 def _visible() -> dict[int, int]:
@@ -168,6 +169,4 @@ class PieceEncoder:
 
 def encoder(path: str, frequent: dict, kind: str, value: Callable) -> PieceEncoder:
     """The worker's encoder; kept between tasks, as Spark reuses Python workers."""
-    if (path, kind) not in _READY:
-        _READY[path, kind] = PieceEncoder(path, frequent, value)
-    return _READY[path, kind]
+    return worker_cache("pretokens", (path, kind), lambda: PieceEncoder(path, frequent, value))

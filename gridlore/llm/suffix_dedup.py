@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import claim, table, text_of, written
 from .exact_dedup import DigestFilter
 
 LENGTH = 100
@@ -122,6 +122,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
     """
 
     def mark(batches):
+        claim("suffix")
         held, size = [], 0
 
         def fold():
