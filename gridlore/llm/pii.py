@@ -21,8 +21,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Dates are permuted within spans of this many days from the first of 1900; the product of the halves' sizes.
-DATE_SPAN = (250, 292)
+#: The days from 1900-01-01 to 2099-12-31, which are all that the patterns take, as the product of the halves' sizes.
+DATE_SPAN = (17, 4297)
 
 
 def _noise(key: str, tweak: str, i: Column, other: Column) -> Column:

@@ -177,4 +177,4 @@ def test_small_domains_are_permuted(spark):
 @pytest.mark.parametrize("day", ["1900-01-01", "2099-11-13", "2099-12-31", "1999-12-31"])
 def test_dates_come_back(spark, day):
     df = spark.createDataFrame([(1, day)], "doc_id long, text string")
-    assert pii.pseudonymize(pii.pseudonymize(df, "k"), "k", inverse=True).first()["text"] == day or day > "2099-11-13"
+    assert pii.pseudonymize(pii.pseudonymize(df, "k"), "k", inverse=True).first()["text"] == day
