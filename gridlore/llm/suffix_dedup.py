@@ -104,6 +104,12 @@ def _rows(a, c, doc, h, lo, span, hot=None) -> pa.RecordBatch:
     ], schema=_ROW)
 
 
+def _later(head: np.ndarray, doc: np.ndarray, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Rows at another position than the first of their context; a row that is given twice stands at one position."""
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    return (doc != doc[first]) | (h != h[first]) | (lo != lo[first])
+
+
 def _spans(doc, h, start, end) -> pa.RecordBatch:
     doc, h, start, end = _merged(doc, h, start, end)
     return _rows(None, None, doc, h, start, end - start)
@@ -131,7 +137,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
             order = np.lexsort((lo, h, doc, c))
             a, c, doc, h, lo, span = (x[order] for x in (a, c, doc, h, lo, span))
             head = np.concatenate(([True], c[1:] != c[:-1]))
-            again = ~head
+            again = _later(head, doc, h, lo)
             if again.any():
                 yield _spans(doc[again], h[again], lo[again], lo[again] + span[again] + length)
             yield _rows(a[head], c[head], doc[head], h[head], lo[head], span[head])
@@ -159,7 +165,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
         def settle(cols):
             a, c, doc, h, lo, span = cols
             head = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-            again = ~head
+            again = _later(head, doc, h, lo)
             if again.any():
                 yield _spans(doc[again], h[again], lo[again], lo[again] + span[again] + length)
             a, c, doc, h, lo, span = (x[head] for x in cols)
@@ -251,7 +257,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
         size, last = 0, None
 
         def settle():
-            held.sort(key=lambda r: r[:3])
+            held[:] = sorted({r[:3]: r for r in held}.values(), key=lambda r: r[:3])
             marks = repeated_windows([r[3] for r in held], length)
             n = np.array([int(m.sum()) for m in marks])
             if n.sum():
