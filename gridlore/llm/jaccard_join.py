@@ -18,6 +18,8 @@ COORDINATES = 32
 FAN_OUT = 32
 #: A group of candidates with more shingles than this is compared in pairs of chunks, each about so large.
 CHUNK_SHINGLES = 3_000_000
+#: A key with more classes than this is tied without the bound; a task folds what it has of a key beyond the second number.
+BUCKET, LOCAL_BUCKET = 4_096, 256
 #: Rows of a batch whose sets are held at once.
 ROWS_HELD = 128
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F], np.uint64)
@@ -147,6 +149,27 @@ class CountVectorTree:
         return at[np.minimum(self.vectors[at], v).sum(1) >= need]
 
 
+def may_link(ids: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, p: Partition) -> list[tuple[int, int]]:
+    """Ties that span the components of the pairs that the bound does not rule out; sorted by size."""
+    if len(ids) == 2:
+        a, b = int(sizes[0]), int(sizes[1])
+        ok = b * p.num <= a * p.den and int(np.minimum(vectors[0], vectors[1]).sum()) >= p.shared(a, b)
+        return [(int(ids[0]), int(ids[1]))] if ok else []
+    tree, label, out = CountVectorTree(vectors, sizes), np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        wanted = label != label[i]
+        if wanted[i + 1 :].any():
+            for j in tree.query(i, p, wanted):
+                if label[j] != label[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, tie: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), tie))], ["a", "b", "tie"])
+
+
 def linked(ids: np.ndarray, sets: list[np.ndarray], p: Partition, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components among sets: every pair is ruled out by the tree's bound, verified on its shingles, or joined already.
 
@@ -194,8 +217,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     different sets is lost. The steps:
 
     1. Equal sets make one class, so copies are not paired.
-    2. Classes meet under keys: the exact content of a block of shingles on which linked sets must agree (see Partition). Each
-       task folds its own rows of a key to one before the shuffle, and a key ties each class to its smallest, so a hot key costs a row a task.
+    2. Classes meet under keys: the exact content of a block of shingles on which linked sets must agree (see Partition). The classes of a
+       key are a bucket; in it an R-tree over count vectors rules out pairs by the summed smaller counts, and what is left is tied.
+       Classes beyond a bucket's bound are tied to its first without the tree, in each task before the shuffle already, so a hot key
+       costs a bounded number of rows a task.
     3. Components of these ties are groups of candidates. In each, an R-tree over count vectors bounds the overlap by the
        summed smaller counts, and what survives is verified on whole sets until every pair is joined or ruled out.
        A group of more than chunk_shingles shingles is dealt into chunks and compared chunk pair by chunk pair in as many tasks.
@@ -209,10 +234,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def name(b, sets):
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([v.tobytes() for v in count_vectors(sets)], pa.binary())], ["id", "n", "cls", "vec"])
 
-    named = written(_sets(rows, width, name, "id long, n long, cls long"), "sets")
-    classes = named.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.max("n").alias("n"))
+    named = written(_sets(rows, width, name, "id long, n long, cls long, vec binary"), "sets")
+    classes = named.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("vec").alias("vec"))
 
     def meet(batches):
         keys, owner, size = [], [], 0
@@ -224,13 +249,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             k, o = k[order], o[order]
             head = np.concatenate(([True], k[1:] != k[:-1]))
             first = o[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-            tie = ~head & (o != first)
+            start = np.nonzero(head)[0]
+            many = np.repeat(np.diff(np.concatenate((start, [len(k)]))) > LOCAL_BUCKET, np.diff(np.concatenate((start, [len(k)]))))
+            tie, send = many & (o != first), ~many | head
             pairs = np.unique(np.stack([o[tie], first[tie]], 1), axis=0) if tie.any() else np.zeros((0, 2), np.int64)
             keys.clear()
             owner.clear()
             seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(k[head].view(np.int64)), pa.array(o[head]), pa.array(np.zeros(int(head.sum()), bool))], ["a", "b", "tie"])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), bool))], ["a", "b", "tie"])
+            yield _pairs(k[send].view(np.int64), o[send], False)
+            yield _pairs(pairs[:, 0], pairs[:, 1], True)
 
         for b in batches:
             for t in b.column("text"):
@@ -253,27 +280,73 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     met = rows.select("text").mapInArrow(meet, "a long, b long, tie boolean")
 
-    def tie(batches):
-        """Rows sorted by key: each class of a key tied to the key's smallest; the last key is carried over."""
-        key, low = None, None
+    def buckets(batches):
+        """Rows sorted by key and class: buckets of two classes or more, named by their members, so that keys with the same members are one."""
+        carry, hot = None, None
+
+        def settle(a, c):
+            one = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            a, c = a[one], c[one]
+            start = np.nonzero(np.concatenate(([True], a[1:] != a[:-1])))[0]
+            size = np.diff(np.concatenate((start, [len(a)])))
+            wide = np.repeat((size > BUCKET) | (a[start] == hot if hot is not None else False), size)
+            first = np.repeat(c[start], size)
+            name = np.repeat(np.add.reduceat(_mixed(c.view(np.uint64)), start).view(np.int64), size)
+            keep = (np.repeat(size, size) > 1) & ~wide
+            yield _pairs(name[keep], c[keep], False)
+            yield _pairs(c[wide & (c != first)], first[wide & (c != first)], True)
+
         for b in batches:
             a, c, t = (np.asarray(b.column(i)) for i in range(3))
-            own = np.stack([a[t], c[t]], 1)
+            if t.any():
+                yield _pairs(a[t], c[t], True)
             a, c = a[~t], c[~t]
-            if len(a):
-                head = np.concatenate(([key is None or a[0] != key], a[1:] != a[:-1]))
-                at = np.maximum.accumulate(np.where(head, np.arange(len(a)), -1))
-                first = np.where(at < 0, low if low is not None else 0, c[np.maximum(at, 0)])
-                key, low = a[-1], first[-1]
-                more = first != c
-                own = np.concatenate([own, np.stack([c[more], first[more]], 1)])
-            if len(own):
-                own = np.unique(own, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
-
-    ties = met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(tie, "a long, b long")
+            if not len(a):
+                continue
+            if carry is not None:
+                a, c = np.concatenate((carry[0], a)), np.concatenate((carry[1], c))
+            at = int(np.searchsorted(a, a[-1], "left"))
+            if at:
+                yield from settle(a[:at], c[:at])
+            a, c = a[at:], c[at:]
+            if len(a) > 4 * BUCKET:  # more classes than are held: tied to the first as they come
+                hot = a[0]
+                yield _pairs(c[c != c[0]], np.full(int((c != c[0]).sum()), c[0]), True)
+                a, c = a[:1], c[:1]
+            carry = (a, c)
+        if carry is not None:
+            yield from settle(*carry)
+
+    met = written(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(buckets, "a long, b long, tie boolean").distinct(), "buckets")
+    members = met.where("not tie").select("a", F.col("b").alias("cls")).join(classes.select("cls", "n", "vec"), "cls").select("a", "cls", "n", "vec")
+
+    def bound(batches):
+        """Rows sorted by bucket and size; the classes of a bucket that the summed minima leave together, tied."""
+        claim("jaccard")
+        at, held, out = None, [], []
+
+        def settle():
+            if len(held) > 1:
+                vectors = np.stack([np.frombuffer(v, np.int32) for _, _, v in held])
+                out.extend(may_link(np.array([c for c, _, _ in held]), vectors, np.array([n for _, n, _ in held]), p))
+            held.clear()
+
+        for b in batches:
+            for a, c, n, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if a != at:
+                    settle()
+                    at = a
+                held.append((c, n, v))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                out.clear()
+        settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    ties = members.repartition("a").sortWithinPartitions("a", "n", "cls").mapInArrow(bound, "a long, b long").unionAll(met.where("tie").select("a", "b"))
     groups = written(components(written(ties.distinct(), "ties")).withColumnsRenamed({"node": "cls", "component": "grp"}), "groups")
-    sized = groups.join(classes, "cls")
+    sized = groups.join(classes.drop("vec"), "cls")
     whole = sized.groupBy("grp").agg(F.sum("n").alias("total"))
     sized = written(sized.join(whole, "grp").select("cls", "grp", "first_id", F.ceil(F.col("total") / chunk_shingles).cast("int").alias("chunks")), "members")
 
@@ -324,7 +397,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     pairs = dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(solve, "a long, b long")
     linked_classes = components(written(pairs, "links"))
-    linked_classes = linked_classes.withColumnsRenamed({"node": "cls", "component": "grp"}).join(classes, "cls")
+    linked_classes = linked_classes.withColumnsRenamed({"node": "cls", "component": "grp"}).join(classes.drop("vec"), "cls")
     low = linked_classes.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     label = linked_classes.join(low, "grp").select("cls", "component_id")
     all_ = classes.select("cls", "first_id").join(label, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
