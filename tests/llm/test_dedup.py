@@ -87,6 +87,16 @@ def test_jaccard(docs, corpus, width, num, chunk):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(s), want[i]) for i, s in sets.items()} and len(rows) == len(corpus)
 
 
+def test_jaccard_with_hot_keys(docs, corpus, monkeypatch):
+    import gridlore.llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "BUCKET", 1)
+    monkeypatch.setattr(j, "LOCAL_BUCKET", 1)
+    sets = sets_of(corpus, 3)
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, 3, 80, 100).collect()} == groups(pairs, sets)
+
+
 def test_jaccard_of_nothing(no_docs):
     assert jaccard_components(no_docs).count() == 0
 
