@@ -78,16 +78,16 @@ _FIT = _DAILY + """, g as (select event_type, day, coalesce(last_value(value ign
   k as (select event_type, n, s, h, b + a * (n + h) as p from f, (values (0), (1), (2)) t(h))"""
 
 
-@query("with " + _FIT + " select event_type, n, (h + 1)::int as step, 'H' || (h + 1) as x, round(p, 3) as forecast, round(p - 1.96 * s, 3) as lower, round(p + 1.96 * s, 3) as upper from k")
+@query("with " + _FIT + " select event_type, n, (h + 1)::int as step, 'H' || (h + 1) as x, round(round(p, 4), 2) as forecast, round(round(p - 1.96 * s, 4), 2) as lower, round(round(p + 1.96 * s, 4), 2) as upper from k")
 def x05_x08_forecast_points(spark, sf_dir):
     f = timeseries.forecast(daily(spark, sf_dir), ["event_type"], ["day"])
-    return timeseries.chart_points(f, ["event_type", "n"]).withColumns({c: F.round(c, 3) for c in ("forecast", "lower", "upper")})
+    return timeseries.chart_points(f, ["event_type", "n"]).withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper")})
 
 
-@query("with " + _FIT + " select (h + 1)::int as step, 'H' || (h + 1) as x, max(case when event_type = 'click' then round(p, 3) end) as click, max(case when event_type = 'purchase' then round(p, 3) end) as purchase from k group by 1, 2")
+@query("with " + _FIT + " select (h + 1)::int as step, 'H' || (h + 1) as x, max(case when event_type = 'click' then round(round(p, 4), 2) end) as click, max(case when event_type = 'purchase' then round(round(p, 4), 2) end) as purchase from k group by 1, 2")
 def x09_merged_series(spark, sf_dir):
     points = timeseries.chart_points(timeseries.forecast(daily(spark, sf_dir), ["event_type"], ["day"]), ["event_type"])
-    return timeseries.merged_series(points.select("step", "x", "event_type", F.round("forecast", 3).alias("value")), "event_type", ["click", "purchase"])
+    return timeseries.merged_series(points.select("step", "x", "event_type", F.round("forecast", 2).alias("value")), "event_type", ["click", "purchase"])
 
 
 @query()
