@@ -18,7 +18,7 @@ from gridlore.llm.language_id import UNKNOWN, fit, predict
 from gridlore.llm.packing import packed_documents
 
 #: Near-duplicate stages of the pipeline: shingles of five words, Jaccard similarity of at least 0.8.
-SHINGLE_WORDS, NUM, DEN = 5, 80, 100
+SHINGLE_WORDS, NUM, DEN, COORDINATES = 5, 80, 100, 128
 TOKENIZER, EOS, CAPACITY = "byte_bpe_50k.json", 2, 1024
 
 
@@ -61,7 +61,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays: the one with the smallest id. Rows that share an id stay or go together."""
-    found = jaccard_components(docs, SHINGLE_WORDS, NUM, DEN)
+    found = jaccard_components(docs, SHINGLE_WORDS, NUM, DEN, coordinates=COORDINATES)
     return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
 
 

@@ -114,8 +114,18 @@ class Partition:
         return key if b - int(full.sum()) > slack else key[full]
 
 
-def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.bincount((h >> np.uint64(8)).astype(np.int64) & (COORDINATES - 1), minlength=COORDINATES) for h in sets]).astype(np.int32)
+def count_vectors(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
+    """Shingles of each set by group; coordinates is a power of two."""
+    return np.stack([np.bincount((h >> np.uint64(8)).astype(np.int64) & (coordinates - 1), minlength=coordinates) for h in sets]).astype(np.int32)
+
+
+def packed_counts(v: np.ndarray) -> bytes:
+    """Two bytes a count while they do."""
+    return v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.int32).tobytes()
+
+
+def unpacked_counts(v: bytes, coordinates: int) -> np.ndarray:
+    return np.frombuffer(v, np.uint16 if len(v) == 2 * coordinates else np.int32).astype(np.int32)
 
 
 class CountVectorTree:
@@ -170,7 +180,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, tie: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), tie))], ["a", "b", "tie"])
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], p: Partition, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, sets: list[np.ndarray], p: Partition, cross: np.ndarray | None = None, coordinates: int = COORDINATES) -> list[tuple[int, int]]:
     """Links that span the components among sets: every pair is ruled out by the tree's bound, verified on its shingles, or joined already.
 
     cross: sides (0 or 1) when only pairs across two chunks matter.
@@ -179,7 +189,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], p: Partition, cross: np.ndar
     order = np.lexsort((ids, sizes))
     ids, sets, sizes = ids[order], [sets[k] for k in order], sizes[order]
     side = None if cross is None else cross[order]
-    tree = CountVectorTree(count_vectors(sets), sizes)
+    tree = CountVectorTree(count_vectors(sets, coordinates), sizes)
     label = np.arange(len(sets))
     out = []
     for i in range(len(sets) - 1):
@@ -210,7 +220,7 @@ def _sets(rows: DataFrame, width: int, make, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = CHUNK_SHINGLES, coordinates: int = COORDINATES) -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs; component_id is the smallest id reachable over links.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of shingles of width words; no link between
@@ -226,6 +236,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
        A group of more than chunk_shingles shingles is dealt into chunks and compared chunk pair by chunk pair in as many tasks.
     4. Links that span are turned into components, and components carried back to the rows.
 
+    The bound tells unrelated sets apart while a coordinate has few shingles: at a Jaccard of 0.8 it takes about one for every twenty of
+    the usual set, at 0.9 fewer.
+
     Sets are of 64-bit shingle hashes. Null text, or text without words: an empty set, its own component. Fewer words than width: the
     whole sequence is the one shingle. Rows that repeat an id share its component; a row with a null id keeps component null unless its
     class has an id. Empty tables give an empty result; other columns are left out.
@@ -234,7 +247,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def name(b, sets):
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([v.tobytes() for v in count_vectors(sets)], pa.binary())], ["id", "n", "cls", "vec"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([packed_counts(v) for v in count_vectors(sets, coordinates)], pa.binary())], ["id", "n", "cls", "vec"])
 
     named = written(_sets(rows, width, name, "id long, n long, cls long, vec binary"), "sets")
     classes = named.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("vec").alias("vec"))
@@ -327,7 +340,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
         def settle():
             if len(held) > 1:
-                vectors = np.stack([np.frombuffer(v, np.int32) for _, _, v in held])
+                vectors = np.stack([unpacked_counts(v, coordinates) for _, _, v in held])
                 out.extend(may_link(np.array([c for c, _, _ in held]), vectors, np.array([n for _, n, _ in held]), p))
             held.clear()
 
@@ -380,7 +393,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             _, one = np.unique(ids, return_index=True)
             sets = [np.frombuffer(held[k][1], np.uint64) for k in one]
             sides = np.array([held[k][2] for k in one])
-            pairs = linked(ids[one], sets, p, None if at[1] == at[2] else sides) if len(one) > 1 else []
+            pairs = linked(ids[one], sets, p, None if at[1] == at[2] else sides, coordinates) if len(one) > 1 else []
             if pairs:
                 return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
             return None
