@@ -58,8 +58,9 @@ def keyword_search_batch(chunks: DataFrame, questions: DataFrame, k: int = KEYWO
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("chunk_index", "chunk_id"))
     out = None
     for part in _passes(questions.select("question_id", query_terms(F.col("query")).alias("terms")), per_pass):
-        hit = F.exists("terms", lambda t: F.contains(F.lower("content"), t))
-        found = chunks.join(F.broadcast(part), hit).select("question_id", "chunk_id", "chunk_index")
+        hit = F.exists("terms", lambda t: F.contains("low", t))
+        low = chunks.select("chunk_id", "chunk_index", F.lower("content").alias("low"))
+        found = low.join(F.broadcast(part), hit).select("question_id", "chunk_id", "chunk_index")
         found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "chunk_id", "rank")
         out = found if out is None else out.unionByName(found)
     return out
