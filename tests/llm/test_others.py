@@ -178,3 +178,16 @@ def test_small_domains_are_permuted(spark):
 def test_dates_come_back(spark, day):
     df = spark.createDataFrame([(1, day)], "doc_id long, text string")
     assert pii.pseudonymize(pii.pseudonymize(df, "k"), "k", inverse=True).first()["text"] == day
+
+
+def test_values_before_any_end(spark):
+    values = ["4785380592391139", "152.143.123.131", "+1 (743) 555-3824", "jane@mail.example.com", "jane@a.com.au", "2024-02-29", "31/12/1999", "123-45-6789", "GB82WEST12345698765432"]
+    ends = [".", ".\n", ". x", ")", "\n", "", ". 5", ".."]
+    rows = [(i * 10 + j, f"to {v}{e}") for i, v in enumerate(values) for j, e in enumerate(ends)] + [(900, "a@" + "b." * 50_000)]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, v in enumerate(values):
+        made = {got[i * 10 + j]["text"].removeprefix("to ").removesuffix(e) for j, e in enumerate(ends)}
+        assert len(made) == 1 and v not in made and all(got[i * 10 + j]["n_values"] == 1 for j in range(len(ends)))
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out, "k", inverse=True).collect()}
+    assert back == dict(rows)
