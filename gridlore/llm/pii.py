@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 ROUNDS = 8
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_SPACED = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: What may be personal, in the order in which the alternatives are tried. Whether it is decides the check in _kind.
 #: The labels of a domain can be given back, as a full stop may follow; names have at most 127 labels, which bounds Java's recursion.
 PATTERNS = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_SPACED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "iso_date": r"(?<![\d-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\d-])",
     "day_date": r"(?<![\d/])[0-3]\d/[01]\d/(?:19|20)\d\d(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![.-]?\d)|\+\d{8,15}(?!\d)",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\.?\d)",
 }
-KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Digit groups with single separators, 13 digits or more, up to what starts another kind or a decimal: any number of cards and other numbers.
+_GROUP = r"\d++(?!\.\d)"
+RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!{'|'.join(PATTERNS[k] for k in ('iso_date', 'day_date', 'ssn', 'ip', 'phone'))}){_GROUP})*+"
+#: Group sizes of printed cards, tried in this order; before them one unbroken group.
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 5), (6, 13))
+CARD_DIGITS, WALK = (13, 19), 64
+KINDS = (*PATTERNS, "card")
+ANY = "|".join(f"(?:{p})" for p in (*PATTERNS.values(), RUN))
+_PIECES = "array<struct<m:string,kind:string>>"
 #: The days from 1900-01-01 to 2099-12-31, which are all that the patterns take, as the product of the halves' sizes.
 DATE_SPAN = (17, 4297)
 
@@ -82,6 +95,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda t, v: t + v)
 
 
+def _compact(s: Column) -> Column:
+    return F.regexp_replace(s, " ", "")
+
+
 def _mod97(s: Column) -> Column:
     """The IBAN remainder of letters and digits, letters counting 10 to 35."""
     value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
@@ -100,12 +117,11 @@ def _day(m: Column) -> Column:
 
 
 def _kind(m: Column) -> Column:
-    """Which kind of personal value m is, after its check: Luhn, IBAN remainder, calendar, allotted number ranges; null if none."""
+    """Which kind of personal value m is, after its check: IBAN remainder, calendar, allotted number ranges; null if none. Cards: _pieces."""
     checks = {
-        "iban": _mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1,
+        "iban": _mod97(F.concat(F.substring(_compact(m), F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1,
         "email": F.lit(True), "iso_date": _day(m).isNotNull(), "day_date": _day(m).isNotNull(),
         "ssn": m.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), "ip": F.lit(True), "phone": F.lit(True),
-        "card": _luhn(_digits(m)) % 10 == 0,
     }
     out = None
     for kind, ok in checks.items():
@@ -114,6 +130,52 @@ def _kind(m: Column) -> Column:
     return out
 
 
+def _let(value: Column, f) -> Column:
+    """f of value, which is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _piece(m: Column, kind: Column | str | None) -> Column:
+    return F.struct(m.alias("m"), (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"))
+
+
+def _split_cards(m: Column) -> Column:
+    """m as pieces: cards in a printed layout, from the left, and the stretches between them; such a stretch of 13 to 19 digits is a card if it passes Luhn."""
+    low, high = CARD_DIGITS
+    text = lambda g, i, k: F.array_join(F.slice(g, i + 1, k), "")
+    passes = lambda s: _luhn(_digits(s)) % 10 == 0
+
+    def chosen(g: Column, n: Column) -> Column:
+        """Place and number of groups of each card; n has the groups' digits, 0 for other text."""
+
+        def step(at: Column, i: Column) -> Column:
+            size = F.when(n[i].between(low, high) & passes(g[i]), 1)
+            for layout in LAYOUTS:
+                k = F.lit(len(layout))
+                size = size.when((F.slice(n, i + 1, k) == F.array(*map(F.lit, layout))) & passes(text(g, i, k)), k)
+            take = lambda k: F.when(k.isNull(), at).otherwise(F.struct((i + k).alias("next"), F.concat(at["cards"], F.array(F.struct(i.alias("at"), k.alias("k")))).alias("cards")))
+            return F.when(i < at["next"], at).otherwise(_let(size, take))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,k:int>>").alias("cards"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda at: at["cards"])
+
+    def cut(g: Column, cards: Column) -> Column:
+        ends, starts = F.concat(F.array(F.lit(0)), F.transform(cards, lambda c: c["at"] + c["k"])), F.concat(F.transform(cards, lambda c: c["at"]), F.array(F.size(g)))
+        whole = lambda s: s.rlike("^[0-9 -]+$") & F.length(_digits(s)).between(low, high) & passes(s)
+        between = F.zip_with(ends, starts, lambda e, b: _let(text(g, e, b - e), lambda s: _piece(s, F.when(whole(s), "card"))))
+        own = F.concat(F.transform(cards, lambda c: F.array(_piece(text(g, c["at"], c["k"]), "card"))), F.array(F.array().cast(_PIECES)))
+        return F.filter(F.flatten(F.zip_with(between, own, lambda a, b: F.concat(F.array(a), b))), lambda p: p["m"] != "")
+
+    size = lambda x: F.when(x.rlike("^[0-9]+[ -]?$"), F.length(_digits(x))).otherwise(0)
+    return _let(F.regexp_extract_all(m, F.lit("[^ -]+[ -]?"), F.lit(0)), lambda g: _let(F.transform(g, size), lambda n: _let(chosen(g, n), lambda cards: cut(g, cards))))
+
+
+def _pieces(m: Column) -> Column:
+    """A match as pieces with their kinds: one piece if it is a value as a whole, else the cards in it and what is between."""
+    digits = F.length(_digits(m)) >= CARD_DIGITS[0]
+    return _let(_kind(m), lambda kind: F.when(kind.isNull() & digits, _split_cards(m)).otherwise(F.array(_piece(m, kind))))
+
+
 def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of m: another valid value of the same kind and format; m itself where kind is null."""
     d = _digits(m)
@@ -136,8 +198,9 @@ def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     number = F.datediff(_day(m), first)
     at = F.pmod(number, F.lit(a * b))
     moved = F.transform(F.array(permute_pair(F.floor(at / b), at % b, a, b, key, "date", inverse)), lambda x: F.date_add(first, (number - at + x["l"] * b + x["r"]).cast("int")))[0]
-    bank = permute_text(F.substring(m, F.lit(5), F.length(m)), key, "iban", inverse)
-    iban = F.transform(F.array(bank), lambda x: F.concat(part(m, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(x, part(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    bank = permute_text(F.substring(_compact(m), F.lit(5), F.length(m)), key, "iban", inverse)
+    iban = F.transform(F.array(bank), lambda x: F.concat(part(m, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(x, part(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))
+    iban = _let(iban[0], lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(x, F.length(_compact(F.substring(m, F.lit(1), i))) + 1, F.lit(1)))), ""))
     sign = F.instr(m, "@")
     email = F.concat(permute_text(F.substring(m, F.lit(1), sign - 1), key, "email", inverse), F.substring(m, sign, F.length(m)))
     return (
@@ -146,24 +209,40 @@ def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     )
 
 
+def _moved(found: Column, key: str, inverse: bool) -> Column:
+    """The pieces of a match with pseudonyms in their places.
+
+    Where new digits would make the match fall into other pieces than before, the permutation is applied again until they don't (cycle
+    walking), so that the inverse finds the same pieces.
+    """
+    once = lambda ps: F.transform(ps, lambda p: _piece(_replaced(p["m"], p["kind"], key, inverse), p["kind"]))
+    shape = lambda ps: F.transform(ps, lambda p: F.struct(F.length(p["m"]), p["kind"]))
+    same = lambda ps: shape(_pieces(F.array_join(F.transform(ps, lambda p: p["m"]), ""))) == shape(ps)
+    start = lambda ps: F.struct(ps.alias("ps"), same(ps).alias("done"))
+    walk = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda at, i: F.when(at["done"], at).otherwise(_let(once(at["ps"]), start)), lambda at: at["ps"])
+    several = (F.size(found) > 1) | (found[0]["kind"] == "card")
+    return F.when(several & F.exists(found, lambda p: p["kind"].isNotNull()), walk(F.struct(found.alias("ps"), F.lit(False).alias("done")))).otherwise(once(found))
+
+
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """id_col, text with every personal value replaced, n_values, and a count for each of KINDS; one map pass, no Python.
 
     A value is replaced by another valid one of its own format: digits stay digits in their places, separators stay, card numbers pass
     Luhn and IBANs their remainder, dates are calendar days in the same notation. Each format has its own keyed permutation, the same in
-    every row, so equal values get equal pseudonyms and different ones never meet; inverse=True with the same key takes it back. Numbers that
+    every row, so equal values get equal pseudonyms and different ones never meet; inverse=True with the same key takes it back. Cards are
+    looked for in printed layouts within a run of digit groups, then in what is left of it as a whole. Where a run can be read in more than one
+    way, a card can get another pseudonym than elsewhere, as else the inverse could not tell which groups were the card. Numbers that
     fail their check, and all other text, stay as they are. Null text: empty. Null ids and repeated rows: one result each;
     an empty table gives an empty result; other columns are left out.
     """
     text = text_of(text_col)
-    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
-    nothing = F.struct(F.lit("").alias("m"), F.lit(None).cast("string").alias("kind"))
-    cut = F.zip_with(F.split("text", ANY, -1), F.concat(F.array(nothing), found), lambda p, f: F.struct(F.concat(_replaced(f["m"], f["kind"], key, inverse), p).alias("out"), f["kind"].alias("kind")))
-    whole = F.array(F.struct(F.col("text").alias("out"), F.lit(None).cast("string").alias("kind")))
+    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: _let(_pieces(m), lambda ps: _moved(ps, key, inverse)))
+    cut = F.flatten(F.zip_with(F.split("text", ANY, -1), F.concat(F.array(F.array().cast(_PIECES)), found), lambda p, f: F.concat(f, F.array(_piece(p, None)))))
+    whole = F.array(_piece(F.col("text"), None))
     parts = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.when(F.col("text").rlike("[0-9@]"), cut).otherwise(whole).alias("parts"))
     of = lambda kind: F.size(F.filter("parts", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return parts.select(
-        F.col("id").alias(id_col), F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("text"), F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).cast("long").alias("n_values"), *[of(k) for k in KINDS]
+        F.col("id").alias(id_col), F.array_join(F.transform("parts", lambda p: p["m"]), "").alias("text"), F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).cast("long").alias("n_values"), *[of(k) for k in KINDS]
     )
 
 

@@ -191,3 +191,29 @@ def test_values_before_any_end(spark):
         assert len(made) == 1 and v not in made and all(got[i * 10 + j]["n_values"] == 1 for j in range(len(ends)))
     back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out, "k", inverse=True).collect()}
     assert back == dict(rows)
+
+
+def test_cards_beside_numbers(spark):
+    card, spaced, iban = "4785380592391139", "4111 1111 1111 1111", "GB82WEST12345698765432"
+    cases = [
+        (spaced, "{} 12/27"), (spaced, "{} 123"), (spaced, "7 {}"), (spaced, "7 {} 2027"), (spaced, "{} 12.50"), (spaced, "{}-" + "1234567890" * 3), (card, "{} 123"), (card, "{} 5"), ("378282246310005", "{} 12/27 1234"),
+        ("3782 822463 10005", "1 {} 1234"), ("4111-1111-1111-1111", "12-{}-27"), ("4222 2222 2222 2", "{} 9"), (spaced, "2027 {}"), (spaced, "DE12 {} 11"), ("GB82 WEST 1234 5698 7654 32", "{} 4111"), (iban, "{}."), ("SE45 5000 0000 0583 9825 7466", "{} 2024 EUR"), ("41 111 11111111 11 1", "{}"),
+    ]
+    rows = [(i, f"a {t.format(v)}, b") for i, (v, t) in enumerate(cases)]
+    rows += [(100, spaced), (101, card), (102, iban), (103, f"{spaced} {card} 31/12/1999 2024-02-29 123-45-6789"), (104, "1 " * 50_000), (105, "1" * 50_000), (106, f"{spaced} {spaced} 4111 1111 1111 1112")]
+    rows += [(1000 + i, f"{1000 + 37 * i} {spaced} {100 + i}") for i in range(60)]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, (v, t) in enumerate(cases):
+        before, after = t.split("{}")
+        new = got[i]["text"].removeprefix(f"a {before}").removesuffix(f"{after}, b")
+        assert new != v and len(new) == len(v) and got[i]["n_values"] == 1, (v, t, got[i])
+        new = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 if v[0].isalpha() else luhn(new) % 10 == 0
+    plain = {i: got[i]["text"] for i in (100, 101, 102)}
+    assert all(plain[100] in got[i]["text"] for i in range(6)) and plain[101] in got[6]["text"] and plain[102] == got[14]["text"][2:].removesuffix(" 4111, b").replace(" ", "")
+    assert (got[103]["n_card"], got[103]["n_day_date"], got[103]["n_iso_date"], got[103]["n_ssn"]) == (2, 1, 1, 1) and got[104]["n_values"] == got[105]["n_values"] == 0
+    assert got[106]["text"] == f"{plain[100]} {plain[100]} 4111 1111 1111 1112"
+    assert all(got[i]["n_card"] == 1 for i, _ in rows if i >= 1000)
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out, "k", inverse=True).collect()}
+    assert back == dict(rows)
