@@ -47,10 +47,16 @@ def location(page: Column, sheet: Column, row_start: Column, row_end: Column) ->
     )
 
 
+BETWEEN_SOURCES = "\n---\n"
+
+
+def source_text(url: Column, text: Column) -> Column:
+    return F.concat(F.lit("SOURCE: "), url, F.lit("\nCONTENT: "), text)
+
+
 def context_text(items: Column) -> Column:
     """items: array of struct(pos, url, text); sources in order of pos, or a fixed text when there are none."""
-    one = lambda x: F.concat(F.lit("SOURCE: "), x["url"], F.lit("\nCONTENT: "), x["text"])
-    return F.when(F.size(items) > 0, F.array_join(F.transform(F.array_sort(items), one), "\n---\n")).otherwise(NO_SOURCES)
+    return F.when(F.size(items) > 0, F.array_join(F.transform(F.array_sort(items), lambda x: source_text(x["url"], x["text"])), BETWEEN_SOURCES)).otherwise(NO_SOURCES)
 
 
 def retrieval_type(mode: Column, offline_mode: Column, is_document: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions.filters import contains_any
 from gridlore.functions.intents import intent
-from gridlore.functions.texts import DOC_PREFIX, FALLBACK_TEXT, FALLBACK_URL, holding_lines, last_row_line, location, query_terms, row_lines
+from gridlore.functions.texts import BETWEEN_SOURCES, DOC_PREFIX, FALLBACK_TEXT, FALLBACK_URL, holding_lines, last_row_line, location, query_terms, row_lines, source_text
 
 from .tables import in_scope
 
@@ -195,6 +197,48 @@ def allocate_budget(web: DataFrame, docs: DataFrame, total: int = TOTAL_BUDGET,
     return first.unionByName(fitted)
 
 
+def context_digests(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, context_md5: MD5 of the context text of all items (keys, pos, url, text) of a key, null if none has a url and a text.
+
+    MD5 goes through a text from its first byte to its last, so one task reads a key's rows, but as a sorted stream: it holds a batch of
+    rows and one running digest, never the context.
+    """
+    rows = items.select(*[F.col(k).cast("string").alias(k) for k in keys], "pos", "text", source_text(F.col("url"), F.col("text")).alias("source_text"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "pos", "text").select(*keys, "source_text")
+    names = [*keys, "context_md5"]
+
+    def digest(batches):
+        key, md5, out = None, None, []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names)
+
+        def close():
+            if key is not None:
+                out.append((*key, md5 and md5.hexdigest()))
+
+        for b in batches:
+            for *at, text in zip(*(b.column(c) for c in (*keys, "source_text")), strict=True):
+                at = [x.as_py() for x in at]
+                if at != key:
+                    close()
+                    key, md5 = at, None
+                if text.is_valid:
+                    if md5 is None:
+                        md5 = hashlib.md5(usedforsecurity=False)
+                    else:
+                        md5.update(BETWEEN_SOURCES.encode())
+                    md5.update(text.as_buffer())
+            if out:
+                yield made()
+                out.clear()
+        close()
+        if out:
+            yield made()
+
+    return rows.mapInArrow(digest, ", ".join(f"{c} string" for c in names))
+
+
 def answer_mode(prefer: Column, include_web: Column, online: Column, archived: Column, documents: Column) -> Column:
     """ONLINE, OFFLINE_ARCHIVE or LOCAL_WEIGHTS from a preference and the numbers of sources found."""
     offline = F.coalesce(prefer == "OFFLINE", F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import cells, texts
 from gridlore.operators import archive, tables
 from gridlore.operators.chunking import chunk_rows_by_budget, chunk_rows_fixed, chunk_texts, row_lines_of
+from gridlore.operators.retrieval import context_digests
 from gridlore.sources import html, ingest
 
 from .registry import over, query, register, table
@@ -202,7 +203,7 @@ def f13_locations(spark, sf_dir):
 
 
 over(
-    "f14_context_texts", "documents", lambda d: d.groupBy("source", "lang").agg(F.collect_list(F.struct(F.col("doc_id").alias("pos"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), F.col("text"))).alias("x")).select("source", "lang", F.md5(texts.context_text(F.col("x"))).alias("context_md5")),
+    "f14_context_texts", "documents", lambda d: context_digests(d.select("source", "lang", F.col("doc_id").alias("pos"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text"), ["source", "lang"]),
     r"select source, lang, md5(string_agg('SOURCE: doc://' || doc_id || chr(10) || 'CONTENT: ' || text, chr(10) || '---' || chr(10) order by doc_id)) as context_md5 from documents group by 1, 2",
 )
 over("f15_stamp_texts", "events", lambda d: d.select("event_id", cells.parsed_time(F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), cells.STAMP_FORMATS).cast("timestamp_ntz").alias("at")), "select event_id, case when event_type = 'click' then date_trunc('second', ts) else ts end as at from events")

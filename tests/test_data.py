@@ -250,3 +250,23 @@ def test_streams_equal_batch(spark, tmp_path):
     flows.ingest_stream(spark, src, schema, out, check).awaitTermination()
     cols = ["chunk_id", "document_id", "chunk_index", "content"]
     assert sorted(map(tuple, flows.read_chunks(spark, out).select(cols).collect())) == sorted(map(tuple, chunking.chunk_texts(pages).select(cols).collect()))
+
+
+def test_context_digests_hold_no_context(spark, tmp_path):
+    import duckdb
+
+    import gridlore.plans.all as plans
+
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}", "en", f"text {i}\nü" * (i % 40 + 1)) for i in range(3000)]
+    rows += [(3000, None, "en", "a"), (3001, None, None, "b"), (3002, "none", "de", None), (3003, "some", "de", None), (3004, "some", "de", ""), (3005, "some", "de", "c"), (None, "some", "de", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(7)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = plans.QUERIES["f14_context_texts"](spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {(r["source"], r["lang"]): r["context_md5"] for r in df.collect()}
+    assert got == {(s, lang): m for s, lang, m in db.execute(plans.SQL["f14_context_texts"]).fetchall()}
+    items = docs.groupBy("source", "lang").agg(F.collect_list(F.struct("doc_id", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")).alias("x"))
+    assert {(r[0], r[1]): r[2] for r in items.where("source <> 'none'").select("source", "lang", F.md5(texts.context_text(F.col("x")))).collect()} == {k: v for k, v in got.items() if k[0] not in (None, "none")}
+    assert df.where("false").count() == 0 and retrieval.context_digests(docs.where("false").select("source", "lang", F.lit(1).alias("pos"), F.lit("u").alias("url"), "text"), ["source", "lang"]).count() == 0
