@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings of a fixed length, keeping the first: longest-previous-factor tests on anchored windows."""
+"""Removal of repeated byte strings of a fixed length, keeping the first: anchored windows of that length, sorted or hashed."""
 
 from __future__ import annotations
 
