@@ -9,9 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/gridlore-checkpoints"
-
+from gridlore.shared import shared_dir
 
 _OWNER: list[str] = []
 _CACHES: dict[str, dict] = {}
@@ -50,10 +48,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
     Tables written there live as long as the caller keeps the folder; each run takes new names.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = FALLBACK_DIR
-    return f"{base.rstrip('/')}/gridlore/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/gridlore/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, or name with underscores before it until no column of taken has it (Spark's names ignore case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,7 +75,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each round is two grouped minima and two joins, the number of
     edges never grows, and hubs shrink because every neighbour is relinked to the minimum. Each round is written to
-    the shared folder, so the plan stays short and a lost executor costs one round. Self-loops and repeats are harmless;
+    the shared folder, so the plan stays short and a lost executor costs one round; so are the minima, as Spark can then split
+    the join of a hub's edges with them. Self-loops and repeats are harmless;
     an empty input gives an empty result.
     """
     star = written(
@@ -80,7 +84,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         both = star.select("u", "v").unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc_low")
         large = star.unionAll(star.select(F.col("v"), F.col("u"))).join(low, "u").where("v > u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import claim, table, text_of, written
 
-#: Entries of a memtable (one per distinct digest) before it is flushed; bits of the filter over repeated digests.
+#: Entries of a memtable (one per distinct digest) before it is flushed.
 MEMTABLE_ENTRIES = 200_000
-FILTER_BITS = 1 << 23
+#: Bits of a filter for each digest, and the most for all filters of an index, which bounds what is broadcast; more digests only let more rows through.
+BITS_PER_DIGEST, MAX_BITS = 12, 1 << 26
 FILTER_HASHES = 4
 
 
@@ -43,74 +44,159 @@ def flush(rows: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTRIE
             for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 slot = mem.get(d)
                 if slot is None:
+                    if len(mem) >= entries:
+                        yield run()
+                        mem.clear()
                     mem[d] = [i, 1]
                 else:
                     slot[1] += 1
                     if i is not None:
                         slot[0] = i if slot[0] is None else best(slot[0], i)
-            if len(mem) >= entries:
-                yield run()
-                mem.clear()
         if mem:
             yield run()
 
     return rows.select("digest", "id").mapInArrow(fill, "run string, digest binary, keep_id long, n long")
 
 
-def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
-    """Merge runs into one level: (digest, keep_id, n), sorted by digest within its files."""
-    best = F.max if keep == "largest" else F.min
-    return runs.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+def _hashes(digest: Column) -> tuple[Column, Column]:
+    """Two hashes of 40 bits, so that their sums stay within a long."""
+    return tuple(F.xxhash64(digest, F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1)) for k in range(2))
+
+
+def _power(n: int, most: int) -> int:
+    """Bits of a filter for n digests: a power of two."""
+    return min(most, 1 << max(6, (BITS_PER_DIGEST * n - 1).bit_length()))
 
 
 class DigestFilter:
-    """A Bloom filter of fixed size; with more digests it lets more through, and never loses one."""
+    """Bloom filters of digests, one for each run; a filter never loses a digest. words: those of all filters in a row; starts, bits: by run."""
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
+    def __init__(self, words: np.ndarray, starts: np.ndarray, bits: np.ndarray):
+        self.words, self.starts, self.bits = words, starts, bits
 
     @staticmethod
-    def positions(digest: Column, bits: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]
+    def positions(h1: np.ndarray, h2: np.ndarray, bits):
+        for k in range(FILTER_HASHES):
+            yield (h1 + k * h2) & (bits - 1)
+
+    @classmethod
+    def made(cls, h1: np.ndarray, h2: np.ndarray, bits: int) -> bytes:
+        """The filter of one run, from the two hashes of its digests."""
+        on = np.zeros(bits, bool)
+        for at in cls.positions(h1, h2, bits):
+            on[at] = True
+        return np.packbits(on, bitorder="little").tobytes()
 
     @classmethod
-    def build(cls, digests: DataFrame, bits: int = FILTER_BITS) -> DigestFilter:
-        """Bits are or-ed together by word before anything reaches the driver: at most bits / 8 bytes of words."""
-        at = digests.select(F.explode(F.array(*cls.positions(F.col("digest"), bits))).alias("p"))
+    def joined(cls, filters: dict[int, bytes], runs: int) -> DigestFilter:
+        """Filters by run; runs without one hold nothing."""
+        sizes = np.array([len(filters.get(r, b"\0" * 8)) for r in range(runs)], np.int64)
+        words = np.frombuffer(b"".join(filters.get(r, b"\0" * 8) for r in range(runs)), np.uint8)
+        return cls(words, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes * 8)
+
+    @classmethod
+    def build(cls, digests: DataFrame, bits: int | None = None) -> DigestFilter:
+        """One filter over a written table of one column, digest, by or-ing words in Spark: at most bits / 8 bytes reach the driver."""
+        bits = bits or _power(digests.count(), MAX_BITS)
+        h1, h2 = _hashes(F.col("digest"))
+        at = F.explode(F.array(*[F.col("h1") + F.lit(k) * F.col("h2") for k in range(FILTER_HASHES)]))
+        at = digests.select(h1.alias("h1"), h2.alias("h2")).select(at.alias("p")).select(F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
         words = at.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("b"))
         got = words.toPandas()
-        out = np.zeros(bits // 32 + 1, np.uint32)
-        out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
-        return cls(out, bits)
+        out = np.zeros(bits // 32, "<u4")
+        out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype("<u4")
+        return cls.joined({0: out.tobytes()}, 1)
 
     def might_hold(self, docs: DataFrame, digest: str = "digest") -> DataFrame:
         """The rows of docs whose digest may be in the filter."""
         return docs.where(self.test(docs.sparkSession, digest))
 
-    def flag(self, docs: DataFrame, name: str, digest: str = "digest") -> DataFrame:
-        """docs with a boolean column: whether the digest may be in the filter."""
-        return docs.withColumn(name, self.test(docs.sparkSession, digest))
-
-    def test(self, spark, digest: str) -> Column:
-        sent = spark.sparkContext.broadcast(self.words)
+    def test(self, spark, digest: Column | str) -> Column:
+        """Whether the digest may be in the filter of its run (see run_of)."""
+        sent = spark.sparkContext.broadcast((self.words, self.starts, self.bits))
+        digest = F.col(digest) if isinstance(digest, str) else digest
 
         @F.pandas_udf("boolean")
-        def test(*at):
+        def test(run, h1, h2):
             import pandas as pd
 
-            ok = np.ones(len(at[0]), bool)
-            for p in at:
-                p = p.to_numpy(np.int64)
-                ok &= (sent.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+            words, starts, bits = sent.value
+            run, ok = run.to_numpy(np.int64), np.ones(len(run), bool)
+            for p in DigestFilter.positions(h1.to_numpy(np.int64), h2.to_numpy(np.int64), bits[run]):
+                ok &= (words[starts[run] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
             return pd.Series(ok)
 
-        return test(*self.positions(F.col(digest), self.bits))
+        return test(run_of(digest, len(self.starts)), *_hashes(digest))
+
 
+def run_of(digest: Column, runs: int) -> Column:
+    """The merged run that holds a digest."""
+    return F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(runs)).cast("int")
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest_of: Callable[[Column], Column] = sha256_of, filter_bits: int = FILTER_BITS) -> DataFrame:
+
+def compact(runs: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTRIES, max_bits: int = MAX_BITS) -> tuple[DataFrame, DigestFilter]:
+    """A written table of runs merged into one level: (digest, keep_id, n), and the filters of its repeated digests.
+
+    The level is itself a list of runs, each with the digests of one value of run_of. Sorted rows of the same digest follow each other, whichever
+    run they come from, and are folded as they pass; the task that ends a merged run makes its filter.
+    """
+    best = max if keep == "largest" else min
+    count = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // entries))
+    most = 1 << ((max_bits // count).bit_length() - 1)
+    names = ["run", "digest", "keep_id", "n", "filter"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
+    def merge(batches):
+        claim("exact")
+        out: list[tuple] = []
+        repeated: list[tuple[int, int]] = []
+        at = None  # run, digest, smallest or largest id, count, hashes
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.clear()
+            return made
+
+        def close():
+            out.append((at[0], at[1], at[2], at[3], None))
+            if at[3] > 1:
+                repeated.append((at[4], at[5]))
+
+        def close_run():
+            if repeated:
+                h = np.array(repeated, np.int64)
+                out.append((at[0], None, None, None, DigestFilter.made(h[:, 0], h[:, 1], _power(len(h), max(64, most)))))
+                repeated.clear()
+
+        for b in batches:
+            for run, digest, i, n, h1, h2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at and at[1] == digest and at[0] == run:
+                    at[2] = i if at[2] is None else at[2] if i is None else best(at[2], i)
+                    at[3] += n
+                    continue
+                if at:
+                    close()
+                    if at[0] != run:
+                        close_run()
+                at = [run, digest, i, n, h1, h2]
+            if out:
+                yield batch()
+        if at:
+            close()
+            close_run()
+            yield batch()
+
+    h1, h2 = _hashes(F.col("digest"))
+    rows = runs.select(run_of(F.col("digest"), count).alias("run"), "digest", "keep_id", "n").repartition(count, "run").sortWithinPartitions("run", "digest")
+    level = written(rows.select("run", "digest", "keep_id", "n", h1.alias("h1"), h2.alias("h2")).mapInArrow(merge, "run int, digest binary, keep_id long, n long, filter binary"), "level")
+    filters = {r["run"]: bytes(r["filter"]) for r in level.where("filter is not null").select("run", "filter").collect()}
+    return level.where("filter is null").select("digest", "keep_id", "n"), DigestFilter.joined(filters, count)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest_of: Callable[[Column], Column] = sha256_of, entries: int = MEMTABLE_ENTRIES, max_bits: int = MAX_BITS) -> DataFrame:
     """id_col, keep_id, group_size, kept, digest for each row of docs.
 
-    Memtables flush runs, compaction merges them, and the level's repeated digests make a filter. Rows that pass it have
+    Memtables flush sorted runs, compaction merges them, and each merged run has a filter of its repeated digests. Rows that pass it have
     their bytes verified: within a digest the smallest and the largest text must be the same, a grouped minimum and maximum
     that each task folds before the shuffle, so that a hot group of copies sends one row a task. Digests that fail (texts that
     collide) are grouped by text instead.
@@ -121,10 +207,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("digest", digest_of(F.col("text")))
-    level = written(compact(written(flush(rows, keep), "runs"), keep), "level")
-    repeated = level.where("n > 1")
-    hits = DigestFilter.build(repeated.select("digest"), filter_bits).might_hold(rows)
-    verified = hits.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
+    level, filters = compact(written(flush(rows, keep, entries), "runs"), keep, entries, max_bits)
+    verified = filters.might_hold(rows).groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     collided = written(verified.where("not same").select("digest"), "collided")
     out = rows.select("id", "digest").join(level, "digest").select("id", "keep_id", F.col("n").alias("group_size"), "digest")
     if collided.limit(1).count():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,15 +11,17 @@ from pyspark.sql import functions as F
 from .common import claim, components, table, text_of, worker_cache, written
 from .exact_dedup import DigestFilter
 
-#: Groups that tokens are hashed into for the count vectors; fan-out of the R-tree.
-COORDINATES = 32
-FAN_OUT = 32
-#: A group of candidates with more shingles than this is compared in pairs of chunks, each about so large.
-CHUNK_SHINGLES = 3_000_000
+#: Shingles for each coordinate of a count vector, and its fewest and most coordinates; fan-out of the R-tree.
+PER_COORDINATE, COORDINATES = 8, (16, 1 << 16)
+FAN_OUT = 16
+#: A group of candidates with more shingles than this is dealt into chunks of about so many.
+CHUNK_SHINGLES = 1_500_000
 #: A key with more classes than this is tied without the bound; a task folds what it has of a key beyond the second number.
-BUCKET, LOCAL_BUCKET = 4_096, 256
-#: Rows of a batch whose sets are held at once.
-ROWS_HELD = 128
+BUCKET, LOCAL_BUCKET = 512, 128
+#: Counters of shingles; how many of the largest a task reports, and how many of all are told to the tasks.
+COUNTERS, TASK_HOT, HOT = 1 << 20, 4_096, 16_384
+#: Rows of a batch whose sets are held at once; keys held before they are folded.
+ROWS_HELD, KEYS_HELD = 128, 300_000
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -61,157 +61,141 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def set_id(h: np.ndarray) -> int:
-    """A 64-bit name of the set; equal sets have equal names."""
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+def set_name(h: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of the set as two longs; equal sets have equal names."""
+    d = xxhash.xxh3_128_intdigest(h.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
 
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(24)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-class Partition:
-    """Sizes cut into intervals, and how many blocks of shingles two linked sets of an interval can differ in.
 
-    Linked sets x, y (Jaccard at least num/den) share at least ceil(num (|x|+|y|) / (num+den)) shingles, so their difference is small.
-    Sets of interval k meet sets of intervals k and k+1. Each of the shingles is in one of B blocks, and a difference of d shingles
-    touches at most d blocks: with B = d + 1 + slack, the two agree wholly on more than slack blocks, of which at most slack
-    are empty. (Sets with more empty blocks than slack also give keys for the empty ones.)
+def prefix(h: np.ndarray, num: int, den: int, often: np.ndarray | None = None) -> np.ndarray:
+    """The shingles of a set under which it meets all that it may link with.
+
+    Sets that link share at least ceil(num n / den) shingles of each one's n. So, in any order of all shingles, their first
+    n - ceil(num n / den) + 1 have one in common. The order is by how often the shingle's counter was hit (often; counters
+    outside the most frequent ones count 0), then by hash: what many documents share comes last and is seldom a key.
     """
+    keep = len(h) - -(-num * len(h) // den) + 1
+    if often is not None:
+        rank = often[counter_of(h)]
+        if rank.any():
+            h = h[np.argsort(rank, kind="stable")]
+    return h[:keep]
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.lows, self.blocks, self.slack = [1], [], []
-
-    def shared(self, a: int, b: int) -> int:
-        return -(-self.num * (a + b) // (self.num + self.den))
-
-    def _grow(self) -> None:
-        high = max(self.lows[-1], self.lows[-1] * self.den // self.num)
-        other = high * self.den // self.num
-        differ = high + other - 2 * self.shared(high, other)
-        slack = 1 + differ // 24
-        self.blocks.append(differ + 1 + slack if differ else 0)  # no difference: equal sets, one class already
-        self.slack.append(slack)
-        self.lows.append(high + 1)
-
-    def interval(self, n: int) -> int:
-        while self.lows[-1] <= n:
-            self._grow()
-        return bisect_right(self.lows, n) - 1
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The keys under which this set meets every set that it may link with."""
-        k = self.interval(len(h))
-        out = [self._keys(h, role) for role in (k - 1, k) if role >= 0 and self.blocks[role]]
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-    def _keys(self, h: np.ndarray, role: int) -> np.ndarray:
-        b, slack = self.blocks[role], self.slack[role]
-        block = ((h >> np.uint64(40)) % np.uint64(b)).astype(np.int64)
-        count = np.bincount(block, minlength=b)
-        low = np.bincount(block, weights=(h & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=b).astype(np.uint64)
-        high = np.bincount(block, weights=(h >> np.uint64(32)).astype(np.float64), minlength=b).astype(np.uint64)
-        name = np.arange(b, dtype=np.uint64) + np.uint64(role << 32)
-        key = _mixed(_mixed(low + (high << np.uint64(32)) + count.astype(np.uint64)) ^ _mixed(name + np.uint64(1)) ^ (high >> np.uint64(20)))
-        full = count > 0
-        return key if b - int(full.sum()) > slack else key[full]
-
-
-def count_vectors(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
-    """Shingles of each set by group; coordinates is a power of two."""
-    return np.stack([np.bincount((h >> np.uint64(8)).astype(np.int64) & (coordinates - 1), minlength=coordinates) for h in sets]).astype(np.int32)
+
+def coordinates_of(n: int) -> int:
+    """How many coordinates the count vector of n shingles has: a power of two, so that about PER_COORDINATE shingles share one."""
+    low, high = COORDINATES
+    return min(high, max(low, 1 << (max(n - 1, 0) // PER_COORDINATE).bit_length()))
+
+
+def count_vector(h: np.ndarray) -> np.ndarray:
+    c = coordinates_of(len(h))
+    return np.bincount((h >> np.uint64(8)).astype(np.int64) & (c - 1), minlength=c).astype(np.int32)
 
 
 def packed_counts(v: np.ndarray) -> bytes:
-    """Two bytes a count while they do."""
-    return v.astype(np.uint16 if v.max(initial=0) < 1 << 16 else np.int32).tobytes()
+    """One byte a count while they fit, else two or four."""
+    most = int(v.max(initial=0))
+    return v.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
-def unpacked_counts(v: bytes, coordinates: int) -> np.ndarray:
-    return np.frombuffer(v, np.uint16 if len(v) == 2 * coordinates else np.int32).astype(np.int32)
+def unpacked_counts(v: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(v, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(v) // coordinates_of(n)]).astype(np.int32)
+
+
+def folded(v: np.ndarray, coordinates: int) -> np.ndarray:
+    """The count vector with fewer coordinates: those that agree in the low bits are summed."""
+    return v.reshape(-1, coordinates).sum(0)
 
 
 class CountVectorTree:
-    """An R-tree over count vectors in order of size: two levels of boxes of FAN_OUT, each with its largest counts and smallest size.
+    """An R-tree over count vectors: boxes of FAN_OUT neighbours, each with its largest counts and its range of sizes, level on level.
 
     Two sets share at most the sum over coordinates of the smaller count; a set and a box, at most the sum with the box's largest.
+    Boxes are packed by size, then by distance from the vector that lies farthest from the middle.
     """
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        self.vectors, self.sizes = vectors, sizes  # sorted by size
-        self.levels = []
-        top, low, high = vectors, sizes, sizes
-        for _ in range(2):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, num: int, den: int):
+        self.num, self.den = num, den
+        band = (np.log(sizes) / np.log(max(den / num, 1.01))).astype(np.int64)
+        far = vectors[np.abs(vectors - vectors.mean(0)).sum(1).argmax()]
+        self.order = np.lexsort((np.abs(vectors - far).sum(1), band))
+        self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order])]
+        while len(self.levels) < 2 or len(self.levels[-1][0]) > FAN_OUT:
+            top, low, high = self.levels[-1]
             cut = np.arange(0, len(top), FAN_OUT)
-            top, low, high = np.maximum.reduceat(top, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            self.levels.append((top, low, high))
-
-    def query(self, i: int, p: Partition, wanted: np.ndarray) -> np.ndarray:
-        """Positions after i, among wanted (a mask), that may link with i."""
-        v, n = self.vectors[i], int(self.sizes[i])
-        at = np.arange(len(self.levels[1][0]))
-        for level in (1, 0):
+            self.levels.append((np.maximum.reduceat(top, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+
+    def query(self, v: np.ndarray, n: int, wanted: np.ndarray) -> np.ndarray:
+        """Positions among wanted (a mask) that may link with a set of n shingles and the counts v."""
+        least = -(-n * self.num // self.den)
+        at = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[level]
-            at = at[(low[at] * p.num <= n * p.den) & (high[at] >= n)]
-            need = -(-p.num * (n + np.maximum(low[at], n)) // (p.num + p.den))
+            if level < len(self.levels) - 1:
+                at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+                at = at[at < len(top)]
+            if level == 0:
+                at = at[wanted[self.order[at]]]
+            at = at[(high[at] >= least) & (low[at] * self.num <= n * self.den)]
+            need = -(-self.num * (n + np.maximum(low[at], least)) // (self.num + self.den))
             at = at[np.minimum(top[at], v).sum(1) >= need]
-            at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            at = at[at < (len(self.levels[0][0]) if level else len(self.sizes))]
-        at = at[(at > i) & wanted[at]]
-        need = -(-p.num * (n + self.sizes[at]) // (p.num + p.den))
-        return at[np.minimum(self.vectors[at], v).sum(1) >= need]
-
-
-def may_link(ids: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, p: Partition) -> list[tuple[int, int]]:
-    """Ties that span the components of the pairs that the bound does not rule out; sorted by size."""
-    if len(ids) == 2:
-        a, b = int(sizes[0]), int(sizes[1])
-        ok = b * p.num <= a * p.den and int(np.minimum(vectors[0], vectors[1]).sum()) >= p.shared(a, b)
-        return [(int(ids[0]), int(ids[1]))] if ok else []
-    tree, label, out = CountVectorTree(vectors, sizes), np.arange(len(ids)), []
-    for i in range(len(ids) - 1):
-        wanted = label != label[i]
-        if wanted[i + 1 :].any():
-            for j in tree.query(i, p, wanted):
-                if label[j] != label[i]:
-                    out.append((int(ids[i]), int(ids[j])))
-                    label[label == label[j]] = label[i]
-    return out
-
+        return self.order[at]
 
-def _pairs(a: np.ndarray, b: np.ndarray, tie: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), tie))], ["a", "b", "tie"])
 
+def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num: int, den: int, verify=None, label: np.ndarray | None = None, may=None) -> list[tuple[int, int]]:
+    """Pairs that span the components of those which the bound leaves and verify (positions x, y) accepts.
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], p: Partition, cross: np.ndarray | None = None, coordinates: int = COORDINATES) -> list[tuple[int, int]]:
-    """Links that span the components among sets: every pair is ruled out by the tree's bound, verified on its shingles, or joined already.
-
-    cross: sides (0 or 1) when only pairs across two chunks matter.
+    Vectors of several sizes are compared with the coordinates of the shorter one. label: components known already; may(x, positions):
+    a mask of the partners that matter.
     """
-    sizes = np.array([len(s) for s in sets])
-    order = np.lexsort((ids, sizes))
-    ids, sets, sizes = ids[order], [sets[k] for k in order], sizes[order]
-    side = None if cross is None else cross[order]
-    tree = CountVectorTree(count_vectors(sets, coordinates), sizes)
-    label = np.arange(len(sets))
+    label = np.arange(len(ids)) if label is None else np.unique(label, return_inverse=True)[1]
+    width = np.array([len(v) for v in vectors])
+    reach = 1 << (-(-den // num) - 1).bit_length()
     out = []
-    for i in range(len(sets) - 1):
-        wanted = label != label[i]
-        if side is not None:
-            wanted &= side != side[i]
-        if not wanted[i + 1 :].any():
+    for c in np.unique(width):
+        at = np.nonzero((width >= c) & (width <= c * reach))[0]
+        own = width[at] == c
+        if len(at) < 2:
             continue
-        for j in tree.query(i, p, wanted):
-            if label[j] == label[i]:
+        flat = np.stack([folded(vectors[k], c) for k in at])
+        tree = CountVectorTree(flat, sizes[at], num, den)
+        later = np.arange(len(at))
+        for i in np.nonzero(own)[0]:
+            x = at[i]
+            wanted = (label[at] != label[x]) & (~own | (later > i))
+            if may is not None:
+                wanted &= may(x, at)
+            if not wanted.any():
                 continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared * p.den >= p.num * (sizes[i] + sizes[j] - shared):
-                out.append((int(ids[i]), int(ids[j])))
-                label[label == label[j]] = label[i]
+            for j in tree.query(flat[i], int(sizes[x]), wanted):
+                y = at[j]
+                if label[x] != label[y] and (verify is None or verify(x, y)):
+                    out.append((int(ids[x]), int(ids[y])))
+                    label[label == label[y]] = label[x]
     return out
 
 
+def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, label: np.ndarray | None = None, may=None) -> list[tuple[int, int]]:
+    """Links that span the components among sets: every pair is ruled out by the tree's bound, verified on its shingles, or joined already."""
+    sizes = np.array([len(s) for s in sets])
+
+    def verify(x: int, y: int) -> bool:
+        shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return shared * den >= num * (sizes[x] + sizes[y] - shared)
+
+    return spanning(ids, sizes, [count_vector(s) for s in sets], num, den, verify, label, may)
+
+
 def _sets(rows: DataFrame, width: int, make, schema: str) -> DataFrame:
     """rows (id, text, more columns) through make(batch's other columns, iterator of sets)."""
 
     def run(batches):
+        claim("jaccard")
         for b in batches:
             for at in range(0, len(b), ROWS_HELD):
                 part = b.slice(at, ROWS_HELD)
@@ -220,203 +204,242 @@ def _sets(rows: DataFrame, width: int, make, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = CHUNK_SHINGLES, coordinates: int = COORDINATES) -> DataFrame:
+def _longs(columns: list, names: list[str]) -> pa.RecordBatch:
+    n = next(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names)
+
+
+_KEYS = ["a", "c1", "c2", "f1", "f2"]
+_KEYS_SQL = "a long, c1 long, c2 long, f1 long, f2 long"
+
+
+def _named(rows: DataFrame, width: int) -> DataFrame:
+    """id, n, c1, c2, vec of each row; rows of counter, hits (the others null) with the largest counters of each task."""
+    names, kinds = ["id", "n", "c1", "c2", "vec", "counter", "hits"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        claim("jaccard")
+        hits, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        for b in batches:
+            for at in range(0, len(b), ROWS_HELD):
+                part = b.slice(at, ROWS_HELD)
+                sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
+                called = [set_name(s) if len(s) else (None, None) for s in sets]
+                vec = [packed_counts(count_vector(s)) if len(s) else None for s in sets]
+                held += map(counter_of, sets)
+                size += sum(map(len, sets))
+                if size > 1_000_000:
+                    hits += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+                cols = [part.column("id"), [len(s) for s in sets], [x for x, _ in called], [y for _, y in called], vec, [None] * len(sets), [None] * len(sets)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        if held:
+            hits += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        most = np.argpartition(hits, -TASK_HOT)[-TASK_HOT:]
+        most = most[hits[most] > 1]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(most), k) for k in kinds[:5]), pa.array(most, pa.int64()), pa.array(hits[most], pa.int64())], names)
+
+    return rows.mapInArrow(run, "id long, n long, c1 long, c2 long, vec binary, counter long, hits long")
+
+
+def _fold(keys: list[np.ndarray], owner: list[np.ndarray], called: list[tuple[int, int]]):
+    """Keys and the classes that have them; of a key with many classes the first stays, and the others are tied to it."""
+    k, o = np.concatenate(keys), np.concatenate(owner)
+    order = np.lexsort((o, k))
+    k, o = k[order], o[order]
+    start = np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0]
+    size = np.diff(np.concatenate((start, [len(k)])))
+    first = np.repeat(o[start], size)
+    many = np.repeat(size > LOCAL_BUCKET, size)
+    tie, send = many & (o != first), ~many | (o == first)
+    c = np.array(called, np.int64).reshape(-1, 2)
+    yield _longs([k[send].view(np.int64), c[o[send], 0], c[o[send], 1], None, None], _KEYS)
+    if tie.any():
+        x, y = np.unique(np.stack([o[tie], first[tie]], 1), axis=0).T
+        yield _longs([None, c[x, 0], c[x, 1], c[y, 0], c[y, 1]], _KEYS)
+
+
+def _buckets(batches):
+    """Rows sorted by key and class: buckets of two classes or more, named by their members, so that keys with the same members are one."""
+    carry, hot = None, None
+
+    def settle(a, c, d):
+        one = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
+        a, c, d = a[one], c[one], d[one]
+        start = np.nonzero(np.concatenate(([True], a[1:] != a[:-1])))[0]
+        size = np.diff(np.concatenate((start, [len(a)])))
+        wide = np.repeat((size > BUCKET) | (a[start] == hot if hot is not None else False), size)
+        first = np.repeat(start, size)
+        name = np.repeat(np.add.reduceat(_mixed(c.view(np.uint64) ^ _mixed(d.view(np.uint64))), start).view(np.int64), size)
+        keep = (np.repeat(size, size) > 1) & ~wide
+        yield _longs([name[keep], c[keep], d[keep], None, None], _KEYS)
+        wide &= np.arange(len(a)) != first
+        yield _longs([None, c[wide], d[wide], c[first[wide]], d[first[wide]]], _KEYS)
+
+    for b in batches:
+        tie = np.asarray(b.column("a").is_null())
+        if tie.any():
+            yield b.filter(pa.array(tie)).select(_KEYS)
+        a, c, d = (np.asarray(b.column(x).filter(pa.array(~tie))).astype(np.int64) for x in _KEYS[:3])
+        if not len(a):
+            continue
+        if carry is not None:
+            a, c, d = (np.concatenate(x) for x in zip(carry, (a, c, d), strict=True))
+        at = int(np.searchsorted(a, a[-1], "left"))
+        if at:
+            yield from settle(a[:at], c[:at], d[:at])
+        a, c, d = a[at:], c[at:], d[at:]
+        if len(a) > 16 * BUCKET:  # more rows of one key than are held: its classes are tied to the first as they come
+            hot = a[0]
+            other = (c != c[0]) | (d != d[0])
+            n = int(other.sum())
+            yield _longs([None, c[other], d[other], np.full(n, c[0]), np.full(n, d[0])], _KEYS)
+            a, c, d = a[:1], c[:1], d[:1]
+        carry = (a, c, d)
+    if carry is not None:
+        yield from settle(*carry)
+
+
+def _grouped(batches, key: list[str], finish):
+    """Batches sorted by key: finish(key, rows as tuples) for one group at a time, which gives batches."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[: len(key)] != at:
+                if held:
+                    yield from finish(at, held)
+                at, held = row[: len(key)], []
+            held.append(row[len(key) :])
+    if held:
+        yield from finish(at, held)
+
+
+def _pairs(pairs: list[tuple[int, int]]):
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs; component_id is the smallest id reachable over links.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of shingles of width words; no link between
     different sets is lost. The steps:
 
-    1. Equal sets make one class, so copies are not paired.
-    2. Classes meet under keys: the exact content of a block of shingles on which linked sets must agree (see Partition). The classes of a
-       key are a bucket; in it an R-tree over count vectors rules out pairs by the summed smaller counts, and what is left is tied.
-       Classes beyond a bucket's bound are tied to its first without the tree, in each task before the shuffle already, so a hot key
-       costs a bounded number of rows a task.
-    3. Components of these ties are groups of candidates. In each, an R-tree over count vectors bounds the overlap by the
-       summed smaller counts, and what survives is verified on whole sets until every pair is joined or ruled out.
-       A group of more than chunk_shingles shingles is dealt into chunks and compared chunk pair by chunk pair in as many tasks.
+    1. Equal sets make one class, so copies are not paired. The pass that names them also counts shingles, and the largest counters are
+       told to all tasks (at most HOT of them).
+    2. Classes meet under the shingles of their prefix, rare ones first (see prefix). The classes of a key are a bucket; in it an R-tree
+       over count vectors rules out pairs by the summed smaller counts, and what is left is tied. Classes beyond a bucket's bound are tied
+       to its first without the tree, in each task before the shuffle already, so a hot key costs a bounded number of rows a task.
+    3. Components of these ties are groups of candidates. In each, an R-tree over count vectors bounds the overlap by the summed smaller
+       counts, and what survives is verified on whole sets until every pair is joined or ruled out. A group of more than
+       chunk_shingles shingles is dealt into chunks, each with the group's first set, and solved chunk by chunk; then only the sets that
+       were not joined to the group's largest component are compared with the other chunks.
     4. Links that span are turned into components, and components carried back to the rows.
 
-    The bound tells unrelated sets apart while a coordinate has few shingles: at a Jaccard of 0.8 it takes about one for every twenty of
-    the usual set, at 0.9 fewer.
-
-    Sets are of 64-bit shingle hashes. Null text, or text without words: an empty set, its own component. Fewer words than width: the
-    whole sequence is the one shingle. Rows that repeat an id share its component; a row with a null id keeps component null unless its
-    class has an id. Empty tables give an empty result; other columns are left out.
+    Sets are of 64-bit shingle hashes, classes named by 128 bits. Null text, or text without words: an empty set, its own component. Fewer words
+    than width: the whole sequence is the one shingle. Rows that repeat an id share its component; a row with a null id keeps component
+    null unless its class has an id, and joins no others. Empty tables give an empty result; other columns are left out.
     """
-    p = Partition(num, den)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-
-    def name(b, sets):
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([packed_counts(v) for v in count_vectors(sets, coordinates)], pa.binary())], ["id", "n", "cls", "vec"])
-
-    named = written(_sets(rows, width, name, "id long, n long, cls long, vec binary"), "sets")
-    classes = named.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("vec").alias("vec"))
+    sets = written(_named(rows, width), "sets")
+    named = sets.where("counter is null").select("id", "n", "c1", "c2", "vec")
+    hot = sets.where("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "counter").limit(HOT).toPandas()
+    told = spark.sparkContext.broadcast((hot["counter"].to_numpy(np.int64), hot["hits"].to_numpy(np.int64)))
+    classes = named.where("c1 is not null").groupBy("c1", "c2").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("vec").alias("vec"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     def meet(batches):
-        keys, owner, size = [], [], 0
-        seen: set[int] = set()
-
-        def fold():
-            k, o = np.concatenate(keys), np.concatenate(owner)
-            order = np.lexsort((o, k))
-            k, o = k[order], o[order]
-            head = np.concatenate(([True], k[1:] != k[:-1]))
-            first = o[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-            start = np.nonzero(head)[0]
-            many = np.repeat(np.diff(np.concatenate((start, [len(k)]))) > LOCAL_BUCKET, np.diff(np.concatenate((start, [len(k)]))))
-            tie, send = many & (o != first), ~many | head
-            pairs = np.unique(np.stack([o[tie], first[tie]], 1), axis=0) if tie.any() else np.zeros((0, 2), np.int64)
-            keys.clear()
-            owner.clear()
-            seen.clear()
-            yield _pairs(k[send].view(np.int64), o[send], False)
-            yield _pairs(pairs[:, 0], pairs[:, 1], True)
-
+        claim("jaccard")
+        often = np.zeros(COUNTERS, np.int64)
+        often[told.value[0]] = told.value[1]
+        keys, owner, called, size = [], [], {}, 0
         for b in batches:
             for t in b.column("text"):
                 s = shingle_set(t.as_py(), width)
-                if not len(s):
+                c = set_name(s)
+                if not len(s) or c in called:
                     continue
-                c = set_id(s)
-                if c in seen:
-                    continue
-                seen.add(c)
-                k = p.keys(s)
+                k = prefix(s, num, den, often)
                 keys.append(k)
-                owner.append(np.full(len(k), c, np.int64))
+                owner.append(np.full(len(k), len(called)))
+                called[c] = None
                 size += len(k)
-                if size > 1_000_000:
-                    yield from fold()
-                    size = 0
+                if size > KEYS_HELD:
+                    yield from _fold(keys, owner, list(called))
+                    keys, owner, called, size = [], [], {}, 0
         if keys:
-            yield from fold()
-
-    met = rows.select("text").mapInArrow(meet, "a long, b long, tie boolean")
-
-    def buckets(batches):
-        """Rows sorted by key and class: buckets of two classes or more, named by their members, so that keys with the same members are one."""
-        carry, hot = None, None
-
-        def settle(a, c):
-            one = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-            a, c = a[one], c[one]
-            start = np.nonzero(np.concatenate(([True], a[1:] != a[:-1])))[0]
-            size = np.diff(np.concatenate((start, [len(a)])))
-            wide = np.repeat((size > BUCKET) | (a[start] == hot if hot is not None else False), size)
-            first = np.repeat(c[start], size)
-            name = np.repeat(np.add.reduceat(_mixed(c.view(np.uint64)), start).view(np.int64), size)
-            keep = (np.repeat(size, size) > 1) & ~wide
-            yield _pairs(name[keep], c[keep], False)
-            yield _pairs(c[wide & (c != first)], first[wide & (c != first)], True)
-
-        for b in batches:
-            a, c, t = (np.asarray(b.column(i)) for i in range(3))
-            if t.any():
-                yield _pairs(a[t], c[t], True)
-            a, c = a[~t], c[~t]
-            if not len(a):
-                continue
-            if carry is not None:
-                a, c = np.concatenate((carry[0], a)), np.concatenate((carry[1], c))
-            at = int(np.searchsorted(a, a[-1], "left"))
-            if at:
-                yield from settle(a[:at], c[:at])
-            a, c = a[at:], c[at:]
-            if len(a) > 4 * BUCKET:  # more classes than are held: tied to the first as they come
-                hot = a[0]
-                yield _pairs(c[c != c[0]], np.full(int((c != c[0]).sum()), c[0]), True)
-                a, c = a[:1], c[:1]
-            carry = (a, c)
-        if carry is not None:
-            yield from settle(*carry)
+            yield from _fold(keys, owner, list(called))
 
-    met = written(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(buckets, "a long, b long, tie boolean").distinct(), "buckets")
-    members = met.where("not tie").select("a", F.col("b").alias("cls")).join(classes.select("cls", "n", "vec"), "cls").select("a", "cls", "n", "vec")
+    met = rows.select("text").mapInArrow(meet, _KEYS_SQL)
+    met = met.repartition(F.coalesce("a", F.xxhash64("c1", "c2"))).sortWithinPartitions("a", "c1", "c2")
+    met = written(met.mapInArrow(_buckets, _KEYS_SQL).distinct(), "buckets")
+    members = met.where("a is not null").join(classes, ["c1", "c2"]).select("a", "cls", "n", "vec")
 
     def bound(batches):
-        """Rows sorted by bucket and size; the classes of a bucket that the summed minima leave together, tied."""
         claim("jaccard")
-        at, held, out = None, [], []
 
-        def settle():
-            if len(held) > 1:
-                vectors = np.stack([unpacked_counts(v, coordinates) for _, _, v in held])
-                out.extend(may_link(np.array([c for c, _, _ in held]), vectors, np.array([n for _, n, _ in held]), p))
-            held.clear()
+        def finish(_, held):
+            sizes = np.array([n for _, n, _ in held])
+            yield from _pairs(spanning(np.array([c for c, _, _ in held]), sizes, [unpacked_counts(v, n) for _, n, v in held], num, den))
 
-        for b in batches:
-            for a, c, n, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if a != at:
-                    settle()
-                    at = a
-                held.append((c, n, v))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-                out.clear()
-        settle()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        return _grouped(batches, ["a"], finish)
 
-    ties = members.repartition("a").sortWithinPartitions("a", "n", "cls").mapInArrow(bound, "a long, b long").unionAll(met.where("tie").select("a", "b"))
+    ties = members.repartition("a").sortWithinPartitions("a", "cls").mapInArrow(bound, "a long, b long")
+    name = classes.select("c1", "c2", F.col("cls").alias("a"))
+    other = classes.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("cls").alias("b"))
+    ties = ties.unionByName(met.where("a is null").drop("a").join(name, ["c1", "c2"]).join(other, ["f1", "f2"]).select("a", "b"))
     groups = written(components(written(ties.distinct(), "ties")).withColumnsRenamed({"node": "cls", "component": "grp"}), "groups")
-    sized = groups.join(classes.drop("vec"), "cls")
-    whole = sized.groupBy("grp").agg(F.sum("n").alias("total"))
-    sized = written(sized.join(whole, "grp").select("cls", "grp", "first_id", F.ceil(F.col("total") / chunk_shingles).cast("int").alias("chunks")), "members")
-
-    # the sets again, of one document for each class that has candidates
-    may = DigestFilter.build(sized.select(F.col("first_id").alias("digest"))).test(docs.sparkSession, "id")
-    chosen = rows.where(may).join(sized, rows["id"] == sized["first_id"]).select("cls", "grp", "chunks", "text")
-
-    def deal(b, sets):
-        cls, grp, chunks = (np.asarray(b.column(c)) for c in ("cls", "grp", "chunks"))
-        out = []
-        for c, g, m, s in zip(cls, grp, chunks, sets, strict=True):
-            if not len(s) or set_id(s) != c:
-                continue  # another row of the same id
-            own = int(np.uint64(int(c) & 0xFFFFFFFFFFFFFFFF) % np.uint64(m))
-            for other in range(int(m)):
-                lo, hi = min(own, other), max(own, other)
-                out.append((int(g), lo, hi, own, int(c), s.tobytes()))
-        if out:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "lo", "hi", "own", "cls", "s"])
-
-    dealt = _sets(chosen, width, deal, "grp long, lo int, hi int, own int, cls long, s binary")
-
-    def solve(batches):
-        """Rows sorted by group and chunk pair; one pair is held at a time."""
-        claim("jaccard")
-        at, held = None, []
-
-        def done():
-            ids = np.array([c for c, _, _ in held], np.int64)
-            _, one = np.unique(ids, return_index=True)
-            sets = [np.frombuffer(held[k][1], np.uint64) for k in one]
-            sides = np.array([held[k][2] for k in one])
-            pairs = linked(ids[one], sets, p, None if at[1] == at[2] else sides, coordinates) if len(one) > 1 else []
-            if pairs:
-                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
-            return None
-
-        for b in batches:
-            for g, lo, hi, own, c, s in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if at != (g, lo, hi):
-                    if held and (r := done()):
-                        yield r
-                    at, held = (g, lo, hi), []
-                held.append((c, s, own))
-        if held and (r := done()):
-            yield r
-
-    pairs = dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(solve, "a long, b long")
+    sized = groups.join(classes.select("cls", "c1", "c2", "n", "first_id"), "cls")
+    whole = sized.groupBy("grp").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
+    sized = sized.join(whole, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    sized = written(sized.withColumns({"everywhere": F.col("cls") == F.col("grp"), "label": F.col("cls")}), "members")
+
+    def links(some: DataFrame, strays: bool) -> DataFrame:
+        """Links within the chunks of the members some; strays: only those between a set that is everywhere and one of another label."""
+        may = DigestFilter.build(some.select(F.col("first_id").alias("digest"))).test(spark, "id")
+        chosen = rows.where(may).join(some, rows["id"] == some["first_id"]).select("cls", "c1", "c2", "grp", "chunks", "own", "everywhere", "label", "text")
+
+        def deal(b, sets):
+            out = []
+            for c, c1, c2, g, m, own, everywhere, label, s in zip(*(b.column(k).to_pylist() for k in range(8)), sets, strict=True):
+                if len(s) and set_name(s) == (c1, c2):  # else another row of the same id
+                    out += [(g, chunk, c, own, everywhere, label, s.tobytes()) for chunk in (range(m) if everywhere else (own,))]
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "chunk", "cls", "own", "everywhere", "label", "s"])
+
+        def solve(batches):
+            claim("jaccard")
+
+            def finish(at, held):
+                held = list({h[0]: h for h in held}.values())
+                ids, own, everywhere, label = (np.array([h[k] for h in held]) for k in range(4))
+                sets = [np.frombuffer(h[4], np.uint64) for h in held]
+                may = (lambda x, y: (everywhere[x] & (own[y] == at[1])) | (everywhere[y] & (own[x] == at[1]))) if strays else None
+                yield from _pairs(linked(ids, sets, num, den, label, may))
+
+            return _grouped(batches, ["grp", "chunk"], finish)
+
+        dealt = _sets(chosen, width, deal, "grp long, chunk int, cls long, own int, everywhere boolean, label long, s binary")
+        return dealt.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(solve, "a long, b long")
+
+    pairs = written(links(sized, False), "links")
+    large = sized.where("chunks > 1")
+    if large.limit(1).count():
+        joined = components(pairs).withColumnsRenamed({"node": "cls", "component": "to"})
+        large = large.drop("label").join(joined, "cls", "left").withColumn("label", F.coalesce("to", "cls")).drop("to")
+        most = large.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        large = large.join(most.where("labels > 1"), "grp").withColumn("everywhere", F.col("label") != F.col("main"))
+        pairs = pairs.unionByName(links(written(large.select(sized.columns), "strays"), True))
     linked_classes = components(written(pairs, "links"))
-    linked_classes = linked_classes.withColumnsRenamed({"node": "cls", "component": "grp"}).join(classes.drop("vec"), "cls")
+    linked_classes = linked_classes.withColumnsRenamed({"node": "cls", "component": "grp"}).join(classes.select("cls", "first_id"), "cls")
     low = linked_classes.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     label = linked_classes.join(low, "grp").select("cls", "component_id")
-    all_ = classes.select("cls", "first_id").join(label, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
+    all_ = classes.select("cls", "c1", "c2", "first_id").join(label, "cls", "left").select("c1", "c2", F.coalesce("component_id", "first_id").alias("component_id"))
     all_ = written(all_, "labels")  # so that the join with a hot class's rows is one that Spark can split
-    out = named.where("cls is not null").join(all_, "cls").select("id", "n", "component_id")
-    out = out.unionByName(named.where("cls is null").select("id", "n", F.col("id").alias("component_id")))
+    out = named.where("c1 is not null").drop("vec").join(all_, ["c1", "c2"]).select("id", "n", "component_id")
+    out = out.unionByName(named.where("c1 is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 

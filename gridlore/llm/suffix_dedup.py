@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = rows.withColumns({"doc": F.coalesce("id", F.lit(last)), "h": F.hash("text")})
     spans = written(removed_spans(rows, length, gram, hot_contexts), "spans")
     may = DigestFilter.build(spans.select(F.col("doc").alias("digest")))
-    flagged = may.flag(rows, "may", "doc")
+    flagged = rows.withColumn("may", may.test(rows.sparkSession, "doc"))
 
     def strip(batches):
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]

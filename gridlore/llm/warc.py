@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, table, written
 from .exact_dedup import DigestFilter
 
 END = "\r\n\r\n"
@@ -130,8 +130,9 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
     repeated = rows.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    repeated = written(repeated, "repeated")
     may = DigestFilter.build(repeated.select("digest"))
-    rows = may.flag(rows, "may_repeat")
+    rows = rows.withColumn("may_repeat", may.test(rows.sparkSession, "digest"))
     alone = rows.where("not may_repeat").withColumn("first_id", F.lit(None).cast("long"))
     joined = rows.where("may_repeat").join(repeated, "digest", "left").select(alone.columns)
     rows = alone.unionByName(joined)

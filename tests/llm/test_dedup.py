@@ -9,15 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import components
+from gridlore.llm.common import components, written
 from gridlore.llm.decontaminate import contaminated, shingles_of, words
-from gridlore.llm.exact_dedup import DigestFilter, exact_groups
-from gridlore.llm.jaccard_join import CountVectorTree, Partition, count_vectors, jaccard_components, linked, set_id, shingle_set
+from gridlore.llm.exact_dedup import DigestFilter, compact, exact_groups, flush
+from gridlore.llm.jaccard_join import COUNTERS, CountVectorTree, count_vector, folded, jaccard_components, linked, packed_counts, prefix, set_name, shingle_set, unpacked_counts
 from gridlore.llm.suffix_dedup import anchors, remove_repeats, repeated_windows
 
 
 def groups(pairs, nodes):
-    up = {n: n for n in nodes}
+    up = {n: n for n in [*nodes, *(x for p in pairs for x in p)]}
 
     def find(x):
         while up[x] != x:
@@ -50,7 +50,7 @@ def test_exact(docs, no_docs, corpus, keep):
         by[t or ""].append(i)
     pick = max if keep == "largest" else min
     want = {i: (pick(ids), len(ids), i == pick(ids)) for ids in by.values() for i in ids}
-    for how in ({}, {"digest_of": lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 1)}, {"filter_bits": 64}):
+    for how in ({}, {"digest_of": lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 1)}, {"max_bits": 64}, {"entries": 7}):
         rows = exact_groups(docs, keep=keep, **how).collect()
         assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in rows} == want and len(rows) == len(corpus)
     assert exact_groups(no_docs).count() == 0
@@ -64,10 +64,24 @@ def test_exact_with_repeated_and_null_ids(spark):
 
 def test_filter_loses_nothing(spark):
     some = spark.range(500).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
-    f = DigestFilter.build(some, 1 << 14)
-    assert f.might_hold(some).count() == 500
     other = spark.range(500, 1500).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
-    assert f.might_hold(other).count() < 100
+    for f in (DigestFilter.build(some), DigestFilter.build(some, 1 << 14)):
+        assert f.might_hold(some).count() == 500 and f.might_hold(other).count() < 100
+    assert DigestFilter.build(some.where("false")).might_hold(other).count() == 0
+
+
+def test_compaction_merges_runs_and_filters_repeats(spark):
+    n = 400
+    rows = spark.range(3 * n).select(F.unhex(F.sha2((F.col("id") % n).cast("string"), 256)).alias("digest"), "id").where(f"id < 2 * {n} or id % 4 = 0").repartition(5)
+    runs = written(flush(rows, "smallest", 30), "test_runs")
+    assert runs.select("run").distinct().count() > 20
+    level, filters = compact(runs, "smallest", 30)
+    assert len(filters.starts) >= 40
+    got = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in level.collect()}
+    assert got == {hashlib.sha256(str(i).encode()).digest(): (i, 2 + (i % 4 == 0)) for i in range(n)}
+    once, more = spark.range(n, 2 * n).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id"), rows.select("digest", "id").where(f"id < {n}")
+    level, filters = compact(written(flush(once.unionByName(more.limit(50)), "smallest", 30), "test_runs"), "smallest", 30)
+    assert level.count() == n + 50 and filters.might_hold(once).count() == 0
 
 
 def sets_of(corpus, width):
@@ -78,7 +92,7 @@ def sets_of(corpus, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "num", "chunk"), [(3, 90, 3_000_000), (5, 80, 3_000_000), (2, 60, 3_000_000), (3, 80, 150)])
+@pytest.mark.parametrize(("width", "num", "chunk"), [(3, 90, 3_000_000), (5, 80, 3_000_000), (2, 60, 3_000_000), (3, 80, 150), (3, 80, 40)])
 def test_jaccard(docs, corpus, width, num, chunk):
     sets = sets_of(corpus, width)
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) > 0]
@@ -108,28 +122,51 @@ def test_linked_sets_meet_under_a_key(both, left, right, threshold, seed):
     h = np.unique(rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, both + left + right, dtype=np.uint64))
     rng.shuffle(h)
     x, y = np.sort(h[: both + left]), np.sort(np.concatenate((h[:both], h[both + left :])))
-    p = Partition(*threshold)
-    if (left or right) and 100 * both >= threshold[0] * len(h):
-        assert set(p.keys(x)) & set(p.keys(y))
-    ids = np.array([1, 2])
-    assert bool(linked(ids, [x, y], p)) == (100 * both >= threshold[0] * len(h))
+    often = rng.integers(0, 3, COUNTERS)
+    if 100 * both >= threshold[0] * len(h):
+        for order in (None, often):
+            assert set(prefix(x, *threshold, order)) & set(prefix(y, *threshold, order))
+    assert bool(linked(np.array([1, 2]), [x, y], *threshold)) == (100 * both >= threshold[0] * len(h))
 
 
 def test_tree_bound_keeps_every_link():
     rng = np.random.default_rng(5)
-    sets = sorted((np.unique(rng.integers(0, 3000, rng.integers(200, 1500)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(150)), key=len)
-    p = Partition(30, 100)
-    tree = CountVectorTree(count_vectors(sets), np.array([len(s) for s in sets]))
-    for i in range(149):
-        near = set(tree.query(i, p, np.ones(150, bool)).tolist())
-        for j in range(i + 1, 150):
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(200, 1500)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(150)]
+    flat, sizes = np.stack([folded(count_vector(s), 16) for s in sets]), np.array([len(s) for s in sets])
+    tree = CountVectorTree(flat, sizes, 30, 100)
+    for i in range(150):
+        wanted = np.arange(150) % 7 > 0
+        near = set(tree.query(flat[i], len(sets[i]), wanted).tolist())
+        for j in range(150):
             shared = len(np.intersect1d(sets[i], sets[j]))
-            assert j in near or 100 * shared < 30 * (len(sets[i]) + len(sets[j]) - shared)
+            assert j in near or not wanted[j] or 100 * shared < 30 * (len(sets[i]) + len(sets[j]) - shared)
+
+
+@pytest.mark.parametrize("threshold", [(30, 100), (60, 100), (80, 100)])
+def test_links_among_sets_of_many_sizes(threshold):
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in np.geomspace(1, 3000, 40)]
+    sets = base + [np.sort(rng.choice(b, max(1, int(len(b) * rng.uniform(0.3, 1))), replace=False)) for b in base * 2]
+    ids = np.arange(len(sets)) * 3
+    want = []
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= threshold[0] * (len(sets[a]) + len(sets[b]) - shared):
+                want.append((int(ids[a]), int(ids[b])))
+    assert groups(linked(ids, sets, *threshold), ids.tolist()) == groups(want, ids.tolist()) and want
+
+
+@pytest.mark.parametrize("most", [3, 300, 70_000])
+def test_counts_come_back(most):
+    s = (np.arange(most, dtype=np.uint64) << np.uint64(40)) | np.uint64(1)
+    v = count_vector(s)
+    assert (unpacked_counts(packed_counts(v), len(s)) == v).all() and v.max() == most
 
 
 def test_set_names():
     a, b = shingle_set("A b c d", 3), shingle_set("a B  c\td", 3)
-    assert set_id(a) == set_id(b) and len(a) == 2 and set_id(shingle_set("a b", 3)) != set_id(shingle_set("a b c", 3)) and len(shingle_set(" \n", 3)) == 0
+    assert set_name(a) == set_name(b) and len(a) == 2 and set_name(shingle_set("a b", 3)) != set_name(shingle_set("a b c", 3)) and len(shingle_set(" \n", 3)) == 0
 
 
 def brute_removed(rows, length):
