@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import claim, table, text_of
@@ -26,7 +26,9 @@ class KernelParams:
     landmarks: int = 192
     ridge: float = 1e-2
     sharpness: float = 8.0
-    rows_per_product: int = 256
+    rows_per_product: int = 128
+    #: One-versus-rest targets are 1 and 0. Texts of other scripts and strings of random letters score up to about 0.05, the shortest clean texts 0.18 and more.
+    reject_below: float = 0.06
 
 
 def _letters() -> np.ndarray:
@@ -80,19 +82,21 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
     """Fit on at most per_language rows of each language and max_training in all; None if no row has a language and a letter.
 
-    The rows are those with the smallest hash of their id, so a run can be repeated; the window keeps a bounded number of rows
-    a task before its shuffle. Only packed presence bits come to the driver: max_training times buckets / 8 bytes.
+    The rows are those with the smallest hash of their id, then in order of language and presence bits, so a run can be repeated; the window
+    keeps a bounded number of rows a task before its shuffle. Only packed presence bits come to the driver: max_training times buckets / 8
+    bytes. The table of shares is broadcast: at most max_training languages, the most frequent ones, as no more can be learned.
     """
     p = params
-    given = labelled.where(F.col(lang_col).isNotNull())
+    given = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), text_of(text_col).alias("text")).where("lang is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ids = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    ids = given.select("id", "lang", "h")
     # a share of each language that holds about sixteen times as many rows as are taken, so that the window meets no more, however large the table
-    share = ids.groupBy("lang").agg((F.lit(16.0 * p.per_language) / F.count(F.lit(1))).alias("share"))
-    ids = ids.join(share, "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40)).drop("share")
+    share = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(p.max_training)
+    share = share.select("lang", (F.lit(16.0 * p.per_language) / F.col("rows")).alias("share"))
+    ids = ids.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40)).drop("share")
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= p.per_language).orderBy("rank", "lang").limit(p.max_training)
     chosen = ids.groupBy("id", "lang").agg(F.min("rank").alias("rank"))
-    rows = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
+    rows = given.join(F.broadcast(chosen), ["id", "lang"])
 
     def bits(batches):
         claim("language")
@@ -101,7 +105,7 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
             packed = [None if x is None else np.packbits(x).tobytes() for x in on]
             yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("lang"), pa.array(packed, pa.binary())], ["rank", "lang", "bits"])
 
-    got = rows.select("rank", "lang", "text").mapInArrow(bits, "rank int, lang string, bits binary").where("bits is not null").limit(p.max_training).collect()
+    got = rows.select("rank", "lang", "text").mapInArrow(bits, "rank int, lang string, bits binary").where("bits is not null").orderBy("rank", "lang", "bits").limit(p.max_training).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["rank"], r["lang"], bytes(r["bits"])))
@@ -120,37 +124,48 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
     return KernelModel(languages, marks, weights.astype(np.float32), p)
 
 
-def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
-    """id_col, the columns of extra, text_col (with keep_text; null as empty), lang_pred and score (softmax of the one-versus-rest scores) for each row; one map pass.
+def found_in(text: Column, model: KernelModel | None, spark: SparkSession) -> Column:
+    """lang_pred, score (softmax of the one-versus-rest scores) and best (the largest of those scores) of a text, as a struct.
 
-    Null text and text without a letter: und, score 0. So is everything when the model is None. Whole texts count, in
-    products of rows_per_product texts. An empty table gives an empty result; other columns are left out.
+    Null text and text without a letter: und, score 0, best null. So is everything when the model is None. Whole texts count, in products of
+    rows_per_product texts; only the text goes to Python, and only the struct comes back.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    extra = extra or {}
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.arrow_udf("lang_pred string, score double, best double")
+    def run(texts: pa.Array) -> pa.Array:
         claim("language")
         m = sent.value
-        for b in batches:
-            texts = b.column("text")
-            names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for at in range(0, len(texts) if m else 0, m.params.rows_per_product if m else 1):
-                on = [(i, presence(texts[i].as_py(), m.params)) for i in range(at, min(len(texts), at + m.params.rows_per_product))]
-                on = [(i, x) for i, x in on if x is not None]
-                if on:
-                    s = m.scores(np.stack([x for _, x in on])).astype(np.float64) * m.params.sharpness
-                    e = np.exp(s - s.max(1, keepdims=True))
-                    best = s.argmax(1)
-                    for (i, _), k, q in zip(on, best, (e / e.sum(1, keepdims=True))[np.arange(len(on)), best], strict=True):
-                        names[i], score[i] = m.languages[k], q
-            keep = [c for c in b.schema.names if c != "text" or keep_text]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), *(c.alias(f"x_{n}") for n, c in extra.items()), text_of(text_col).alias("text"))
-    kept = [f for f in rows.schema.fields if f.name != "text" or keep_text]
-    out = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), *(F.col(f"x_{n}").alias(n) for n in extra), *([F.col("text").alias(text_col)] if keep_text else []), "lang_pred", "score")
+        names, score, top = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+        step = m.params.rows_per_product if m else 1
+        for at in range(0, len(texts) if m else 0, step):
+            on = [(at + k, presence(t.as_py() or "", m.params)) for k, t in enumerate(texts.slice(at, step))]
+            on = [(i, x) for i, x in on if x is not None]
+            if on:
+                raw = m.scores(np.stack([x for _, x in on])).astype(np.float64)
+                s = raw * m.params.sharpness
+                e = np.exp(s - s.max(1, keepdims=True))
+                best = s.argmax(1)
+                for (i, _), k, q, r in zip(on, best, (e / e.sum(1, keepdims=True))[np.arange(len(on)), best], raw.max(1), strict=True):
+                    names[i], score[i], top[i] = m.languages[k], q, r
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(top, pa.float64())], ["lang_pred", "score", "best"])
+
+    return run(text)
+
+
+def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """id_col, the columns of extra, lang_pred, score and best (see found_in) for each row; one map pass.
+
+    Null ids and repeated rows: one result each. An empty table gives an empty result; other columns are left out, so their names can't clash.
+    """
+    found = docs.select(F.col(id_col), *(c.alias(n) for n, c in (extra or {}).items()), found_in(text_of(text_col), model, docs.sparkSession).alias("_found"))
+    return found.select(*[c for c in found.columns if c != "_found"], "_found.*")
+
+
+def confident(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a best score of at least the model's reject_below."""
+    rows = docs.select(F.struct("*").alias("row"), found_in(text_of(text_col), model, docs.sparkSession).alias("found"))
+    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.best") >= model.params.reject_below)).select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,10 +17,12 @@ from .pretokens import encoder, frequent_table
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing of lengths needs fewer bins: the best of the total, a threshold family and a rounding family of dual feasible functions."""
-    if not len(lengths):
-        return 0
-    hist = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    """No packing of lengths takes fewer bins (see bound_of)."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of(hist: np.ndarray, capacity: int) -> int:
+    """The fewest bins for hist[n] items of length n: the best of the total, a threshold family and a rounding family of dual feasible functions."""
     size = np.arange(capacity + 1)
     best = -(-int(hist @ size) // capacity)
     # items above capacity - t count whole, items below t count nothing
@@ -60,57 +62,80 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _placer(capacity: int, turn: int, last: bool):
-    """Packs one group; marks as open the bins that go into the next exchange."""
+def _placer(capacity: int, turn: int, last: bool, length: str):
+    """Packs one group, with its number of bins and lower bound; marks as open the bins that go into the next exchange."""
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy(np.int64)
+        lengths = pdf[length].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         group = int(pdf["pack_group"].iloc[0])
         used = np.bincount(bins, weights=lengths).astype(np.int64)
+        gap = len(used) - lower_bound(lengths, capacity)
+        loose = np.argsort(used, kind="stable")[: 0 if last else 1 + 3 * gap]
+        open_ = np.isin(bins, loose[used[loose] < capacity])
         pdf["sequence_id"] = (turn << 54) + (group << 24) + bins
         pdf["offset"] = offsets
-        pdf["open"] = False
-        if not last:
-            gap = len(used) - lower_bound(lengths, capacity)
-            loose = np.argsort(used, kind="stable")[: 1 + 3 * gap]
-            pdf["open"] = np.isin(bins, loose[used[loose] < capacity])
-        return pdf.drop(columns="pack_group")
+        pdf["open"] = open_
+        pdf["pack_group"] = (turn << 30) + group
+        pdf["group_bins"] = len(np.unique(bins[~open_]))
+        pdf["group_bound"] = lower_bound(lengths[~open_], capacity)
+        return pdf
 
     return place
 
 
+_PLACE = ["sequence_id", "offset", "pack_group", "group_bins", "group_bound"]
+
+
 def pack(pieces: DataFrame, capacity: int = 1024, items_per_group: int = 40_000, rounds: int = 6) -> DataFrame:
-    """pieces (with a column length from 1 to capacity, and any others) plus sequence_id and offset.
+    """pieces (with a column length from 1 to capacity, and any others) plus sequence_id, offset, pack_group, group_bins and group_bound.
 
     Pieces as long as a sequence make one each. The rest is dealt at random into groups of about items_per_group, each packed
     best-fit-decreasing in one task and compared with its lower bound. Every group gives up its emptiest bin, and a group above its
     bound also as many bins again as the gap, twice over; what these held is exchanged: dealt anew into fewer groups and packed
-    again, until one group holds it all or a round leaves nothing open. Every piece is placed exactly once.
+    again, until one group holds it all, which has none to exchange with, or a round leaves nothing open. After rounds exchanges groups keep the gap
+    they have. Every piece is placed exactly once.
+
+    group_bins and group_bound certify what a group keeps: its pieces take group_bins sequences, and no packing of them takes fewer than group_bound
+    (pieces that fill a sequence: group -1, each with 1 and 1). certificate() compares the whole.
 
-    Ties: equal lengths are interchangeable. An empty table gives an empty result.
+    Ties: equal lengths are interchangeable. Repeated rows are placed one by one. Columns of pieces that have a name of these five are replaced;
+    other names can't clash. An empty table gives an empty result.
     """
-    cols = [f for f in pieces.schema.fields]
-    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    done = [full]
-    pool = pieces.where(F.col("length") < capacity)
+    given = [c for c in pieces.columns if c not in _PLACE]
+    inner = [f"c{k}" for k in range(len(given))]
+    length = inner[given.index("length")]
+    pieces = pieces.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(given, inner, strict=True)])
+    one = F.lit(1).cast("long")
+    done = [pieces.where(F.col(length) >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).cast("long").alias("pack_group"), one.alias("group_bins"), one.alias("group_bound"))]
+    pool = pieces.where(F.col(length) < capacity)
     n = pool.count()
-    for turn in range(rounds):
-        if not n:
-            break
+    turn = 0
+    while n:
         groups = max(1, math.ceil(n / items_per_group))
-        last = groups == 1 or turn == rounds - 1
+        last = groups == 1 or turn == rounds
 
         dealt = pool.withColumn("pack_group", F.lit(0).cast("long") if groups == 1 else F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
-        schema = T.StructType([*cols, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
-        placed = written(dealt.groupBy("pack_group").applyInPandas(_placer(capacity, turn, last), schema), "packed")
-        done.append(placed.where("not open").drop("open"))
-        pool = placed.where("open").drop("open", "sequence_id", "offset")
+        long = [T.StructField(c, T.LongType()) for c in _PLACE if c != "pack_group"]
+        schema = T.StructType([*pieces.schema.fields, T.StructField("pack_group", T.LongType()), *long, T.StructField("open", T.BooleanType())])
+        placed = written(dealt.groupBy("pack_group").applyInPandas(_placer(capacity, turn, last, length), schema), "packed")
+        done.append(placed.where("not open").select(*inner, *_PLACE))
+        pool = placed.where("open").select(*inner)
         n = 0 if last else pool.count()
+        turn += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.select(*[F.col(i).alias(c) for c, i in zip(given, inner, strict=True)], *_PLACE)
+
+
+def certificate(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """How many sequences a packing takes, and a lower bound for any packing of the same pieces; at most capacity rows reach the driver."""
+    counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect()
+    hist = np.zeros(capacity + 1, np.int64)
+    for r in counts:
+        hist[r["length"]] = r["n"]
+    return sum(r["bins"] for r in counts), bound_of(hist, capacity) if counts else 0
 
 
 def _packed_ids(ids) -> bytes:
@@ -155,7 +180,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the ids themselves stay in the map pass that makes them."""
+    """doc_id, piece, start, length, ids_crc32, and the columns that pack adds: the ids themselves stay in the map pass that makes them.
+
+    Null ids and texts, repeated rows, long texts and empty tables: as in token_pieces and pack. Other columns of docs are left out.
+    """
     pieces = token_pieces(docs, tokenizer_path, eos, capacity)
     pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(pieces, capacity)

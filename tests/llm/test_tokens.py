@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridlore.llm.packing import best_fit_decreasing, lower_bound, pack, packed_documents, token_pieces
+from gridlore.llm.packing import best_fit_decreasing, certificate, lower_bound, pack, packed_documents, token_pieces
 from gridlore.llm.pretokens import PieceEncoder, frequent_table
 from gridlore.llm.token_counts import token_counts
 
@@ -102,13 +102,21 @@ def test_bound_sees_large_items():
 def test_exchange_places_every_piece_once(spark, per_group):
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 1500)
-    pieces = spark.createDataFrame([(i, int(n), "m") for i, n in enumerate(lengths)], "id long, length long, sequence string")
-    got = pack(pieces, 100, per_group).toPandas()
-    assert sorted(got["id"]) == list(range(1500)) and set(got.columns) == {"id", "length", "sequence", "sequence_id", "offset"}
+    names = ["open", "c0", "c3", "bins"]
+    pieces = spark.createDataFrame([(i, int(n), *names, "mine") for i, n in enumerate(lengths)], "id long, length long, open string, c0 string, c3 string, bins string, pack_group string")
+    packed = pack(pieces, 100, per_group)
+    got = packed.toPandas()
+    assert sorted(got["id"]) == list(range(1500)) and set(got.columns) == {"id", "length", *names, "sequence_id", "offset", "pack_group", "group_bins", "group_bound"}
+    assert all((got[c] == c).all() for c in names)
+    assert certificate(packed, 100) == (got["sequence_id"].nunique(), lower_bound(lengths, 100))
+    for group, g in got.groupby("pack_group"):
+        bins = 1 if group == -1 else g["sequence_id"].nunique()
+        assert (g["group_bins"] == bins).all() and (g["group_bound"] == (1 if group == -1 else lower_bound(g["length"].to_numpy(), 100))).all()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g["offset"]) == list(g["length"].cumsum() - g["length"]) and g["length"].sum() <= 100
     assert got["sequence_id"].nunique() <= lower_bound(lengths, 100) * (1.08 if per_group == 40 else 1.01) + 2
-    assert pack(pieces.where("false"), 100).count() == 0
+    none = pack(pieces.where("false"), 100)
+    assert none.count() == 0 and certificate(none, 100) == (0, 0)
 
 
 def test_packed_documents(spark, docs, corpus, tok):
