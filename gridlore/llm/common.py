@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,33 @@ def claim(owner: str) -> None:
     for other in [o for o in _CACHES if o != owner]:
         del _CACHES[other]
     gc.collect()
+    release()
+    _OWNER[:] = [owner]
+
+
+def release() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system: Spark keeps more idle workers than it has cores."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass
-    _OWNER[:] = [owner]
+
+
+def worker(owner: str):
+    """For functions over Arrow batches: the worker is owner's while it runs and gives free memory back when it ends."""
+
+    def wrap(f):
+        def run(batches):
+            claim(owner)
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+        return run
+
+    return wrap
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_of
+from .common import table, text_of, worker
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
@@ -154,8 +154,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         part = chosen if blocks == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast(ContainmentIndex([(r["i"], r["t"]) for r in part.collect()], containment, width))
 
+        @worker("decontaminate")
         def search(batches, sent=sent):
-            claim("decontaminate")
             index = sent.value
             for b in batches:
                 got = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for hit in index.find(t.as_py())]

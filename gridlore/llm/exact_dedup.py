@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_of, written
+from .common import table, text_of, worker, written
 
 #: Entries of a memtable (one per distinct digest) before it is flushed.
 MEMTABLE_ENTRIES = 200_000
@@ -31,8 +31,8 @@ def flush(rows: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTRIE
     """
     best = max if keep == "largest" else min
 
+    @worker("exact")
     def fill(batches):
-        claim("exact")
         mem: dict[bytes, list[int]] = {}
 
         def run():
@@ -146,8 +146,8 @@ def compact(runs: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTR
     names = ["run", "digest", "keep_id", "n", "filter"]
     kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
+    @worker("exact")
     def merge(batches):
-        claim("exact")
         out: list[tuple] = []
         repeated: list[tuple[int, int]] = []
         at = None  # run, digest, smallest or largest id, count, hashes

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, components, table, text_of, worker_cache, written
+from .common import components, table, text_of, worker, worker_cache, written
 from .exact_dedup import DigestFilter
 
 #: Shingles for each coordinate of a count vector, and its fewest and most coordinates; fan-out of the R-tree.
@@ -194,8 +194,8 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, label: n
 def _sets(rows: DataFrame, width: int, make, schema: str) -> DataFrame:
     """rows (id, text, more columns) through make(batch's other columns, iterator of sets)."""
 
+    @worker("jaccard")
     def run(batches):
-        claim("jaccard")
         for b in batches:
             for at in range(0, len(b), ROWS_HELD):
                 part = b.slice(at, ROWS_HELD)
@@ -217,8 +217,8 @@ def _named(rows: DataFrame, width: int) -> DataFrame:
     """id, n, c1, c2, vec of each row; rows of counter, hits (the others null) with the largest counters of each task."""
     names, kinds = ["id", "n", "c1", "c2", "vec", "counter", "hits"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
+    @worker("jaccard")
     def run(batches):
-        claim("jaccard")
         hits, held, size = np.zeros(COUNTERS, np.int64), [], 0
         for b in batches:
             for at in range(0, len(b), ROWS_HELD):
@@ -349,8 +349,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     classes = named.where("c1 is not null").groupBy("c1", "c2").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("vec").alias("vec"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
+    @worker("jaccard")
     def meet(batches):
-        claim("jaccard")
         often = np.zeros(COUNTERS, np.int64)
         often[told.value[0]] = told.value[1]
         keys, owner, called, size = [], [], {}, 0
@@ -376,8 +376,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     met = written(met.mapInArrow(_buckets, _KEYS_SQL).distinct(), "buckets")
     members = met.where("a is not null").join(classes, ["c1", "c2"]).select("a", "cls", "n", "vec")
 
+    @worker("jaccard")
     def bound(batches):
-        claim("jaccard")
 
         def finish(_, held):
             sizes = np.array([n for _, n, _ in held])
@@ -409,8 +409,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "chunk", "cls", "own", "everywhere", "label", "s"])
 
+        @worker("jaccard")
         def solve(batches):
-            claim("jaccard")
 
             def finish(at, held):
                 held = list({h[0]: h for h in held}.values())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_of
+from .common import claim, table, text_of, worker
 
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
@@ -98,8 +98,8 @@ def fit(labelled: DataFrame, params: KernelParams = KernelParams(), id_col: str
     chosen = ids.groupBy("id", "lang").agg(F.min("rank").alias("rank"))
     rows = given.join(F.broadcast(chosen), ["id", "lang"])
 
+    @worker("language")
     def bits(batches):
-        claim("language")
         for b in batches:
             on = [presence(t.as_py(), p) for t in b.column("text")]
             packed = [None if x is None else np.packbits(x).tobytes() for x in on]

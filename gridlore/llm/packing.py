@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, written
-from .pretokens import encoder, frequent_table
+from .common import table, text_of, worker, written
+from .pretokens import Spec, encoder
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -149,12 +149,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
     Documents of more than capacity ids are cut into pieces of capacity; what is over goes in the first, so only that may be
     shorter. Null text counts as empty: one piece that is eos alone. Rows that repeat an id give their pieces again.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_table(tokenizer_path))
+    spec = docs.sparkSession.sparkContext.broadcast(Spec.of(tokenizer_path))
     end = np.array([eos], "<u4").tobytes()
     names = ["id", "piece", "start", "length", "ids"]
 
+    @worker("pretokens")
     def cut(batches):
-        enc = encoder(tokenizer_path, frequent.value, "bytes", _packed_ids)
+        enc = encoder(spec.value, "bytes", _packed_ids)
         kinds = None
         for b in batches:
             kinds = kinds or [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -168,7 +169,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
                 for k in range(len(cuts) - 1):
                     out.append((i, k, cuts[k], cuts[k + 1] - cuts[k], ids[4 * cuts[k] : 4 * cuts[k + 1]]))
                 size += len(ids)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out, size = [], 0
             if out:

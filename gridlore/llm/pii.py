@@ -19,7 +19,7 @@ _SPACED = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}"
 #: The labels of a domain can be given back, as a full stop may follow; names have at most 127 labels, which bounds Java's recursion.
 PATTERNS = {
     "iban": rf"(?<![A-Za-z0-9])(?:{_SPACED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "iso_date": r"(?<![\d-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\d-])",
     "day_date": r"(?<![\d/])[0-3]\d/[01]\d/(?:19|20)\d\d(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -44,13 +44,13 @@ def _noise(key: str, tweak: str, i: Column, other: Column) -> Column:
 
 
 def _shift(part: Column, noise: Column, sign: int) -> Column:
-    """Each digit and ASCII letter moved within its class by its own share of the noise."""
+    """Each digit and letter of A-Z, a-z, À-Ö and à-ö moved within its class by its own share of the noise."""
 
     def move(c: Column, j: Column) -> Column:
         by = F.conv(F.substring(noise, F.pmod(j, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
         a = F.ascii(c)
         turn = lambda low, n: F.char(F.lit(low) + F.pmod(a - low + by, F.lit(n)))
-        return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).when(c.rlike("^[À-Ö]$"), turn(0xC0, 23)).when(c.rlike("^[à-ö]$"), turn(0xE0, 23)).otherwise(c)
 
     return F.array_join(F.transform(F.split(part, ""), move), "")
 
@@ -70,14 +70,15 @@ def permute_text(s: Column, key: str, tweak: str, inverse: bool = False) -> Colu
     return F.aggregate(order, start, step, lambda at: F.concat(at["l"], at["r"]))
 
 
-def permute_pair(left: Column, right: Column, a: int, b: int, key: str, tweak: str, inverse: bool = False) -> Column:
+def permute_pair(left: Column, right: Column, a: int | Column, b: int | Column, key: str, tweak: str, inverse: bool = False) -> Column:
     """A keyed permutation of the pairs (0 to a-1, 0 to b-1), as a struct l, r; each half is moved modulo its own size."""
     sign = -1 if inverse else 1
+    a, b = (n if isinstance(n, Column) else F.lit(n).cast("long") for n in (a, b))
 
     def step(at: Column, i: Column) -> Column:
         by = lambda other: F.conv(F.substring(_noise(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long") * sign
-        first = F.struct(F.pmod(at["l"] + by(at["r"]), F.lit(a).cast("long")).alias("l"), at["r"].alias("r"))
-        second = F.struct(at["l"].alias("l"), F.pmod(at["r"] + by(at["l"]), F.lit(b).cast("long")).alias("r"))
+        first = F.struct(F.pmod(at["l"] + by(at["r"]), a).alias("l"), at["r"].alias("r"))
+        second = F.struct(at["l"].alias("l"), F.pmod(at["r"] + by(at["l"]), b).alias("r"))
         return F.when(i % 2 == 0, first).otherwise(second)
 
     order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
@@ -101,9 +102,7 @@ def _compact(s: Column) -> Column:
 
 def _mod97(s: Column) -> Column:
     """The IBAN remainder of letters and digits, letters counting 10 to 35."""
-    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
     codes = F.transform(F.split(s, ""), lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
-    del value
     return F.aggregate(codes, F.lit(0), lambda t, v: F.when(v > 9, t * 100 + v).otherwise(t * 10 + v) % 97)
 
 
@@ -186,8 +185,13 @@ def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     card = _into(m, F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")))
     kept = F.greatest(n - 10, F.lit(0))
     phone = _into(m, F.concat(part(d, 1, kept), permute_text(part(d, kept + 1, n - kept), key, "phone", inverse)))
-    o = F.split(m, r"\.")
-    ip = F.transform(F.array(permute_pair(o[0].cast("long") * 256 + o[1].cast("long"), o[2].cast("long") * 256 + o[3].cast("long"), 1 << 16, 1 << 16, key, "ip", inverse)), lambda x: F.concat_ws(".", (x["l"] / 256).cast("int").cast("string"), (x["l"] % 256).cast("string"), (x["r"] / 256).cast("int").cast("string"), (x["r"] % 256).cast("string")))[0]
+    # each part of an address stays among those of as many digits: 0 to 9, 10 to 99, 100 to 255
+    o = F.transform(F.split(m, r"\."), lambda x: F.struct(x.cast("long").alias("v"), F.element_at(F.array(*[F.struct(F.lit(low).cast("long").alias("low"), F.lit(size).cast("long").alias("size")) for low, size in ((0, 10), (10, 90), (100, 156))]), F.length(x)).alias("c")))
+    at = lambda x, i: x[i]["v"] - x[i]["c"]["low"]
+    size = lambda x, i: x[i]["c"]["size"]
+    pair = lambda x: permute_pair(at(x, 0) * size(x, 1) + at(x, 1), at(x, 2) * size(x, 3) + at(x, 3), size(x, 0) * size(x, 1), size(x, 2) * size(x, 3), key, "ip", inverse)
+    back = lambda x, y: F.concat_ws(".", *[(n + x[i]["c"]["low"]).cast("string") for i, n in enumerate((F.floor(y["l"] / size(x, 1)), y["l"] % size(x, 1), F.floor(y["r"] / size(x, 3)), y["r"] % size(x, 3)))])
+    ip = F.when(kind == "ip", _let(o, lambda x: _let(pair(x), lambda y: back(x, y))))
     area = part(m, 1, 3).cast("long")
     ssn = F.transform(
         F.array(permute_pair((area - 1 - (area > 666).cast("long")) * 99 + part(m, 5, 2).cast("long") - 1, part(m, 8, 4).cast("long") - 1, 898 * 99, 9999, key, "ssn", inverse)),
@@ -196,8 +200,8 @@ def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     a, b = DATE_SPAN
     first = F.lit("1900-01-01").cast("date")
     number = F.datediff(_day(m), first)
-    at = F.pmod(number, F.lit(a * b))
-    moved = F.transform(F.array(permute_pair(F.floor(at / b), at % b, a, b, key, "date", inverse)), lambda x: F.date_add(first, (number - at + x["l"] * b + x["r"]).cast("int")))[0]
+    place = F.pmod(number, F.lit(a * b))
+    moved = F.transform(F.array(permute_pair(F.floor(place / b), place % b, a, b, key, "date", inverse)), lambda x: F.date_add(first, (number - place + x["l"] * b + x["r"]).cast("int")))[0]
     bank = permute_text(F.substring(_compact(m), F.lit(5), F.length(m)), key, "iban", inverse)
     iban = F.transform(F.array(bank), lambda x: F.concat(part(m, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(x, part(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))
     iban = _let(iban[0], lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(x, F.length(_compact(F.substring(m, F.lit(1), i))) + 1, F.lit(1)))), ""))

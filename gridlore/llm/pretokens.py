@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+
+import numpy as np
 
 from .common import worker_cache
 
-#: Code points from here on go to the library itself: what counts as a letter there depends on its Unicode tables.
-FAST_BELOW = 0x530
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 CACHE_KEY_CHARS = 128
 
 
@@ -23,26 +25,44 @@ def _visible() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(hidden)}
 
 
-def _ranges(major: str) -> str:
-    """The code points below FAST_BELOW whose category starts with major, as ranges of a character class."""
-    points = [c for c in range(FAST_BELOW) if unicodedata.category(chr(c))[0] == major]
+def _ranges(points: Iterable[int]) -> str:
+    """Code points in rising order as ranges of a character class."""
     runs: list[list[int]] = []
     for c in points:
         if runs and c == runs[-1][1] + 1:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+_CLASSES: list[tuple[re.Pattern, re.Pattern]] = []
 
 
-def splitter() -> re.Pattern:
-    """The byte-level pre-tokenizer's split rule for texts below FAST_BELOW."""
-    letters, numbers = _ranges("L"), _ranges("N")
-    # \s of this engine also has U+001C to U+001F; texts that hold one are not split here.
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+def classes() -> tuple[re.Pattern, re.Pattern]:
+    """The byte-level pre-tokenizer's split rule, and the odd characters for which it can't be told here.
+
+    Whether a character is a letter or a number depends on the Unicode version. Those that Unicode 3.2 has as such in the basic plane are so in
+    every later version; characters that are assigned and neither now never become one. The rest is odd: unassigned
+    ones, later letters and numbers, and U+001C to U+001F, which are spaces to this engine alone.
+    """
+    if not _CLASSES:
+        old = unicodedata.ucd_3_2_0.category
+        letters, numbers, odd = [], [], [*range(0x1C, 0x20)]
+        for c in range(sys.maxunicode + 1):
+            now = unicodedata.category(chr(c))
+            if now[0] in "LN" and c < 1 << 16 and old(chr(c))[0] == now[0]:
+                (letters if now[0] == "L" else numbers).append(c)
+            elif now[0] in "LN" or now == "Cn":
+                odd.append(c)
+        l, n = _ranges(letters), _ranges(numbers)
+        _CLASSES.append((re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{l}]+| ?[{n}]+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"), re.compile(f"[{_ranges(odd)}]")))
+    return _CLASSES[0]
 
 
-_ODD = re.compile("[^\\u0000-\\u001b\\u0020-\\u%04x]" % (FAST_BELOW - 1))
+#: A pre-token always ends between a character that is no space and a single space that such a character follows.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_ODD_ASCII = re.compile("[\x1c-\x1f]")
 
 
 def load(path: str):
@@ -55,50 +75,58 @@ def load(path: str):
     return tok
 
 
-def splits_alike(path: str) -> bool:
-    """True if the file's tokenizer splits by the plain byte-level rule, so that pre-tokens can be encoded one by one."""
-    with open(path, encoding="utf-8") as f:
-        parts = json.load(f)
-    pre = parts.get("pre_tokenizer") or {}
-    return pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space") and not parts.get("normalizer") and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout")
-
-
-def by_rank(path: str):
-    """The file's vocabulary as ranks for a faster encoder, if each merge makes the next id and single bytes come first; else None."""
-    try:
-        import tiktoken
-    except ImportError:
-        return None
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
-        return None
-    shown = {c: b for b, c in _visible().items()}
-    back = lambda piece: bytes(shown.get(ord(c), ord(c)) for c in piece)
-    ranks = {back(piece): i for piece, i in model["vocab"].items() if i < 256 + len(merges)}
-    # the split leaves a pre-token whole, as it matches anything
-    return tiktoken.Encoding("ranks", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={})
-
-
-def frequent_table(path: str, entries: int = 50_000) -> dict[str, tuple[int, ...]]:
-    """Pre-token to ids for the vocabulary's first entries that stand alone as a pre-token.
-
-    A vocabulary is ordered by how often its entries were met in training, so its head is the frequent tier. The size is
-    bounded by the vocabulary, whatever the corpus; the library itself gives the ids.
+def _back() -> dict[str, int]:
+    return {chr(c): b for b, c in _visible().items()}
+
+
+@dataclass
+class Spec:
+    """What workers need of a tokenizer file. frequent: its frequent pre-tokens, ids: theirs in a row, lengths: how many each has.
+
+    alike: the file splits by the plain byte-level rule, so that pre-tokens can be encoded one by one. ranks: the vocabulary's pieces in order
+    of rank for a faster encoder, if each merge makes the next id and single bytes come first. special: strings that the
+    library takes out of texts; None among them stands for one that can't be confined to a stretch of text.
     """
-    if not splits_alike(path):
-        return {}
-    tok, split = load(path), splitter()
-    ranked = sorted(tok.get_vocab().items(), key=lambda kv: kv[1])[:entries]
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
-    words = []
-    for piece, i in ranked:
-        word = tok.decode([i], skip_special_tokens=False)
-        if word and piece not in special and "�" not in word and not _ODD.search(word) and split.findall(word) == [word]:
-            words.append(word)
-    words = list(dict.fromkeys(words))
-    return {w: tuple(e.ids) for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False), strict=True)}
+
+    path: str
+    alike: bool
+    ranks: list[tuple[bytes, int]] | None = None
+    special: list[str | None] = field(default_factory=list)
+    frequent: list[str] = field(default_factory=list)
+    ids: np.ndarray | None = None
+    lengths: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, path: str, entries: int = 50_000) -> Spec:
+        """Frequent pre-tokens are the vocabulary's first entries that stand alone as one: a vocabulary is ordered by how often its entries were
+        met in training. Their number is bounded by the vocabulary, whatever the corpus; the library itself gives the ids."""
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        pre, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        alike = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space") and not parts.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        if not alike:
+            return cls(path, False)
+        added = parts.get("added_tokens") or []
+        special = [None if re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") else t["content"] for t in added if t["content"]]
+        back = _back()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranks = None
+        if all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+            ranks = [(bytes(back.get(c, ord(c)) for c in piece), i) for piece, i in model["vocab"].items() if i < 256 + len(merges)]
+        split, odd = classes()
+        contents = {t["content"] for t in added}
+        words = []
+        for piece, _ in sorted(model["vocab"].items(), key=lambda kv: kv[1])[:entries]:
+            word = bytes(back.get(c, ord(c)) for c in piece if ord(c) < 512).decode("utf-8", "replace")
+            if word and piece not in contents and "�" not in word and not odd.search(word) and split.findall(word) == [word]:
+                words.append(word)
+        words = list(dict.fromkeys(words))
+        ids = [e.ids for e in load(path).encode_batch(words, add_special_tokens=False)]
+        return cls(path, True, ranks, special, words, np.array([i for e in ids for i in e], np.uint32), np.array([len(e) for e in ids], np.uint8))
+
+    def sizes_only(self) -> Spec:
+        """Without the ids of frequent pre-tokens, for who needs their lengths alone."""
+        return Spec(self.path, self.alike, self.ranks, self.special, self.frequent, None, self.lengths)
 
 
 class _Pieces(dict):
@@ -118,21 +146,36 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """Encodes whole texts piece by piece; value makes what is stored for a piece from its ids."""
-
-    def __init__(self, path: str, frequent: dict[str, tuple[int, ...]], value: Callable):
-        self.tok, self.value = load(path), value
-        self.model = self.tok.model  # each access to the attribute makes a new wrapper
-        self.alike = splits_alike(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
-        self.split = splitter().findall
-        self.base = {w: value(ids) for w, ids in frequent.items()}
+    """Encodes whole texts piece by piece; value makes what is stored for a piece from its ids (of frequent ones without ids: the length itself)."""
+
+    def __init__(self, spec: Spec, value: Callable):
+        self.path, self.value, self.alike = spec.path, value, spec.alike and None not in spec.special
+        self._tok = None
+        pattern, self.odd = classes() if self.alike else (None, None)
+        self.split = pattern.findall if pattern else None
+        self.special = re.compile("|".join(map(re.escape, spec.special))) if self.alike and spec.special else None
+        self.base, at = {}, 0
+        for word, n in zip(spec.frequent, spec.lengths.tolist() if spec.lengths is not None else [], strict=True):
+            self.base[word] = n if spec.ids is None else value(spec.ids[at : at + n].tolist())
+            at += n
         self.visible = _visible()
-        self.ranked = by_rank(path) if self.alike else None
+        self.ranked = self._ranked(spec.ranks) if self.alike else None
         self.known = _Pieces(self.base, {}, lambda p: value(self.piece(p)))
 
-    def plain(self, text: str) -> bool:
-        return self.alike and not _ODD.search(text) and not any(s in text for s in self.special)
+    @staticmethod
+    def _ranked(ranks):
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        # the split leaves a pre-token whole, as it matches anything
+        return tiktoken.Encoding("ranks", pat_str=r"(?s:.)+", mergeable_ranks=dict(ranks), special_tokens={}) if ranks else None
+
+    @property
+    def tok(self):
+        if self._tok is None:
+            self._tok = load(self.path)
+        return self._tok
 
     def whole(self, text: str):
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
@@ -141,7 +184,11 @@ class PieceEncoder:
         """Ids of one pre-token: by ranks where the file's merges are ranks, else by the library's merge model."""
         if self.ranked:
             return self.ranked.encode_ordinary(text)
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.visible))]
+        return [t.id for t in self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.visible))]
+
+    def strange(self, text: str) -> bool:
+        """Whether the library itself must see the text."""
+        return bool((_ODD_ASCII if text.isascii() else self.odd).search(text) or (self.special and self.special.search(text)))
 
     def each(self, texts: Iterable[str], join: Callable):
         """join(stored values) for each text. The cache is looked after between runs of about 1 MB of text."""
@@ -161,12 +208,27 @@ class PieceEncoder:
             before = dict(self.known)
             self.known = _Pieces(self.base, before, self.known.make)
         for text in texts:
-            if self.plain(text):
-                yield join(map(self.known.__getitem__, self.split(text)))
-            else:
-                yield join([self.whole(text)])
-
-
-def encoder(path: str, frequent: dict, kind: str, value: Callable) -> PieceEncoder:
+            yield join(self._values(text))
+
+    def _values(self, text: str):
+        """What is stored for each piece; of stretches with odd characters or special strings, for the stretch as a whole."""
+        if not self.alike:
+            return [self.whole(text)]
+        if not self.strange(text):
+            return map(self.known.__getitem__, self.split(text))
+        out: list = []
+        plain: list[str] = []
+        for stretch in [*_CUT.split(text), None]:
+            if stretch is not None and not self.strange(stretch):
+                plain.append(stretch)
+                continue
+            out += map(self.known.__getitem__, self.split("".join(plain)))
+            plain.clear()
+            if stretch is not None:
+                out.append(self.whole(stretch))
+        return out
+
+
+def encoder(spec: Spec, kind: str, value: Callable) -> PieceEncoder:
     """The worker's encoder; kept between tasks, as Spark reuses Python workers."""
-    return worker_cache("pretokens", (path, kind), lambda: PieceEncoder(path, frequent, value))
+    return worker_cache("pretokens", (spec.path, kind), lambda: PieceEncoder(spec, value))

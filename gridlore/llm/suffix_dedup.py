@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_of, written
+from .common import table, text_of, worker, written
 from .exact_dedup import DigestFilter
 
 LENGTH = 100
@@ -127,8 +127,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
        so no group grows with the corpus.
     """
 
+    @worker("suffix")
     def mark(batches):
-        claim("suffix")
         held, size = [], 0
 
         def fold():

@@ -40,6 +40,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     Spark's reader streams a compressed file to one task in pieces that end in CRLF CRLF; the pieces are joined again and
     cut by Content-Length, so blocks may hold any bytes, and a task holds one record at a time. block is the payload of
     responses only with keep_payload. For revisits payload_length comes from the HTTP head they keep.
+
+    What is no whole record (no WARC line, no Content-Length, a block cut short or not followed by CRLF CRLF) is an error that names
+    the file; nothing is left out. An empty folder gives an empty result.
     """
     end = END.encode()
 
@@ -53,16 +56,24 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
 
         def records():
             while True:
+                blank = len(buf) - len(buf.lstrip(b"\r\n"))  # the separator put back after a file's last piece may not be the file's
+                del buf[:blank]
                 head_end = buf.find(end)
                 if head_end < 0:
                     return
                 fields: dict[str, list[str]] = {}
-                for row in bytes(buf[:head_end]).decode("utf-8", "replace").split("\r\n")[1:]:
+                first, *lines = bytes(buf[:head_end]).decode("utf-8", "replace").split("\r\n")
+                for row in lines:
                     name, _, value = row.partition(":")
                     fields.setdefault(name.strip().lower(), []).append(value.strip())
-                n = int(fields.get("content-length", ["0"])[0])
+                said = fields.get("content-length", [""])[0]
+                if not first.startswith("WARC/") or not said.isdecimal():
+                    raise ValueError(f"{file}: no WARC record begins at {first[:60]!r}")
+                n = int(said)
                 if len(buf) < head_end + 4 + n + 4:
                     return
+                if buf[head_end + 4 + n : head_end + 8 + n] != end:
+                    raise ValueError(f"{file}: the block of a record is not {n} bytes long")
                 block = bytes(buf[head_end + 4 : head_end + 4 + n])
                 del buf[: head_end + 8 + n]
                 one = lambda name: fields.get(name, [None])[0]  # noqa: B023,E731
@@ -78,12 +89,17 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
                 out.append((file, one("warc-record-id"), kind, one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-payload-digest"), n, length, digest, block))
                 yield
 
+        def whole():
+            if buf:
+                raise ValueError(f"{file}: {len(buf)} bytes at the end are no whole record")
+
         for b in batches:
             size = 0
             for name, piece in zip(b.column(0), b.column(1), strict=True):
                 name = name.as_py()
                 if name != file:
-                    file, buf = name, bytearray()
+                    whole()
+                    file = name
                 buf += piece.as_py() + end
                 for _ in records():
                     size += len(out[-1][-1] or b"") + 200
@@ -92,6 +108,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
                         size = 0
             if out:
                 yield flush()
+        whole()
 
     t = pa.string()
     kinds = pa.schema([("file", t), ("record_id", t), ("warc_type", t), ("target_uri", t), ("concurrent_to", pa.list_(t)), ("refers_to", t), ("payload_digest", t), ("block_length", pa.int64()), ("payload_length", pa.int64()), ("payload_sha256", t), ("block", pa.binary())])
@@ -104,7 +121,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A request or metadata record belongs to the capture that its WARC-Concurrent-To names; metadata that names a request belongs
     to that request's capture. Requests and metadata are grouped by capture before the join, so rows that repeat a record id
-    are kept, one output row each. Records that name no capture here are left out; captures without company keep empty arrays.
+    are kept, one output row each. Records that name no capture here are left out; captures without company keep empty arrays. No
+    records give no rows; a null record id is a capture without company.
     """
     captures = records.where(F.col("warc_type").isin("response", "revisit", "resource"))
     others = records.where(F.col("warc_type").isin("request", "metadata")).select("record_id", "warc_type", "block", F.explode("concurrent_to").alias("to"))
@@ -125,7 +143,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 
     Payload: the html in UTF-8, null as empty. Of equal payloads of at least MIN_REVISIT_BYTES bytes the row with the smallest
     page_id is the response and rows with other ids revisit it; rows that repeat that page_id with the same payload are
-    responses too. Only payload digests are grouped; only pages whose digest may repeat are shuffled.
+    responses too. Only payload digests are grouped; only pages whose digest may repeat are shuffled. A null page_id never revisits and is
+    revisited by none unless all copies lack one; a null url counts as about:blank; no pages give no records.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})

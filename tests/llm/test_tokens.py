@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridlore.llm.packing import best_fit_decreasing, certificate, lower_bound, pack, packed_documents, token_pieces
-from gridlore.llm.pretokens import PieceEncoder, frequent_table
+from gridlore.llm.pretokens import PieceEncoder, Spec, classes
 from gridlore.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,7 +23,7 @@ def tok():
 
 @pytest.fixture(scope="module")
 def enc():
-    return PieceEncoder(PATH, frequent_table(PATH, 2000), tuple)
+    return PieceEncoder(Spec.of(PATH, 2000), tuple)
 
 
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'sdtlrev.,!0123456789éß\x1c\x85\xa0")), max_size=60), max_size=6))
@@ -33,12 +33,41 @@ def test_pieces_equal_the_library(tok, enc, texts):
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+STRANGE = ["It’s a “quoted” word – and more…", "emoji 😀😀 here 👩‍👩‍👧 end", "日本語 と 한국어 русский язык", "a <|endoftext|> b<|endoftext|>c  <|endoftext|>", "tab\x1c\x1d x \x1f", "\U0001d400\U0001d401 math 𝟏𝟐 ok", "x\u0378y \u0378 \u0378\u0378  z", "  lead 😀  two  spaces ", "it's we'll I’ve", "à\u0300\u0301 é", "\u00a0nbsp\u2003em\u3000wide", "<|endoftext|>"]
+
+
+def test_strange_texts_equal_the_library(tok, enc):
+    texts = [*STRANGE, " ".join(STRANGE), "\n".join(STRANGE * 20), "".join(STRANGE)]
+    assert list(enc.each(texts, lambda parts: [i for p in parts for i in p])) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_only_odd_stretches_leave_the_tiers(enc, monkeypatch):
+    seen = []
+    monkeypatch.setattr(PieceEncoder, "whole", lambda self, text: seen.append(text) or ())
+    list(enc.each(["It’s “plain” – dashes and русский 日本 😀", "one \U0001d400 odd", "a <|endoftext|> b"], list))
+    assert seen == [" \U0001d400", " <|endoftext|>"]
+
+
+def test_every_character_that_is_not_odd_splits_like_the_library(tok, enc):
+    _, odd = classes()
+    chars = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not odd.search(c)]
+    chars = [c for c in chars if ord(c) < 0x3400 or ord(c) > 0xD7A3 and not 0xE000 <= ord(c) < 0xF900 and ord(c) < 0x20000 or ord(c) % 97 == 0]
+    texts = ["".join(f"a{c}b1{c}2 {c}.{c} " for c in chars[k : k + 50]) for k in range(0, len(chars), 50)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert list(enc.each(texts, lambda parts: [i for p in parts for i in p])) == want and len(chars) > 18_000
+
+
+def test_one_run_after_another(tok, enc):
+    texts = ["long text of many words, 2024! " * 50_000, "short", "é" * 1_200_000 + " end"]
+    assert list(enc.each(texts, lambda parts: sum(map(len, parts)))) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_small_cache_changes_nothing(tok, monkeypatch):
     import gridlore.llm.pretokens as p
 
     monkeypatch.setattr(p, "CACHE_ENTRIES", 3)
     monkeypatch.setattr(p, "CACHE_KEY_CHARS", 4)
-    enc = PieceEncoder(PATH, {}, tuple)
+    enc = PieceEncoder(Spec.of(PATH, 0), tuple)
     texts = [f"alpha beta{i} gamma delta {i}" for i in range(50)]
     for t in texts:
         assert list(enc.each([t], lambda parts: [i for p in parts for i in p])) == [tok.encode(t, add_special_tokens=False).ids]
@@ -46,7 +75,7 @@ def test_small_cache_changes_nothing(tok, monkeypatch):
 
 def test_other_tokenizers_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok, enc = Tokenizer.from_file(path), PieceEncoder(path, frequent_table(path), tuple)
+    tok, enc = Tokenizer.from_file(path), PieceEncoder(Spec.of(path), tuple)
     texts = ["Hello  World", "", "it's 2024"]
     assert list(enc.each(texts, lambda parts: [i for p in parts for i in p])) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
