@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from fractions import Fraction
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, text_of, worker
+from .common import table, text_of, worker, written
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
 CONTAINMENT = Fraction(4, 5)
-#: Text of benchmark items that one map pass holds; larger benchmarks take several passes over the documents.
-BLOCK_BYTES = 32 << 20
+#: Bytes of an index (texts of its items and sketches) that one map pass holds; larger benchmarks take several passes over the documents.
+BLOCK_BYTES = 16 << 20
 
 
 def words(text: str) -> list[str]:
@@ -51,123 +53,154 @@ def _runs(ids: np.ndarray, width: int) -> np.ndarray:
     return _mix(h[ok])
 
 
-@dataclass
-class SizeClass:
-    """Items of one class of shingle counts, from low up to twice that; sketch: their bottom-s hashes, sorted, and each one's item."""
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) | 1
 
-    low: int
-    sketch: np.ndarray
-    owner: np.ndarray
+
+def sketch_size(n: int, containment: Fraction) -> int:
+    """How many of the smallest hashes of an item of n shingles are kept: what a document may lack of the largest item of its size class, and one."""
+    largest = (1 << n.bit_length()) - 1
+    return largest - -(-largest * containment.numerator // containment.denominator) + 1
+
+
+def sketches(items: DataFrame, containment: Fraction, width: int) -> DataFrame:
+    """i, t of each row of items that has a word, with its number of distinct shingles n, their width w, and its sketch of smallest hashes."""
+
+    @worker("decontaminate")
+    def make(batches):
+        for b in batches:
+            rows = []
+            for k, t in enumerate(b.column("t").to_pylist()):
+                own = shingles_of(words(t), width)
+                if own:
+                    ids = np.array([[_hash(w) for w in run] for run in own], np.uint64)
+                    h = np.unique(np.concatenate([_runs(row, len(row)) for row in ids]))[: sketch_size(len(own), containment)]
+                    rows.append((k, len(own), ids.shape[1], h.tobytes()))
+            if rows:
+                k, n, w, h = zip(*rows, strict=True)
+                at = pa.array(k, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("i").take(at), b.column("t").take(at), pa.array(n, pa.int64()), pa.array(w, pa.int32()), pa.array(h, pa.binary())], ["i", "t", "n", "w", "h"])
+
+    return items.mapInArrow(make, f"i {items.schema['i'].dataType.simpleString()}, t string, n long, w int, h binary")
 
 
 class ContainmentIndex:
-    """MinHash sketches of short items, by size class.
+    """MinHash sketches of short items, by size class: shingle counts from a power of two up to less than the next.
 
     A document that holds at least c of an item's q shingles lacks at most q - ceil(c q) of them. So of the item's s smallest
     hashes, s one more than that for the class's largest q, the document's shingles must hit one: no
     item is missed, whatever the document's length. What is hit is verified on the words themselves.
     """
 
-    def __init__(self, items: list[tuple[int, str]], containment: Fraction = CONTAINMENT, width: int = SHINGLE):
+    def __init__(self, items: list[tuple], containment: Fraction = CONTAINMENT, width: int = SHINGLE):
+        """items: id, text, shingles, width of a shingle and sketch of each, as sketches() gives them."""
         self.width, self.containment = width, containment
-        self.ids, sets = [], []
-        for i, text in items:
-            s = shingles_of(words(text), width)
-            if s:
-                self.ids.append(i)
-                sets.append(s)
-        self.sets = sets
-        self.vocab: dict[str, int] = {}
-        for s in sets:
-            for run in sorted(s):
-                for w in run:
-                    self.vocab.setdefault(w, len(self.vocab) + 1)
-        self.classes: list[SizeClass] = []
+        self.ids, self.texts = [i for i, *_ in items], [t for _, t, *_ in items]
+        self.sizes, self.runs = np.array([n for _, _, n, _, _ in items], np.int64), np.array([w for _, _, _, w, _ in items], np.int64)
+        self.widths = sorted(set(self.runs.tolist()))
         by_class: dict[int, list[int]] = {}
-        for k, s in enumerate(sets):
-            by_class.setdefault(len(s).bit_length() - 1, []).append(k)
-        self.widths = sorted({len(next(iter(s))) for s in sets})
+        for k, n in enumerate(self.sizes.tolist()):
+            by_class.setdefault(n.bit_length() - 1, []).append(k)
+        self.classes: list[tuple[int, np.ndarray, np.ndarray]] = []
         for c, members in sorted(by_class.items()):
-            largest = max(len(sets[k]) for k in members)
-            size = largest - -(-largest * containment.numerator // containment.denominator) + 1
-            sketch, owner = [], []
-            for k in members:
-                ids = np.array([[self.vocab[w] for w in run] for run in sets[k]], np.uint64)
-                h = np.sort(np.concatenate([_runs(row, len(row)) for row in ids]))[:size]
-                sketch.append(h)
-                owner.append(np.full(len(h), k))
-            flat, who = np.concatenate(sketch), np.concatenate(owner)
+            parts = [np.frombuffer(items[k][4], np.uint64) for k in members]
+            flat, who = np.concatenate(parts), np.repeat(members, [len(x) for x in parts])
             order = np.argsort(flat, kind="stable")
-            self.classes.append(SizeClass(1 << c, flat[order], who[order]))
+            self.classes.append((1 << c, flat[order], who[order]))
+        self._vocab: dict[str, int] = {}
+        self._sets: dict[int, set] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_vocab": {}, "_sets": {}}
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
+    def _set(self, k: int) -> set:
+        """The shingles of item k, kept for those that are hit."""
+        if k not in self._sets:
+            self._sets[k] = shingles_of(words(self.texts[k]), self.width)
+        return self._sets[k]
+
+    def find(self, text: str) -> list[tuple]:
         """(item id, shared shingles, item's shingles) for each item that the text contains."""
+        if not self._vocab:
+            self._vocab.update((w, _hash(w)) for t in self.texts for w in words(t))
         found = words(text)
-        ids = np.fromiter(map(self.vocab.get, found, _zeros()), np.uint64, len(found))
+        ids = np.fromiter(map(self._vocab.get, found, repeat(0)), np.uint64, len(found))
         hits = np.unique(np.concatenate([_runs(ids, w) for w in self.widths])) if self.widths else ids[:0]
         if not len(hits):
             return []
         near: set[int] = set()
-        for c in self.classes:
-            if len(hits) * self.containment.denominator < c.low * self.containment.numerator:
+        for low, sketch, owner in self.classes:
+            if len(hits) * self.containment.denominator < low * self.containment.numerator:
                 continue  # fewer shingles than any item of this class needs
-            a, b = np.searchsorted(c.sketch, hits, "left"), np.searchsorted(c.sketch, hits, "right")
+            a, b = np.searchsorted(sketch, hits, "left"), np.searchsorted(sketch, hits, "right")
             for i in np.nonzero(b > a)[0]:
-                near.update(c.owner[a[i] : b[i]].tolist())
+                near.update(owner[a[i] : b[i]].tolist())
         out = []
         own: dict[int, set] = {}
         for k in sorted(near):
-            width = len(next(iter(self.sets[k])))
+            width = int(self.runs[k])
             if width not in own:
                 own[width] = set(zip(*(found[i:] for i in range(width)), strict=False))
-            shared = len(self.sets[k] & own[width])
-            if shared * self.containment.denominator >= len(self.sets[k]) * self.containment.numerator:
-                out.append((self.ids[k], shared, len(self.sets[k])))
+            shared = len(self._set(k) & own[width])
+            if shared * self.containment.denominator >= int(self.sizes[k]) * self.containment.numerator:
+                out.append((self.ids[k], shared, int(self.sizes[k])))
         return out
 
 
-def _zeros():
-    while True:
-        yield 0
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: Fraction = CONTAINMENT, width: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id_col, item_id, shared, item_shingles, containment for each document and each item that it contains.
 
     An item is contained if at least containment of its distinct shingles (width lower-cased words in a row, words being runs of
-    letters, digits and underscores) occur in the whole document; an item of fewer words is one shingle. Items travel in blocks of
-    at most about block_bytes of text, each broadcast for one map pass over the documents, so no broadcast grows with the
-    benchmark and nothing is shuffled. An item longer than a block makes a block of its own.
+    letters, digits and underscores) occur in the whole document; an item of fewer words is one shingle. Sketches are made in tasks. Items
+    travel in blocks of whole items with texts and sketches of at most block_bytes together (an item beyond that makes a block of its own), each
+    broadcast for one map pass over the documents, so no broadcast grows with the benchmark and nothing of the documents is shuffled.
 
-    Null or empty texts contain nothing and are contained nowhere. Repeated documents and items give a row each; null ids are carried. Other
-    columns are left out. Empty tables give an empty result.
+    Null or empty texts contain nothing and are contained nowhere. Repeated documents and items give a row each; ids of any type and null ids
+    are carried. Other columns are left out. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    total = items.agg(F.sum(F.octet_length(text_of(item_text)))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    chosen = items.select(F.col(item_id).cast("long").alias("i"), text_of(item_text).alias("t"))
-    names = ["id", "item_id", "shared", "item_shingles"]
+    chosen = sketches(items.select(F.col(item_id).alias("i"), text_of(item_text).alias("t")), containment, width)
+    chosen = chosen.withColumns({"size": F.octet_length("t") + F.octet_length("h") + 64, "k": F.monotonically_increasing_id()})
+    chosen = written(chosen.withColumn("file", F.spark_partition_id()), "sketches")
+    names, item_type = ["id", "item_id", "shared", "item_shingles"], to_arrow_type(items.schema[item_id].dataType)
     out = None
-    for block in range(blocks):
-        part = chosen if blocks == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast(ContainmentIndex([(r["i"], r["t"]) for r in part.collect()], containment, width))
+    for part in _blocks(chosen, block_bytes):
+        sent = spark.sparkContext.broadcast(ContainmentIndex([(r["i"], r["t"], r["n"], r["w"], bytes(r["h"])) for r in part.select("i", "t", "n", "w", "h").collect()], containment, width))
 
         @worker("decontaminate")
         def search(batches, sent=sent):
             index = sent.value
             for b in batches:
-                got = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for hit in index.find(t.as_py())]
+                got = [(row, *hit) for row, t in enumerate(b.column(1)) for hit in index.find(t.as_py())]
                 if got:
-                    kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
+                    row, item, shared, n = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(item, item_type), pa.array(shared, pa.int64()), pa.array(n, pa.int64())], names)
 
-        found = rows.mapInArrow(search, f"id {kind}, item_id long, shared long, item_shingles long")
+        found = rows.mapInArrow(search, f"id {kinds[0]}, item_id {kinds[1]}, shared long, item_shingles long")
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, shared long, item_shingles long")
     return out.select(F.col("id").alias(id_col), "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
+def _blocks(chosen: DataFrame, most: int):
+    """The rows of chosen (k, size, file) in blocks of at most most bytes, cut in order of k, which rises with file: only sums by file and sizes of the files that are cut reach the driver."""
+    files = chosen.groupBy("file").agg(F.sum("size").alias("size"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("file").collect()
+    begin, held, last = None, 0, None
+    for f in files:
+        whole = held + f["size"] <= most
+        steps = [(f["low"], f["high"], f["size"])] if whole else [(r["k"], r["k"], r["size"]) for r in chosen.where(F.col("file") == f["file"]).select("k", "size").orderBy("k").toLocalIterator()]
+        for low, high, size in steps:
+            if held and held + size > most:
+                yield chosen.where(F.col("k").between(begin, last))
+                begin, held = None, 0
+            begin, last, held = low if begin is None else begin, high, held + size
+    if held:
+        yield chosen.where(F.col("k").between(begin, last))
+
+
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings of a fixed length, keeping the first: anchored windows of that length, sorted or hashed."""
+"""Removal of repeated byte strings, keeping the first: longest previous factors in suffix order, within anchored contexts."""
 
 from __future__ import annotations
 
@@ -65,21 +65,40 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For contexts in order of position, which of each one's windows occur at an earlier position.
+def _nearest_earlier(at: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order its longest common prefix with the nearest one to its left that starts earlier (0 if none does).
 
-    The windows' suffixes are sorted with ties in order of position. A suffix has a longest previous factor of length bytes or more
-    exactly when its previous smaller position in suffix order lies in its run of common prefixes of length; with that order the
-    run's neighbour to the left is one.
+    at: where each suffix starts; common: its common prefix with its left neighbour. The candidates jump to their own candidates, all at once: between a suffix
+    and its candidate everything starts later than the candidate, so nothing is passed over; common prefixes are minima over what is jumped.
+    """
+    to, low = np.arange(len(at)) - 1, common.copy()
+    open_ = np.nonzero((to >= 0) & (at[to] > at))[0]
+    while len(open_):
+        c = to[open_]
+        low[open_] = np.minimum(low[open_], low[c])
+        to[open_] = to[c]
+        open_ = open_[(to[open_] >= 0) & (at[to[open_]] > at[open_])]
+    low[to < 0] = 0
+    return low
+
+
+def previous_factors(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For contexts in order of position, the longest previous factor of each window, up to length: how many of its bytes, from its start, also start earlier.
+
+    Suffixes that have length bytes are sorted by these bytes, ties in order of position, with the common prefixes of neighbours. The longest previous
+    factor of a suffix is then the larger of its common prefixes with its previous and its next smaller position in suffix order.
     """
     views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, np.uint8), length) for c in contexts]
-    counts = np.array([len(v) for v in views])
-    flat = np.ascontiguousarray(np.concatenate(views)).view(f"S{length}").ravel()
-    order = np.argsort(flat, kind="stable")
-    same = np.concatenate(([False], flat[order[1:]] == flat[order[:-1]]))
-    out = np.zeros(len(flat), bool)
-    out[order[same]] = True
-    return np.split(out, np.cumsum(counts)[:-1])
+    flat = np.ascontiguousarray(np.concatenate(views))
+    order = np.argsort(flat.view(f"S{length}").ravel(), kind="stable")
+    rows = flat[order]
+    differ = rows[1:] != rows[:-1]
+    common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), length))).astype(np.int32)
+    left = _nearest_earlier(order, common)
+    right = _nearest_earlier(order[::-1], np.concatenate(([0], common[:0:-1])))[::-1]
+    out = np.zeros(len(flat), np.int32)
+    out[order] = np.maximum(left, right)
+    return np.split(out, np.cumsum([len(v) for v in views])[:-1])
 
 
 def _merged(doc: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -91,15 +110,15 @@ def _merged(doc: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray)
     return [doc[head], h[head], start[head], np.maximum.reduceat(end, head) if len(head) else end]
 
 
-_ROW = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()), ("lo", pa.int32()), ("span", pa.int32()), ("hot", pa.bool_())])
-_ROW_SQL = "a long, c long, doc long, h int, lo int, span int, hot boolean"
+_ROW = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("hot", pa.bool_())])
+_ROW_SQL = "a long, c long, doc long, h long, lo int, span int, hot boolean"
 
 
 def _rows(a, c, doc, h, lo, span, hot=None) -> pa.RecordBatch:
     """Rows of anchors; of finished spans (a null): lo to lo + span in bytes."""
     n = len(doc)
     return pa.RecordBatch.from_arrays([
-        pa.nulls(n, pa.int64()) if a is None else pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.int32()),
+        pa.nulls(n, pa.int64()) if a is None else pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()),
         pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(np.zeros(n, bool) if hot is None else hot),
     ], schema=_ROW)
 
@@ -122,7 +141,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
        task folds equal contexts of its own to the earliest, and sends anchors on.
     2. Anchors meet by gram hash. Of equal contexts all but the earliest are removed whole. Where a gram has several different contexts,
        the earliest of each are asked for.
-    3. Only documents that were asked give the contexts' bytes; windows that occur earlier in another context are found in suffix order.
+    3. Only documents that were asked give the contexts' bytes. Their suffixes are sorted, and a longest previous factor of length or more, from the
+       previous and next smaller positions in suffix order, removes a window.
        Grams with more than hot_contexts contexts send single windows under their own hashes instead, folded by task,
        so no group grows with the corpus.
     """
@@ -150,7 +170,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
                     continue
                 of = xxhash.xxh3_64_intdigest
                 c = np.array([of(data[x : y + length]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
-                held.append((a.view(np.int64), c.view(np.int64), np.full(len(a), i, np.int64), np.full(len(a), hh, np.int32), lo, hi - lo))
+                held.append((a.view(np.int64), c.view(np.int64), np.full(len(a), i, np.int64), np.full(len(a), hh, np.int64), lo, hi - lo))
                 size += len(a)
                 if size > 400_000:
                     yield from fold()
@@ -213,7 +233,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
     def quote(batches):
         """The bytes asked for; hot ones as single windows under their own hash, the later ones of this task settled here."""
         seen: dict[bytes, tuple] = {}
-        names, kinds = ["a", "doc", "h", "lo", "end", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names, kinds = ["a", "doc", "h", "lo", "end", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -258,12 +278,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
 
         def settle():
             held[:] = sorted({r[:3]: r for r in held}.values(), key=lambda r: r[:3])
-            marks = repeated_windows([r[3] for r in held], length)
+            marks = [f >= length for f in previous_factors([r[3] for r in held], length)]
             n = np.array([int(m.sum()) for m in marks])
             if n.sum():
                 doc, h, lo = (np.repeat(np.array([r[k] for r in held]), n) for k in range(3))
                 start = lo + np.concatenate([np.nonzero(m)[0] for m in marks])
-                yield _spans(doc, h.astype(np.int32), start, start + length)
+                yield _spans(doc, h, start, start + length)
             held.clear()
 
         for b in batches:
@@ -280,7 +300,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
         if held:
             yield from settle()
 
-    quoted = given.mapInArrow(quote, "a long, doc long, h int, lo int, end int, bytes binary")
+    quoted = given.mapInArrow(quote, "a long, doc long, h long, lo int, end int, bytes binary")
     quoted = quoted.repartition(F.coalesce("a", F.xxhash64("doc", "lo"))).sortWithinPartitions("a", "doc", "h", "lo")
     solved = quoted.mapInArrow(solve, _ROW_SQL)
     spans = met.where("a is null").unionByName(solved)
@@ -297,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     last = (1 << 63) - 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.withColumns({"doc": F.coalesce("id", F.lit(last)), "h": F.hash("text")})
+    rows = rows.withColumns({"doc": F.coalesce("id", F.lit(last)), "h": F.xxhash64("text")})
     spans = written(removed_spans(rows, length, gram, hot_contexts), "spans")
     may = DigestFilter.build(spans.select(F.col("doc").alias("digest")))
     flagged = rows.withColumn("may", may.test(rows.sparkSession, "doc"))

@@ -13,7 +13,7 @@ from gridlore.llm.common import components, written
 from gridlore.llm.decontaminate import contaminated, shingles_of, words
 from gridlore.llm.exact_dedup import DigestFilter, compact, exact_groups, flush
 from gridlore.llm.jaccard_join import COUNTERS, CountVectorTree, count_vector, folded, jaccard_components, linked, packed_counts, prefix, set_name, shingle_set, unpacked_counts
-from gridlore.llm.suffix_dedup import anchors, remove_repeats, repeated_windows
+from gridlore.llm.suffix_dedup import anchors, previous_factors, remove_repeats
 
 
 def groups(pairs, nodes):
@@ -215,9 +215,33 @@ def test_each_window_has_one_anchor(data, cut):
             assert by.setdefault(data[w : w + 100], h) == h
 
 
-def test_windows_in_suffix_order():
-    marks = repeated_windows([b"abcd", b"xbcdy", b"bcd"], 3)
-    assert [m.tolist() for m in marks] == [[False, False], [False, True, False], [True]]
+@given(st.lists(st.text("ab", min_size=3, max_size=30), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_previous_factors(contexts):
+    contexts = [c.encode() for c in contexts]
+    got = previous_factors(contexts, 3)
+    starts = [(k, s) for k, c in enumerate(contexts) for s in range(len(c) - 2)]
+    for k, s in starts:
+        best = 0
+        for j, r in starts:
+            if (j, r) < (k, s):
+                n = 0
+                while n < 3 and contexts[j][r + n] == contexts[k][s + n]:
+                    n += 1
+                best = max(best, n)
+        assert got[k][s] == best
+
+
+def test_previous_factors_in_any_order_of_positions():
+    assert [f.tolist() for f in previous_factors([b"abcd", b"xbcdy", b"bcd"], 3)] == [[0, 0], [0, 3, 0], [3]]
+    rng = np.random.default_rng(2)
+    data = [bytes(rng.integers(97, 99, 2000, dtype=np.uint8)) + b"q" * 300, b"q" * 400]
+    got = previous_factors(data, 8)
+    seen = set()
+    for c, f in zip(data, got, strict=True):
+        for s in range(len(c) - 7):
+            assert (f[s] == 8) == (c[s : s + 8] in seen)
+            seen.add(c[s : s + 8])
 
 
 def test_decontamination(spark, docs, corpus):
@@ -237,4 +261,6 @@ def test_decontamination(spark, docs, corpus):
     for block in (32 << 20, 300):
         got = Counter((r["doc_id"], r["item_id"], r["shared"], r["item_shingles"]) for r in contaminated(docs, bench, block_bytes=block).collect())
         assert got == want and any(k == 54 for _, k, _, _ in got)
+    named = contaminated(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")), block_bytes=300)
+    assert {(r["doc_id"], r["item_id"]) for r in named.collect()} == {(f"d{i}", f"i{k}") for i, k, _, _ in want}
     assert contaminated(docs.where("false"), bench).count() == 0 and contaminated(docs, bench.where("false")).count() == 0
