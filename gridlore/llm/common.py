@@ -62,8 +62,20 @@ def worker(owner: str):
     return wrap
 
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with its limit on the bytes of an Arrow batch set to BATCH_BYTES unless the user has set one: long texts then come in small batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -84,7 +96,7 @@ def fresh(taken: list[str], name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later jobs read it and no lost executor makes them redo what lies before."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(bounded_batches(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

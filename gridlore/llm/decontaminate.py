@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, text_of, worker, written
+from .common import bounded_batches, table, text_of, worker, written
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
@@ -158,7 +158,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Null or empty texts contain nothing and are contained nowhere. Repeated documents and items give a row each; ids of any type and null ids
     are carried. Other columns are left out. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     chosen = sketches(items.select(F.col(item_id).alias("i"), text_of(item_text).alias("t")), containment, width)

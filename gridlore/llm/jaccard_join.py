@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, text_of, worker, worker_cache, written
+from .common import bounded_batches, components, table, text_of, worker, worker_cache, written
 from .exact_dedup import DigestFilter
 
 #: Shingles for each coordinate of a count vector, and its fewest and most coordinates; fan-out of the R-tree.
@@ -340,7 +340,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     than width: the whole sequence is the one shingle. Rows that repeat an id share its component; a row with a null id keeps component
     null unless its class has an id, and joins no others. Empty tables give an empty result; other columns are left out.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sets = written(_named(rows, width), "sets")
     named = sets.where("counter is null").select("id", "n", "c1", "c2", "vec")

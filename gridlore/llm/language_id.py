@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_of, worker
+from .common import bounded_batches, claim, table, text_of, worker
 
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
@@ -130,7 +130,7 @@ def found_in(text: Column, model: KernelModel | None, spark: SparkSession) -> Co
     Null text and text without a letter: und, score 0, best null. So is everything when the model is None. Whole texts count, in products of
     rows_per_product texts; only the text goes to Python, and only the struct comes back.
     """
-    sent = spark.sparkContext.broadcast(model)
+    sent = bounded_batches(spark).sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, best double")
     def run(texts: pa.Array) -> pa.Array:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of, worker, written
+from .common import bounded_batches, table, text_of, worker, written
 from .pretokens import Spec, encoder
 
 
@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
     Documents of more than capacity ids are cut into pieces of capacity; what is over goes in the first, so only that may be
     shorter. Null text counts as empty: one piece that is eos alone. Rows that repeat an id give their pieces again.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(Spec.of(tokenizer_path))
+    spec = bounded_batches(docs.sparkSession).sparkContext.broadcast(Spec.of(tokenizer_path))
     end = np.array([eos], "<u4").tobytes()
     names = ["id", "piece", "start", "length", "ids"]
 
