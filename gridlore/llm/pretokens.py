@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -37,29 +36,51 @@ def _ranges(points: Iterable[int]) -> str:
 
 
 _CLASSES: list[tuple[re.Pattern, re.Pattern]] = []
+#: A class of the basic plane alone is looked up in a table; with others it would be a list that is tried one by one.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]+")
 
 
 def classes() -> tuple[re.Pattern, re.Pattern]:
-    """The byte-level pre-tokenizer's split rule, and the odd characters for which it can't be told here.
+    """The byte-level pre-tokenizer's split rule, and the odd characters of the basic plane, for which it can't be told here (see is_odd).
 
     Whether a character is a letter or a number depends on the Unicode version. Those that Unicode 3.2 has as such in the basic plane are so in
     every later version; characters that are assigned and neither now never become one. The rest is odd: unassigned
-    ones, later letters and numbers, and U+001C to U+001F, which are spaces to this engine alone.
+    ones, later letters and numbers and those of other planes, and U+001C to U+001F, which are spaces to this engine alone.
     """
     if not _CLASSES:
         old = unicodedata.ucd_3_2_0.category
         letters, numbers, odd = [], [], [*range(0x1C, 0x20)]
-        for c in range(sys.maxunicode + 1):
+        for c in range(1 << 16):
             now = unicodedata.category(chr(c))
-            if now[0] in "LN" and c < 1 << 16 and old(chr(c))[0] == now[0]:
+            if now[0] in "LN" and old(chr(c))[0] == now[0]:
                 (letters if now[0] == "L" else numbers).append(c)
             elif now[0] in "LN" or now == "Cn":
                 odd.append(c)
-        l, n = _ranges(letters), _ranges(numbers)
-        _CLASSES.append((re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{l}]+| ?[{n}]+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"), re.compile(f"[{_ranges(odd)}]")))
+        _CLASSES.append((_rule(_ranges(letters), _ranges(numbers)), re.compile(f"[{_ranges(odd)}]")))
     return _CLASSES[0]
 
 
+def _rule(letters: str, numbers: str) -> re.Pattern:
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+
+
+#: The same rule for ASCII texts, with short classes.
+_ASCII_RULE = _rule("A-Za-z", "0-9")
+
+
+def split(text: str) -> list[str]:
+    """The pre-tokens of a text that is not odd."""
+    return (_ASCII_RULE if text.isascii() else classes()[0]).findall(text)
+
+
+def is_odd(text: str) -> bool:
+    if text.isascii():
+        return bool(_ODD_ASCII.search(text))
+    if classes()[1].search(text):
+        return True
+    return any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Cn" for run in _BEYOND.findall(text) for c in run)
+
+
 #: A pre-token always ends between a character that is no space and a single space that such a character follows.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
@@ -113,12 +134,11 @@ class Spec:
         ranks = None
         if all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             ranks = [(bytes(back.get(c, ord(c)) for c in piece), i) for piece, i in model["vocab"].items() if i < 256 + len(merges)]
-        split, odd = classes()
         contents = {t["content"] for t in added}
         words = []
         for piece, _ in sorted(model["vocab"].items(), key=lambda kv: kv[1])[:entries]:
             word = bytes(back.get(c, ord(c)) for c in piece if ord(c) < 512).decode("utf-8", "replace")
-            if word and piece not in contents and "�" not in word and not odd.search(word) and split.findall(word) == [word]:
+            if word and piece not in contents and "�" not in word and not is_odd(word) and split(word) == [word]:
                 words.append(word)
         words = list(dict.fromkeys(words))
         ids = [e.ids for e in load(path).encode_batch(words, add_special_tokens=False)]
@@ -151,8 +171,6 @@ class PieceEncoder:
     def __init__(self, spec: Spec, value: Callable):
         self.path, self.value, self.alike = spec.path, value, spec.alike and None not in spec.special
         self._tok = None
-        pattern, self.odd = classes() if self.alike else (None, None)
-        self.split = pattern.findall if pattern else None
         self.special = re.compile("|".join(map(re.escape, spec.special))) if self.alike and spec.special else None
         self.base, at = {}, 0
         for word, n in zip(spec.frequent, spec.lengths.tolist() if spec.lengths is not None else [], strict=True):
@@ -188,7 +206,7 @@ class PieceEncoder:
 
     def strange(self, text: str) -> bool:
         """Whether the library itself must see the text."""
-        return bool((_ODD_ASCII if text.isascii() else self.odd).search(text) or (self.special and self.special.search(text)))
+        return is_odd(text) or bool(self.special and self.special.search(text))
 
     def each(self, texts: Iterable[str], join: Callable):
         """join(stored values) for each text. The cache is looked after between runs of about 1 MB of text."""
@@ -215,14 +233,14 @@ class PieceEncoder:
         if not self.alike:
             return [self.whole(text)]
         if not self.strange(text):
-            return map(self.known.__getitem__, self.split(text))
+            return map(self.known.__getitem__, split(text))
         out: list = []
         plain: list[str] = []
         for stretch in [*_CUT.split(text), None]:
             if stretch is not None and not self.strange(stretch):
                 plain.append(stretch)
                 continue
-            out += map(self.known.__getitem__, self.split("".join(plain)))
+            out += map(self.known.__getitem__, split("".join(plain)))
             plain.clear()
             if stretch is not None:
                 out.append(self.whole(stretch))
