@@ -20,18 +20,33 @@ DATE_SHARE, NUMBER_SHARE = 0.8, 0.9
 TYPES = {"string": "string", "integer": "bigint", "float": "double", "boolean": "boolean", "date": "timestamp_ntz"}
 
 
+#: What counts as white space at the ends of a cell.
+WHITE = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def stripped(c: Column) -> Column:
     """Without white space at either end, and null where nothing else is there."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(WHITE)), F.lit(""))
 
 
 def parsed_time(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    """The time that a text tells in one of the notations. Each text has the shape of one notation at most, so no more than one is tried."""
+    out = None
+    for f in formats:
+        hit, value = c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return F.when(c.rlike(r"^[+-]?\d+[-/]\d"), out)
+
+
+def _shape(notation: str) -> str:
+    """A pattern that all texts in the notation match."""
+    parts = re.findall(r"y+|S+|[MdHms]+|'[^']*'|.", notation)
+    return "^" + "".join(r"[+-]?\d{4,}" if p[0] == "y" else r"\d{1,6}" if p[0] == "S" else r"\d{1,2}" if p[0] in "MdHms" else re.escape(p.strip("'")) for p in parts) + "$"
 
 
 def read_date(c: Column) -> Column:
     """A text cell's time; text that reads as a number is never one."""
-    return F.when(c.try_cast("double").isNull(), parsed_time(stripped(c)))
+    return F.when(c.rlike(r"\d[-/]\d") & c.try_cast("double").isNull(), parsed_time(stripped(c)))
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
@@ -41,21 +56,22 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
     least 0.9 are numbers; else string. Whole floats are integers. A column without a value is string.
     """
     names = list(columns or df.columns)
-    aggs, typed = [], {}
+    aggs, typed, cells = [], {}, []
     for i, name in enumerate(names):
-        kind, c = logical_type(df.schema[name]), column(df, name)
-        if kind == "string" and isinstance(df.schema[name].dataType, T.StringType):
-            s = stripped(c)
+        kind, c, s = logical_type(df.schema[name]), column(df, name), F.col(f"c{i}")
+        text = kind == "string" and isinstance(df.schema[name].dataType, T.StringType)
+        cells.append((stripped(c) if text else c).alias(f"c{i}"))
+        aggs.append(F.count(s).alias(f"n{i}"))
+        if text:
             number = s.try_cast("double")
             aggs += [
-                F.count(s).alias(f"n{i}"), F.count(read_date(c)).alias(f"d{i}"), F.count_if(F.lower(s).isin(*BOOLEAN_TEXT)).alias(f"b{i}"),
+                F.count(read_date(s)).alias(f"d{i}"), F.count_if(F.lower(s).isin(*BOOLEAN_TEXT)).alias(f"b{i}"),
                 F.count(number).alias(f"f{i}"), F.count_if(number == F.floor(number)).alias(f"w{i}"),
             ]
         elif kind == "float":
-            aggs += [F.count(c).alias(f"n{i}"), F.count_if(c == F.floor(c)).alias(f"w{i}")]
-        else:
-            aggs.append(F.count(c).alias(f"n{i}"))
+            aggs.append(F.count_if(s == F.floor(s)).alias(f"w{i}"))
         typed[i] = kind
+    df = df.select(*cells)
     got = df.agg(*aggs).first().asDict()
     out = {}
     for i, name in enumerate(names):
@@ -99,14 +115,18 @@ def epoch_seconds(c: Column) -> Column:
 
 def safe_names(headers: Sequence[str]) -> dict[str, str]:
     """Physical names: lower case, other characters as one underscore, col_ before, and _2, _3 where names meet."""
-    used: dict[str, str] = {}
-    for raw in headers:
-        name = "col_" + (re.sub(r"[^a-zA-Z0-9]+", "_", str(raw).strip().lower()).strip("_") or "col")
-        unique, n = name, 2
-        while unique in used.values():
-            unique, n = f"{name}_{n}", n + 1
-        used[str(raw)] = unique
-    return used
+    out: dict[str, str] = {}
+    taken: set[str] = set()
+    last: dict[str, int] = {}  # the number that a base name's latest bearer has
+    for header in map(str, headers):
+        base = "col_" + (re.sub(r"[^a-zA-Z0-9]+", "_", header.strip().lower()).strip("_") or "col")
+        name = base
+        while name in taken:
+            last[base] = last.get(base, 1) + 1
+            name = f"{base}_{last[base]}"
+        taken.add(name)
+        out[header] = name
+    return out
 
 
 def safe_name_column(header: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from gridlore.functions.cells import row_text
 from gridlore.functions.texts import page_text
 
-TEXT_SIZE, ROW_BUDGET, ROWS, BLOCK_ROWS = 2000, 3500, 50, 50_000
+TEXT_SIZE, ROW_BUDGET, ROWS = 2000, 3500, 50
 _CHUNK = "document_id string, page int, pos int, content string"
 
 
@@ -65,39 +64,43 @@ def row_lines_of(df: DataFrame, columns: Sequence[str], row_number: str, keep: S
     return lines.select(*keep, "row_no", F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.col("body")).alias("line"))
 
 
-def _pack_lines(budget: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no", kind="stable")
-        out: list[tuple] = []
-        held: list[str] = []
-        used, first, last = 0, 0, 0
-        for n, line in zip(pdf["row_no"], pdf["line"], strict=True):
-            if held and used + len(line) + 1 > budget:
-                out.append((first, last, "\n".join(held)))
-                held, used = [], 0
-            if not held:
-                first = n
-            held.append(line)
-            used += len(line) + 1
-            last = n
-        if held:
-            out.append((first, last, "\n".join(held)))
-        made = pd.DataFrame(out, columns=["row_start", "row_end", "content"])
-        made.insert(0, "sheet_name", pdf["sheet_name"].iloc[0])
-        made.insert(0, "document_id", pdf["document_id"].iloc[0])
-        return made
-
-    return pack
-
-
-def chunk_rows_by_budget(lines: DataFrame, budget: int = ROW_BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """lines (document_id, sheet_name, row_no, line) packed up to budget characters, each line counting its length and one.
-
-    A task holds block_rows rows of a sheet at most; chunks also end where a block does, so a sheet of any size is cut in parallel.
+def _parts(lines: DataFrame, budget: int) -> DataFrame:
+    """document_id, sheet_name, row_no, part: which chunk of its sheet each line falls in. Where a chunk ends depends on all before it, so one task
+    runs through a sheet in order, but over numbers alone: it reads lengths as a sorted stream and holds one running sum."""
+
+    def cut(batches):
+        at, used, part = None, 0, 0
+        for b in batches:
+            out = []
+            for doc, sheet, size in zip(*(b.column(c).to_pylist() for c in ("document_id", "sheet_name", "size")), strict=True):
+                if (doc, sheet) != at:
+                    at, used, part = (doc, sheet), 0, 0
+                elif used + size + 1 > budget:
+                    used, part = 0, part + 1
+                used += size + 1
+                out.append(part)
+            yield pa.RecordBatch.from_arrays([b.column("document_id"), b.column("sheet_name"), b.column("row_no"), pa.array(out, pa.int32())], ["document_id", "sheet_name", "row_no", "part"])
+
+    keys = ["document_id", "sheet_name"]
+    sizes = lines.select(*[F.col(k).cast("string") for k in keys], F.col("row_no").cast("bigint"), F.length("line").alias("size"))
+    return sizes.repartition(*keys).sortWithinPartitions(*keys, "row_no").mapInArrow(cut, "document_id string, sheet_name string, row_no bigint, part int")
+
+
+def chunk_rows_by_budget(lines: DataFrame, budget: int = ROW_BUDGET) -> DataFrame:
+    """lines (document_id, sheet_name, row_no, line; one a row number) packed up to budget characters, each line counting its length and one.
+
+    Only lengths are packed in order; the lines themselves are gathered chunk by chunk.
     """
-    block = F.floor((F.col("row_no") - 2) / block_rows)
-    packed = lines.withColumn("block", block).groupBy("document_id", "sheet_name", "block").applyInPandas(_pack_lines(budget), "document_id string, sheet_name string, row_start bigint, row_end bigint, content string")
-    return with_chunk_ids(number_chunks(packed, ["sheet_name", "row_start"]))
+    keys = ["document_id", "sheet_name"]
+    parts = _parts(lines, budget)
+    one = F.array_sort(F.collect_list(F.struct("row_no", "line")))
+    packed = lines.join(parts, [*keys, "row_no"]).groupBy(*keys, "part").agg(one.alias("l"))
+    packed = packed.select(*keys, "part", F.col("l")[0]["row_no"].alias("row_start"), F.element_at("l", -1)["row_no"].alias("row_end"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+    # chunks of the sheets before, from counts alone
+    before = Window.partitionBy("document_id").orderBy("sheet_name").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*keys).agg((F.max("part") + 1).alias("n"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return with_chunk_ids(packed.join(offsets, keys).withColumn("chunk_index", (F.col("part") + F.col("before")).cast("int")).drop("part", "before"))
 
 
 def chunk_rows_fixed(lines: DataFrame, rows: int = ROWS) -> DataFrame:

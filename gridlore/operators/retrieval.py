@@ -6,13 +6,14 @@ import hashlib
 import math
 from collections.abc import Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions.filters import contains_any
 from gridlore.functions.intents import intent
-from gridlore.functions.texts import BETWEEN_SOURCES, DOC_PREFIX, FALLBACK_TEXT, FALLBACK_URL, holding_lines, last_row_line, location, query_terms, row_lines, source_text
+from gridlore.functions.texts import BETWEEN_SOURCES, DOC_PREFIX, FALLBACK_TEXT, FALLBACK_URL, MAX_TERMS, holding_lines, last_row_line, location, query_terms, row_lines, source_text
 
 from .tables import in_scope
 
@@ -52,17 +53,49 @@ def _passes(questions: DataFrame, per_pass: int) -> list[DataFrame]:
     return [questions] if n == 1 else [questions.where(F.pmod(F.xxhash64(*questions.columns[:1]), F.lit(n)) == i) for i in range(n)]
 
 
+def first_holding(chunks: DataFrame, text: Column, wanted: DataFrame, k: int) -> DataFrame:
+    """question_id, chunk_id, chunk_index: for each of wanted (question_id, pattern) chunks whose text holds the pattern, the first k of each pattern among them.
+
+    All patterns are looked for at once: a task runs through its texts with one automaton (Aho-Corasick) and keeps k chunks a pattern, so the
+    chunks never move and what is shuffled is patterns times k rows a task. wanted is one pass's part of the questions, so the patterns are few.
+    """
+    spark, kind = chunks.sparkSession, chunks.schema["chunk_index"].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(sorted(r["pattern"] for r in wanted.where("pattern is not null").select("pattern").distinct().collect()))
+
+    def find(batches):
+        patterns = sent.value
+        automaton = ahocorasick.Automaton()
+        for i, p in enumerate(patterns):
+            if p:
+                automaton.add_word(p, i)
+        automaton.make_automaton()
+        always = [i for i, p in enumerate(patterns) if not p]
+        best: list[list[tuple]] = [[] for _ in patterns]
+        for b in batches:
+            for chunk, at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if not t.is_valid:
+                    continue
+                for i in {i for _, i in automaton.iter(t.as_py())}.union(always) if len(automaton) else always:
+                    best[i].append((at, chunk))
+                    if len(best[i]) >= 2 * k + 8:
+                        best[i] = sorted(best[i])[:k]
+        rows = [(patterns[i], chunk, at) for i, found in enumerate(best) for at, chunk in sorted(found)[:k]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32() if kind == "int" else pa.int64()), strict=True)], ["pattern", "chunk_id", "chunk_index"])
+
+    hits = chunks.select(F.col("chunk_id").cast("string"), "chunk_index", text.alias("text")).mapInArrow(find, f"pattern string, chunk_id string, chunk_index {kind}")
+    return wanted.join(hits, "pattern").select("question_id", "chunk_id", "chunk_index").distinct()
+
+
 def keyword_search_batch(chunks: DataFrame, questions: DataFrame, k: int = KEYWORD_TOP_K, per_pass: int = QUESTIONS_PER_PASS) -> DataFrame:
     """question_id, chunk_id, rank: for each of questions (question_id, query) its first k chunks with one of its terms.
 
-    The chunks are read once for each part of the questions and never moved; a task keeps k rows a question.
+    The chunks are read once for each part of the questions and never moved (see first_holding).
     """
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("chunk_index", "chunk_id"))
     out = None
-    for part in _passes(questions.select("question_id", query_terms(F.col("query")).alias("terms")), per_pass):
-        hit = F.exists("terms", lambda t: F.contains("low", t))
-        low = chunks.select("chunk_id", "chunk_index", F.lower("content").alias("low"))
-        found = low.join(F.broadcast(part), hit).select("question_id", "chunk_id", "chunk_index")
+    for part in _passes(questions.select("question_id", F.explode(query_terms(F.col("query"))).alias("pattern")), per_pass * MAX_TERMS):
+        found = first_holding(chunks, F.lower("content"), part, k)
         found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "chunk_id", "rank")
         out = found if out is None else out.unionByName(found)
     return out
@@ -81,14 +114,14 @@ def semantic_search(vectors: DataFrame, questions: DataFrame, k: int, scope: Col
     """question_id, vec_id, score, rank: the k vectors of highest cosine for each of questions (question_id, vector).
 
     scope filters vectors before anything is ranked, so a search never leaves it. Exact: vectors stay in place, questions are
-    broadcast in bounded parts, and each task keeps k rows a question. Ties follow vec_id.
+    broadcast in bounded parts, and each task keeps k rows a question. Ranked by the whole score, shown with six places; ties follow vec_id.
     """
     rows = (vectors if scope is None else vectors.where(scope)).select("vec_id", unit(F.col("embedding")).alias("u"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id"))
     out = None
     for part in _passes(questions.select("question_id", unit(F.col("vector")).alias("q")), per_pass):
-        scored = rows.join(F.broadcast(part), F.lit(True)).select("question_id", "vec_id", F.round(dot(F.col("u"), F.col("q")), 6).alias("score"))
-        found = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        scored = rows.join(F.broadcast(part), F.lit(True)).select("question_id", "vec_id", dot(F.col("u"), F.col("q")).alias("score"))
+        found = scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -128,10 +161,12 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
             r = F.row_number().over(Window.partitionBy("question_id").orderBy(*order, "chunk_id"))
             return found.withColumn("pos", r).where(F.col("pos") <= k).select("question_id", "chunk_id", "pos")
 
-        by_value = ranked(base.join(q, value_hit), TARGETED)
-        by_file = ranked(base.join(q, F.contains(F.lower("filename"), F.lower("asked_file"))).select("question_id", "chunk_id", "chunk_index", "wants_last"), F.when(F.col("wants_last"), 1).otherwise(keyword_k), F.col("wants_last"))
-        by_row = ranked(base.join(q, F.contains(content, F.concat(F.lit("Row "), F.col("row_no").cast("string")))), TARGETED)
-        by_word = ranked(base.join(q, F.exists("terms", lambda t: F.contains(low, t))), keyword_k)
+        wanted = lambda c: asked.select("question_id", c.alias("pattern"))
+        by_value = ranked(base.join(q, value_hit) if exact else first_holding(base, low, wanted(F.lower("marker")), TARGETED), TARGETED)
+        files = documents.where("status = 'ready'").select("document_id", "filename").join(q, F.contains(F.lower("filename"), F.lower("asked_file"))).select("question_id", "wants_last", "document_id")
+        by_file = ranked(files.join(chunks.select("document_id", "chunk_id", "chunk_index"), "document_id"), F.when(F.col("wants_last"), 1).otherwise(keyword_k), F.col("wants_last"))
+        by_row = ranked(first_holding(base, content, wanted(F.concat(F.lit("Row "), F.col("row_no").cast("string"))), TARGETED), TARGETED)
+        by_word = ranked(first_holding(base, low, wanted(F.explode("terms")), keyword_k), keyword_k)
         branches = [by_value, by_file, by_row, *([semantic.select("question_id", "chunk_id", F.col("rank").alias("pos"))] if semantic is not None else []), by_word]
         listed = merged(branches, by=["question_id"]).join(q, "question_id")
         w = Window.partitionBy("question_id")
@@ -160,6 +195,16 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
     return out
 
 
+def merged_top(lists: Sequence[DataFrame], k: int, key: str = "vec_id") -> DataFrame:
+    """Ranked lists (question_id, key, score, rank) of several scopes as one: of a key the best score stays, and the k best of a question."""
+    all_ = lists[0]
+    for one in lists[1:]:
+        all_ = all_.unionByName(one)
+    best = all_.groupBy("question_id", key).agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), key))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def fit_documents(items: DataFrame, budget: Column, keys: Sequence[str] = ("question_id",), doc_chars: int = 0) -> DataFrame:
     """items (keys, pos, text) in order up to budget characters: the crossing one is cut, and under 200 left nothing more is taken."""
     text = F.substring("text", 1, doc_chars) if doc_chars else F.col("text")

@@ -67,7 +67,8 @@ def in_scope(df: DataFrame, ids: Sequence[str] | None, status: str | None = "sta
 
 def listed(df: DataFrame, ids: Sequence[str], order: Sequence[str], key: str = "document_id") -> DataFrame:
     """Rows of the given ids in order; no ids, no rows."""
-    return df.where(F.col(key).isin(list(ids)) if ids else F.lit(False)).orderBy(*order)
+    found = df.where(F.col(key).isin(list(ids)) if ids else F.lit(False))
+    return found.orderBy(*order) if order else found
 
 
 def columns_by_table(columns: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -83,17 +83,18 @@ over("t03_clamped_groups", "lineitem", lambda d: a.groupby_count(d, "l_partkey",
 over("t03_clamped_rows", _O, lambda d: a.select_rows(d, ["o_orderkey"], limit=9999, order_by=["o_orderkey"]), "select o_orderkey from orders order by 1 limit 500")
 
 
-@query("select (select count(distinct o_custkey) from orders) as count_distinct, (select count(*) from orders) as row_count, false as warning")
+@query("with n as (select count(distinct o_custkey) as d, sum(o_custkey) as s, count(*) as row_count from orders) select 'count_distinct' as operation, d as value, row_count, d > row_count as warning from n union all select 'sum', s, row_count, s > row_count from n")
 def a12_exceeds_profile(spark, sf_dir):
     d = table(spark, sf_dir, "orders")
     stats = profile(d, ["o_custkey"]).select("row_count")
-    return a.exceeds_profile(a.count_distinct(d, "o_custkey"), "count_distinct", stats)
+    found = [a.exceeds_profile(one, name, stats).select(F.lit(name).alias("operation"), F.col(name).cast("bigint").alias("value"), "row_count", "warning") for name, one in (("count_distinct", a.count_distinct(d, "o_custkey")), ("sum", a.sum_of(d, "o_custkey")))]
+    return found[0].unionByName(found[1])
 
 
-@query("select l_returnflag, l_linestatus, count(*) as n from (select l_returnflag, l_linestatus, row_number() over (order by l_orderkey, l_linenumber) as r from lineitem) where r <= 500 group by 1, 2")
+@query("select l_returnflag, l_linestatus, count(*) as n from (select l_returnflag, l_linestatus, row_number() over (order by l_orderkey, l_linenumber, l_returnflag, l_linestatus) as r from lineitem) where r <= (select max(n_nationkey) from nation) group by 1, 2")
 def t07_requested_rows_applied(spark, sf_dir):
-    """The largest row count asked for in the log of conversations (at most 500, which is taken when none asks) as the limit of a selection."""
-    log = table(spark, sf_dir, "conversations")
-    asked = log.agg(F.max(intents.requested_rows(F.col("text"))).alias("n")).first()["n"]
-    rows = a.select_rows(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], limit=asked or a.ROW_CAP, order_by=["l_orderkey", "l_linenumber"])
+    """The largest row count asked for in a log of questions as the limit of a selection."""
+    log = table(spark, sf_dir, "nation").select(F.concat(F.lit("list first "), F.col("n_nationkey").cast("string"), F.lit(" rows of 100 Sales Record file")).alias("query"))
+    wanted = log.agg(F.max(intents.requested_rows(F.col("query"))).alias("n")).first()["n"]
+    rows = a.select_rows(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], limit=wanted, order_by=["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"])
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))

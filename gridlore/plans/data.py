@@ -67,9 +67,59 @@ def text_orders(d: DataFrame) -> DataFrame:
 # S: sources and writes
 
 over(
-    "s01_typed_ingest", "orders", lambda d: ingest.typed(ingest.drop_blank_rows(text_orders(d))).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderdate", "o_orderpriority"),
-    "select o_orderkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice, o_orderdate, o_orderpriority from orders",
+    "s01_typed_ingest", "orders", lambda d: ingest.ingest(text_orders(d)).withColumn("o_totalprice", F.round("o_totalprice", 2)),
+    "select row_number() over () as _source_row_number, o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice, o_orderdate, o_orderpriority from orders",
 )
+
+
+def registered(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """orders as a text file, ingested whole as sheet s of document orders."""
+    from gridlore.streaming.flows import shared_path
+
+    return ingest.register_sheet(text_orders(table(spark, sf_dir, "orders")), shared_path(spark, "sheets"), "orders", "s", ["o_orderkey"])[part]
+
+
+_REGISTERED = "select 'orders' as document_id, 's' as sheet_name, "
+register("s01_registered_table", lambda s, d: registered(s, d, "tables"), _REGISTERED + "'doc_orders__' || substr(sha1('s'), 1, 10) as table_name, count(*) as row_count from orders")
+register(
+    "s01_registered_columns", lambda s, d: registered(s, d, "columns").select("document_id", "sheet_name", "ordinal", "original_name", "safe_name", "logical_type"),
+    _REGISTERED + "(ordinal_position - 1)::int as ordinal, column_name as original_name, 'col_' || column_name as safe_name, case when data_type like '%INT%' then 'integer' when data_type = 'DOUBLE' then 'float' when data_type like 'TIMESTAMP%' then 'date' else 'string' end as logical_type from (select row_number() over () as ordinal_position, column_name, column_type as data_type from (describe select * from orders))",
+)
+register("s01_registered_series", lambda s, d: registered(s, d, "series").select("document_id", "sheet_name", "time_column", "eligible"), _REGISTERED + "'o_orderdate' as time_column, avg((o_orderdate is null)::int) <= 0.3 as eligible from orders")
+register("s01_registered_forecasts", lambda s, d: registered(s, d, "forecasts").select("document_id", "sheet_name", "measure_column", "time_column"), _REGISTERED + "unnest(['o_custkey', 'o_orderkey', 'o_totalprice']) as measure_column, 'o_orderdate' as time_column from (select 1 from orders limit 1)")
+register(
+    "s18_columns_by_table", lambda s, d: tables.columns_by_table(registered(s, d, "columns"), ["orders", "none"]).select("document_id", "sheet_name", F.array_join(F.transform("columns", lambda c: c["original_name"]), ",").alias("names")),
+    _REGISTERED + "string_agg(column_name, ',' order by n) as names from (select row_number() over () as n, column_name from (describe select * from orders))",
+)
+
+
+@query(
+    """with o as (select 'supplier' as document_id, 's_acctbal' as column_name, count(*) as row_count, count(distinct s_acctbal) as distinct_count, 0::bigint as missing_count from supplier),
+    n as (select 'customer' as document_id, unnest(['c_acctbal', 'c_mktsegment']) as column_name, unnest([count(*), count(*)]) as row_count, unnest([count(distinct c_acctbal), count(distinct case when c_mktsegment <> 'BUILDING' then c_mktsegment end)]) as distinct_count, unnest([0, count_if(c_mktsegment = 'BUILDING')::bigint]) as missing_count from customer)
+    select document_id, 's' as sheet_name, column_name, row_count, distinct_count, missing_count from (select * from o union all select * from n)"""
+)
+def s13_profiles_upserted(spark, sf_dir):
+    """The store holds a supplier profile and an outdated one of customer; the new profile of customer replaces its own."""
+    c = table(spark, sf_dir, "customer").select("c_acctbal", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("c_mktsegment"))
+    old = ingest.sheet_profile(table(spark, sf_dir, "supplier").select("s_acctbal"), "supplier", "s").unionByName(ingest.sheet_profile(c.where("c_acctbal < 0").withColumnRenamed("c_acctbal", "gone"), "customer", "s"))
+    return tables.replaced_partition(old, ingest.sheet_profile(c, "customer", "s"), ["document_id", "sheet_name"]).select("document_id", "sheet_name", "column_name", "row_count", "distinct_count", "missing_count")
+
+
+@query(
+    """with m as (select avg((o_orderstatus = 'P')::int) as late, avg((o_orderstatus = 'F')::int) as price from orders)
+    select 'events' as document_id, 's' as sheet_name, 'ts' as time_column, true as eligible, null::varchar as reason from (select 1 from events limit 1) union all
+    select 'orders', 's', 'o_orderdate', late <= 0.3 and price <= 0.3, case when late > 0.3 then 'time_column_high_missing' when price > 0.3 then 'no_eligible_measure' end from m"""
+)
+def s13_series_upserted(spark, sf_dir):
+    """The store holds the records of events and an outdated one of orders, which the new one replaces: dates of P and prices of F are missing."""
+    o = table(spark, sf_dir, "orders")
+    gaps = o.select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("o_totalprice"))
+    old = ingest.sheet_series(table(spark, sf_dir, "events"), "events", "s").unionByName(ingest.sheet_series(o, "orders", "s"))
+    made = tables.upsert(old, ingest.sheet_series(gaps, "orders", "s"), ["document_id", "sheet_name"], [F.asc("time_column")])
+    return made.select("document_id", "sheet_name", "time_column", "eligible", "reason")
+
+
+
 over(
     "s02_blank_rows_dropped", "orders", lambda d: ingest.drop_blank_rows(text_orders(d).withColumns({c: F.when(F.col("o_orderstatus") == "F", F.lit(" ")).otherwise(F.col(c)) for c in d.columns})).agg(F.count(F.lit(1)).alias("n")),
     "select count(*) as n from orders where o_orderstatus <> 'F'",
@@ -88,18 +138,23 @@ def s06_insert_if_absent(spark, sf_dir):
     return archive.save_pages(pages_archive(spark, sf_dir), new).select("url_hash", "url", F.length("content").alias("chars"), "timestamp")
 
 
-@query("with " + HISTORY_SQL + " select query, url_hash, timestamp from h union all select query, url_hash, timestamp from h")
+@query("with " + HISTORY_SQL + " select query, url_hash, timestamp from h union all select lower(trim(text)), md5('http://b/' || item_id), timestamp '2024-05-01' from benchmark")
 def s07_history_appended(spark, sf_dir):
-    h = history(spark, sf_dir)
-    return tables.append(h, h)
+    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"), F.concat(F.lit("http://b/"), F.col("item_id").cast("string")).alias("url"), F.expr("timestamp_ntz '2024-05-01'").alias("timestamp"))
+    return tables.append(history(spark, sf_dir), archive.history_rows(b))
+
+
+_ANSWERS = "select lower(trim(text)) as query, role as answer, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations where {w} qualify row_number() over (partition by lower(trim(text)) order by conv_id * 10 + turn desc, role) = 1"
 
 
-@query("select lower(trim(text)) as query, role as answer, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations qualify row_number() over (partition by lower(trim(text)) order by conv_id * 10 + turn desc, role) = 1")
+@query("with n as (" + _ANSWERS.format(w="turn % 2 = 1") + "), o as (" + _ANSWERS.format(w="turn % 4 <> 3") + ") select * from n union all select * from o where query not in (select query from n)")
 def s08_answers_upserted(spark, sf_dir):
+    """Answers of three turns in four are stored; those of odd turns come anew."""
     c = table(spark, sf_dir, "conversations")
     at = F.expr("timestamp_ntz '2024-03-01' + make_dt_interval(0, 0, cast(conv_id * 10 + turn as int), 0)")
-    rows = c.select(F.col("text").alias("query"), F.col("role").alias("answer"), at.alias("timestamp"))
-    return archive.save_answers(rows.where(F.lit(False)), rows)
+    rows = c.select("turn", F.col("text").alias("query"), F.col("role").alias("answer"), at.alias("timestamp"))
+    old = archive.save_answers(rows.drop("turn").where(F.lit(False)), rows.where("turn % 4 <> 3").drop("turn"))
+    return archive.save_answers(old, rows.where("turn % 2 = 1").drop("turn"))
 
 
 @query("with " + DOCS_SQL + " select document_id, filename, doc_type, size_bytes, case when status = 'pending' then 'error' else status end as status, uploaded_at from d")

@@ -12,7 +12,7 @@ from gridlore.operators import archive, freshness, retrieval, timeseries
 from gridlore.operators.profile import profile, top_values
 
 from .data import CHUNKS_SQL, DOCS_SQL, HISTORY_SQL, chunks, documents, history, order_lines, pages_archive
-from .registry import over, query, register, table
+from .registry import SQL, over, query, register, table
 
 # PR, W9: profiles
 
@@ -60,8 +60,26 @@ register(
     "with " + _DAILY + " select event_type, day, (row_number() over (partition by event_type order by day) - 1)::int as i from y",
 )
 
-over("x01_time_column", "orders", lambda d: d.sparkSession.createDataFrame([(timeseries.time_column(d),)], "time_column string"), "select 'o_orderdate' as time_column")
-over("x02_measures", "lineitem", lambda d: timeseries.measures(d, "l_shipdate"), "select name, 0.0::double as missing_fraction, 'forward_fill' as policy, true as eligible from (values ('l_discount'), ('l_extendedprice'), ('l_linenumber'), ('l_orderkey'), ('l_partkey'), ('l_quantity'), ('l_suppkey'), ('l_tax')) v(name)")
+@query("select case when avg((o_orderstatus = 'F')::int) > 0.8 then 'a_when' when avg((o_orderstatus <> 'P')::int) > 0.8 then 'b_when' end as time_column from orders")
+def x01_time_column(spark, sf_dir):
+    """A table without a date column: texts of which a share reads as dates."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", day).otherwise("n/a").alias("a_when"), F.when(F.col("o_orderstatus") != "P", day).otherwise("n/a").alias("b_when"))
+    return spark.createDataFrame([(timeseries.time_column(d),)], "time_column string")
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with gaps: taxes of returned ones, discounts of those not N."""
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", F.when(flag != "R", F.col("l_tax")).alias("l_tax"), F.when(flag == "N", F.col("l_discount")).alias("l_discount"))
+
+
+_GAPPY = "g as (select unnest(['l_discount', 'l_quantity', 'l_tax']) as name, unnest([avg((l_returnflag <> 'N')::int), 0.0, avg((l_returnflag = 'R')::int)]) as m from lineitem)"
+
+
+@query(f"with {_GAPPY} select name, round(m, 4) as missing_fraction, case when m <= 0.1 then 'forward_fill' when m <= 0.3 then 'forward_fill_warned' else 'ineligible' end as policy, m <= 0.3 as eligible from g where 1 - m > 0.5")
+def x02_measures(spark, sf_dir):
+    return timeseries.measures(gappy(spark, sf_dir), "l_shipdate")
 
 
 @query("with " + _DAILY + ", m as (select event_type, avg((value is null)::int) as missing from y group by 1) select event_type, round(missing, 6) as missing, case when missing <= 0.1 then 'forward_fill' when missing <= 0.3 then 'forward_fill_warned' else 'ineligible' end as policy from m")
@@ -70,7 +88,10 @@ def x03_missing_policy(spark, sf_dir):
     return m.select("event_type", F.round("missing", 6).alias("missing"), timeseries.missing_policy(F.col("missing")).alias("policy"))
 
 
-over("x04_sheet_record", "orders", lambda d: timeseries.sheet_record(d).select("time_column", F.size("measures").alias("n_measures"), "eligible", "reason"), "select 'o_orderdate' as time_column, 3::int as n_measures, true as eligible, null::varchar as reason")
+@query(f"with {_GAPPY} select 'l_shipdate' as time_column, count_if(1 - m > 0.5)::int as n_measures, count_if(1 - m > 0.5 and m <= 0.3) > 0 as eligible, case when count_if(1 - m > 0.5 and m <= 0.3) = 0 then 'no_eligible_measure' end as reason from g")
+def x04_sheet_record(spark, sf_dir):
+    return timeseries.sheet_record(gappy(spark, sf_dir)).select("time_column", F.size("measures").alias("n_measures"), "eligible", "reason")
+
 
 _FIT = _DAILY + """, g as (select event_type, day, coalesce(last_value(value ignore nulls) over (partition by event_type order by day rows between unbounded preceding and current row), first_value(value ignore nulls) over (partition by event_type order by day rows between current row and unbounded following)) as value from y),
   i as (select event_type, value, row_number() over (partition by event_type order by day) - 1 as x from g),
@@ -104,6 +125,22 @@ register("s19_artifacts_newest_first", lambda s, d: artifacts(s, d).where(F.col(
 register("x07_newest_forecast", lambda s, d: timeseries.newest_forecast(artifacts(s, d), documents(s, d), ["1"]).drop("artifact_id", "generated_at"))
 register("x07_no_forecast", lambda s, d: timeseries.newest_forecast(artifacts(s, d), documents(s, d), []).select("reason"), "select 'no_forecast_available' as reason")
 
+
+
+def stamped_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forecast artifact a turn of the conversations, with fixed ids and times."""
+    at = F.expr("timestamp_ntz '2024-03-01' + make_dt_interval(0, 0, cast(conv_id * 7 % 50 + turn as int), 0)")
+    c, text = table(spark, sf_dir, "conversations"), lambda c: F.col(c).cast("string")
+    return c.select(F.md5(F.concat_ws(":", text("conv_id"), text("turn"))).alias("artifact_id"), (F.col("conv_id") % 9).cast("string").alias("document_id"), F.col("role").alias("measure_column"), at.alias("generated_at"))
+
+
+@query("with " + DOCS_SQL + """, a as (select md5(conv_id || ':' || turn) as artifact_id, (conv_id % 9)::varchar as document_id, role as measure_column, timestamp '2024-03-01' + to_minutes((conv_id * 7 % 50 + turn)::int) as generated_at from conversations)
+    select artifact_id, document_id, measure_column, generated_at, filename, null::varchar as reason from (select * from a where document_id in ('1', '4') order by generated_at desc, artifact_id limit 1) left join d using (document_id)""")
+def x07_newest_of_scope(spark, sf_dir):
+    found = timeseries.newest_forecast(stamped_artifacts(spark, sf_dir), documents(spark, sf_dir), ["1", "4"])
+    return found.select("artifact_id", "document_id", "measure_column", "generated_at", "filename", "reason")
+
+
 # R, W5 to W8, U: retrieval
 
 
@@ -179,7 +216,7 @@ def r06_cached_answers(spark, sf_dir):
     return archive.cached_answers(answers, questions)
 
 
-_VEC = "select q.vec_id as question_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 50 = 0"
+_VEC = "select q.vec_id as question_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0"
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,16 +224,31 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
 
 
-@query(f"with s as ({_VEC}) select question_id, score, row_number() over (partition by question_id order by score desc, vec_id)::int as rank from s qualify row_number() over (partition by question_id order by score desc, vec_id) <= 3")
+@query(f"with s as ({_VEC}) select question_id, vec_id, round(score, 6) as score, row_number() over (partition by question_id order by score desc, vec_id)::int as rank from s qualify row_number() over (partition by question_id order by score desc, vec_id) <= 3")
 def r07_semantic_search(spark, sf_dir):
     found = retrieval.semantic_search(table(spark, sf_dir, "embeddings"), vector_questions(spark, sf_dir), 3)
-    return found.select("question_id", "score", "rank")
+    return found.select("question_id", "vec_id", "score", "rank")
 
 
-@query(f"with s as ({_VEC} and e.label in (1, 2)) select question_id, score, row_number() over (partition by question_id order by score desc, vec_id)::int as rank from s qualify row_number() over (partition by question_id order by score desc, vec_id) <= 12")
+@query(f"with s as ({_VEC} and e.label in (1, 2)) select question_id, vec_id, round(score, 6) as score, row_number() over (partition by question_id order by score desc, vec_id)::int as rank from s qualify row_number() over (partition by question_id order by score desc, vec_id) <= 12")
 def r08_u03_semantic_search_in_scope(spark, sf_dir):
     found = retrieval.semantic_search(table(spark, sf_dir, "embeddings"), vector_questions(spark, sf_dir), 12, F.col("label").isin(1, 2))
-    return found.select("question_id", "score", "rank")
+    return found.select("question_id", "vec_id", "score", "rank")
+
+
+@query(SQL["r08_u03_semantic_search_in_scope"])
+def u03_merged_top_k(spark, sf_dir):
+    """The best of each label by itself, merged and cut again."""
+    e, q = table(spark, sf_dir, "embeddings"), vector_questions(spark, sf_dir)
+    return retrieval.merged_top([retrieval.semantic_search(e, q, 12, F.col("label") == n) for n in (1, 2)], 12).select("question_id", "vec_id", "score", "rank")
+
+
+@query("select item_id as question_id, case when item_id % 2 = 0 then 'doc://' || item_id else 'local://weights' end as url, case when item_id % 2 = 0 then text else 'Answer from model knowledge.' end as text from benchmark")
+def r11_fallback_contexts(spark, sf_dir):
+    """Every second question has a context."""
+    q = asked(spark, sf_dir)
+    found = q.where("question_id % 2 = 0").select("question_id", F.concat(F.lit("doc://"), F.col("question_id").cast("string")).alias("url"), F.col("query").alias("text"))
+    return retrieval.with_fallback(q, found)
 
 
 def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,6 +364,12 @@ def z05_enabled_sources(spark, sf_dir):
     return freshness.enabled_sources(s).select("name", "ttl_minutes")
 
 
+@query(f"with {_SOURCES_SQL} select lower(name) as name, ttl_minutes from s where lower(name) = 'france' and length(name) <> 5")
+def z05_source_named(spark, sf_dir):
+    s = sources(spark, sf_dir).withColumn("enabled", F.length("name") != 5)
+    return freshness.source_named(s, "France").select("name", "ttl_minutes")
+
+
 # Q: question logs, over the texts of conversations and questions made from nations
 
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.functions.cells import TYPES, infer_types, normalized, safe_names, stripped
+from gridlore.functions.cells import TYPES, infer_types, normalized, safe_names, stripped, table_name
 from gridlore.functions.filters import column
 from gridlore.functions.texts import page_text
+from gridlore.operators.profile import profile
 from gridlore.operators.tables import row_numbers
+from gridlore.operators.timeseries import forecast_artifacts, sheet_forecasts, sheet_record
 
 EXTENSIONS = {"csv": "table", "json": "table", "parquet": "table", "pdf": "pdf", "xlsx": "xlsx", "xls": "xls", "txt": "text", "html": "page"}
 MIME = {"csv": "text/csv", "json": "application/json", "parquet": "application/vnd.apache.parquet", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html"}
@@ -57,6 +59,40 @@ def registry_rows(spark: SparkSession, document_id: str, sheet: str, types: dict
     return spark.createDataFrame(rows, "document_id string, sheet_name string, ordinal int, original_name string, safe_name string, logical_type string, stored_type string, nullable boolean")
 
 
+def sheet_profile(df: DataFrame, document_id: str, sheet: str) -> DataFrame:
+    """A typed table's profile as rows of the store of profiles: one a column, keyed by document and sheet."""
+    return profile(df).select(F.lit(document_id).alias("document_id"), F.lit(sheet).alias("sheet_name"), "*")
+
+
+def sheet_series(df: DataFrame, document_id: str, sheet: str) -> DataFrame:
+    """A typed table's time-series record, one row keyed by document and sheet."""
+    return sheet_record(df).select(F.lit(document_id).alias("document_id"), F.lit(sheet).alias("sheet_name"), "*")
+
+
+def register_sheet(raw: DataFrame, store: str, document_id: str, sheet: str, tie: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Ingest a raw table whole: its typed rows are written to store and read again, and what the registry keeps of it is returned.
+
+    tables: document_id, sheet_name, table_name, row_count; columns: one row a column; profiles, series: see sheet_profile and sheet_series;
+    forecasts: artifacts of the measures that can be forecast, none where the series is not eligible. The caller upserts each by document and
+    sheet; the sheet that sorts first is a document's default one.
+    """
+    spark, types = raw.sparkSession, infer_types(raw)
+    write_table(ingest(raw, types), store, document_id, sheet)
+    rows = spark.read.parquet(store).where((F.col("document_id") == document_id) & (F.col("sheet_name") == sheet)).drop("document_id", "sheet_name")
+    seen = rows.drop("_source_row_number")
+    series = sheet_series(seen, document_id, sheet)
+    record = series.first()
+    names = [m["name"] for m in record["measures"] if m["eligible"]] if record["eligible"] else []
+    time = record["time_column"] or seen.columns[0]
+    made = sheet_forecasts(rows.where(F.lit(bool(names))), time, names or [seen.columns[0]], tie or ["_source_row_number"])
+    key = table_name(F.lit(document_id), F.lit(sheet)).alias("table_name")
+    return {
+        "tables": rows.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(document_id).alias("document_id"), F.lit(sheet).alias("sheet_name"), key, "row_count"),
+        "columns": registry_rows(spark, document_id, sheet, types), "profiles": sheet_profile(seen, document_id, sheet), "series": series,
+        "forecasts": forecast_artifacts(made, document_id, sheet, time),
+    }
+
+
 def write_table(df: DataFrame, path: str, document_id: str, sheet: str) -> None:
     """Replace one sheet's partition of a store of typed tables."""
     keyed = df.withColumns({"document_id": F.lit(document_id), "sheet_name": F.lit(sheet)})

@@ -37,7 +37,19 @@ def test_cells(spark, text, kind, want):
     assert got == want
 
 
+def test_dates_of_every_notation(spark):
+    import datetime
+
+    t = datetime.datetime
+    cells_ = {"2020-01-02 03:04:05.678901": t(2020, 1, 2, 3, 4, 5, 678901), "2020-01-02 03:04:05": t(2020, 1, 2, 3, 4, 5), "2020-01-02T03:04:05": t(2020, 1, 2, 3, 4, 5), "2020-01-02T03:04:05.5": t(2020, 1, 2, 3, 4, 5, 500000), "2020-01-02": t(2020, 1, 2), "2020/01/02": t(2020, 1, 2), "01/02/2020": t(2020, 1, 2), " 2020-01-02\u00a0": t(2020, 1, 2), "2020": None, "5-LOW": None, "2020-13-01": None, "20-01-02": None, "": None, "1/2/2020x": None}
+    rows = spark.createDataFrame([(c,) for c in cells_], "c string").select("c", cells.read_date(F.col("c")).alias("d")).collect()
+    slow = spark.createDataFrame([(c,) for c in cells_], "c string").select("c", F.coalesce(*[F.try_to_timestamp(cells.stripped(F.col("c")), F.lit(f)) for f in cells.DATE_FORMATS]).alias("d"))
+    assert {r["c"]: r["d"] for r in rows} == cells_ and all(r["d"] == cells_[r["c"]] for r in slow.collect() if r["c"] != "2020")
+
+
 def test_safe_names():
+    assert list(cells.safe_names(["a", "A", "a!", "a_2"]).values()) == ["col_a", "col_a_2", "col_a_3", "col_a_2_2"]
+    assert len(set(cells.safe_names([f"x{'!' * k}" for k in range(3000)]).values())) == 3000
     assert cells.safe_names(["Total Revenue", "total-revenue", "__", "", "2020"]) == {"Total Revenue": "col_total_revenue", "total-revenue": "col_total_revenue_2", "__": "col_col", "": "col_col_2", "2020": "col_2020"}
 
 
@@ -95,7 +107,9 @@ def test_row_chunks(spark):
     rows = chunking.chunk_rows_by_budget(lines, 500).orderBy("chunk_index").collect()
     assert "\n".join(r["content"] for r in rows) == "\n".join(r["line"] for r in lines.orderBy("row_no").collect())
     assert all(len(r["content"]) < 500 for r in rows) and rows[0]["row_start"] == 2 and rows[-1]["row_end"] == 201
-    assert chunking.chunk_rows_by_budget(lines, 500, block_rows=20).agg(F.max(F.col("row_end") - F.col("row_start"))).first()[0] < 20
+    two = lines.unionByName(lines.where("row_no < 50").withColumn("sheet_name", F.lit("a"))).repartition(7)
+    again = chunking.chunk_rows_by_budget(two, 500).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in again] == list(range(len(again))) and [r["content"] for r in again if r["sheet_name"] == "s"] == [r["content"] for r in rows] and again[0]["sheet_name"] == "a"
 
 
 def test_first_write_wins_or_last(spark):
