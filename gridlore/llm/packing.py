@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -143,22 +144,23 @@ def _packed_ids(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, piece, start, length, ids (binary: little-endian unsigned 32-bit) of each document's ids and eos.
+def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """id_col, piece, start, length, ids (binary: little-endian unsigned 32-bit; with digest their CRC-32 as ids_crc32 instead) of each document's ids and eos.
 
     Documents of more than capacity ids are cut into pieces of capacity; what is over goes in the first, so only that may be
     shorter. Null text counts as empty: one piece that is eos alone. Rows that repeat an id give their pieces again.
     """
     spec = bounded_batches(docs.sparkSession).sparkContext.broadcast(Spec.of(tokenizer_path))
     end = np.array([eos], "<u4").tobytes()
-    names = ["id", "piece", "start", "length", "ids"]
+    names = ["id", "piece", "start", "length", "ids_crc32" if digest else "ids"]
+    last = zlib.crc32 if digest else bytes
 
     @worker("pretokens")
     def cut(batches):
         enc = encoder(spec.value, "bytes", _packed_ids)
         kinds = None
         for b in batches:
-            kinds = kinds or [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = kinds or [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()]
             out: list[tuple] = []
             size = 0
             for i, ids in zip(b.column(0).to_pylist(), enc.each((t.as_py() for t in b.column(1)), b"".join), strict=True):
@@ -167,8 +169,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
                 first = n % capacity or capacity
                 cuts = [0, *range(first, n, capacity), n] if n > capacity else [0, n]
                 for k in range(len(cuts) - 1):
-                    out.append((i, k, cuts[k], cuts[k + 1] - cuts[k], ids[4 * cuts[k] : 4 * cuts[k + 1]]))
-                size += len(ids)
+                    out.append((i, k, cuts[k], cuts[k + 1] - cuts[k], last(ids[4 * cuts[k] : 4 * cuts[k + 1]])))
+                size += 100 if digest else len(ids)
                 if size > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out, size = [], 0
@@ -176,7 +178,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    made = rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    made = rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, {names[-1]} {'long' if digest else 'binary'}")
     return made.withColumnRenamed("id", id_col) if id_col != "id" else made
 
 
@@ -185,9 +187,7 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacit
 
     Null ids and texts, repeated rows, long texts and empty tables: as in token_pieces and pack. Other columns of docs are left out.
     """
-    pieces = token_pieces(docs, tokenizer_path, eos, capacity)
-    pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(pieces, capacity)
+    return pack(written(token_pieces(docs, tokenizer_path, eos, capacity, digest=True), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
