@@ -175,7 +175,7 @@ def page_records(pages: DataFrame) -> DataFrame:
 def op2_warc_transactions(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(page_records(table(spark, sf_dir, "pages")), path)
-    rows = assemble(read_archives(spark, path))
+    rows = assemble(written(read_archives(spark, path), "records"))  # the archives are read once, not once for each side of a join
     about = F.col("metadata")[0]["block"].cast("string")
     number = lambda name: F.nullif(F.regexp_extract(about, rf"(?m)^{name}: (-?\d+)\r?$", 1), F.lit("")).cast("long")
     return rows.select(
