@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.cells import row_text
 from gridlore.functions.texts import page_text
+from gridlore.operators.tables import number_in_blocks
 
 TEXT_SIZE, ROW_BUDGET, ROWS = 2000, 3500, 50
+#: Chunks of fixed rows that one task numbers.
+BLOCK_CHUNKS = 4096
 _CHUNK = "document_id string, page int, pos int, content string"
 
 
@@ -103,13 +106,15 @@ def chunk_rows_by_budget(lines: DataFrame, budget: int = ROW_BUDGET) -> DataFram
     return with_chunk_ids(packed.join(offsets, keys).withColumn("chunk_index", (F.col("part") + F.col("before")).cast("int")).drop("part", "before"))
 
 
-def chunk_rows_fixed(lines: DataFrame, rows: int = ROWS) -> DataFrame:
-    """lines in chunks of rows row numbers."""
+def chunk_rows_fixed(lines: DataFrame, rows: int = ROWS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """lines in chunks of rows row numbers, numbered over a document's sheets in blocks."""
     part = F.floor((F.col("row_no") - 2) / rows)
     one = F.struct("row_no", "line")
     grouped = lines.groupBy("document_id", "sheet_name", part.alias("part")).agg(F.array_sort(F.collect_list(one)).alias("l"))
-    made = grouped.select("document_id", "sheet_name", (F.col("part") * rows + 2).cast("bigint").alias("row_start"), F.array_max(F.transform("l", lambda x: x["row_no"])).alias("row_end"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
-    return with_chunk_ids(number_chunks(made, ["sheet_name", "row_start"]))
+    block = F.struct("sheet_name", F.floor(F.col("part") / block_chunks))
+    grouped = number_in_blocks(grouped, ["document_id"], ["part"], block, "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
+    made = grouped.select("document_id", "sheet_name", (F.col("part") * rows + 2).cast("bigint").alias("row_start"), F.array_max(F.transform("l", lambda x: x["row_no"])).alias("row_end"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"), "chunk_index")
+    return with_chunk_ids(made)
 
 
 def chunk_documents(texts: DataFrame, lines: DataFrame, size: int = TEXT_SIZE, budget: int = ROW_BUDGET) -> DataFrame:
@@ -119,5 +124,3 @@ def chunk_documents(texts: DataFrame, lines: DataFrame, size: int = TEXT_SIZE, b
     a = chunk_texts(texts, size).select("chunk_id", "document_id", "chunk_index", "content", meta(F.col("page"), none("string"), none("bigint"), none("bigint")))
     b = chunk_rows_by_budget(lines, budget).select("chunk_id", "document_id", "chunk_index", "content", meta(none("int"), F.col("sheet_name"), F.col("row_start"), F.col("row_end")))
     return a.unionByName(b)
-
-

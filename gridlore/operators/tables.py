@@ -108,3 +108,28 @@ def row_numbers(df: DataFrame, name: str = "_source_row_number") -> DataFrame:
     offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # a row for each partition
     numbered = marked.withColumn("__part", F.shiftright(id_, 33)).join(F.broadcast(offsets), "__part")
     return numbered.withColumn(name, F.col(id_).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1).select(name, *df.columns)
+
+
+def number_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], block: Column, name: str, start: int = 0) -> DataFrame:
+    """name numbers each key's rows in order. Rows are sorted block by block, and counts of the blocks before give a block's first number.
+
+    block must not be null and must never fall along the order, as a rounded-down number or day does not; it decides how much one task sorts.
+    """
+    marked = df.withColumn("__block", block)
+    counts = marked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(*order))
+    joined = with_offsets(marked.withColumn("__place", place), offsets, keys)
+    return joined.withColumn(name, F.col("__place") - 1 + start + F.col("__before")).drop("__place", "__before", "__block")
+
+
+def with_offsets(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the other columns of offsets, which has a row for each of the keys and __block; null keys meet."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    right = offsets.withColumnsRenamed({**dict(zip(keys, names, strict=True)), "__block": "__b"})
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    on = F.col("__block") == F.col("__b")
+    for c in same:
+        on = on & c
+    return rows.join(right, on).drop(*names, "__b")

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gridlore.functions.cells import read_date
 from gridlore.functions.filters import column, visible
+from gridlore.operators.tables import number_in_blocks, with_offsets
 
 FILL, WARN = 0.1, 0.3
 TIME_SHARE, MEASURE_SHARE = 0.8, 0.5
@@ -62,13 +64,48 @@ def sheet_record(df: DataFrame) -> DataFrame:
     )
 
 
+def _block(series: DataFrame, name: str) -> Column:
+    """A value that never falls along name in order (nulls last) and is shared by few enough rows for one task: a day, 32 dates, 4,096 numbers."""
+    kind, c = series.schema[name].dataType.typeName(), F.col(name)
+    if kind in ("string", "varchar", "char"):
+        return F.coalesce(F.substring(c, 1, 7), F.lit("\U0010ffff"))
+    if kind == "date":
+        part = F.floor(F.unix_date(c) / 32)
+    elif kind == "timestamp":
+        part = F.floor(F.unix_seconds(c) / 86400)
+    elif kind == "timestamp_ntz":
+        part = F.unix_date(c.cast("date"))
+    elif isinstance(series.schema[name].dataType, NumericType):
+        part = F.when(~F.isnan(c.cast("double")), F.floor(c.cast("double") / 4096))
+    else:
+        part = F.lit(0)
+    return F.coalesce(part.cast("long"), F.lit(2**63 - 1))
+
+
+def _in_blocks(series: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """series with its gaps filled and __x, the place of a row from 0. Only a block of a series is sorted by one task; blocks hand on their last value and count."""
+    marked = series.withColumn("__block", _block(series, order[0]))
+    at = F.when(F.col(value).isNotNull(), F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order]))
+    ends = marked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("n"), F.max_by(value, at).alias("last"), F.min_by(value, at).alias("first"))
+    blocks = Window.partitionBy(*keys).orderBy("__block")
+    past = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    # only the leading gap is filled from after, so the series' first value will do
+    lead = F.first("first", True).over(blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carried = ends.select(*keys, "__block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__before"), F.last("last", True).over(past).alias("__past"), lead.alias("__lead"))
+    w = Window.partitionBy(*keys, "__block").orderBy(*[F.asc_nulls_last(c) for c in order])
+    own = marked.withColumns({"__own": F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__place": F.row_number().over(w)})
+    joined = with_offsets(own, carried, keys)
+    return joined.withColumns({value: F.coalesce("__own", "__past", "__lead"), "__x": F.col("__place") - 1 + F.col("__before")}).select(*series.columns, "__x")
+
+
 def filled(series: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
-    """value with gaps filled from before, then from after; a window sorts one series at a time and spills."""
-    w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
-    before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # only the leading gap is filled from after, so the series' first value will do: one frame for all rows
-    after = F.first(value, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return series.withColumn(value, F.coalesce(before, after))
+    """value with gaps filled from before, then from after."""
+    return _in_blocks(series, keys, order, value).drop("__x")
+
+
+def indexed(series: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i") -> DataFrame:
+    """series with the place of each row in its series, from 0."""
+    return number_in_blocks(series, keys, [F.asc_nulls_last(c) for c in order], _block(series, order[0]), name)
 
 
 def forecast(series: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", horizon: int = HORIZON) -> DataFrame:
@@ -79,10 +116,9 @@ def forecast(series: DataFrame, keys: Sequence[str], order: Sequence[str], value
     """
     share = series.groupBy(*keys).agg((F.count_if(F.col(value).isNull()) / F.count(F.lit(1))).alias("missing"))
     kept = share.withColumn("policy", missing_policy(F.col("missing"))).where("policy <> 'ineligible'")
-    gap_free = filled(series.join(kept, list(keys)), keys, order, value).where(F.col(value).isNotNull())
-    x = (F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])) - 1).cast("double")
+    gap_free = _in_blocks(series.join(kept, list(keys)), keys, order, value).where(F.col(value).isNotNull())
     y = F.col(value).cast("double")
-    fit = gap_free.withColumn("x", x).groupBy(*keys).agg(
+    fit = gap_free.withColumn("x", F.col("__x").cast("double")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, F.col("x")).alias("slope"), F.regr_intercept(y, F.col("x")).alias("intercept"),
         F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, F.col("x")) - F.try_divide(F.pow(F.regr_sxy(y, F.col("x")), 2), F.regr_sxx(y, F.col("x")))) / F.count(F.lit(1))).alias("std"),
         F.first("missing").alias("missing"), F.first("policy").alias("policy"),

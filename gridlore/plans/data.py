@@ -280,11 +280,9 @@ def k01_text_chunks(spark, sf_dir):
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").withColumns({"document_id": F.lit("orders"), "sheet_name": F.col("o_orderpriority")})
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("sheet_name").orderBy("o_orderkey"))
-    return row_lines_of(d.withColumn("n", n), ["o_orderkey", "o_orderstatus"], "n", ["document_id", "sheet_name"])
+    d = table(spark, sf_dir, "orders").select(F.lit("orders").alias("document_id"), F.col("o_orderpriority").alias("sheet_name"), "o_orderkey", "o_orderstatus")
+    numbered = tables.number_in_blocks(d, ["sheet_name"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536), "n", 1)
+    return row_lines_of(numbered, ["o_orderkey", "o_orderstatus"], "n", ["document_id", "sheet_name"])
 
 
 @query()

@@ -56,7 +56,7 @@ def w02_w03_filled(spark, sf_dir):
 
 
 register(
-    "w04_index", lambda s, d: daily(s, d).select("event_type", "day", (F.row_number().over(Window.partitionBy("event_type").orderBy("day")) - 1).alias("i")),
+    "w04_index", lambda s, d: timeseries.indexed(daily(s, d), ["event_type"], ["day"]).select("event_type", "day", F.col("i").cast("int")),
     "with " + _DAILY + " select event_type, day, (row_number() over (partition by event_type order by day) - 1)::int as i from y",
 )
 

@@ -214,6 +214,40 @@ def test_forecast_bands(spark):
     assert got["gap"]["policy"] == "forward_fill" and got["gap"]["n"] == 10
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(12,2)", "date", "timestamp", "timestamp_ntz", "string", "boolean"])
+def test_series_in_blocks(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = []
+    for key in ("a", "b", None):
+        for i in rng.permutation(400):
+            n = int(i) * 3671 - 300_000
+            t = {"int": n, "double": n / 7, "decimal(12,2)": n // 5, "date": dt.date(2000, 1, 1) + dt.timedelta(int(i) * 9), "string": f"{int(i) * 7:08d}"}.get(kind, dt.datetime(1999, 12, 25) + dt.timedelta(hours=int(i) * 31))
+            rows.append((key, None if i == 399 else bool(i > 150) if kind == "boolean" else t, int(i), None if i < 5 or rng.random() < 0.4 else float(i)))
+    if kind == "double":
+        rows += [("a", float("nan"), 398, None), ("b", float("inf"), 398, 1.5)]
+    source = {"boolean": "boolean", "decimal(12,2)": "int"}.get(kind, kind)
+    df = spark.createDataFrame(rows, f"k string, t {source}, tie int, value double").withColumn("t", F.col("t").cast(kind)).repartition(7)
+    rank = lambda r: (r["t"] is None, (r["t"] != r["t"], 0 if r["t"] != r["t"] else r["t"]) if r["t"] is not None else 0, r["tie"])
+    want = {}
+    for key in ("a", "b", None):
+        series = sorted((r for r in df.collect() if r["k"] == key), key=rank)
+        last = next(r["value"] for r in series if r["value"] is not None)
+        for i, r in enumerate(series):
+            last = last if r["value"] is None else r["value"]
+            want[key, r["tie"], str(r["t"])] = (i, last)
+    got = timeseries.filled(timeseries.indexed(df, ["k"], ["t", "tie"]), ["k"], ["t", "tie"]).collect()
+    assert len(got) == len(rows) and {(r["k"], r["tie"], str(r["t"])): (r["i"], r["value"]) for r in got} == want
+    assert timeseries.filled(df.where("false"), ["k"], ["t"]).count() == 0
+
+
+def test_numbers_over_blocks(spark):
+    rows = [(s, n) for s in ("x", "y", None) for n in range(2, 700, 3)]
+    lines = spark.createDataFrame([("d", s, n, f"Row {n}") for s, n in rows], "document_id string, sheet_name string, row_no long, line string")
+    got = chunking.chunk_rows_fixed(lines, 1, 16).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in got] == list(range(len(rows)))
+    assert [(r["sheet_name"], r["row_start"]) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]))
+
+
 @pytest.mark.parametrize(("share", "want"), [(0.0, "forward_fill"), (0.1, "forward_fill"), (0.2, "forward_fill_warned"), (0.3, "forward_fill_warned"), (0.31, "ineligible")])
 def test_missing_policy(spark, share, want):
     assert spark.range(1).select(timeseries.missing_policy(F.lit(share)).alias("p")).first()["p"] == want
