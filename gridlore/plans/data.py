@@ -285,7 +285,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_lines_of(numbered, ["o_orderkey", "o_orderstatus"], "n", ["document_id", "sheet_name"])
 
 
-@query()
+@query(
+    """with recursive l as materialized (select o_orderpriority as sheet_name, row_number() over (partition by o_orderpriority order by o_orderkey) + 1 as n, o_orderkey, o_orderstatus from orders),
+    t as materialized (select sheet_name, n, 'Row ' || n || ': o_orderkey=' || o_orderkey || ', o_orderstatus=' || o_orderstatus as line from l),
+    z as materialized (select sheet_name, n, length(line) + 1 as size from t),
+    p as (select sheet_name, n, size as used, 0 as part from z where n = 2
+        union all select z.sheet_name, z.n, case when p.used + z.size > 3500 then z.size else p.used + z.size end, case when p.used + z.size > 3500 then p.part + 1 else p.part end from p join z on z.sheet_name = p.sheet_name and z.n = p.n + 1),
+    g as (select sheet_name, part, min(n) as row_start, max(n) as row_end, string_agg(line, chr(10) order by n) as content from t join p using (sheet_name, n) group by 1, 2),
+    i as (select 'orders' as document_id, sheet_name, row_start, row_end, content, (row_number() over (order by sheet_name, part) - 1)::int as chunk_index from g)
+    select *, md5(document_id || ':' || chunk_index) as chunk_id from i"""
+)
 def k02_row_chunks(spark, sf_dir):
     return chunk_rows_by_budget(order_lines(spark, sf_dir))
 
