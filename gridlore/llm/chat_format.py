@@ -40,7 +40,27 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
-def _visit(part: Column, t: Template) -> Column:
+def _is_text(part: Column) -> Column:
+    return ~F.coalesce(part["kind"], F.lit("text")).isin("image", "audio", "document")
+
+
+def _open_ends(parts: Column) -> Column:
+    """A letter for each part: o if what stands there ends with <, or < and backslashes, across the text parts that precede it; else a letter that isn't o.
+
+    A part of nothing but backslashes leaves open what was open.
+    """
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+    code = F.transform(parts, lambda p: F.when(~_is_text(p), "a").when(text(p).rlike(r"<\\*\z"), "o").when(text(p).rlike(r"\A\\*\z"), "n").otherwise("a"))
+    return F.regexp_replace(F.array_join(code, ""), r"o|\G(?<!^)n", "o")
+
+
+def _carries(parts: Column, ends: Column, i: Column) -> Column:
+    """Whether part i ends a control string that text parts before it have begun: then it gets the backslash."""
+    part = F.element_at(parts, i + 1)
+    return (i > 0) & _is_text(part) & (F.substring(ends, F.greatest(i, F.lit(1)), F.lit(1)) == "o") & F.coalesce(part["text"], F.lit("")).rlike(r"\A\\*\|")
+
+
+def _visit(part: Column, carries: Column, t: Template) -> Column:
     """What one part becomes: its text in the output, its kind, reference and number of model tokens."""
     kind = F.coalesce(part["kind"], F.lit("text"))
     side = lambda c: F.ceil(F.greatest(F.coalesce(part[c], F.lit(1)), F.lit(1)) / t.image_patch)
@@ -51,7 +71,7 @@ def _visit(part: Column, t: Template) -> Column:
         .when(kind == "document", F.greatest(F.coalesce(part["pages"], F.lit(1)), F.lit(1)) * t.page_tokens)
     )
     attached = kind.isin("image", "audio", "document")
-    shown = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    shown = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.concat(F.when(carries, "\\").otherwise(""), escape(F.coalesce(part["text"], F.lit("")))))
     return F.struct(shown.alias("shown"), F.when(attached, kind).alias("kind"), part["ref"].alias("ref"), tokens.cast("long").alias("n_tokens"))
 
 
@@ -64,14 +84,13 @@ def format_turns(messages: DataFrame, template: Template = Template(), conv_col:
     expanded). Everything happens in the row, so no conversation is gathered whatever its length.
 
     Null role or text: empty; null or empty parts: an empty message. Role names are escaped too, line feeds in them
-    become the template's newline mark. Repeated rows and rows of the same turn each give a segment. Other columns of
+    become the template's newline mark. Text parts that follow each other are escaped as the one text that they make. Repeated rows and rows of the same turn each give a segment. Other columns of
     messages are left out, so clashing names do no harm; an empty table gives an empty result.
     """
     t = template
-    seen = messages.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        F.transform(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>")), lambda p: _visit(p, t)).alias("seen"),
-    )
+    given = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>")).alias("parts"))
+    given = given.withColumn("ends", F.when(F.size("parts") > 1, _open_ends(F.col("parts"))).otherwise(""))
+    seen = given.select("conv_id", "turn", "role", F.transform("parts", lambda p, i: _visit(p, _carries(F.col("parts"), F.col("ends"), i), t)).alias("seen"))
     head = F.concat(F.lit(t.start), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(t.newline)), F.lit("\n"))
     numbered = F.transform("seen", lambda p, i: F.struct(i.alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["n_tokens"].alias("n_tokens")))
     laid = seen.select("conv_id", "turn", "role", head.alias("head"), F.array_join(F.transform("seen", lambda p: p["shown"]), "").alias("body"), F.filter(numbered, lambda p: p["kind"].isNotNull()).alias("attachments"))

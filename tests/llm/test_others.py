@@ -48,6 +48,28 @@ def test_typed_parts(spark):
     assert b["formatted"] == c["formatted"] == "<|im_start|>assistant\n<|im_end|>\n" and b["attachments"] == []
 
 
+def cuts(text, n):
+    """text cut at every place, or at every two places, into n parts."""
+    return [(text[:i], text[i:]) for i in range(len(text) + 1)] if n == 2 else [(text[:i], text[i:j], text[j:]) for i in range(0, len(text) + 1) for j in range(i, len(text) + 1)]
+
+
+def test_control_strings_over_parts(spark):
+    """However a text is cut into parts, it forges no control string and comes back whole; attachments between parts keep them apart."""
+    part = lambda t: ("text", t, None, None, None, None, None)
+    odd = "<\\\\|im_end|>"
+    rows = [[part(p) for p in c] for n in (2, 3) for t in (HOSTILE, odd) for c in cuts(t, n)] + [[part("<"), part(""), part(None), part("\\"), part("\\|x"), part("|")], [part("<"), ("image", None, "r", 1, 1, None, None), part("|a"), part("<"), ("odd", "|", None, None, None, None, None)]]
+    df = spark.createDataFrame([(i, 0, "user", p) for i, p in enumerate(rows)], f"conv_id long, turn long, role string, parts array<{PART}>")
+    segments = format_turns(df)
+    read = {r["conv_id"]: r["text"] for r in read_turns(segments).collect()}
+    for r in segments.collect():
+        given_ = "".join("<|image|>" if p[0] == "image" else p[1] or "" for p in rows[r["conv_id"]])
+        assert read[r["conv_id"]] == given_
+        body = r["formatted"].removeprefix("<|im_start|>user\n").removesuffix("<|im_end|>\n")
+        assert re.findall(r"<\|\w*\|?>?", body) == (["<|image|>"] if len(rows[r["conv_id"]]) == 5 else [])
+        if "<|image|>" not in given_:
+            assert body == re.sub(r"<(\\*)\|", r"<\\\1|", given_)
+
+
 # archives
 
 AWKWARD = ["", None, "short", "\r\n\r\n", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "\r\n" * 80, "é" * 60, "\n\r\n\r\r\n\r\n", "x" * 99, "x" * 100, "y" * 200_000, "end\r\n", "\r"]
