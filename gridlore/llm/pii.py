@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from itertools import count
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_of
@@ -31,201 +34,247 @@ _GROUP = r"\d++(?!\.\d)"
 RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!{'|'.join(PATTERNS[k] for k in ('iso_date', 'day_date', 'ssn', 'ip', 'phone'))}){_GROUP})*+"
 #: Group sizes of printed cards, tried in this order; before them one unbroken group.
 LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 5), (6, 13))
-CARD_DIGITS, WALK = (13, 19), 64
+CARD_DIGITS = (13, 19)
+#: Steps of a cycle walk, as rounds of rounds. Each step fails with a chance well under a half; a walk that doesn't end is an error, never a wrong text.
+WALK = (16, 64)
 KINDS = (*PATTERNS, "card")
 ANY = "|".join(f"(?:{p})" for p in (*PATTERNS.values(), RUN))
 _PIECES = "array<struct<m:string,kind:string>>"
 #: The days from 1900-01-01 to 2099-12-31, which are all that the patterns take, as the product of the halves' sizes.
 DATE_SPAN = (17, 4297)
+#: Ranges of characters that are all letters, or all digits, of one script (and one case in Latin-1), the first and the last of each. A
+#: character moves within its range.
+ASCII_RANGES = ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+RANGES = (
+    (0xC0, 0xD6), (0xE0, 0xF6), (0xD8, 0xDE), (0xF8, 0xFF), (0x100, 0x17F), (0x180, 0x24F), (0x250, 0x2AF), (0x370, 0x373), (0x388, 0x38A), (0x38E, 0x3A1), (0x3A3, 0x3F5), (0x3F7, 0x3FF),
+    (0x400, 0x481), (0x48A, 0x523), (0x531, 0x556), (0x561, 0x587), (0x5D0, 0x5EA), (0x621, 0x64A), (0x660, 0x669), (0x671, 0x6D3), (0x6F0, 0x6F9), (0x905, 0x939), (0x966, 0x96F), (0x985, 0x98C), (0x993, 0x9A8), (0x9AA, 0x9B0),
+    (0x9E6, 0x9EF), (0xA05, 0xA0A), (0xA13, 0xA28), (0xA85, 0xA8D), (0xA93, 0xAA8), (0xB85, 0xB8A), (0xBAE, 0xBB9), (0xC05, 0xC0C), (0xC12, 0xC28), (0xC85, 0xC8C), (0xC92, 0xCA8), (0xD05, 0xD0C), (0xD12, 0xD28), (0xE01, 0xE30), (0xE50, 0xE59),
+    (0xE94, 0xE97), (0xE99, 0xE9F), (0xF49, 0xF6C), (0x1000, 0x102A), (0x10A0, 0x10C5), (0x10D0, 0x10FA), (0x1200, 0x1248), (0x1780, 0x17B3), (0x1820, 0x1877), (0x1E00, 0x1EFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312D),
+    (0x3131, 0x318E), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A),
+)
+MOVABLE = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in (*ASCII_RANGES, *RANGES))
+#: Where a run of groups would be cut by a date.
+DATED = rf"(?:^|[^\d-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\d-])"
+
+# All expressions are SQL texts, which Spark parses once; functions of this module put them together. key is a column.
+
+_VARIABLES = count()
+
+
+def _with(value: str, f: Callable[[str], str]) -> str:
+    """f of value, which is computed once."""
+    v = f"x{next(_VARIABLES)}"
+    return f"transform(array({value}), {v} -> {f(v)})[0]"
+
+
+def _map(array: str, f: Callable[[str], str]) -> str:
+    v = f"x{next(_VARIABLES)}"
+    return f"transform({array}, {v} -> {f(v)})"
+
+
+def _map_at(array: str, f: Callable[[str, str], str]) -> str:
+    v, i = f"x{next(_VARIABLES)}", f"x{next(_VARIABLES)}"
+    return f"transform({array}, ({v}, {i}) -> {f(v, i)})"
+
+
+def _fold(array: str, start: str, step: Callable[[str, str], str], end: Callable[[str], str] | None = None) -> str:
+    a, v, e = (f"x{next(_VARIABLES)}" for _ in range(3))
+    return f"aggregate({array}, {start}, ({a}, {v}) -> {step(a, v)}" + (f", {e} -> {end(e)})" if end else ")")
+
+
+def _order(inverse: bool) -> str:
+    return f"sequence({ROUNDS - 1}, 0, -1)" if inverse else f"sequence(0, {ROUNDS - 1})"
+
+
+def _noise(tweak: str, i: str, other: str) -> str:
+    return f"sha2(concat_ws('|', key, '{tweak}', cast({i} as string), {other}), 256)"
+
 
+def _shift(part: str, noise: str, sign: int, wide: bool) -> str:
+    """Each character of a range moved within it by its own share of the noise."""
 
-def _noise(key: str, tweak: str, i: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other), 256)
+    def move(digest: str, c: str, j: str) -> str:
+        def turned(a: str) -> str:
+            by = f"{sign} * cast(conv(substring({digest}, pmod({j}, 16) * 4 + 1, 4), 16, 10) as int)"
+            place = lambda low, high: f"({low} + pmod({a} - {low} + {by}, {high - low + 1}))"
+            ascii_ = " ".join(f"when {a} between {low} and {high} then char({place(low, high)})" for low, high in ASCII_RANGES)
+            if not wide:
+                return f"case {ascii_} else {c} end"
+            more = " ".join(f"when {a} between {low} and {high} then {place(low, high)}" for low, high in RANGES)
+            moved = _with(f"case when {a} > 127 then case {more} end end", lambda n: f"if({n} is null, {c}, decode(unhex(lpad(hex({n}), 4, '0')), 'UTF-16BE'))")
+            return f"case {ascii_} else {moved} end"
 
+        return _with(f"ascii({c})", turned)
 
-def _shift(part: Column, noise: Column, sign: int) -> Column:
-    """Each digit and letter of A-Z, a-z, À-Ö and à-ö moved within its class by its own share of the noise."""
+    return _with(noise, lambda digest: f"array_join({_map_at(f'split({part}, {_q})', lambda c, j: move(digest, c, j))}, '')")
 
-    def move(c: Column, j: Column) -> Column:
-        by = F.conv(F.substring(noise, F.pmod(j, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
-        a = F.ascii(c)
-        turn = lambda low, n: F.char(F.lit(low) + F.pmod(a - low + by, F.lit(n)))
-        return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).when(c.rlike("^[À-Ö]$"), turn(0xC0, 23)).when(c.rlike("^[à-ö]$"), turn(0xE0, 23)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(part, ""), move), "")
+_q = "''"
 
 
-def permute_text(s: Column, key: str, tweak: str, inverse: bool = False) -> Column:
-    """A keyed permutation of the strings with the same classes in the same places: a Feistel network on the two halves."""
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s) - half).alias("r"))
-    sign = -1 if inverse else 1
+def permute_text(s: str, tweak: str, inverse: bool = False, wide: bool = False) -> str:
+    """A keyed permutation of the strings with characters of the same ranges in the same places: a Feistel network on the two halves."""
 
-    def step(at: Column, i: Column) -> Column:
-        left = F.struct(_shift(at["l"], _noise(key, tweak, i, at["r"]), sign).alias("l"), at["r"].alias("r"))
-        right = F.struct(at["l"].alias("l"), _shift(at["r"], _noise(key, tweak, i, at["l"]), sign).alias("r"))
-        return F.when(i % 2 == 0, left).otherwise(right)
+    def network(x: str) -> str:
+        def step(at: str, i: str) -> str:
+            first = f"{i} % 2 = 0"
+            new = _shift(f"if({first}, {at}.l, {at}.r)", _noise(tweak, i, f"if({first}, {at}.r, {at}.l)"), -1 if inverse else 1, wide)
+            return _with(new, lambda z: f"named_struct('l', if({first}, {z}, {at}.l), 'r', if({first}, {at}.r, {z}))")
 
-    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(order, start, step, lambda at: F.concat(at["l"], at["r"]))
+        half = f"cast(floor(length({x}) / 2) as int)"
+        start = f"named_struct('l', substring({x}, 1, {half}), 'r', substring({x}, {half} + 1, length({x}) - {half}))"
+        return _fold(_order(inverse), start, step, lambda at: f"concat({at}.l, {at}.r)")
 
+    return _with(s, network)
 
-def permute_pair(left: Column, right: Column, a: int | Column, b: int | Column, key: str, tweak: str, inverse: bool = False) -> Column:
+
+def permute_pair(left: str, right: str, a: str | int, b: str | int, tweak: str, inverse: bool = False) -> str:
     """A keyed permutation of the pairs (0 to a-1, 0 to b-1), as a struct l, r; each half is moved modulo its own size."""
-    sign = -1 if inverse else 1
-    a, b = (n if isinstance(n, Column) else F.lit(n).cast("long") for n in (a, b))
 
-    def step(at: Column, i: Column) -> Column:
-        by = lambda other: F.conv(F.substring(_noise(key, tweak, i, other.cast("string")), 1, 12), 16, 10).cast("long") * sign
-        first = F.struct(F.pmod(at["l"] + by(at["r"]), a).alias("l"), at["r"].alias("r"))
-        second = F.struct(at["l"].alias("l"), F.pmod(at["r"] + by(at["l"]), b).alias("r"))
-        return F.when(i % 2 == 0, first).otherwise(second)
+    def step(at: str, i: str) -> str:
+        first = f"{i} % 2 = 0"
+        by = f"{-1 if inverse else 1} * cast(conv(substring({_noise(tweak, i, f'cast(if({first}, {at}.r, {at}.l) as string)')}, 1, 12), 16, 10) as bigint)"
+        return _with(by, lambda z: f"named_struct('l', if({first}, pmod({at}.l + {z}, cast({a} as bigint)), {at}.l), 'r', if({first}, {at}.r, pmod({at}.r + {z}, cast({b} as bigint))))")
 
-    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(order, F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
+    return _fold(_order(inverse), f"named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint))", step)
 
 
-def _digits(s: Column) -> Column:
-    return F.regexp_replace(s, "[^0-9]", "")
+def _digits(s: str) -> str:
+    return f"regexp_replace({s}, '[^0-9]', '')"
 
 
-def _luhn(digits: Column) -> Column:
+def _luhn(digits: str) -> str:
     """The Luhn sum of the digits, the last of which counts once."""
-    doubled = lambda v: F.when(v > 4, v * 2 - 9).otherwise(v * 2)
-    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, doubled(c.cast("int"))).otherwise(c.cast("int")))
-    return F.aggregate(each, F.lit(0), lambda t, v: t + v)
+    doubled = lambda v: f"if({v} > 4, {v} * 2 - 9, {v} * 2)"
+    each = _map_at(f"split(reverse({digits}), '')", lambda c, i: _with(f"ascii({c}) - 48", lambda v: f"if({i} % 2 = 1, {doubled(v)}, {v})"))
+    return _fold(each, "0", lambda t, v: f"{t} + {v}")
 
 
-def _compact(s: Column) -> Column:
-    return F.regexp_replace(s, " ", "")
+def _compact(s: str) -> str:
+    return f"replace({s}, ' ', '')"
 
 
-def _mod97(s: Column) -> Column:
+def _mod97(s: str) -> str:
     """The IBAN remainder of letters and digits, letters counting 10 to 35."""
-    codes = F.transform(F.split(s, ""), lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
-    return F.aggregate(codes, F.lit(0), lambda t, v: F.when(v > 9, t * 100 + v).otherwise(t * 10 + v) % 97)
+    codes = _map(f"split({s}, '')", lambda c: _with(f"ascii({c})", lambda a: f"if({a} between 48 and 57, {a} - 48, {a} - 55)"))
+    return _fold(codes, "0", lambda t, v: f"if({v} > 9, {t} * 100 + {v}, {t} * 10 + {v}) % 97")
 
 
-def _into(shape: Column, digits: Column) -> Column:
+def _into(shape: str, digits: str) -> str:
     """shape with its digits replaced in order."""
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, F.length(_digits(F.substring(shape, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
+    return f"array_join({_map_at(f'split({shape}, {_q})', lambda c, i: f'if(ascii({c}) between 48 and 57, substring({digits}, length({_digits(f"substring({shape}, 1, {i})")}) + 1, 1), {c})')}, '')"
 
 
-def _day(m: Column) -> Column:
-    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
+def _day(m: str) -> str:
+    return f"if(contains({m}, '-'), try_to_date({m}, 'yyyy-MM-dd'), try_to_date({m}, 'dd/MM/yyyy'))"
 
 
-def _kind(m: Column) -> Column:
-    """Which kind of personal value m is, after its check: IBAN remainder, calendar, allotted number ranges; null if none. Cards: _pieces."""
+def _kind(m: str) -> str:
+    """Which kind of personal value m is, after its check: IBAN remainder, an address's movable characters, calendar, allotted number ranges; null if none. Cards: _units."""
     checks = {
-        "iban": _mod97(F.concat(F.substring(_compact(m), F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1,
-        "email": F.lit(True), "iso_date": _day(m).isNotNull(), "day_date": _day(m).isNotNull(),
-        "ssn": m.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), "ip": F.lit(True), "phone": F.lit(True),
-    }
-    out = None
-    for kind, ok in checks.items():
-        hit = m.rlike(f"^(?:{PATTERNS[kind]})$") & F.coalesce(ok, F.lit(False))
-        out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
-    return out
-
-
-def _let(value: Column, f) -> Column:
-    """f of value, which is computed once."""
-    return F.transform(F.array(value), f)[0]
+        "iban": f"{_mod97(f'concat(substring({_compact(m)}, 5), substring({m}, 1, 4))')} = 1", "email": f"{m} rlike r'^[^@]*[{MOVABLE}]'",
+        "iso_date": f"{_day(m)} is not null", "day_date": f"{_day(m)} is not null", "ssn": f"{m} rlike r'^(?!000|666|9)\\d{{3}}-(?!00)\\d{{2}}-(?!0000)\\d{{4}}$'", "ip": "true", "phone": "true",
+    }
+    return "case " + " ".join(f"when {m} rlike r'^(?:{PATTERNS[kind]})$' and coalesce({ok}, false) then '{kind}'" for kind, ok in checks.items()) + " end"
 
 
-def _piece(m: Column, kind: Column | str | None) -> Column:
-    return F.struct(m.alias("m"), (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"))
+def _piece(m: str, kind: str) -> str:
+    return f"named_struct('m', {m}, 'kind', cast({kind} as string))"
 
 
-def _split_cards(m: Column) -> Column:
-    """m as pieces: cards in a printed layout, from the left, and the stretches between them; such a stretch of 13 to 19 digits is a card if it passes Luhn."""
+def _split_cards(m: str) -> str:
+    """m as units, arrays of pieces: a card in a printed layout, from the left, after the stretch before it; at the end the stretch after the last. A stretch of 13 to 19 digits is a card if it passes Luhn."""
     low, high = CARD_DIGITS
-    text = lambda g, i, k: F.array_join(F.slice(g, i + 1, k), "")
-    passes = lambda s: _luhn(_digits(s)) % 10 == 0
+    text = lambda g, i, k: f"array_join(slice({g}, {i} + 1, {k}), '')"
+    passes = lambda s: f"{_luhn(_digits(s))} % 10 = 0"
 
-    def chosen(g: Column, n: Column) -> Column:
+    def chosen(g: str, n: str) -> str:
         """Place and number of groups of each card; n has the groups' digits, 0 for other text."""
 
-        def step(at: Column, i: Column) -> Column:
-            size = F.when(n[i].between(low, high) & passes(g[i]), 1)
-            for layout in LAYOUTS:
-                k = F.lit(len(layout))
-                size = size.when((F.slice(n, i + 1, k) == F.array(*map(F.lit, layout))) & passes(text(g, i, k)), k)
-            take = lambda k: F.when(k.isNull(), at).otherwise(F.struct((i + k).alias("next"), F.concat(at["cards"], F.array(F.struct(i.alias("at"), k.alias("k")))).alias("cards")))
-            return F.when(i < at["next"], at).otherwise(_let(size, take))
+        def step(at: str, i: str) -> str:
+            layouts = " ".join(f"when slice({n}, {i} + 1, {len(x)}) = array({', '.join(map(str, x))}) and {passes(text(g, i, len(x)))} then {len(x)}" for x in LAYOUTS)
+            size = f"case when {n}[{i}] between {low} and {high} and {passes(f'{g}[{i}]')} then 1 {layouts} end"
+            took = lambda k: f"if({k} is null, {at}, named_struct('next', {i} + {k}, 'cards', concat({at}.cards, array(named_struct('at', {i}, 'k', {k})))))"
+            return f"if({i} < {at}.next, {at}, {_with(size, took)})"
 
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,k:int>>").alias("cards"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda at: at["cards"])
+        return _fold(f"sequence(0, size({g}) - 1)", "named_struct('next', 0, 'cards', cast(array() as array<struct<at:int,k:int>>))", step, lambda at: f"{at}.cards")
 
-    def cut(g: Column, cards: Column) -> Column:
-        ends, starts = F.concat(F.array(F.lit(0)), F.transform(cards, lambda c: c["at"] + c["k"])), F.concat(F.transform(cards, lambda c: c["at"]), F.array(F.size(g)))
-        whole = lambda s: s.rlike("^[0-9 -]+$") & F.length(_digits(s)).between(low, high) & passes(s)
-        between = F.zip_with(ends, starts, lambda e, b: _let(text(g, e, b - e), lambda s: _piece(s, F.when(whole(s), "card"))))
-        own = F.concat(F.transform(cards, lambda c: F.array(_piece(text(g, c["at"], c["k"]), "card"))), F.array(F.array().cast(_PIECES)))
-        return F.filter(F.flatten(F.zip_with(between, own, lambda a, b: F.concat(F.array(a), b))), lambda p: p["m"] != "")
+    def cut(g: str, cards: str) -> str:
+        ends, starts = f"concat(array(0), {_map(cards, lambda c: f'{c}.at + {c}.k')})", f"concat({_map(cards, lambda c: f'{c}.at')}, array(size({g})))"
+        whole = lambda s: f"if({s} rlike '^[0-9 -]+$' and length({_digits(s)}) between {low} and {high} and {passes(s)}, 'card', null)"
+        between = f"zip_with({ends}, {starts}, (e, b) -> {_with(text(g, 'e', 'b - e'), lambda s: _piece(s, whole(s)))})"
+        own = f"concat({_map(cards, lambda c: f'array({_piece(text(g, f"{c}.at", f"{c}.k"), "{0}card{0}".format(chr(39)))})')}, array(cast(array() as {_PIECES})))"
+        return f"filter(zip_with({between}, {own}, (a, b) -> filter(concat(array(a), b), p -> p.m <> '')), u -> size(u) > 0)"
 
-    size = lambda x: F.when(x.rlike("^[0-9]+[ -]?$"), F.length(_digits(x))).otherwise(0)
-    return _let(F.regexp_extract_all(m, F.lit("[^ -]+[ -]?"), F.lit(0)), lambda g: _let(F.transform(g, size), lambda n: _let(chosen(g, n), lambda cards: cut(g, cards))))
+    size = lambda x: f"if({x} rlike '^[0-9]+[ -]?$', length({_digits(x)}), 0)"
+    return _with(f"regexp_extract_all({m}, '[^ -]+[ -]?', 0)", lambda g: _with(_map(g, size), lambda n: _with(chosen(g, n), lambda cards: cut(g, cards))))
 
 
-def _pieces(m: Column) -> Column:
-    """A match as pieces with their kinds: one piece if it is a value as a whole, else the cards in it and what is between."""
-    digits = F.length(_digits(m)) >= CARD_DIGITS[0]
-    return _let(_kind(m), lambda kind: F.when(kind.isNull() & digits, _split_cards(m)).otherwise(F.array(_piece(m, kind))))
+def _units(m: str) -> str:
+    """A match as units of pieces with their kinds: one piece if it is a value as a whole, else the cards in it and what is between."""
+    return _with(_kind(m), lambda kind: f"if({kind} is null and length({_digits(m)}) >= {CARD_DIGITS[0]}, {_split_cards(m)}, array(array({_piece(m, kind)})))")
 
 
-def _replaced(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
+def _replaced(m: str, kind: str, inverse: bool) -> str:
     """The pseudonym of m: another valid value of the same kind and format; m itself where kind is null."""
-    d = _digits(m)
-    n = F.length(d)
-    part = lambda s, at, size: F.substring(s, F.lit(at) if isinstance(at, int) else at, F.lit(size) if isinstance(size, int) else size)
-    middle = permute_text(part(d, 2, n - 2), key, "card", inverse)
-    body = F.concat(part(d, 1, 1), middle)
-    card = _into(m, F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-    kept = F.greatest(n - 10, F.lit(0))
-    phone = _into(m, F.concat(part(d, 1, kept), permute_text(part(d, kept + 1, n - kept), key, "phone", inverse)))
-    # each part of an address stays among those of as many digits: 0 to 9, 10 to 99, 100 to 255
-    o = F.transform(F.split(m, r"\."), lambda x: F.struct(x.cast("long").alias("v"), F.element_at(F.array(*[F.struct(F.lit(low).cast("long").alias("low"), F.lit(size).cast("long").alias("size")) for low, size in ((0, 10), (10, 90), (100, 156))]), F.length(x)).alias("c")))
-    at = lambda x, i: x[i]["v"] - x[i]["c"]["low"]
-    size = lambda x, i: x[i]["c"]["size"]
-    pair = lambda x: permute_pair(at(x, 0) * size(x, 1) + at(x, 1), at(x, 2) * size(x, 3) + at(x, 3), size(x, 0) * size(x, 1), size(x, 2) * size(x, 3), key, "ip", inverse)
-    back = lambda x, y: F.concat_ws(".", *[(n + x[i]["c"]["low"]).cast("string") for i, n in enumerate((F.floor(y["l"] / size(x, 1)), y["l"] % size(x, 1), F.floor(y["r"] / size(x, 3)), y["r"] % size(x, 3)))])
-    ip = F.when(kind == "ip", _let(o, lambda x: _let(pair(x), lambda y: back(x, y))))
-    area = part(m, 1, 3).cast("long")
-    ssn = F.transform(
-        F.array(permute_pair((area - 1 - (area > 666).cast("long")) * 99 + part(m, 5, 2).cast("long") - 1, part(m, 8, 4).cast("long") - 1, 898 * 99, 9999, key, "ssn", inverse)),
-        lambda x: F.transform(F.array(F.floor(x["l"] / 99) + 1), lambda v: F.concat_ws("-", F.lpad((v + (v >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((x["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((x["r"] + 1).cast("string"), 4, "0")))[0],
-    )[0]
+
+    def card(d: str) -> str:
+        check = lambda body: _into(m, f"concat({body}, cast(pmod(10 - {_luhn(f'concat({body}, {chr(39)}0{chr(39)})')} % 10, 10) as string))")
+        return _with(f"concat(substring({d}, 1, 1), {permute_text(f'substring({d}, 2, length({d}) - 2)', 'card', inverse)})", check)
+
+    def phone(d: str) -> str:
+        kept = f"greatest(length({d}) - 10, 0)"
+        return _with(f"concat(substring({d}, 1, {kept}), {permute_text(f'substring({d}, {kept} + 1)', 'phone', inverse)})", lambda x: _into(m, x))
+
+    def ip(x: str) -> str:
+        """Each part of an address stays among those of as many digits: 0 to 9, 10 to 99, 100 to 255."""
+        at, size = lambda i: f"({x}[{i}].v - {x}[{i}].low)", lambda i: f"{x}[{i}].n"
+        pair = permute_pair(f"{at(0)} * {size(1)} + {at(1)}", f"{at(2)} * {size(3)} + {at(3)}", f"({size(0)} * {size(1)})", f"({size(2)} * {size(3)})", "ip", inverse)
+        parts = lambda y: (f"floor({y}.l / {size(1)})", f"{y}.l % {size(1)}", f"floor({y}.r / {size(3)})", f"{y}.r % {size(3)}")
+        return _with(pair, lambda y: "concat_ws('.', " + ", ".join(f"cast({p} + {x}[{i}].low as string)" for i, p in enumerate(parts(y))) + ")")
+
+    octets = _map(f"split({m}, r'\\.')", lambda o: f"named_struct('v', cast({o} as bigint), 'low', cast(element_at(array(0, 10, 100), length({o})) as bigint), 'n', cast(element_at(array(10, 90, 156), length({o})) as bigint))")
+
+    def ssn(area: str) -> str:
+        pair = permute_pair(f"({area} - 1 - cast({area} > 666 as int)) * 99 + cast(substring({m}, 5, 2) as int) - 1", f"cast(substring({m}, 8, 4) as int) - 1", 898 * 99, 9999, "ssn", inverse)
+        shown = lambda y: _with(f"cast(floor({y}.l / 99) as int) + 1", lambda v: f"concat_ws('-', lpad(cast({v} + cast({v} >= 666 as int) as string), 3, '0'), lpad(cast({y}.l % 99 + 1 as string), 2, '0'), lpad(cast({y}.r + 1 as string), 4, '0'))")
+        return _with(pair, shown)
+
     a, b = DATE_SPAN
-    first = F.lit("1900-01-01").cast("date")
-    number = F.datediff(_day(m), first)
-    place = F.pmod(number, F.lit(a * b))
-    moved = F.transform(F.array(permute_pair(F.floor(place / b), place % b, a, b, key, "date", inverse)), lambda x: F.date_add(first, (number - place + x["l"] * b + x["r"]).cast("int")))[0]
-    bank = permute_text(F.substring(_compact(m), F.lit(5), F.length(m)), key, "iban", inverse)
-    iban = F.transform(F.array(bank), lambda x: F.concat(part(m, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(x, part(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))
-    iban = _let(iban[0], lambda x: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(x, F.length(_compact(F.substring(m, F.lit(1), i))) + 1, F.lit(1)))), ""))
-    sign = F.instr(m, "@")
-    email = F.concat(permute_text(F.substring(m, F.lit(1), sign - 1), key, "email", inverse), F.substring(m, sign, F.length(m)))
-    return (
-        F.when(kind == "iban", iban).when(kind == "email", email).when(kind == "iso_date", F.date_format(moved, "yyyy-MM-dd")).when(kind == "day_date", F.date_format(moved, "dd/MM/yyyy"))
-        .when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).otherwise(m)
-    )
+
+    def date(number: str, form: str) -> str:
+        place = f"pmod({number}, {a * b})"
+        return _with(permute_pair(f"floor({place} / {b})", f"{place} % {b}", a, b, "date", inverse), lambda y: f"date_format(date_add(date'1900-01-01', cast({number} - {place} + {y}.l * {b} + {y}.r as int)), '{form}')")
+
+    def iban(bank: str) -> str:
+        whole = f"concat(substring({m}, 1, 2), lpad(cast(98 - {_mod97(f'concat({bank}, substring({m}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), {bank})"
+        spaced = lambda x: f"array_join({_map_at(f'split({m}, {_q})', lambda c, i: f'if({c} = {chr(39)} {chr(39)}, {c}, substring({x}, length({_compact(f"substring({m}, 1, {i})")}) + 1, 1))')}, '')"
+        return _with(whole, spaced)
+
+    sign = f"instr({m}, '@')"
+    days = f"datediff({_day(m)}, date'1900-01-01')"
+    made = {
+        "iban": _with(permute_text(f"substring({_compact(m)}, 5)", "iban", inverse), iban), "email": f"concat({permute_text(f'substring({m}, 1, {sign} - 1)', 'email', inverse, wide=True)}, substring({m}, {sign}))",
+        "iso_date": _with(days, lambda n: date(n, "yyyy-MM-dd")), "day_date": _with(days, lambda n: date(n, "dd/MM/yyyy")), "ssn": _with(f"cast(substring({m}, 1, 3) as int)", ssn), "ip": _with(octets, ip), "phone": _with(_digits(m), phone), "card": _with(_digits(m), card),
+    }
+    return f"case {kind} " + " ".join(f"when '{k}' then {x}" for k, x in made.items()) + f" else {m} end"
 
 
-def _moved(found: Column, key: str, inverse: bool) -> Column:
-    """The pieces of a match with pseudonyms in their places.
+def _moved(unit: str, inverse: bool) -> str:
+    """The pieces of a unit with pseudonyms in their places.
 
-    Where new digits would make the match fall into other pieces than before, the permutation is applied again until they don't (cycle
-    walking), so that the inverse finds the same pieces.
+    Where new digits would make a unit with a card fall into other pieces than before, or show a date that wasn't there, its permutation is applied again until they
+    don't (cycle walking), so that the inverse finds the same pieces. No printed layout reaches from a unit into another, so units walk by themselves.
     """
-    once = lambda ps: F.transform(ps, lambda p: _piece(_replaced(p["m"], p["kind"], key, inverse), p["kind"]))
-    shape = lambda ps: F.transform(ps, lambda p: F.struct(F.length(p["m"]), p["kind"]))
-    same = lambda ps: shape(_pieces(F.array_join(F.transform(ps, lambda p: p["m"]), ""))) == shape(ps)
-    start = lambda ps: F.struct(ps.alias("ps"), same(ps).alias("done"))
-    walk = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda at, i: F.when(at["done"], at).otherwise(_let(once(at["ps"]), start)), lambda at: at["ps"])
-    several = (F.size(found) > 1) | (found[0]["kind"] == "card")
-    return F.when(several & F.exists(found, lambda p: p["kind"].isNotNull()), walk(F.struct(found.alias("ps"), F.lit(False).alias("done")))).otherwise(once(found))
+    text = lambda ps: f"array_join({_map(ps, lambda p: f'{p}.m')}, '')"
+    shape = lambda ps: _map(ps, lambda p: f"named_struct('n', length({p}.m), 'kind', {p}.kind)")
+    dated = lambda s: f"{s} rlike r'{DATED}'"
+    settled = lambda ps: _with(text(ps), lambda s: f"{shape(f'flatten({_split_cards(s)})')} = {shape(ps)} and ({dated(s)}) = ({dated(text(unit))})")
+    once = lambda ps: _map(ps, lambda p: _piece(_replaced(f"{p}.m", f"{p}.kind", inverse), f"{p}.kind"))
+    step = lambda at, i: f"if({at}.done, {at}, {_with(once(f'{at}.ps'), lambda ps: f'named_struct({chr(39)}ps{chr(39)}, {ps}, {chr(39)}done{chr(39)}, if(exists({ps}, p -> p.kind = {chr(39)}card{chr(39)}), {settled(ps)}, true))')})"
+    rounds = lambda at, i: f"if({at}.done, {at}, {_fold(f'sequence(1, {WALK[1]})', at, step)})"
+    end = lambda at: f"if({at}.done, {at}.ps, cast(raise_error('a card number found no pseudonym') as {_PIECES}))"
+    return _fold(f"sequence(1, {WALK[0]})", f"named_struct('ps', {unit}, 'done', not exists({unit}, p -> p.kind is not null))", rounds, end)
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
@@ -239,14 +288,13 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     fail their check, and all other text, stay as they are. Null text: empty. Null ids and repeated rows: one result each;
     an empty table gives an empty result; other columns are left out.
     """
-    text = text_of(text_col)
-    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: _let(_pieces(m), lambda ps: _moved(ps, key, inverse)))
-    cut = F.flatten(F.zip_with(F.split("text", ANY, -1), F.concat(F.array(F.array().cast(_PIECES)), found), lambda p, f: F.concat(f, F.array(_piece(p, None)))))
-    whole = F.array(_piece(F.col("text"), None))
-    parts = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.when(F.col("text").rlike("[0-9@]"), cut).otherwise(whole).alias("parts"))
-    of = lambda kind: F.size(F.filter("parts", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    moved = _map(f"regexp_extract_all(text, r'{ANY}', 0)", lambda m: f"flatten({_map(_units(m), lambda u: _moved(u, inverse))})")
+    none = f"cast(array() as {_PIECES})"
+    cut = f"flatten(zip_with(split(text, r'{ANY}', -1), concat(array({none}), {moved}), (p, f) -> concat(f, array({_piece('p', 'null')}))))"
+    parts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.lit(key).alias("key")).select("id", F.expr(f"if(text rlike '[0-9@]', {cut}, array({_piece('text', 'null')}))").alias("parts"))
+    of = lambda kind: F.expr(f"cast(size(filter(parts, p -> p.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
     return parts.select(
-        F.col("id").alias(id_col), F.array_join(F.transform("parts", lambda p: p["m"]), "").alias("text"), F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).cast("long").alias("n_values"), *[of(k) for k in KINDS]
+        F.col("id").alias(id_col), F.expr("array_join(transform(parts, p -> p.m), '')").alias("text"), F.expr("cast(size(filter(parts, p -> p.kind is not null)) as bigint)").alias("n_values"), *[of(k) for k in KINDS]
     )
 
 
