@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import stripped
+
 # Patterns that a question is matched with, all without regard to case.
 AGGREGATION = (
     r"\bhow many\b", r"\bcount\b", r"\bnumber of\b", r"\bdistinct\b", r"\bunique\b", r"\bbreakdown\b", r"\bgroup by\b", r"\baverage\b",
@@ -32,21 +36,29 @@ FILE_IN = r"""in\s+(?:the\s+)?['"]?([a-zA-Z0-9_\-]+(?:-\d+)?(?:\.[a-zA-Z0-9]+)?)
 LAST = r"\b(?:last|final|latest|most recent|bottom)\b"
 ROW_COUNT = (r"\b(?:first|top)\s+(\d+)\b", r"\b(?:limit|only|just)\s+(\d+)\b", r"\b(\d+)\s+rows?\b")
 ROW_COUNT_CAP = 500
+LINE_CHART, BAR_CHART = ("trend", "over time", "forecast", "predict"), ("compare", "distribution", "by category")
+# Classes and word boundaries are those of Unicode, as in (?U). DIGITS: those of other scripts that Java's strings hold in one unit.
+DIGITS = "".join(chr(i) for i in range(128, 0x10000) if unicodedata.category(chr(i)) == "Nd")
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return c.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def _group(c: Column, pattern: str, n: int = 1) -> Column:
     """The group of the first match, null without one."""
-    return F.nullif(F.regexp_extract(c, f"(?i){pattern}", n), F.lit(""))
+    return F.nullif(F.regexp_extract(c, f"(?iU){pattern}", n), F.lit(""))
+
+
+def _number(c: Column) -> Column:
+    """Digits of any script as a number; null if that is too large."""
+    return F.translate(c, DIGITS, "".join(str(unicodedata.decimal(d)) for d in DIGITS)).try_cast("bigint")
 
 
 def route(c: Column) -> Column:
     """empty_query, aggregation_intent, list_filter_intent or default_rag."""
     return (
-        F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "empty_query").when(_any(c, AGGREGATION), "aggregation_intent")
+        F.when(stripped(F.coalesce(c, F.lit(""))) == "", "empty_query").when(_any(c, AGGREGATION), "aggregation_intent")
         .when(_any(c, LISTING), "list_filter_intent").otherwise("default_rag")
     )
 
@@ -60,7 +72,7 @@ def row_intent(c: Column) -> Column:
     """struct(row_number, confidence) of the first pattern with a number above 0; null without one."""
     found = []
     for pattern, confidence in ROW:
-        n = _group(c, pattern).try_cast("bigint")
+        n = _number(_group(c, pattern))
         found.append(F.when(n > 0, F.struct(n.alias("row_number"), F.lit(confidence).alias("confidence"))))
     return F.coalesce(*found)
 
@@ -79,7 +91,7 @@ def file_intent(c: Column) -> Column:
 
 
 def wants_last(c: Column) -> Column:
-    return F.coalesce(c.rlike(f"(?i){LAST}"), F.lit(False))
+    return F.coalesce(c.rlike(f"(?iU){LAST}"), F.lit(False))
 
 
 def intent(c: Column) -> Column:
@@ -88,10 +100,10 @@ def intent(c: Column) -> Column:
 
 def requested_rows(c: Column) -> Column:
     """How many rows the question asks for, at most 500; null when it doesn't say."""
-    n = F.coalesce(*[_group(c, p).try_cast("bigint") for p in ROW_COUNT])
+    n = F.coalesce(*[_number(_group(c, p)) for p in ROW_COUNT])
     return F.when(n > ROW_COUNT_CAP, ROW_COUNT_CAP).otherwise(n)
 
 
 def chart_type(c: Column) -> Column:
     q = F.lower(c)
-    return F.when(q.rlike("trend|over time|forecast|predict"), "line_chart").when(q.rlike("compare|distribution|by category"), "bar_chart").otherwise("line_chart")
+    return F.when(q.rlike("|".join(LINE_CHART)), "line_chart").when(q.rlike("|".join(BAR_CHART)), "bar_chart").otherwise("line_chart")

@@ -15,24 +15,39 @@ STOP_WORDS = (
     "when", "which", "give", "get", "tell", "show", "find", "please",
 )
 MAX_TERMS = 10
+# Addresses and texts that answers show.
 DOC_PREFIX = "doc://"
 NO_SOURCES = "No sources available."
 FALLBACK_URL, FALLBACK_TEXT = "local://weights", "Answer from model knowledge."
 
 
+#: White space of any script, information separators too.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
+def stripped(c: Column) -> Column:
+    """c without white space at its ends."""
+    return F.regexp_replace(c, rf"^(?:{SPACE})+|(?:{SPACE})+\z", "")
+
+
+def collapsed(c: Column) -> Column:
+    """c with each stretch of white space as one space, none at its ends."""
+    return F.trim(F.regexp_replace(c, f"(?:{SPACE})+", " "))
+
+
 def normal_query(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(stripped(c))
 
 
 def query_terms(c: Column) -> Column:
     """Lower-cased words of more than two characters that aren't stop words, the first ten; else the whole query."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(collapsed(F.lower(c)), " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
     return F.when(F.size(words) > 0, F.slice(words, 1, MAX_TERMS)).otherwise(F.array(normal_query(c)))
 
 
 def page_text(c: Column) -> Column:
     """White space collapsed; null where nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return F.nullif(collapsed(c), F.lit(""))
 
 
 def excerpt(c: Column, size: int = 200) -> Column:
@@ -47,6 +62,7 @@ def location(page: Column, sheet: Column, row_start: Column, row_end: Column) ->
     )
 
 
+# The format of a context.
 BETWEEN_SOURCES = "\n---\n"
 
 
@@ -67,13 +83,19 @@ def retrieval_type(mode: Column, offline_mode: Column, is_document: Column) -> C
     )
 
 
-def source_record(url: Column, text: Column, filename: Column, page: Column, sheet: Column, row_start: Column, row_end: Column) -> Column:
-    """The record shown for a context: snippet, kind, location, hash and display name."""
+def source_record(url: Column, text: Column, filename: Column, page: Column, sheet: Column, row_start: Column, row_end: Column, kind: Column | None = None, timestamp: Column | None = None) -> Column:
+    """The record shown for a context: snippet, how it was retrieved (kind, see retrieval_type) and when, what it is, location, hash and names.
+
+    Documents have a location if any of its parts is known, web pages a hash; file and sheet names belong to documents.
+    """
     is_doc = url.startswith(DOC_PREFIX)
     doc_id = F.when(is_doc, F.substring(url, F.lit(len(DOC_PREFIX) + 1), F.length(url)))
-    place = F.when(is_doc, F.struct(page.alias("page"), sheet.alias("sheet"), row_start.alias("row_start"), row_end.alias("row_end")))
+    none = F.lit(None).cast("string")
+    place = F.when(is_doc & F.coalesce(page, row_start, row_end, F.when(sheet.isNotNull(), 0)).isNotNull(), F.struct(page.alias("page"), sheet.alias("sheet"), row_start.alias("row_start"), row_end.alias("row_end")))
     return F.struct(
         url.alias("url"), F.substring(F.coalesce(text, F.lit("")), 1, 500).alias("snippet"), F.when(is_doc, "document").otherwise("web").alias("source_type"),
+        (none if kind is None else kind).alias("retrieval_type"), (none if timestamp is None else timestamp).alias("timestamp"), F.when(is_doc, "document").otherwise("web").alias("source_kind"),
+        F.when(is_doc, filename).alias("filename"), F.when(is_doc, sheet).alias("sheet_name"),
         F.when(~is_doc & (url != FALLBACK_URL), F.md5(url)).alias("url_hash"), place.alias("location"), doc_id.alias("document_id"),
         F.when(is_doc, F.coalesce(F.nullif(filename, F.lit("")), F.nullif(doc_id, F.lit("")), F.lit("Document"))).alias("display_name"),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions.texts import excerpt, normal_query
 
 from .tables import first_by, insert_if_absent, upsert
+from .trigrams import TextIndex
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -33,6 +34,25 @@ def _matching(archive: DataFrame, text: str) -> DataFrame:
     return archive.where(F.col("url").ilike(pattern) | F.col("content").ilike(pattern)) if text else archive
 
 
+def page_index(path: str, buckets: int = 64) -> TextIndex:
+    """A trigram index of an archive's addresses and contents; build(archive) makes it."""
+    return TextIndex(path, "url_hash", ("url", "content"), buckets)
+
+
+def candidate_pages(spark: SparkSession, index: TextIndex, text: str) -> DataFrame:
+    """The archive's pages that may hold text, for search_pages, count_pages and recall, which verify them; all pages for a text without three characters in a row."""
+    return index.candidates(spark, [text]) if text else index.rows(spark)
+
+
+def recall_candidates(spark: SparkSession, index: TextIndex, history: DataFrame, query: str) -> DataFrame:
+    """What recall needs of the archive: pages that may hold the text, and those that a search holding it has found."""
+    term = query.lower().strip()
+    by_search = history.where(F.col("query").contains(term)).select("url_hash").distinct()
+    near = candidate_pages(spark, index, term)
+    found = index.rows(spark).join(by_search, "url_hash", "left_semi")
+    return near.unionByName(found).dropDuplicates(["url_hash"])
+
+
 def search_pages(archive: DataFrame, text: str = "", limit: int = 20, cursor: tuple | None = None) -> DataFrame:
     """Newest pages that hold the text: url_hash, url, excerpt, timestamp, after the cursor (timestamp, url_hash), and one more than limit."""
     rows = _matching(archive, text)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlore.functions.cells import STAMP_FORMATS, parsed_time
+
 NAME_RULE = "^[A-Za-z0-9_-]+$"
+# Messages about a source's time.
+NO_TIME, FUTURE_TIME = "No last modified timestamp available", "Last modified timestamp is in the future (clock skew)"
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -32,13 +36,21 @@ def newest_by_source(rows: DataFrame, source: str, time: str) -> DataFrame:
     return rows.groupBy(F.col(source).alias("name")).agg(F.max(time).alias("last_modified"))
 
 
+def newest_time(rows: DataFrame, time: str) -> DataFrame:
+    """One row, last_modified: the newest of times. Times kept as texts are compared as texts, and the greatest is read in any of STAMP_FORMATS; null if it is in none, or there is none."""
+    newest = F.max(time)
+    if dict(rows.dtypes)[time] == "string":
+        newest = parsed_time(newest, STAMP_FORMATS).cast("timestamp_ntz")
+    return rows.agg(newest.alias("last_modified"))
+
+
 def details(sources: DataFrame, now: Column) -> DataFrame:
     """sources (name, type, ttl_minutes, description, last_modified, fetch_error) with status, ages and what is left, as of now."""
     age = seconds_between(now, F.col("last_modified"))
     failed = F.col("fetch_error").isNotNull() & F.col("last_modified").isNull()
     shown = F.when(~failed & F.col("last_modified").isNotNull(), F.greatest(age, F.lit(0.0)))
     left = F.when(~failed & F.col("last_modified").isNotNull(), F.when(age < 0, F.col("ttl_minutes") * 60.0).otherwise(F.col("ttl_minutes") * 60.0 - age))
-    note = F.when(F.col("last_modified").isNull(), "No last modified timestamp available").when(age < 0, "Last modified timestamp is in the future (clock skew)")
+    note = F.when(F.col("last_modified").isNull(), NO_TIME).when(age < 0, FUTURE_TIME)
     return sources.select(
         F.col("name").alias("source_name"), F.col("type").alias("source_type"), F.when(failed, "error").otherwise(status(F.col("last_modified"), F.col("ttl_minutes"), now)).alias("status"), "ttl_minutes",
         F.when(~failed, F.col("last_modified")).alias("last_modified"), F.round(shown / 60, 2).alias("age_minutes"), F.round(shown, 2).alias("age_seconds"), F.round(left / 60, 2).alias("time_until_stale_minutes"), F.round(left, 2).alias("time_until_stale_seconds"),

@@ -7,9 +7,12 @@ import math
 from collections.abc import Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridlore.functions.filters import contains_any
 from gridlore.functions.intents import intent
@@ -21,6 +24,8 @@ KEYWORD_TOP_K, SEMANTIC_TOP_K, TARGETED = 20, 12, 5
 TOTAL_BUDGET, WEB_SHARE, WEB_CHARS, MIN_USEFUL = 14_000, 0.4, 2000, 200
 #: Questions that one pass over the chunks takes; batches of more take several passes, so a broadcast never grows.
 QUESTIONS_PER_PASS = 4_096
+#: Positions whose lengths are summed as one when documents are fitted to a budget.
+BLOCK_ITEMS = 1_024
 
 
 def with_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -42,9 +47,18 @@ def term_search(chunks: DataFrame, documents: DataFrame, terms: Sequence[str], k
     return _first(in_scope(with_documents(chunks, documents), ids).where(contains_any(F.col("content"), terms)), k)
 
 
+def files_named(documents: DataFrame, name: str) -> DataFrame:
+    """Documents, or chunks with their documents, whose file name holds the text, whatever its case."""
+    return documents.where(F.lower("filename").contains(name.lower()))
+
+
+def first_chunks(chunks: DataFrame, k: int) -> DataFrame:
+    return _first(chunks, k)
+
+
 def file_search(chunks: DataFrame, documents: DataFrame, name: str, k: int = KEYWORD_TOP_K, ids: Sequence[str] | None = None, last: bool = False) -> DataFrame:
     """Chunks of files whose name holds the text, the first or the last ones."""
-    return _first(in_scope(with_documents(chunks, documents), ids).where(F.lower("filename").contains(name.lower())), k, last)
+    return _first(files_named(in_scope(with_documents(chunks, documents), ids), name), k, last)
 
 
 def _passes(questions: DataFrame, per_pass: int) -> list[DataFrame]:
@@ -101,26 +115,82 @@ def keyword_search_batch(chunks: DataFrame, questions: DataFrame, k: int = KEYWO
     return out
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def semantic_search(vectors: DataFrame, questions: DataFrame, k: int, scope: Column | None = None, per_pass: int = 256) -> DataFrame:
-    """question_id, vec_id, score, rank: the k vectors of highest cosine for each of questions (question_id, vector).
-
-    scope filters vectors before anything is ranked, so a search never leaves it. Exact: vectors stay in place, questions are
-    broadcast in bounded parts, and each task keeps k rows a question. Ranked by the whole score, shown with six places; ties follow vec_id.
+#: Vectors that a task multiplies with all questions of a pass at once.
+VECTOR_BLOCK = 4_096
+#: Block products may differ from exact dot products by this much at most (unit vectors): what they leave is scored again.
+SLACK = 1e-9
+
+
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column as rows of length one (zeros stay), and the places of those that are there and have no null entry."""
+    whole = not column.null_count and not column.flatten().null_count
+    ok = np.ones(len(column), bool) if whole else np.array([v.is_valid and not v.values.null_count for v in column], bool)
+    kept = column if whole else column.filter(pa.array(ok))
+    sizes = pc.min_max(pc.list_value_length(kept)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError(f"vectors of {sizes['min']} to {sizes['max']} entries")
+    m = kept.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(kept), -1)
+    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return m / np.where(norms > 0, norms, 1)[:, None], np.flatnonzero(ok)
+
+
+class Best:
+    """For each of n questions the k best vectors so far by (score, id): arrays of question, score and id that hold n * k entries after each block."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.q, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, questions: np.ndarray) -> None:
+        """Block products choose; what may be among the best is scored by itself, so that equal vectors score alike wherever they stand."""
+        near = rows @ questions.T
+        if len(rows) > self.k:
+            self.least = np.maximum(self.least, np.partition(near, len(rows) - self.k, axis=0)[len(rows) - self.k])
+        at, q = np.nonzero(near >= self.least - SLACK)
+        score = np.einsum("ij,ij->i", rows[at], questions[q])
+        q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids[at].astype(object)])
+        place = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
+        order = np.lexsort((place, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        starts = np.searchsorted(q, q)  # where each one's question begins
+        kept = np.arange(len(q)) - starts < self.k
+        self.q, self.score, self.ids = q[kept], score[kept], ids[kept]
+        full = np.flatnonzero(np.arange(len(self.q)) - np.searchsorted(self.q, self.q) == self.k - 1)
+        self.least[self.q[full]] = np.maximum(self.least[self.q[full]], self.score[full])
+
+
+def semantic_search(vectors: DataFrame, questions: DataFrame, k: int, scope: Column | None = None, per_pass: int = 256, key: str = "vec_id") -> DataFrame:
+    """question_id, key, score, rank: the k vectors of highest cosine for each of questions (question_id, vector).
+
+    scope filters vectors before anything is ranked, so a search never leaves it. Exact: vectors stay in place, the questions of a pass (per_pass
+    of them, whatever their number in all) go to all tasks, and a task multiplies blocks of vectors with them and keeps k rows a question. Ranked
+    by the whole score, shown with six places; ties follow key. A zero vector scores 0. Vectors and questions that are null or hold a null
+    find nothing and are not found; unlike lengths are an error.
     """
-    rows = (vectors if scope is None else vectors.where(scope)).select("vec_id", unit(F.col("embedding")).alias("u"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id"))
+    rows = (vectors if scope is None else vectors.where(scope)).select(key, "embedding")
+    id_type, q_type = rows.schema[key].dataType, questions.schema["question_id"].dataType
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), key))
     out = None
-    for part in _passes(questions.select("question_id", unit(F.col("vector")).alias("q")), per_pass):
-        scored = rows.join(F.broadcast(part), F.lit(True)).select("question_id", "vec_id", dot(F.col("u"), F.col("q")).alias("score"))
+    for part in _passes(questions.select("question_id", "vector"), per_pass):
+        asked = part.toArrow().combine_chunks()
+        column = asked.column("vector").combine_chunks()
+        unit, at = unit_rows(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column) if asked.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
+        sent = rows.sparkSession.sparkContext.broadcast((unit, asked.column("question_id").take(pa.array(at)).to_pylist()))
+        kinds = [to_arrow_type(q_type), to_arrow_type(id_type), pa.float64()]
+
+        def find(batches, sent=sent, kinds=kinds):
+            questions_, names = sent.value
+            best = Best(len(names), k)
+            for b in batches:
+                for start in range(0, b.num_rows if names else 0, VECTOR_BLOCK):
+                    block = b.slice(start, VECTOR_BLOCK)
+                    m, ok = unit_rows(block.column(1))
+                    if len(ok):
+                        best.add(m, block.column(0).take(pa.array(ok)).to_numpy(zero_copy_only=False), questions_)
+            if len(best.q):
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.q], kinds[0]), pa.array(best.ids.tolist(), kinds[1]), pa.array(best.score)], ["question_id", key, "score"])
+
+        scored = rows.mapInArrow(find, f"question_id {q_type.simpleString()}, {key} {id_type.simpleString()}, score double")
         found = scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
         out = found if out is None else out.unionByName(found)
     return out
@@ -136,16 +206,20 @@ def merged(branches: Sequence[DataFrame], key: str = "chunk_id", by: Sequence[st
     return all_.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame, semantic: DataFrame | None = None, keyword_k: int = KEYWORD_TOP_K, exact: bool = False, per_pass: int = QUESTIONS_PER_PASS) -> DataFrame:
-    """question_id, pos, chunk_id, url, text for each of questions (question_id, query), best first.
+def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame, semantic: DataFrame | None = None, keyword_k: int = KEYWORD_TOP_K, exact: bool = False, per_pass: int = QUESTIONS_PER_PASS, vectors: DataFrame | None = None, semantic_k: int = SEMANTIC_TOP_K, with_branch: bool = False) -> DataFrame:
+    """question_id, pos, chunk_id, url, text (with_branch: and the branch that found it) for each of questions (question_id, query), best first.
 
     Branches in order: column=value (at most 5), file name (1 when the last is asked for, else keyword_k), row number (at most 5),
-    semantic (question_id, chunk_id, rank; given from outside), keywords. A hit by column=value or row, or a question for the last of a
+    semantic, keywords. The semantic branch is the semantic_k chunks of ready documents whose vectors (chunk_id, embedding) are nearest to a question's own
+    (column vector of questions, null for none), or is given as semantic (question_id, chunk_id, rank). A hit by column=value or row, or a question for the last of a
     file, switches the last two off. With such a hit only chunks that hold the marker stay, cut to their matching lines.
     A chunk is listed once, under its first branch. exact: a value ends at ', ' or the line's end, so Index=1 is not Index=10.
     """
     base = with_documents(chunks.select("chunk_id", "document_id", "chunk_index", "content", "meta"), documents).where("status = 'ready'")
     outs = []
+    if vectors is not None:
+        found = vectors.join(base.select("chunk_id"), "chunk_id", "left_semi")
+        semantic = semantic_search(found, questions.where("vector is not null").select("question_id", "vector"), semantic_k, key="chunk_id")
     for part in _passes(questions.select("question_id", "query"), per_pass):
         asked = part.withColumn("i", intent(F.col("query"))).select("question_id", query_terms(F.col("query")).alias("terms"), "i.row_intent", "i.column_value", F.col("i.filename").alias("asked_file"), "i.wants_last")
         marker = F.concat(F.col("column_value.column_name"), F.lit("="), F.col("column_value.value"))
@@ -167,7 +241,10 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
         by_file = ranked(files.join(chunks.select("document_id", "chunk_id", "chunk_index"), "document_id"), F.when(F.col("wants_last"), 1).otherwise(keyword_k), F.col("wants_last"))
         by_row = ranked(first_holding(base, content, wanted(F.concat(F.lit("Row "), F.col("row_no").cast("string"))), TARGETED), TARGETED)
         by_word = ranked(first_holding(base, low, wanted(F.explode("terms")), keyword_k), keyword_k)
-        branches = [by_value, by_file, by_row, *([semantic.select("question_id", "chunk_id", F.col("rank").alias("pos"))] if semantic is not None else []), by_word]
+        # a semantic list belongs to all passes: only this part's questions are taken from it
+        near = semantic.join(part.select("question_id"), "question_id", "left_semi").select("question_id", "chunk_id", F.col("rank").alias("pos")) if semantic is not None else None
+        branches = [by_value, by_file, by_row, *([near] if near is not None else []), by_word]
+        names = ["value", "file", "row", *(["semantic"] if near is not None else []), "keyword"]
         listed = merged(branches, by=["question_id"]).join(q, "question_id")
         w = Window.partitionBy("question_id")
         hits = F.max(F.col("branch").isin(0, 2).cast("int")).over(w) == 1
@@ -188,6 +265,7 @@ def hybrid_search(chunks: DataFrame, documents: DataFrame, questions: DataFrame,
         outs.append(full.select(
             "question_id", at.alias("pos"), "chunk_id", F.concat(F.lit(DOC_PREFIX), "document_id").alias("url"),
             F.concat(F.lit("["), F.coalesce("filename", F.lit("")), F.lit("] "), place, F.lit("\n"), shown).alias("text"),
+            *([F.element_at(F.array(*[F.lit(n) for n in names]), F.col("branch") + 1).alias("branch")] if with_branch else []),
         ))
     out = outs[0]
     for o in outs[1:]:
@@ -205,41 +283,56 @@ def merged_top(lists: Sequence[DataFrame], k: int, key: str = "vec_id") -> DataF
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fit_documents(items: DataFrame, budget: Column, keys: Sequence[str] = ("question_id",), doc_chars: int = 0) -> DataFrame:
-    """items (keys, pos, text) in order up to budget characters: the crossing one is cut, and under 200 left nothing more is taken."""
+def fit_documents(items: DataFrame, budget: Column, keys: Sequence[str] = ("question_id",), doc_chars: int = 0, most: int = TOTAL_BUDGET, block: int = BLOCK_ITEMS) -> DataFrame:
+    """items (keys, pos, text) in order up to budget characters: the crossing one is cut, and under 200 left nothing more is taken.
+
+    budget is the same for all items of a key and at most most. Lengths are summed by blocks of block positions; a key's blocks are summed up in order until the budget is
+    used, of which each task keeps no more than could matter (most blocks that hold a character); the items of those blocks alone go on, with
+    the characters before their block. Keys must not be null.
+    """
     text = F.substring("text", 1, doc_chars) if doc_chars else F.col("text")
-    cut = items.withColumn("text", text)
-    used = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = cut.withColumn("left", budget - used).where(F.col("left") >= MIN_USEFUL)
-    return left.withColumn("text", F.substring(F.col("text"), F.lit(1), F.least(F.length("text"), F.col("left").cast("int")))).drop("left")
+    cut = items.withColumns({"text": text, "__budget": budget, "__block": F.floor(F.col("pos") / block)})
+    sums = cut.groupBy(*keys, "__block").agg(F.sum(F.length("text")).alias("n"), F.max("__budget").alias("__most")).where("n > 0")
+    order = Window.partitionBy(*keys).orderBy("__block")
+    sums = sums.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).withColumn("__after", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.where(F.col("__after") - F.col("n") <= F.col("__most") - MIN_USEFUL)
+    last = sums.groupBy(*keys).agg(F.min(F.when(F.col("__after") > F.col("__most") - MIN_USEFUL, F.col("__block"))).alias("__last"), F.array_sort(F.collect_list(F.struct("__block", "n"))).alias("__sums"))
+    within = cut.join(last, list(keys), "left").where("__last is null or __block <= __last")
+    before = F.aggregate(F.filter(F.coalesce("__sums", F.array().cast("array<struct<__block:bigint,n:bigint>>")), lambda x: x["__block"] < F.col("__block")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    inside = F.sum(F.length("text")).over(Window.partitionBy(*keys, "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    left = within.withColumn("__before", before).withColumn("left", F.col("__budget") - F.col("__before") - F.coalesce(inside, F.lit(0))).where(F.col("left") >= MIN_USEFUL)
+    return left.withColumn("text", F.substring(F.col("text"), F.lit(1), F.least(F.length("text"), F.col("left").cast("int")))).select(*items.columns)
 
 
 def fit_web(items: DataFrame, budget: int, keys: Sequence[str] = ("question_id",), web_chars: int = WEB_CHARS) -> DataFrame:
-    """items (keys, pos, url, text): each cut to web_chars and taken if it still fits, else left out; keys, taken (array of struct pos, url, text), used.
+    """items (keys, pos, url, text; a pos once): each cut to web_chars and taken if it still fits, else left out; the items taken, with used, the characters of all of them.
 
-    Taking one depends on all before it, so a question's items are folded in order; only a few web items belong to a question.
+    Taking one depends on all before it, but room only shrinks: of items of one length those taken come first, and no more of them than fit. So a key has at most
+    budget / 1 + budget / 2 + ... candidates, whatever its items; these are folded in order as pairs of position and length, and texts
+    stay where they are. Empty items are always taken. Keys must not be null.
     """
-    text = F.substring("text", 1, web_chars) if web_chars else F.col("text")
-    one = F.struct("pos", "url", text.alias("text"))
-    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("items"))
-    empty = F.struct(F.array().cast("array<struct<pos:int,url:string,text:string>>").alias("taken"), F.lit(0).alias("used"))
+    cut = items.withColumn("text", F.substring("text", 1, web_chars)) if web_chars else items
+    size = F.length("text")
+    rank = F.row_number().over(Window.partitionBy(*keys, "size").orderBy("pos"))
+    some = cut.where(size.between(1, budget)).select(*keys, "pos", size.alias("size")).withColumn("__rank", rank).where(F.col("__rank") <= F.floor(F.lit(budget) / F.col("size")))
+    pos = items.schema["pos"].dataType.simpleString()
+    empty = F.struct(F.array().cast(f"array<{pos}>").alias("taken"), F.lit(0).alias("used"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + F.length(x["text"]) <= budget
-        typed = F.struct(x["pos"].cast("int").alias("pos"), x["url"].alias("url"), x["text"].alias("text"))
-        return F.when(fits, F.struct(F.concat(acc["taken"], F.array(typed)).alias("taken"), (acc["used"] + F.length(x["text"])).cast("int").alias("used"))).otherwise(acc)
+        return F.when(acc["used"] + x["size"] <= budget, F.struct(F.concat(acc["taken"], F.array(x["pos"])).alias("taken"), (acc["used"] + x["size"]).cast("int").alias("used"))).otherwise(acc)
 
-    return grouped.select(*keys, F.aggregate("items", empty, step).alias("f")).select(*keys, F.col("f.taken").alias("taken"), F.col("f.used").alias("used"))
+    folded = some.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "size"))), empty, step).alias("f"))
+    joined = cut.join(folded, list(keys), "left").where((size == 0) | F.array_contains("f.taken", F.col("pos")))
+    return joined.select(*items.columns, F.coalesce("f.used", F.lit(0)).alias("used"))
 
 
 def allocate_budget(web: DataFrame, docs: DataFrame, total: int = TOTAL_BUDGET, share: float = WEB_SHARE, web_chars: int = WEB_CHARS) -> DataFrame:
     """question_id, source (0 web, 1 document), pos, url, text: web items within their share, then documents within the rest."""
-    web_budget = int(total * share)
-    taken = fit_web(web, web_budget, web_chars=web_chars)
-    rest = docs.join(taken.select("question_id", "used"), "question_id", "left").withColumn("budget", F.lit(total) - F.coalesce("used", F.lit(0)))
-    fitted = fit_documents(rest, F.col("budget")).select("question_id", F.lit(1).alias("source"), F.col("pos").cast("int"), "url", "text")
-    first = taken.select("question_id", F.explode("taken").alias("x")).select("question_id", F.lit(0).alias("source"), F.col("x.pos").alias("pos"), F.col("x.url").alias("url"), F.col("x.text").alias("text"))
-    return first.unionByName(fitted)
+    taken = fit_web(web, int(total * share), web_chars=web_chars)
+    used = taken.groupBy("question_id").agg(F.max("used").alias("used"))
+    rest = docs.join(used, "question_id", "left").withColumn("budget", F.lit(total) - F.coalesce("used", F.lit(0)))
+    fitted = fit_documents(rest, F.col("budget"), most=total).select("question_id", F.lit(1).alias("source"), F.col("pos").cast("int"), "url", "text")
+    return taken.select("question_id", F.lit(0).alias("source"), F.col("pos").cast("int"), "url", "text").unionByName(fitted)
 
 
 def context_digests(items: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -71,6 +71,28 @@ def listed(df: DataFrame, ids: Sequence[str], order: Sequence[str], key: str = "
     return found.orderBy(*order) if order else found
 
 
+def looked_up(df: DataFrame, **keys: str) -> DataFrame:
+    """The rows whose columns have the given values; the comparison reaches the scan. An unknown column is an error of Spark, a null value finds nothing."""
+    for name, value in keys.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def table_of(tables: DataFrame, document_id: str, sheet_name: str) -> DataFrame:
+    """The registry's row of one sheet: one row, or none."""
+    return looked_up(tables, document_id=document_id, sheet_name=sheet_name).limit(1)
+
+
+def default_sheet(tables: DataFrame, document_id: str) -> DataFrame:
+    """The registry's row of the sheet that sorts first; none for an unknown document."""
+    return looked_up(tables, document_id=document_id).orderBy("sheet_name").limit(1)
+
+
+def columns_of(columns: DataFrame, document_id: str, sheet_name: str) -> DataFrame:
+    """One sheet's columns in ordinal order."""
+    return looked_up(columns, document_id=document_id, sheet_name=sheet_name).orderBy("ordinal")
+
+
 def columns_by_table(columns: DataFrame, ids: Sequence[str]) -> DataFrame:
     """For each table of the ids its columns in ordinal order, as an array."""
     one = F.struct("ordinal", "original_name", "logical_type")

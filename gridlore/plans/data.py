@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from gridlore.functions import cells, texts
 from gridlore.operators import archive, tables
 from gridlore.operators.chunking import chunk_rows_by_budget, chunk_rows_fixed, chunk_texts, row_lines_of
+from gridlore.operators.keyed import KeyedTable
 from gridlore.operators.retrieval import context_digests
+from gridlore.shared import shared_path
 from gridlore.sources import html, ingest
 
-from .registry import over, query, register, table
+from .registry import SQL, over, query, register, table
+
+#: White space as Spark's patterns take it (see texts.SPACE), for SQL.
+_SPACE = r"[\s\x0B\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def stripped_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+def collapsed_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_SPACE}', ' ', 'g'))"
+
 
 # frames that Spark and SQL make alike
 
@@ -43,7 +57,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("document_id"), F.col("lang").alias("sheet_name")).agg(F.count(F.lit(1)).alias("row_count"), F.max("doc_id").alias("newest"))
 
 
-HISTORY_SQL = """h as (select lower(trim(text)) as query, md5('http://a/' || conv_id) as url_hash, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations where role = 'user'),
+HISTORY_SQL = f"""h as (select lower({stripped_sql('text')}) as query, md5('http://a/' || conv_id) as url_hash, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations where role = 'user'),
   p as (select md5('http://a/' || doc_id) as url_hash, 'http://a/' || doc_id as url, text as content, timestamp '2024-01-01' + to_minutes(doc_id::int) as timestamp from documents)"""
 
 
@@ -87,6 +101,10 @@ register(
 )
 register("s01_registered_series", lambda s, d: registered(s, d, "series").select("document_id", "sheet_name", "time_column", "eligible"), _REGISTERED + "'o_orderdate' as time_column, avg((o_orderdate is null)::int) <= 0.3 as eligible from orders")
 register("s01_registered_forecasts", lambda s, d: registered(s, d, "forecasts").select("document_id", "sheet_name", "measure_column", "time_column"), _REGISTERED + "unnest(['o_custkey', 'o_orderkey', 'o_totalprice']) as measure_column, 'o_orderdate' as time_column from (select 1 from orders limit 1)")
+register(
+    "s17_columns_of_sheet", lambda s, d: tables.columns_of(registered(s, d, "columns"), "orders", "s").select("ordinal", "original_name"),
+    "select (row_number() over () - 1)::int as ordinal, column_name as original_name from (describe select * from orders)",
+)
 register(
     "s18_columns_by_table", lambda s, d: tables.columns_by_table(registered(s, d, "columns"), ["orders", "none"]).select("document_id", "sheet_name", F.array_join(F.transform("columns", lambda c: c["original_name"]), ",").alias("names")),
     _REGISTERED + "string_agg(column_name, ',' order by n) as names from (select row_number() over () as n, column_name from (describe select * from orders))",
@@ -126,7 +144,7 @@ over(
 )
 over(
     "s03_page_texts", "documents", lambda d: ingest.page_texts(d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.col("text").alias("content"))),
-    r"select doc_id as document_id, 1 as page, trim(regexp_replace(text, '\s+', ' ', 'g')) as content from documents where trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''",
+    f"select doc_id as document_id, 1 as page, {collapsed_sql('text')} as content from documents where {collapsed_sql('text')} <> ''",
 )
 over("s04_html_text", "pages", html.extract_text)
 over("s04b_html_text_gate", "pages", lambda d: html.extract_text(d, min_text=html.MIN_TEXT))
@@ -138,16 +156,16 @@ def s06_insert_if_absent(spark, sf_dir):
     return archive.save_pages(pages_archive(spark, sf_dir), new).select("url_hash", "url", F.length("content").alias("chars"), "timestamp")
 
 
-@query("with " + HISTORY_SQL + " select query, url_hash, timestamp from h union all select lower(trim(text)), md5('http://b/' || item_id), timestamp '2024-05-01' from benchmark")
+@query("with " + HISTORY_SQL + " select query, url_hash, timestamp from h union all select lower(" + stripped_sql("text") + "), md5('http://b/' || item_id), timestamp '2024-05-01' from benchmark")
 def s07_history_appended(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"), F.concat(F.lit("http://b/"), F.col("item_id").cast("string")).alias("url"), F.expr("timestamp_ntz '2024-05-01'").alias("timestamp"))
     return tables.append(history(spark, sf_dir), archive.history_rows(b))
 
 
-_ANSWERS = "select lower(trim(text)) as query, role as answer, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations where {w} qualify row_number() over (partition by lower(trim(text)) order by conv_id * 10 + turn desc, role) = 1"
+_ANSWERS = "select lower(STRIPPED) as query, role as answer, timestamp '2024-03-01' + to_minutes((conv_id * 10 + turn)::int) as timestamp from conversations where WHERE qualify row_number() over (partition by lower(STRIPPED) order by conv_id * 10 + turn desc, role) = 1".replace("STRIPPED", stripped_sql("text"))
 
 
-@query("with n as (" + _ANSWERS.format(w="turn % 2 = 1") + "), o as (" + _ANSWERS.format(w="turn % 4 <> 3") + ") select * from n union all select * from o where query not in (select query from n)")
+@query("with n as (" + _ANSWERS.replace("WHERE", "turn % 2 = 1") + "), o as (" + _ANSWERS.replace("WHERE", "turn % 4 <> 3") + ") select * from n union all select * from o where query not in (select query from n)")
 def s08_answers_upserted(spark, sf_dir):
     """Answers of three turns in four are stored; those of odd turns come anew."""
     c = table(spark, sf_dir, "conversations")
@@ -193,6 +211,58 @@ def s15_vectors_upserted(spark, sf_dir):
     return done.select("vec_id", "label", F.size("embedding").alias("size"))
 
 
+# the same writes into stored tables, of which a merge rewrites the buckets that it touches
+
+
+def stored(spark: SparkSession, name: str, keys: tuple[str, ...], rows: DataFrame) -> KeyedTable:
+    return KeyedTable(shared_path(spark, name), keys, 16).create(rows)
+
+
+@query(SQL["s06_insert_if_absent"])
+def s06_stored_insert(spark, sf_dir):
+    t = stored(spark, "archive", ("url_hash",), pages_archive(spark, sf_dir))
+    new = table(spark, sf_dir, "pages").select("url", F.col("html").alias("content"), F.expr("timestamp_ntz '2024-06-01'").alias("timestamp"))
+    t.insert_if_absent(archive.page_rows(new), [F.asc("timestamp"), F.asc("content")])
+    return t.read(spark).select("url_hash", "url", F.length("content").alias("chars"), "timestamp")
+
+
+@query(SQL["s08_answers_upserted"])
+def s08_stored_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    at = F.expr("timestamp_ntz '2024-03-01' + make_dt_interval(0, 0, cast(conv_id * 10 + turn as int), 0)")
+    rows = c.select("turn", texts.normal_query(F.col("text")).alias("query"), F.col("role").alias("answer"), at.alias("timestamp"))
+    newest = [F.desc("timestamp"), F.asc("answer")]
+    t = stored(spark, "answers", ("query",), rows.where(F.lit(False)).drop("turn"))
+    for some in ("turn % 4 <> 3", "turn % 2 = 1"):
+        t.upsert(rows.where(some).drop("turn"), newest)
+    return t.read(spark)
+
+
+@query(SQL["s10_chunks_upserted"])
+def s10_stored_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    t = stored(spark, "chunks", ("chunk_id",), c)
+    t.upsert(c.where("chunk_index = 0").withColumn("content", F.concat("content", F.lit("!"))), [F.asc("content")])
+    return t.read(spark)
+
+
+@query(SQL["s11_registry_upserted"])
+def s11_stored_registry(spark, sf_dir):
+    r = sheets(spark, sf_dir)
+    t = stored(spark, "registry", ("document_id", "sheet_name"), r)
+    new = r.where("sheet_name = 'en'").withColumns({"row_count": F.col("row_count") + 1, "newest": F.lit(-1).cast("bigint")})
+    t.upsert(new, [F.asc("row_count")], keep=["newest"])
+    return t.read(spark)
+
+
+@query(SQL["s15_vectors_upserted"])
+def s15_stored_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    t = stored(spark, "vectors", ("vec_id",), e)
+    t.upsert(e.where("label = 1").withColumn("label", F.lit(0)), [F.asc("label")])
+    return t.read(spark).select("vec_id", "label", F.size("embedding").alias("size"))
+
+
 @query("with " + DOCS_SQL + ", " + CHUNKS_SQL + " select 'chunks' as table_name, count(*) as n from c where document_id not in (select document_id from d where status = 'pending') union all select 'documents', count(*) from d where status <> 'pending'")
 def s16_cascade_deleted(spark, sf_dir):
     d = documents(spark, sf_dir)
@@ -203,7 +273,12 @@ def s16_cascade_deleted(spark, sf_dir):
 
 @query("with " + TABLES_SQL + " select document_id, sheet_name, row_count, newest from t where document_id = 'src0' order by sheet_name limit 1")
 def s17_default_sheet(spark, sf_dir):
-    return sheets(spark, sf_dir).where("document_id = 'src0'").orderBy("sheet_name").limit(1)
+    return tables.default_sheet(sheets(spark, sf_dir), "src0")
+
+
+@query("with " + TABLES_SQL + " select document_id, sheet_name, row_count, newest from t where document_id = 'src1' and sheet_name = 'de'")
+def s17_table_of_sheet(spark, sf_dir):
+    return tables.table_of(sheets(spark, sf_dir), "src1", "de")
 
 
 @query("with " + TABLES_SQL + " select document_id, sheet_name, row_count, newest from t where document_id in ('src1', 'src2')")
@@ -239,11 +314,11 @@ over("f06_string_cells", "customer", lambda d: d.select("c_custkey", cells.norma
 over("f07_safe_names", "part", lambda d: d.select("p_partkey", cells.safe_name_column(F.col("p_name")).alias("safe")), "select p_partkey, 'col_' || coalesce(nullif(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'col') as safe from part")
 over("f08_table_names", "documents", lambda d: d.select("doc_id", cells.table_name(F.concat_ws("-", "source", F.col("doc_id").cast("string")), F.col("lang")).alias("name")), "select doc_id, 'doc_' || replace(source || '-' || doc_id, '-', '_') || '__' || substr(sha1(lang), 1, 10) as name from documents")
 over("f09_hashes", "pages", lambda d: d.select("page_id", F.md5("url").alias("url_hash"), F.md5(F.concat_ws(":", F.col("page_id").cast("string"), F.lit("0"))).alias("chunk_hash")), "select page_id, md5(url) as url_hash, md5(page_id || ':0') as chunk_hash from pages")
-over("f10_normal_queries", "conversations", lambda d: d.select("conv_id", "turn", texts.normal_query(F.col("text")).alias("query")), "select conv_id, turn, lower(trim(text)) as query from conversations")
+over("f10_normal_queries", "conversations", lambda d: d.select("conv_id", "turn", texts.normal_query(F.col("text")).alias("query")), f"select conv_id, turn, lower({stripped_sql('text')}) as query from conversations")
 _STOP = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
 over(
     "f11_query_terms", "conversations", lambda d: d.select("conv_id", "turn", F.array_join(texts.query_terms(F.col("text")), "|").alias("terms")),
-    rf"with w as (select conv_id, turn, text, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2 and x not in ({_STOP})) as l from conversations) select conv_id, turn, case when len(l) > 0 then array_to_string(l[1:10], '|') else lower(trim(text)) end as terms from w",
+    rf"with w as (select conv_id, turn, text, list_filter(string_split({collapsed_sql('lower(text)')}, ' '), lambda x: length(x) > 2 and x not in ({_STOP})) as l from conversations) select conv_id, turn, case when len(l) > 0 then array_to_string(l[1:10], '|') else lower({stripped_sql('text')}) end as terms from w",
 )
 over(
     "f12_row_texts", "orders", lambda d: d.select("o_orderkey", cells.row_text(d.withColumn("o_custkey", F.lit(" ")), ["o_orderkey"], ["Order"]).alias("t1"), cells.row_text(d, ["o_orderkey", "o_orderstatus", "o_orderpriority"], ["Order", None, "Priority"]).alias("t2")),
@@ -274,7 +349,14 @@ over("f18_json_round_trip", "events", lambda d: d.select("event_id", F.from_json
 over("w01_row_numbers", "orders", lambda d: tables.row_numbers(d.select("o_orderkey")).select(F.col("_source_row_number").alias("n"), "o_orderkey"), "select row_number() over () as n, o_orderkey from orders")
 
 
-@query()
+@query(
+    f"""with recursive d as materialized (select doc_id::varchar as document_id, {collapsed_sql('text')} as t from documents),
+    p as (select document_id, 0 as chunk_index, 1 as start, case when length(t) <= 2000 then length(t) + 1 else cut end as stop from (select *, {{cut}} as cut from (select document_id, t, 1 as start from d where t <> ''))
+        union all select document_id, chunk_index + 1, start, case when length(t) - start + 1 < 2000 then length(t) + 1 else {{cut}} end from (select p.document_id, t, chunk_index, p.stop + 1 as start from p join d using (document_id) where p.stop <= length(t)))
+    select document_id, 1 as page, substr(t, start, stop - start) as content, chunk_index, md5(document_id || ':' || chunk_index) as chunk_id from p join d using (document_id)""".replace(
+        "{cut}", "(case when contains(substr(t, start, 2000), ' ') then start + length(substr(t, start, 2000)) - strpos(reverse(substr(t, start, 2000)), ' ') when contains(substr(t, start), ' ') then start + strpos(substr(t, start), ' ') - 1 else length(t) + 1 end)"
+    )
+)
 def k01_text_chunks(spark, sf_dir):
     return chunk_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.col("text").alias("content")))
 
@@ -387,14 +469,30 @@ def p17_any_term(spark, sf_dir):
 
 @query("with " + DOCS_SQL + " select document_id from d where contains(lower(filename), 'src1-de')")
 def p18_file_names(spark, sf_dir):
-    return documents(spark, sf_dir).where(F.lower("filename").contains("src1-de")).select("document_id")
+    from gridlore.operators.retrieval import files_named
+
+    return files_named(documents(spark, sf_dir), "src1-DE").select("document_id")
 
 
 over("p20_excerpts", "documents", lambda d: d.select("doc_id", texts.excerpt(F.col("text")).alias("excerpt")), "select doc_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as excerpt from documents")
-over(
-    "p21_source_records", "documents", lambda d: d.select(texts.source_record(F.concat(F.when(F.col("lang") == "en", "doc://").otherwise("http://a/"), F.col("doc_id").cast("string")), F.col("text"), F.lit(None).cast("string"), F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")).alias("r")).select("r.url", "r.snippet", "r.source_type", "r.url_hash", "r.document_id", "r.display_name"),
-    "with s as (select case when lang = 'en' then 'doc://' else 'http://a/' end || doc_id as url, lang = 'en' as is_doc, doc_id, text from documents) select url, substr(text, 1, 500) as snippet, case when is_doc then 'document' else 'web' end as source_type, case when not is_doc then md5(url) end as url_hash, case when is_doc then doc_id::varchar end as document_id, case when is_doc then doc_id::varchar end as display_name from s",
+@query(
+    """with s as (select case when lang = 'en' then 'doc://' else 'http://a/' end || doc_id as url, lang = 'en' as is_doc, doc_id, text, source, doc_id % 3 as m, timestamp '2024-01-01' + to_minutes(doc_id::int) as tm from documents)
+    select url, substr(coalesce(text, ''), 1, 500) as snippet, case when is_doc then 'document' else 'web' end as source_type, case when is_doc then 'document' else 'web' end as source_kind, case when not is_doc then md5(url) end as url_hash, case when is_doc then doc_id::varchar end as document_id,
+      case when is_doc then case m when 0 then doc_id::varchar else source || '.pdf' end end as display_name, case when is_doc and m > 0 then source || '.pdf' end as filename, case when is_doc and m = 2 then 'Data' end as sheet_name,
+      case when is_doc then 'document_semantic' when m = 1 then 'online' else 'offline_semantic' end as retrieval_type, strftime(tm, '%Y-%m-%dT%H:%M:%S') as timestamp,
+      is_doc and m > 0 as located, case when is_doc and m = 1 then 7 end::int as page, case when is_doc and m = 2 then 2 end::bigint as row_start, case when is_doc and m = 2 then 51 end::bigint as row_end from s"""
 )
+def p21_source_records(spark, sf_dir):
+    """A third of the documents have nothing known of their place, a third a page, a third rows of a sheet."""
+    d, m = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    url = F.concat(F.when(F.col("lang") == "en", "doc://").otherwise("http://a/"), F.col("doc_id").cast("string"))
+    at = F.date_format(F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(doc_id as int), 0)"), "yyyy-MM-dd'T'HH:mm:ss")
+    kind = texts.retrieval_type(F.when(m == 1, "ONLINE").otherwise("OFFLINE_ARCHIVE"), F.lit("semantic"), F.col("lang") == "en")
+    r = texts.source_record(url, F.col("text"), F.when(m > 0, F.concat("source", F.lit(".pdf"))), F.when(m == 1, 7), F.when(m == 2, "Data"), F.when(m == 2, F.lit(2).cast("bigint")), F.when(m == 2, F.lit(51).cast("bigint")), kind, at)
+    names = ("url", "snippet", "source_type", "source_kind", "url_hash", "document_id", "display_name", "filename", "sheet_name", "retrieval_type", "timestamp")
+    return d.select(r.alias("r")).select(*[f"r.{n}" for n in names], F.col("r.location").isNotNull().alias("located"), "r.location.page", "r.location.row_start", "r.location.row_end")
+
+
 over(
     "p22_retrieval_types", "documents", lambda d: d.select("doc_id", texts.retrieval_type(F.when(F.col("lang") == "en", "ONLINE").otherwise("OFFLINE_ARCHIVE"), F.when(F.col("source") == "src0", "semantic").otherwise("keyword"), F.col("lang") == "de").alias("kind")),
     "select doc_id, case when lang = 'de' then case when source = 'src0' then 'document_semantic' else 'document_keyword' end when lang = 'en' then 'online' when source = 'src0' then 'offline_semantic' else 'offline_keyword' end as kind from documents",

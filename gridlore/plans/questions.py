@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.functions import intents
+from gridlore.functions import intents, texts
 from gridlore.operators import archive, freshness, retrieval, timeseries
 from gridlore.operators.profile import profile, top_values
+from gridlore.operators.trigrams import TextIndex
+from gridlore.shared import shared_path, written
 
-from .data import CHUNKS_SQL, DOCS_SQL, HISTORY_SQL, chunks, documents, history, order_lines, pages_archive
+from .data import CHUNKS_SQL, DOCS_SQL, HISTORY_SQL, chunks, collapsed_sql, documents, history, order_lines, pages_archive, stripped_sql
 from .registry import SQL, over, query, register, table
 
 # PR, W9: profiles
@@ -37,6 +39,26 @@ over(
 )
 over("w09_top_values", "events", lambda d: top_values(d, ["event_type"]).select("value", "count"), "select event_type as value, count(*) as count from events group by 1 order by 2 desc, 1 limit 5")
 over("pr6_profile", "lineitem", profile)
+_TEXT = "column_name, logical_type, row_count, missing_count, null_ratio, distinct_count, min_value, max_value, mean, median, std, top_values"
+_TYPES = {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "date"}
+
+
+def _whole_profile_sql() -> str:
+    one = []
+    for c, kind in _TYPES.items():
+        number, ordered, text = kind in ("integer", "float"), kind != "string", kind == "string"
+        tops = f"(select string_agg(v || '=' || n, ',' order by n desc, v) from (select {c} as v, count(*) as n from lineitem group by 1 order by 2 desc, 1 limit 5))" if text else "null::varchar"
+        values = [f"round({x}, 4)" if number else "null::double" for x in (f"avg({c})", f"median({c})::double", f"stddev_samp({c})")]
+        ends = [f"{f}({c})::varchar" if ordered else "null::varchar" for f in ("min", "max")]
+        one.append(f"select '{c}' as column_name, '{kind}' as logical_type, count(*) as row_count, count(*) - count({c}) as missing_count, round((count(*) - count({c}))::double / count(*), 6) as null_ratio, count(distinct {c}) as distinct_count, {ends[0]} as min_value, {ends[1]} as max_value, {values[0]} as mean, {values[1]} as median, {values[2]} as std, {tops} as top_values from lineitem")
+    return " union all ".join(one)
+
+
+over(
+    "pr6_profile_texts", "lineitem",
+    lambda d: profile(d).withColumn("top_values", F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("top_values"), lambda x: F.struct((-x["value"]).alias("n"), x["key"].alias("v")))), lambda x: F.concat(x["v"], F.lit("="), (-x["n"]).cast("string"))), ",")).select(*_TEXT.split(", ")),
+    _whole_profile_sql(),
+)
 over("pr6_profile_approximate", "lineitem", lambda d: profile(d, approximate=True))
 
 # X, W2 to W4: series
@@ -149,13 +171,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
 
 
-_TERMS = r"list_filter(string_split(trim(regexp_replace(lower({t}), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2 and x not in ({stop}))[1:10]"
-
-
 def _terms(t: str) -> str:
     from gridlore.functions.texts import STOP_WORDS
 
-    return _TERMS.format(t=t, stop=", ".join(f"'{w}'" for w in STOP_WORDS))
+    words = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"list_filter(string_split({collapsed_sql(f'lower({t})')}, ' '), lambda x: length(x) > 2 and x not in ({words}))[1:10]"
 
 
 @query(
@@ -182,7 +202,7 @@ def r03_w08_last_of_file(spark, sf_dir):
 
 @query("with " + CHUNKS_SQL + " select chunk_id from c order by chunk_index, chunk_id limit 10")
 def t06_first_chunks(spark, sf_dir):
-    return chunks(spark, sf_dir).orderBy("chunk_index", "chunk_id").limit(10).select("chunk_id")
+    return retrieval.first_chunks(chunks(spark, sf_dir), 10).select("chunk_id")
 
 
 _PAGE = "with " + HISTORY_SQL + " select url_hash, url, case when length(content) > 200 then substr(content, 1, 200) || '...' else content end as excerpt, timestamp from p "
@@ -203,15 +223,42 @@ def a10_archive_count(spark, sf_dir):
     return archive.count_pages(pages_archive(spark, sf_dir), "token")
 
 
+def archive_index(spark: SparkSession, sf_dir: str):
+    return archive.page_index(shared_path(spark, "page-index"), 16).build(pages_archive(spark, sf_dir))
+
+
+@query(SQL["r04_archive_search"])
+def r04_indexed_search(spark, sf_dir):
+    """The search through a trigram index that is built first."""
+    return archive.search_pages(archive.candidate_pages(spark, archive_index(spark, sf_dir), "token"), "token")
+
+
+@query(SQL["a10_archive_count"])
+def a10_indexed_count(spark, sf_dir):
+    return archive.count_pages(archive.candidate_pages(spark, archive_index(spark, sf_dir), "token"), "token")
+
+
+@query(SQL["r01_keyword_search"])
+def r01_indexed_search(spark, sf_dir):
+    found = TextIndex(shared_path(spark, "chunk-index"), "chunk_id", ("content",), 16).build(chunks(spark, sf_dir))
+    return retrieval.keyword_search(found.candidates(spark, ["licensed", "token"]), documents(spark, sf_dir), "What is the licensed token").select("chunk_id")
+
+
 @query("with " + HISTORY_SQL + " select distinct p.url, p.content, p.timestamp from p join h using (url_hash) where contains(h.query, 'that the') or contains(lower(p.content), 'that the') order by p.timestamp desc, p.url limit 3")
 def r05_j03_recall(spark, sf_dir):
     return archive.recall(pages_archive(spark, sf_dir), history(spark, sf_dir), " That the ")
 
 
-@query("with a as (select lower(trim(text)) as key, role as answer from conversations qualify row_number() over (partition by lower(trim(text)) order by conv_id * 10 + turn desc, role) = 1), q as (select conv_id * 10 + turn as question_id, text as query from conversations union all select -1 - item_id, text from benchmark) select question_id, query, answer from q left join a on lower(trim(query)) = key")
+@query(SQL["r05_j03_recall"])
+def r05_indexed_recall(spark, sf_dir):
+    h = history(spark, sf_dir)
+    return archive.recall(archive.recall_candidates(spark, archive_index(spark, sf_dir), h, " That the "), h, " That the ")
+
+
+@query("with a as (select lower(S) as key, role as answer from conversations qualify row_number() over (partition by lower(S) order by conv_id * 10 + turn desc, role) = 1), q as (select conv_id * 10 + turn as question_id, text as query from conversations union all select -1 - item_id, text from benchmark) select question_id, query, answer from q left join a on lower(Q) = key".replace("S)", stripped_sql("text") + ")").replace("Q)", stripped_sql("query") + ")"))
 def r06_cached_answers(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("question_id", F.col("conv_id") * 10 + F.col("turn"))
-    answers = c.select(F.lower(F.trim("text")).alias("query"), F.col("role").alias("answer"), F.col("question_id").alias("timestamp"))
+    answers = c.select(texts.normal_query(F.col("text")).alias("query"), F.col("role").alias("answer"), F.col("question_id").alias("timestamp"))
     questions = c.select("question_id", F.col("text").alias("query")).unionByName(table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("question_id"), F.col("text").alias("query")))
     return archive.cached_answers(answers, questions)
 
@@ -256,7 +303,7 @@ def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = chunk_rows_by_budget(order_lines(spark, sf_dir).withColumn("document_id", F.col("sheet_name")))
     none = F.lit(None)
-    return c.withColumn("meta", F.struct(none.cast("int").alias("page"), F.col("sheet_name").alias("sheet"), "row_start", "row_end"))
+    return written(c.withColumn("meta", F.struct(none.cast("int").alias("page"), F.col("sheet_name").alias("sheet"), "row_start", "row_end")), "row-chunks")
 
 
 def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,14 +326,47 @@ def r09_u01_t05_p23_hybrid_search(spark, sf_dir):
     return retrieval.hybrid_search(c, order_files(c), question_log(spark, sf_dir))
 
 
-@query()
+def _found_sql(table_: str, key: str, text: str) -> str:
+    """The first 20 rows of a table, by id, that hold one of a question's terms."""
+    return f"(select question_id, {key}, pos from (select question_id, {key}, row_number() over (partition by question_id order by {key}, {key}::varchar) as pos from (select distinct question_id, {key} from t, {table_} where contains(lower({text}), term))) where pos <= 20)"
+
+
+@query(
+    f"""with recursive t as materialized (select item_id as question_id, unnest({_terms('text')}) as term from benchmark),
+    w as materialized (select question_id, pos, url, substr(html, 1, 2000) as text from {_found_sql('pages', 'page_id', 'html')} join pages using (page_id)),
+    f as (select question_id, pos, case when length(text) <= 5600 then length(text) else 0 end as used, length(text) <= 5600 as took from w where pos = 1
+        union all select w.question_id, w.pos, case when f.used + length(text) <= 5600 then f.used + length(text) else f.used end, f.used + length(text) <= 5600 from f join w on w.question_id = f.question_id and w.pos = f.pos + 1),
+    u as (select question_id, max(used) as used from f group by 1),
+    d as (select question_id, pos, doc_id, text, 14000 - coalesce(used, 0) - coalesce(sum(length(text)) over (partition by question_id order by pos rows between unbounded preceding and 1 preceding), 0) as room from {_found_sql('documents', 'doc_id', 'text')} join documents using (doc_id) left join u using (question_id))
+    select question_id, 0 as source, pos::int as pos, url, text from w join f using (question_id, pos) where took union all
+    select question_id, 1, pos::int, 'doc://' || doc_id, substr(text, 1, least(length(text), room)::int) from d where room >= 200"""
+)
 def r10_w06_u04_budget(spark, sf_dir):
-    """Web items: for each benchmark item the pages, by id, up to ten; documents: its keyword chunks."""
-    q = asked(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
-    found = retrieval.keyword_search_batch(docs, q).join(docs, "chunk_id").select("question_id", F.col("rank").alias("pos"), F.concat(F.lit("doc://"), "chunk_id").alias("url"), F.col("content").alias("text"))
-    web = found.where(F.col("pos") % 2 == 0).select("question_id", "pos", F.concat(F.lit("http://a/"), F.col("pos").cast("string")).alias("url"), "text")
-    return retrieval.allocate_budget(web, found)
+    """Web items: the pages that hold one of a question's terms, the first 20 by id; documents likewise."""
+    q, d, p = asked(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    docs = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"))
+    web = p.select(F.col("page_id").cast("string").alias("chunk_id"), F.col("page_id").alias("chunk_index"), F.col("html").alias("content"), "url")
+    found = lambda rows: retrieval.keyword_search_batch(rows.drop("url"), q).join(rows, "chunk_id").select("question_id", F.col("rank").alias("pos"), "url", F.col("content").alias("text"))
+    return retrieval.allocate_budget(found(web), found(docs))
+
+
+@query(
+    f"""with {DOCS_SQL}, q as (select vec_id as question_id, embedding::double[] as v, 'which licensed token ' || label as query from embeddings where vec_id % 50 = 0),
+    b as (select d.document_id as chunk_id, doc_id as chunk_index, filename, text from documents join d on d.document_id = doc_id::varchar where status = 'ready'),
+    n as (select question_id, chunk_id, 3 as branch, row_number() over (partition by question_id order by s desc, chunk_id) as r from (select question_id, chunk_id, list_cosine_similarity(embedding::double[], v) as s from q, embeddings e join b on b.chunk_id = e.vec_id::varchar) qualify r <= 12),
+    k as (select question_id, chunk_id, 4 as branch, row_number() over (partition by question_id order by chunk_index, chunk_id) as r from q, b where contains(lower(text), 'licensed') or contains(lower(text), 'token') qualify r <= 20),
+    m as (select * from (select * from n union all select * from k) qualify row_number() over (partition by question_id, chunk_id order by branch) = 1)
+    select question_id, row_number() over (partition by question_id order by branch, r, chunk_id)::int as pos, chunk_id, 'doc://' || chunk_id as url, '[' || filename || '] ' || chr(10) || text as text, branch = 3 as semantic from m join b using (chunk_id)"""
+)
+def r09_u01_t05_semantic_hybrid(spark, sf_dir):
+    """Whole documents as chunks, with the vectors of the same ids; questions with a vector and words. Some chunks come from the semantic branch alone."""
+    none = F.lit(None)
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    meta = F.struct(none.cast("int").alias("page"), none.cast("string").alias("sheet"), none.cast("bigint").alias("row_start"), none.cast("bigint").alias("row_end"))
+    c = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"), meta.alias("meta"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.concat(F.lit("which licensed token "), F.col("label").cast("string")).alias("query"), F.col("embedding").alias("vector"))
+    vectors = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    return retrieval.hybrid_search(c, documents(spark, sf_dir), q, vectors=vectors, with_branch=True).select("question_id", "pos", "chunk_id", "url", "text", (F.col("branch") == "semantic").alias("semantic"))
 
 
 @query("with i as (select source as question_id, doc_id as pos, text, coalesce(sum(length(text)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as used from documents) select question_id, pos, substr(text, 1, least(length(text), 14000 - used)::int) as text from i where 14000 - used >= 200")
@@ -337,7 +417,14 @@ def _now():
     return F.lit(NOW.isoformat(" ")).cast("timestamp_ntz")
 
 
-over("a09_newest_time", "events", lambda d: d.agg(F.max("ts").alias("last_modified")), "select max(ts) as last_modified from events")
+over("a09_newest_time", "events", lambda d: freshness.newest_time(d, "ts"), "select max(ts) as last_modified from events")
+for _name, _where in (("any", "true"), ("views", "event_type <> 'click'"), ("odd", "event_type = 'error'")):
+    # clicks tell their times with a T and without fractions, errors in a notation that is not read
+    register(
+        f"a09_newest_text_{_name}",
+        lambda s, d, where=_where: freshness.newest_time(table(s, d, "events").where(where).select(F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_type") == "error", F.date_format("ts", "dd.MM.yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("at")), "at"),
+        f"with t as (select max(case when event_type = 'click' then strftime(ts, '%Y-%m-%dT%H:%M:%S') when event_type = 'error' then strftime(ts, '%d.%m.%Y') else strftime(ts, '%Y-%m-%d %H:%M:%S.%f') end) as tm from events where {_where}) select coalesce(try_strptime(tm, '%Y-%m-%d %H:%M:%S.%f'), try_strptime(tm, '%Y-%m-%d %H:%M:%S'), try_strptime(tm, '%Y-%m-%dT%H:%M:%S.%f'), try_strptime(tm, '%Y-%m-%dT%H:%M:%S')) as last_modified from t",
+    )
 register("z01_statuses", lambda s, d: sources(s, d).where("fetch_error is null").select("name", freshness.status(F.col("last_modified"), F.col("ttl_minutes"), _now()).alias("status")), f"with {_SOURCES_SQL} select name, {_STATUS} as status from s where fetch_error is null")
 register(
     "z02_details", lambda s, d: freshness.details(sources(s, d), _now()).select("source_name", "status", F.round("age_seconds", 1).alias("age_seconds"), F.round("time_until_stale_minutes", 1).alias("left_minutes"), "error_message"),
@@ -364,10 +451,10 @@ def z05_enabled_sources(spark, sf_dir):
     return freshness.enabled_sources(s).select("name", "ttl_minutes")
 
 
-@query(f"with {_SOURCES_SQL} select lower(name) as name, ttl_minutes from s where lower(name) = 'france' and length(name) <> 5")
+@query(f"with {_SOURCES_SQL} select lower(name) as name, ttl_minutes from s where lower(name) = 'nation_7' and length(name) <> 5")
 def z05_source_named(spark, sf_dir):
     s = sources(spark, sf_dir).withColumn("enabled", F.length("name") != 5)
-    return freshness.source_named(s, "France").select("name", "ttl_minutes")
+    return freshness.source_named(s, "Nation_7").select("name", "ttl_minutes")
 
 
 # Q: question logs, over the texts of conversations and questions made from nations
@@ -423,4 +510,4 @@ def _cv(which: str) -> str:
 _log("q04_column_values", lambda q: [intents.column_value_intent(q)["column_name"].alias("column_name"), intents.column_value_intent(q)["value"].alias("value")], f"{_cv('name')} as column_name, {_cv('value')} as value")
 _log("q05_files", lambda q: [intents.file_intent(q).alias("file"), intents.wants_last(q).alias("wants_last")], f"coalesce({_group_sql(intents.FILE_FROM)}, {_group_sql(intents.FILE_IN)}) as file, {_any_sql([intents.LAST])} as wants_last")
 _log("q06_requested_rows", lambda q: [intents.requested_rows(q).alias("rows")], "case when {0} > 500 then 500 else {0} end as rows".format("coalesce(" + ", ".join(f"try_cast({_group_sql(p)} as bigint)" for p in intents.ROW_COUNT) + ")"))
-_log("q07_chart_types", lambda q: [intents.chart_type(q).alias("chart")], "case when regexp_matches(lower(query), 'trend|over time|forecast|predict') then 'line_chart' when regexp_matches(lower(query), 'compare|distribution|by category') then 'bar_chart' else 'line_chart' end as chart")
+_log("q07_chart_types", lambda q: [intents.chart_type(q).alias("chart")], "case when regexp_matches(lower(query), '" + "|".join(intents.LINE_CHART) + "') then 'line_chart' when regexp_matches(lower(query), '" + "|".join(intents.BAR_CHART) + "') then 'bar_chart' else 'line_chart' end as chart")
