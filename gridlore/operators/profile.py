@@ -15,29 +15,54 @@ from gridlore.functions.filters import column, visible
 from gridlore.shared import written
 
 TOP_VALUES = 5
-#: Parts that a pass of rank selection makes of the values left, and the most values that the driver sorts for a rank.
-SPLITS, FEW_VALUES = 1000, 20_000
+#: Rows that a task counts at a time; parts that a pass of rank selection makes of the values left, and the most values that the driver sorts in the end.
+COUNTED, SPLITS, FEW_VALUES = 1 << 18, 1000, 500_000
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """c (place in names), l, d, s, n: how often each column has each value; whole numbers are in l, other numbers in d, all else as text in s, nulls in none.
+    """c (place in names), l, d, s, n: how often each column has each value; whole numbers are in l, other numbers in d, all else as text in s (decimals in both), nulls in none.
 
-    One scan: all columns are unpivoted at once and folded by (column, value) before the shuffle.
+    One scan for all columns: tasks count COUNTED rows at a time, column by column, and what they found is added up by (column, value).
     """
-    none = {k: F.lit(None).cast(t) for k, t in (("l", "bigint"), ("d", "double"), ("s", "string"))}
-    rows = []
+    slots, cells = [], []
     for i, name in enumerate(names):
         c, t = column(df, name), df.schema[name].dataType
         if isinstance(t, T.IntegralType):
-            held = {"l": c.cast("bigint")}
+            slots.append("l")
+            cells.append(c.cast("bigint").alias(f"c{i}"))
         elif isinstance(t, (T.FloatType, T.DoubleType)):
-            held = {"d": c.cast("double") + F.lit(0.0)}  # -0.0 and 0.0 are one value
-        elif isinstance(t, T.DecimalType):
-            held = {"d": c.cast("double"), "s": c.cast("string")}
+            slots.append("d")
+            cells.append((c.cast("double") + F.lit(0.0)).alias(f"c{i}"))  # -0.0 and 0.0 are one value
         else:
-            held = {"s": c.cast("string")}
-        rows.append(F.struct(F.lit(i).alias("c"), *[held.get(k, v).alias(k) for k, v in none.items()]))
-    return df.select(F.inline(F.array(*rows))).groupBy("c", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+            slots.append("s")
+            cells.append(c.cast("string").alias(f"c{i}"))
+    kinds = {"l": pa.int64(), "d": pa.float64(), "s": pa.string()}
+
+    def count(batches):
+        held: list[pa.RecordBatch] = []
+
+        def made():
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            for i, slot in enumerate(slots):
+                found = rows.column(i).cast(kinds[slot]).value_counts()
+                n = len(found)
+                values = {k: pa.nulls(n, t) for k, t in kinds.items()} | {slot: found.field("values")}
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int32()), *values.values(), found.field("counts")], ["c", "l", "d", "s", "n"])
+
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= COUNTED:
+                yield from made()
+                size = 0
+        if held:
+            yield from made()
+
+    found = df.select(*cells).mapInArrow(count, "c int, l bigint, d double, s string, n bigint").groupBy("c", "l", "d", "s").agg(F.sum("n").alias("n"))
+    decimals = [i for i, name in enumerate(names) if isinstance(df.schema[name].dataType, T.DecimalType)]
+    return found.withColumn("d", F.when(F.col("c").isin(decimals), F.col("s").try_cast("double")).otherwise(F.col("d"))) if decimals else found
 
 
 def _buckets(rows: DataFrame, splits: dict[int, np.ndarray]) -> list:
@@ -69,13 +94,14 @@ def _buckets(rows: DataFrame, splits: dict[int, np.ndarray]) -> list:
     return found.groupBy("g", "bucket").agg(F.sum("n").alias("n"), F.sum("values").alias("values"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("g", "bucket").collect()
 
 
-def ranked(values: DataFrame, ranks: dict[tuple[int, int], int], few: int = FEW_VALUES, splits: int = SPLITS) -> dict[tuple[int, int], float]:
+def ranked(values: DataFrame, ranks: dict[tuple[int, int], int], few: int | None = None, splits: int = SPLITS) -> dict[tuple[int, int], float]:
     """The value at each of ranks, (column, place from 0 in rising order) to the column's number of values: exact, over values (c, v, n; v not null).
 
-    Where more than few values are left for a rank, sketched quantiles of them make splits, one pass counts what is between, and only the bucket
+    Where more than few values are left for a rank (without few, FEW_VALUES shared by all ranks), sketched quantiles of them make splits, one pass counts what is between, and only the bucket
     that holds the rank stays: each pass leaves about one in splits of the values. The driver gets counts by bucket, and at last few values a rank.
     """
     known: dict[tuple[int, int], float] = {}
+    few = few or max(1, FEW_VALUES // len(ranks))
     left = {k: (None, None, 0, size) for k, size in ranks.items()}  # from, up to, rows before, values in between
 
     def grouped(keys: list) -> tuple[DataFrame, dict]:
@@ -126,11 +152,15 @@ def _exact(df: DataFrame, names: Sequence[str], counts: DataFrame) -> DataFrame:
     types = visible(df)
     v = F.coalesce("d", F.col("l").cast("double"))
     there = F.coalesce(v.isNotNull(), F.lit(False)) | F.col("s").isNotNull()
-    # decimals are ordered by their numbers and shown as their texts
     ends = [f(F.col("l")).cast("string").alias(f"{a}_l") for a, f in (("lo", F.min), ("hi", F.max))] + [f(F.col("d")).alias(f"{a}_d") for a, f in (("lo", F.min), ("hi", F.max))]
-    ends += [F.min("s").alias("lo_s"), F.max("s").alias("hi_s"), F.min_by("s", "d").alias("lo_x"), F.max_by("s", "d").alias("hi_x")]
+    # decimals are ordered by their numbers and shown as their texts
+    shown = [i for i, c in enumerate(names) if types[c] == "date" or isinstance(df.schema[c].dataType, T.DecimalType)]
+    texts = {}
+    if shown:
+        both = [F.min("s").alias("lo_s"), F.max("s").alias("hi_s"), F.min_by("s", "d").alias("lo_x"), F.max_by("s", "d").alias("hi_x")]
+        texts = {r["c"]: r.asDict() for r in counts.where(F.col("c").isin(shown)).groupBy("c").agg(*both).collect()}
     seen = counts.groupBy("c").agg(F.sum("n").alias("rows"), F.sum(F.when(there, F.col("n"))).alias("filled"), F.count(F.when(there, 1)).alias("values"), F.sum(v * F.col("n")).alias("total"), *ends).collect()
-    of = {r["c"]: r for r in seen}
+    of = {r["c"]: {"lo_s": None, "hi_s": None, "lo_x": None, "hi_x": None} | r.asDict() | texts.get(r["c"], {}) for r in seen}
     numbers = [i for i, c in enumerate(names) if types[c] in ("integer", "float") and of.get(i) and of[i]["filled"] and of[i]["total"] is not None]
     means = {i: of[i]["total"] / of[i]["filled"] for i in numbers}
     wide = counts.where(F.col("c").isin(numbers)).select("c", v.alias("v"), "n").where("v is not null")

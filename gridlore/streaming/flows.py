@@ -90,7 +90,7 @@ def ingest_files(batch: DataFrame, store: Store, kind: str, schema: str, chunked
     """One batch of files (path, modificationTime; one document each) into store: pending first, then ready with rows and chunks, or error with the reason.
 
     All files are read in one job. A file that can't be read, has no row, or holds a record that isn't of schema is an error; its rows and the
-    others' are kept apart, and what the store had of it stays. chunked makes chunks (document_id, ...) from rows. Everything is replaced by document,
+    others' are kept apart, and what the store had of it stays. Files of no bytes have no row in a file source, so they get no status. chunked makes chunks (document_id, ...) from rows. Everything is replaced by document,
     so a batch that comes again changes nothing.
     """
     spark = batch.sparkSession
