@@ -61,9 +61,8 @@ class KeyedTable:
         return sorted(r[BUCKET] for r in dealt.select(BUCKET).distinct().collect())  # no more than there are buckets
 
     def _swap(self, made: DataFrame) -> None:
-        """Replace the buckets that made has rows of."""
-        staged = written(made, "staged")
-        staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        """Replace the buckets that made, a written table, has rows of."""
+        made.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def insert_if_absent(self, new: DataFrame, order: Sequence[Column]) -> None:
         """The first row of each key of new that the table lacks. No stored file is rewritten; keys that are there leave everything as it is."""
@@ -79,7 +78,7 @@ class KeyedTable:
         touched = self._touched(first)
         if touched:
             old = self._stored(new.sparkSession, touched)
-            self._swap(upsert(old, first.select(old.columns), [*self.keys, BUCKET], [F.lit(1).asc()], keep))
+            self._swap(written(upsert(old, first.select(old.columns), [*self.keys, BUCKET], [F.lit(1).asc()], keep), "merged"))
 
     def replace(self, new: DataFrame, gone: DataFrame | None = None) -> None:
         """All rows with the keys of new (and of gone) make way for the rows of new. Buckets that end up empty keep no row."""
