@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from .common import worker_cache
 
@@ -113,7 +114,7 @@ class Spec:
     alike: bool
     ranks: list[tuple[bytes, int]] | None = None
     special: list[str | None] = field(default_factory=list)
-    frequent: list[str] = field(default_factory=list)
+    frequent: list[str] | pa.StringArray = field(default_factory=list)
     ids: np.ndarray | None = None
     lengths: np.ndarray | None = None
 
@@ -144,10 +145,6 @@ class Spec:
         ids = [e.ids for e in load(path).encode_batch(words, add_special_tokens=False)]
         return cls(path, True, ranks, special, words, np.array([i for e in ids for i in e], np.uint32), np.array([len(e) for e in ids], np.uint8))
 
-    def sizes_only(self) -> Spec:
-        """Without the ids of frequent pre-tokens, for who needs their lengths alone."""
-        return Spec(self.path, self.alike, self.ranks, self.special, self.frequent, None, self.lengths)
-
 
 class _Pieces(dict):
     """A worker's cache of one generation; what it lacks comes from the generation before, or is made."""
@@ -173,7 +170,8 @@ class PieceEncoder:
         self._tok = None
         self.special = re.compile("|".join(map(re.escape, spec.special))) if self.alike and spec.special else None
         self.base, at = {}, 0
-        for word, n in zip(spec.frequent, spec.lengths.tolist() if spec.lengths is not None else [], strict=True):
+        words = spec.frequent if isinstance(spec.frequent, list) else spec.frequent.to_pylist()
+        for word, n in zip(words, spec.lengths.tolist() if spec.lengths is not None else [], strict=True):
             self.base[word] = n if spec.ids is None else value(spec.ids[at : at + n].tolist())
             at += n
         self.visible = _visible()

@@ -79,6 +79,26 @@ def test_other_tokenizers_go_to_the_library():
     assert list(enc.each(texts, lambda parts: [i for p in parts for i in p])) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_frequent_pieces(docs, corpus, tok):
+    """The table holds the corpus's own pre-tokens, whatever their length; a small one, an empty one and one of other texts count alike."""
+    from collections import Counter
+
+    from gridlore.llm.pretokens import split
+    from gridlore.llm.token_counts import frequent_pieces
+
+    spec = frequent_pieces(docs, Spec.of(PATH, 0))
+    seen = Counter(p for _, t in corpus if t and not is_odd(t) and "<|endoftext|>" not in t for p in split(t))
+    words = spec.frequent.to_pylist()
+    assert {w for w, _ in seen.most_common(100)} <= set(words) and (spec.lengths > 1).any()
+    assert spec.lengths.tolist() == [len(tok.encode(w, add_special_tokens=False).ids) for w in words]
+    few = frequent_pieces(docs, Spec.of(PATH, 0), entries=5, rows=20)
+    assert len(few.frequent) <= 5 and len(frequent_pieces(docs.where("false"), Spec.of(PATH, 0)).frequent) == 0
+    texts = [t or "" for _, t in corpus]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for s in (spec, few, Spec.of(PATH, 0)):
+        assert list(PieceEncoder(s, len).each(texts, sum)) == want
+
+
 def test_counts(docs, no_docs, corpus, tok):
     got = {r["doc_id"]: r for r in token_counts(docs, PATH).collect()}
     for i, t in corpus:
