@@ -65,16 +65,16 @@ def sheet_record(df: DataFrame) -> DataFrame:
 
 
 def _block(series: DataFrame, name: str) -> Column:
-    """A value that never falls along name in order (nulls last) and is shared by few enough rows for one task: a day, 32 dates, 4,096 numbers."""
+    """A value that never falls along name in order (nulls last) and is shared by few enough rows for one task: a minute, 32 dates, 4,096 numbers."""
     kind, c = series.schema[name].dataType.typeName(), F.col(name)
     if kind in ("string", "varchar", "char"):
         return F.coalesce(F.substring(c, 1, 7), F.lit("\U0010ffff"))
     if kind == "date":
         part = F.floor(F.unix_date(c) / 32)
     elif kind == "timestamp":
-        part = F.floor(F.unix_seconds(c) / 86400)
+        part = F.floor(F.unix_seconds(c) / 60)
     elif kind == "timestamp_ntz":
-        part = F.unix_date(c.cast("date"))
+        part = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
     elif isinstance(series.schema[name].dataType, NumericType):
         part = F.when(~F.isnan(c.cast("double")), F.floor(c.cast("double") / 4096))
     else:
