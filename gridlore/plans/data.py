@@ -399,6 +399,11 @@ def k04_document_chunks(spark, sf_dir):
     return chunk_documents(pages, order_lines(spark, sf_dir))
 
 
+@query(f"select chunk_id, document_id, chunk_index, content, page, null::varchar as sheet, null::bigint as row_start, null::bigint as row_end from ({SQL['k01_text_chunks']}) union all select chunk_id, document_id, chunk_index, content, null, sheet_name, row_start, row_end from ({SQL['k02_row_chunks']})")
+def k04_chunk_places(spark, sf_dir):
+    return k04_document_chunks(spark, sf_dir).select("chunk_id", "document_id", "chunk_index", "content", "meta.page", "meta.sheet", "meta.row_start", "meta.row_end")
+
+
 # J: joins
 
 @query("with " + DOCS_SQL + ", " + CHUNKS_SQL + " select chunk_id, filename, status from c join d using (document_id)")

@@ -138,6 +138,33 @@ def x06_sheet_forecasts(spark, sf_dir):
     return timeseries.sheet_forecasts(table(spark, sf_dir, "events"), "ts", ["value", "user_id"], ["event_id"])
 
 
+_SHEET_FIT = """e as (select ts, event_id, unnest(['kept', 'user_id', 'value']) as measure, unnest([case when event_id % 7 > 0 then value end, user_id::double, value]) as v from events),
+  g as (select measure, coalesce(last_value(v ignore nulls) over (w rows between unbounded preceding and current row), first_value(v ignore nulls) over (w rows between current row and unbounded following)) as v, row_number() over w - 1 as x, v is null as gap from e window w as (partition by measure order by ts, event_id)),
+  f as (select measure, count(*) as n, avg(gap::int) as missing, regr_slope(v, x) as a, regr_intercept(v, x) as b, sqrt(greatest(0, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x)) / count(*)) as s from g group by 1),
+  k as (select measure, n, h, s, b + a * (n + h) as p, case when missing <= 0.1 then 'forward_fill' else 'forward_fill_warned' end as policy from f, (values (0), (1), (2)) t(h))"""
+
+
+def gappy_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of three measures of events, one with a gap in every seventh row."""
+    e = table(spark, sf_dir, "events").withColumn("kept", F.when(F.col("event_id") % 7 > 0, F.col("value")))
+    return timeseries.sheet_forecasts(e, "ts", ["value", "user_id", "kept"], ["event_id"])
+
+
+@query("with " + _SHEET_FIT + " select measure, n, policy, (h + 1)::int as step, 'H' || (h + 1) as x, round(round(p, 4), 2) as forecast, round(round(p - 1.96 * s, 4), 2) as lower, round(round(p + 1.96 * s, 4), 2) as upper from k")
+def x06_forecast_points(spark, sf_dir):
+    points = timeseries.chart_points(gappy_forecasts(spark, sf_dir), ["measure", "n", "policy"])
+    return points.withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper")})
+
+
+@query("with " + _SHEET_FIT + " select '1' as document_id, 'events' as sheet_name, measure as measure_column, 'ts' as time_column, 3 as horizon, h::int as step, round(round(p, 4), 2) as point, round(round(s, 4), 2) as spread from k")
+def s14_artifacts_read_back(spark, sf_dir):
+    """What the artifacts' JSON holds, without their ids and times."""
+    made = timeseries.forecast_artifacts(gappy_forecasts(spark, sf_dir), "1", "events", "ts")
+    body = F.from_json("forecast_json", "horizon int, point array<double>, backtest_std double")
+    read = made.select("document_id", "sheet_name", "measure_column", "time_column", body.alias("b"))
+    return read.select("document_id", "sheet_name", "measure_column", "time_column", "b.horizon", F.posexplode("b.point").alias("step", "p"), F.round("b.backtest_std", 2).alias("spread")).select("document_id", "sheet_name", "measure_column", "time_column", "horizon", "step", F.round("p", 2).alias("point"), "spread")
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.forecast_artifacts(x06_sheet_forecasts(spark, sf_dir), "1", "events", "ts")
 

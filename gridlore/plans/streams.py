@@ -8,10 +8,10 @@ from gridlore.operators.chunking import chunk_texts
 from gridlore.streaming import flows
 
 from .questions import NOW
-from .registry import query, table
+from .registry import SQL, query, table
 
 
-@query()
+@query(f"select *, 'ready' as status from ({SQL['k01_text_chunks']})")
 def v01_ingest_stream(spark, sf_dir):
     out = flows.shared_path(spark, "chunks")
     schema = table(spark, sf_dir, "documents").schema.simpleString()[len("struct<") : -1]
