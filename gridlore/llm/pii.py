@@ -35,7 +35,7 @@ RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!{'|'.join(PATTERNS[k
 #: Group sizes of printed cards, tried in this order; before them one unbroken group.
 LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 5), (6, 13))
 CARD_DIGITS = (13, 19)
-#: Steps of a cycle walk, as rounds of rounds. Each step fails with a chance well under a half; a walk that doesn't end is an error, never a wrong text.
+#: Steps of a cycle walk, as rounds of rounds. A step fails with about a tenth for each other way to read the unit, so far fewer do; a walk that doesn't end is an error, never a wrong text.
 WALK = (16, 64)
 KINDS = (*PATTERNS, "card")
 ANY = "|".join(f"(?:{p})" for p in (*PATTERNS.values(), RUN))
