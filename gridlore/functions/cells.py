@@ -147,7 +147,7 @@ def row_text(df: DataFrame, columns: Sequence[str], headers: Sequence[str | None
     for i, name in enumerate(columns):
         text = column(df, name).cast("string")
         head = (headers[i] if i < len(headers) else None) or f"Col{i + 1}"
-        parts.append(F.when(F.trim(text) != "", F.concat(F.lit(f"{head}="), text)))
+        parts.append(F.when(stripped(text).isNotNull(), F.concat(F.lit(f"{head}="), text)))
     return F.concat_ws(", ", *parts)
 
 
