@@ -21,7 +21,8 @@ class KeyedTable:
     """A Parquet table under path, one folder a bucket. keys: the columns that name a row (or, for replace, a group of rows).
 
     buckets is fixed when the table is made: about the table's size by what one task should rewrite. Each write first puts what it is going to store into the
-    shared folder, so nothing is read from files that are being replaced; a merge that is cut off half-way is finished by running it again.
+    shared folder, so nothing is read from files that are being replaced. Lost executors cost no more than their tasks. A driver that is lost while buckets are
+    swapped can leave one of them out: the staged copy still has it.
     """
 
     path: str
