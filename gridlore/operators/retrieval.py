@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gridlore.functions.filters import contains_any
 from gridlore.functions.intents import intent
 from gridlore.functions.texts import BETWEEN_SOURCES, DOC_PREFIX, FALLBACK_TEXT, FALLBACK_URL, MAX_TERMS, holding_lines, last_row_line, location, query_terms, row_lines, source_text
+from gridlore.shared import written
 
 from .tables import in_scope
 
@@ -297,6 +298,7 @@ def fit_documents(items: DataFrame, budget: Column, keys: Sequence[str] = ("ques
     sums = sums.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).withColumn("__after", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     sums = sums.where(F.col("__after") - F.col("n") <= F.col("__most") - MIN_USEFUL)
     last = sums.groupBy(*keys).agg(F.min(F.when(F.col("__after") > F.col("__most") - MIN_USEFUL, F.col("__block"))).alias("__last"), F.array_sort(F.collect_list(F.struct("__block", "n"))).alias("__sums"))
+    last = written(last, "last")  # a row a key: where that is small, Spark knows it and sends it to the texts, which stay where they are
     within = cut.join(last, list(keys), "left").where("__last is null or __block <= __last")
     before = F.aggregate(F.filter(F.coalesce("__sums", F.array().cast("array<struct<__block:bigint,n:bigint>>")), lambda x: x["__block"] < F.col("__block")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     inside = F.sum(F.length("text")).over(Window.partitionBy(*keys, "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
