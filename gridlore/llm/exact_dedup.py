@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .common import table, text_of, worker, written
 
 #: Entries of a memtable (one per distinct digest) before it is flushed.
 MEMTABLE_ENTRIES = 200_000
-#: Bits of a filter for each digest, and the most for all filters of an index, which bounds what is broadcast; more digests only let more rows through.
+#: Bits of a filter for each digest, and the most that a task is sent; with more digests, filters are made for the files that they meet (see flagged).
 BITS_PER_DIGEST, MAX_BITS = 12, 1 << 26
 FILTER_HASHES = 4
 
@@ -68,6 +70,14 @@ def _power(n: int, most: int) -> int:
     return min(most, 1 << max(6, (BITS_PER_DIGEST * n - 1).bit_length()))
 
 
+def _words(hashed: DataFrame, bits: int, *by: str) -> DataFrame:
+    """by, w, b: the words of 32 bits of the filter of the hashes h1, h2, one filter for each value of by."""
+    at = F.explode(F.array(*[F.col("h1") + F.lit(k) * F.col("h2") for k in range(FILTER_HASHES)]))
+    at = hashed.select(*by, at.alias("p")).select(*by, F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    on = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))
+    return at.groupBy(*by, (F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(on).alias("b"))
+
+
 class DigestFilter:
     """Bloom filters of digests, one for each run; a filter never loses a digest. words: those of all filters in a row; starts, bits: by run."""
 
@@ -99,10 +109,12 @@ class DigestFilter:
         """One filter over a written table of one column, digest, by or-ing words in Spark: at most bits / 8 bytes reach the driver."""
         bits = bits or _power(digests.count(), MAX_BITS)
         h1, h2 = _hashes(F.col("digest"))
-        at = F.explode(F.array(*[F.col("h1") + F.lit(k) * F.col("h2") for k in range(FILTER_HASHES)]))
-        at = digests.select(h1.alias("h1"), h2.alias("h2")).select(at.alias("p")).select(F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
-        words = at.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("b"))
-        got = words.toPandas()
+        return cls.read(_words(digests.select(h1.alias("h1"), h2.alias("h2")), bits), bits)
+
+    @classmethod
+    def read(cls, words: DataFrame, bits: int) -> DigestFilter:
+        """One filter from its words (w, b)."""
+        got = words.select("w", "b").toPandas()
         out = np.zeros(bits // 32, "<u4")
         out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype("<u4")
         return cls.joined({0: out.tobytes()}, 1)
@@ -134,6 +146,56 @@ def run_of(digest: Column, runs: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(runs)).cast("int")
 
 
+def flagged(rows: DataFrame, digests: DataFrame, key: str | Column, name: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """rows with a column name, which is false only where key is not among digests (a written table of one column, digest, of key's type).
+
+    While BITS_PER_DIGEST bits for each digest fit in max_bits, one filter goes to all tasks. Beyond that filters follow the rows: the digests
+    that meet a row of a file are found by their hashes, so no other column moves; files are dealt into blocks whose digests fit in max_bits;
+    and each block's files are read by themselves, each file once, and tested with the block's filter. So neither what a task is
+    sent nor the share of rows that pass without cause grows with the table. A file that alone meets more digests has a filter that is
+    fuller; rows that don't come straight from files are tested with one filter of max_bits, which lets more through but loses none.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    n = digests.count()
+    dealt = _by_file(rows, digests, key, max_bits) if BITS_PER_DIGEST * n > max_bits else []
+    if not dealt:
+        return rows.withColumn(name, DigestFilter.build(digests, _power(n, max_bits)).test(rows.sparkSession, key))
+    parts = [rows.where(F.col(_PATH).isin(paths)).withColumn(name, may.test(rows.sparkSession, key) if may else F.lit(False)) for paths, may in dealt]
+    return reduce(DataFrame.unionAll, parts)
+
+
+_PATH = "_metadata.file_path"
+
+
+def _by_file(rows: DataFrame, digests: DataFrame, key: Column, max_bits: int) -> list[tuple[list[str], DigestFilter | None]]:
+    """Blocks of the files of rows, each with the filter of the digests that its rows meet (None: no digest meets one); none where rows have no files."""
+    h1, h2 = _hashes(key)
+    try:
+        places = rows.select(F.xxhash64(_PATH).alias("file"), h1.alias("h1"), h2.alias("h2"))
+        files = {r["file"]: r["path"] for r in rows.select(F.col(_PATH).alias("path")).distinct().select("path", F.xxhash64("path").alias("file")).collect()}
+    except AnalysisException:  # rows of a join, or made by hand
+        return []
+    wanted = digests.select(*[h.alias(c) for h, c in zip(_hashes(F.col("digest")), ("h1", "h2"), strict=True)]).distinct()
+    met = written(places.distinct().join(wanted, ["h1", "h2"], "left_semi"), "met")
+    counts = {r["file"]: r["n"] for r in met.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks: list[list[int]] = []
+    room = 0
+    for f in sorted(counts, key=files.__getitem__):
+        if not blocks or counts[f] > room:
+            blocks.append([])
+            room = max_bits // BITS_PER_DIGEST
+        blocks[-1].append(f)
+        room -= counts[f]
+    out: list[tuple[list[str], DigestFilter | None]] = [([p for f, p in files.items() if f not in counts], None)]
+    if blocks:
+        bits = max(64, 1 << (max_bits.bit_length() - 1))
+        block_of = rows.sparkSession.createDataFrame([(f, k) for k, b in enumerate(blocks) for f in b], "file long, block int")
+        words = _words(met.join(F.broadcast(block_of), "file"), bits, "block")  # block_of: as many rows as files, which the driver lists anyway
+        words = written(words.repartitionByRange("block").sortWithinPartitions("block"), "words")
+        out += [([files[f] for f in b], DigestFilter.read(words.where(F.col("block") == k), bits)) for k, b in enumerate(blocks)]
+    return [x for x in out if x[0]]
+
+
 def compact(runs: DataFrame, keep: str = "largest", entries: int = MEMTABLE_ENTRIES, max_bits: int = MAX_BITS) -> tuple[DataFrame, DigestFilter]:
     """A written table of runs merged into one level: (digest, keep_id, n), and the filters of its repeated digests.
 
@@ -208,7 +270,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("digest", digest_of(F.col("text")))
     level, filters = compact(written(flush(rows, keep, entries), "runs"), keep, entries, max_bits)
-    verified = filters.might_hold(rows).groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
+    repeated = level.where("n > 1").select("digest")
+    many = BITS_PER_DIGEST * repeated.count() > max_bits  # then the runs' filters are too full
+    hits = flagged(rows, repeated, "digest", "may", max_bits).where("may") if many else filters.might_hold(rows)
+    verified = hits.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     collided = written(verified.where("not same").select("digest"), "collided")
     out = rows.select("id", "digest").join(level, "digest").select("id", "keep_id", F.col("n").alias("group_size"), "digest")
     if collided.limit(1).count():

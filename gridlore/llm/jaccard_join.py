@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, table, text_of, worker, worker_cache, written
-from .exact_dedup import DigestFilter
+from .exact_dedup import flagged
 
 #: Shingles for each coordinate of a count vector, and its fewest and most coordinates; fan-out of the R-tree.
 PER_COORDINATE, COORDINATES = 8, (16, 1 << 16)
@@ -397,8 +397,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     def links(some: DataFrame, strays: bool) -> DataFrame:
         """Links within the chunks of the members some; strays: only those between a set that is everywhere and one of another label."""
-        may = DigestFilter.build(some.select(F.col("first_id").alias("digest"))).test(spark, "id")
-        chosen = rows.where(may).join(some, rows["id"] == some["first_id"]).select("cls", "c1", "c2", "grp", "chunks", "own", "everywhere", "label", "text")
+        may = flagged(rows, some.select(F.col("first_id").alias("digest")), "id", "may").where("may").drop("may")
+        chosen = may.join(some, F.col("id") == F.col("first_id")).select("cls", "c1", "c2", "grp", "chunks", "own", "everywhere", "label", "text")
 
         def deal(b, sets):
             out = []

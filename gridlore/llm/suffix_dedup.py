@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_of, worker, written
-from .exact_dedup import DigestFilter
+from .exact_dedup import flagged
 
 LENGTH = 100
 GRAM = 32
@@ -227,8 +227,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
     met = written(anchored.mapInArrow(meet, _ROW_SQL), "anchors")
     asked = met.where("a is not null").groupBy("doc", "h").agg(F.collect_list(F.struct("a", "lo", "span", "hot")).alias("asked"))
     asked = written(asked, "asked")
-    may = DigestFilter.build(asked.select(F.col("doc").alias("digest")))
-    given = may.might_hold(docs, "doc").join(asked, ["doc", "h"]).select("doc", "h", "text", "asked")
+    given = flagged(docs, asked.select(F.col("doc").alias("digest")), "doc", "may").where("may").join(asked, ["doc", "h"]).select("doc", "h", "text", "asked")
 
     def quote(batches):
         """The bytes asked for; hot ones as single windows under their own hash, the later ones of this task settled here."""
@@ -319,8 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = rows.withColumns({"doc": F.coalesce("id", F.lit(last)), "h": F.xxhash64("text")})
     spans = written(removed_spans(rows, length, gram, hot_contexts), "spans")
-    may = DigestFilter.build(spans.select(F.col("doc").alias("digest")))
-    flagged = rows.withColumn("may", may.test(rows.sparkSession, "doc"))
+    marked = flagged(rows, spans.select(F.col("doc").alias("digest")), "doc", "may")
 
     def strip(batches):
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
@@ -346,9 +344,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    touched = flagged.where("may").join(spans, ["doc", "h"], "left").select("id", "text", "spans").mapInArrow(strip, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    touched = marked.where("may").join(spans, ["doc", "h"], "left").select("id", "text", "spans").mapInArrow(strip, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     nothing = F.lit(0).cast("long")
-    whole = flagged.where("not may").select("id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    whole = marked.where("not may").select("id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return whole.unionByName(touched).withColumnRenamed("id", id_col)
 
 

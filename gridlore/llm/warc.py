@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, table, written
-from .exact_dedup import DigestFilter
+from .exact_dedup import flagged
 
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 100
@@ -150,8 +150,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
     repeated = rows.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     repeated = written(repeated, "repeated")
-    may = DigestFilter.build(repeated.select("digest"))
-    rows = rows.withColumn("may_repeat", may.test(rows.sparkSession, "digest"))
+    rows = flagged(rows, repeated.select("digest"), "digest", "may_repeat")
     alone = rows.where("not may_repeat").withColumn("first_id", F.lit(None).cast("long"))
     joined = rows.where("may_repeat").join(repeated, "digest", "left").select(alone.columns)
     rows = alone.unionByName(joined)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import components, written
 from gridlore.llm.decontaminate import contaminated, shingles_of, words
-from gridlore.llm.exact_dedup import DigestFilter, compact, exact_groups, flush
+from gridlore.llm.exact_dedup import DigestFilter, compact, exact_groups, flagged, flush
 from gridlore.llm.jaccard_join import COUNTERS, CountVectorTree, count_vector, folded, jaccard_components, linked, packed_counts, prefix, set_name, shingle_set, unpacked_counts
 from gridlore.llm.suffix_dedup import anchors, previous_factors, remove_repeats
 
@@ -70,6 +70,77 @@ def test_filter_loses_nothing(spark):
     assert DigestFilter.build(some.where("false")).might_hold(other).count() == 0
 
 
+@pytest.fixture(scope="module")
+def filed(spark, tmp_path_factory):
+    """12,000 texts in 24 files; those of ids below 6,000 whose id is odd stand twice, in files far apart."""
+    path = str(tmp_path_factory.mktemp("filed") / "table")
+    ids = spark.range(12000).withColumnRenamed("id", "doc_id")
+    twin = F.when((F.col("doc_id") >= 6000) & (F.col("doc_id") % 2 == 1), F.col("doc_id") - 6000).otherwise(F.col("doc_id"))
+    ids.select("doc_id", F.concat(F.lit("text "), twin.cast("string")).alias("text")).repartitionByRange(24, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_filters_follow_the_files(spark, filed):
+    rows = filed.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    for n in (300, 3000):  # ten times the digests: as few rows pass
+        wanted = written(spark.range(n).select(F.unhex(F.sha2(F.concat(F.lit("text "), (2 * F.col("id") + 1).cast("string")), 256)).alias("digest")), "wanted")
+        one = flagged(rows, wanted, "digest", "may")  # fits: one filter
+        many = flagged(rows, wanted, "digest", "may", 2048)
+        assert many.columns == ["doc_id", "digest", "may"] and many.count() == 12000 == many.select("doc_id").distinct().count()
+        assert one.where("may").count() < 2 * n + 200
+        held = many.join(wanted, "digest", "left_semi")
+        assert held.count() == 2 * n and held.where("not may").count() == 0
+        assert many.where("may").count() < 2 * n + 600
+    crowded = rows.withColumn("may", DigestFilter.build(wanted, 2048).test(spark, "digest"))
+    assert crowded.where("may").count() > 11000  # what one filter of that size lets through
+    # each file is read once, by the branch of its own block
+    assert many._jdf.queryExecution().executedPlan().toString().count("file_path") > 4
+    by_hand = spark.createDataFrame(filed.limit(50).collect(), filed.schema).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    assert flagged(by_hand, wanted, "digest", "may", 64).count() == 50
+    assert flagged(rows.where("doc_id < 0"), wanted, "digest", "may", 64).count() == 0
+
+
+def test_filters_follow_null_keys_and_odd_types(spark, filed):
+    rows = filed.select(F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")).alias("key"))
+    wanted = written(spark.range(11, 2000).select(F.when(F.col("id") > 11, F.col("id")).alias("digest")), "wanted")
+    got = flagged(rows, wanted, "key", "may", 512)
+    assert got.where("key is null").count() == 1200 == got.where("key is null and may").count()
+    assert got.where("key between 12 and 1999 and not may").count() == 0 and got.where("may and key >= 2000").count() < 1000
+    assert flagged(rows.where("key = -1"), wanted, "key", "may", 64).count() == 0
+
+
+def test_exact_with_filters_by_file(filed):
+    rows = exact_groups(filed, max_bits=2048).collect()
+    want = {i: (i + 6000 if i < 6000 and i % 2 else i, 2 if i % 2 else 1) for i in range(12000)}
+    assert len(rows) == 12000 and {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows} == want
+    odd = exact_groups(filed, max_bits=2048, digest_of=lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 2)).collect()  # digests collide
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in odd} == want
+
+
+def test_operators_with_filters_by_file(spark, filed, monkeypatch):
+    """Every operator that asks flagged gives the same rows when filters follow the files."""
+    import gridlore.llm.jaccard_join as j
+    import gridlore.llm.suffix_dedup as s
+    import gridlore.llm.warc as w
+
+    docs = filed.where("doc_id % 4 < 2").withColumn("text", F.concat_ws(" ", *[F.concat(F.md5("text"), F.lit(str(k))) for k in range(5)], F.when(F.col("doc_id") % 3 == 0, F.lit("x"))))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    asked = []
+
+    def small(rows, digests, key, name):
+        out = flagged(rows, digests, key, name, 2048)
+        asked.append(out._jdf.queryExecution().analyzed().toString().count("file_path"))
+        return out
+
+    def results():
+        return [sorted(map(str, d.collect())) for d in (j.jaccard_components(docs, 2, 60, 100), s.remove_repeats(docs).select("doc_id", "n_removed", "kept"), w.page_records(pages))]
+
+    before = results()
+    for module in (j, s, w):
+        monkeypatch.setattr(module, "flagged", small)
+    assert results() == before and sum(n > 0 for n in asked) >= 3
+
+
 def test_compaction_merges_runs_and_filters_repeats(spark):
     n = 400
     rows = spark.range(3 * n).select(F.unhex(F.sha2((F.col("id") % n).cast("string"), 256)).alias("digest"), "id").where(f"id < 2 * {n} or id % 4 = 0").repartition(5)
