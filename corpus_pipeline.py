@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import text_of, written
 from gridlore.llm.decontaminate import contaminated
-from gridlore.llm.exact_dedup import DigestFilter, exact_groups, sha256_of
+from gridlore.llm.exact_dedup import exact_groups, flagged, sha256_of
 from gridlore.llm.jaccard_join import jaccard_components
 from gridlore.llm.language_id import confident, fit
 from gridlore.llm.packing import packed_documents
@@ -29,9 +29,9 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """
     bad = written(bad.toDF("bad").distinct(), "bad")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    flagged = rows.withColumn("maybe", DigestFilter.build(bad.toDF("digest")).test(docs.sparkSession, "id"))
-    doubtful = flagged.where("maybe").join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti")
-    return flagged.where("not maybe").unionByName(doubtful).select("row.*")
+    marked = flagged(rows, bad.toDF("digest"), "id", "maybe")
+    doubtful = marked.where("maybe").join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti")
+    return marked.where("not maybe").unionByName(doubtful).select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_groups(docs, keep="smallest").where("group_size > 1").groupBy(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
     found = written(found.agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1").withColumn("digest", F.xxhash64("i", "d")), "copies")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), sha256_of(text_of()).alias("d0"))
-    flagged = rows.withColumn("maybe", DigestFilter.build(found).test(spark, F.xxhash64("id", "d0")))
-    doubtful = flagged.where("maybe").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("d0") == F.col("d")), "left")
+    marked = flagged(rows, found.select("digest"), F.xxhash64("id", "d0"), "maybe")
+    doubtful = marked.where("maybe").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("d0") == F.col("d")), "left")
     passed, one = doubtful.where("kept is null"), doubtful.where("kept").dropDuplicates(["id", "d0"])
-    return flagged.where("not maybe").select("row").unionByName(passed.select("row")).unionByName(one.select("row")).select("row.*")
+    return marked.where("not maybe").select("row").unionByName(passed.select("row")).unionByName(one.select("row")).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
