@@ -151,9 +151,13 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num:
     """Pairs that span the components of those which the bound leaves and verify (positions x, y) accepts.
 
     Vectors of several sizes are compared with the coordinates of the shorter one. label: components known already; may(x, positions):
-    a mask of the partners that matter.
+    a mask of the partners that matter. Of two components that meet the smaller one is relabelled, so all relabelling takes n log n steps; a set
+    whose component holds all is asked nothing more.
     """
     label = np.arange(len(ids)) if label is None else np.unique(label, return_inverse=True)[1]
+    members: list[list[int]] = [[] for _ in range(int(label.max(initial=-1)) + 1)]
+    for k, of in enumerate(label.tolist()):
+        members[of].append(k)
     width = np.array([len(v) for v in vectors])
     reach = 1 << (-(-den // num) - 1).bit_length()
     out = []
@@ -167,6 +171,8 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num:
         later = np.arange(len(at))
         for i in np.nonzero(own)[0]:
             x = at[i]
+            if len(members[label[x]]) == len(ids):
+                return out
             wanted = (label[at] != label[x]) & (~own | (later > i))
             if may is not None:
                 wanted &= may(x, at)
@@ -176,7 +182,10 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num:
                 y = at[j]
                 if label[x] != label[y] and (verify is None or verify(x, y)):
                     out.append((int(ids[x]), int(ids[y])))
-                    label[label == label[y]] = label[x]
+                    large, small = sorted((label[x], label[y]), key=lambda k: -len(members[k]))
+                    label[members[small]] = large
+                    members[large] += members[small]
+                    members[small] = []
     return out
 
 
