@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.shared import written
+from gridlore.shared import shared_path, written
 
-from .tables import delete_keys, first_by, upsert
+from .tables import delete_keys, first_by
 
 BUCKET = "__bucket"
 
@@ -35,7 +37,7 @@ class KeyedTable:
 
     def create(self, df: DataFrame) -> KeyedTable:
         """The table with the rows of df, whatever was there before."""
-        self._dealt(df).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self.path)
+        self._dealt(df).repartition(BUCKET).write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(self.path)
         try:
             self._stored(df.sparkSession)
         except AnalysisException:  # no row, so no file that tells the columns
@@ -61,9 +63,15 @@ class KeyedTable:
     def _touched(self, dealt: DataFrame) -> list[int]:
         return sorted(r[BUCKET] for r in dealt.select(BUCKET).distinct().collect())  # no more than there are buckets
 
+    def _staged(self, made: DataFrame) -> DataFrame:
+        """made, which is dealt by bucket, as a table in the shared folder that has a bucket's rows in files of its own."""
+        path = shared_path(made.sparkSession, "merged")
+        made.write.option("compression", "zstd").partitionBy(BUCKET).parquet(path)
+        return made.sparkSession.read.schema(made.schema).parquet(path)
+
     def _swap(self, made: DataFrame) -> None:
-        """Replace the buckets that made, a written table, has rows of."""
-        made.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        """Replace the buckets that made, a staged table, has rows of; as its files are of one bucket each, they are rewritten where they are read."""
+        made.write.option("compression", "zstd").mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def insert_if_absent(self, new: DataFrame, order: Sequence[Column]) -> None:
         """The first row of each key of new that the table lacks. No stored file is rewritten; keys that are there leave everything as it is."""
@@ -79,7 +87,13 @@ class KeyedTable:
         touched = self._touched(first)
         if touched:
             old = self._stored(new.sparkSession, touched)
-            self._swap(written(upsert(old, first.select(old.columns), [*self.keys, BUCKET], [F.lit(1).asc()], keep), "merged"))
+            both = old.withColumn("__old", F.lit(1)).unionByName(first.select(old.columns).withColumn("__old", F.lit(0)))
+            # keys that hold a null meet nothing: their stored rows and the new one are apart
+            void = F.when(reduce(or_, [F.col(k).isNull() for k in self.keys]), F.col("__old"))
+            same = Window.partitionBy(BUCKET, *self.keys, void)
+            kept = {c: F.coalesce(F.max(F.when(F.col("__old") == 1, F.col(c))).over(same), c) for c in keep}
+            newest = both.repartition(BUCKET).withColumn("__rank", F.rank().over(same.orderBy("__old"))).withColumns(kept).where("__rank = 1")
+            self._swap(self._staged(newest.select(old.columns)))
 
     def replace(self, new: DataFrame, gone: DataFrame | None = None) -> None:
         """All rows with the keys of new (and of gone) make way for the rows of new. Buckets that end up empty keep no row."""
@@ -90,7 +104,7 @@ class KeyedTable:
         if not touched:
             return
         old = self._stored(new.sparkSession, touched)
-        left = written(delete_keys(old, keys, [*self.keys, BUCKET]).select(old.columns).unionByName(rows.select(old.columns)), "left")
+        left = self._staged(delete_keys(old, keys, [*self.keys, BUCKET]).select(old.columns).unionByName(rows.select(old.columns)).repartition(BUCKET))
         emptied = sorted(set(touched) - set(self._touched(left)))
         self._swap(left)
         for b in emptied:
