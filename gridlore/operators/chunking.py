@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridlore.functions.cells import row_text
 from gridlore.functions.texts import page_text
 from gridlore.operators.tables import number_in_blocks, with_offsets
-from gridlore.shared import written
+from gridlore.shared import freeing, written
 
 TEXT_SIZE, ROW_BUDGET, ROWS = 2000, 3500, 50
 #: Row numbers of a sheet whose lengths one task holds, and blocks whose passages it goes through in order.
@@ -52,6 +52,7 @@ def chunk_texts(pages: DataFrame, size: int = TEXT_SIZE) -> DataFrame:
     content moves. Pages of a null document are left out.
     """
 
+    @freeing
     def cut(batches):
         for b in batches:
             made = [pack_words(t, size) for t in b.column(2).to_pylist()]
@@ -194,6 +195,7 @@ def _read_passages(batches):
 def _composed(passages: DataFrame, fan: int, budget: int) -> DataFrame:
     """The passage of each fan blocks in a row, numbered anew."""
 
+    @freeing
     def compose(batches):
         def groups():
             at, held = None, None
@@ -229,6 +231,7 @@ def _entries(passages: DataFrame, above: DataFrame | None, fan: int, budget: int
         rows = passages.withColumn("group", F.floor(F.col("block") / fan)).join(above.withColumnRenamed("block", "group"), [*_KEYS, "group"])
     rows = rows.repartition(*_KEYS, "group").sortWithinPartitions(*_KEYS, "group", "block")
 
+    @freeing
     def enter(batches):
         at, used, part = None, 0, 0
         for b in batches:
@@ -254,6 +257,7 @@ def _parts(lines: DataFrame, budget: int, block_rows: int = BLOCK_ROWS, fan: int
     """
     sizes = lines.select(*[F.col(k).cast("string") for k in _KEYS], F.col("row_no").cast("bigint"), F.floor(F.col("row_no") / block_rows).alias("block"), (F.length("line") + 1).cast("bigint").alias("size"))
 
+    @freeing
     def measure(batches):
         yield from _passage_rows(((key, Passage.of(size.to_numpy(), budget)) for key, (size,) in _by_block(batches, ["size"])), _PASSAGE_NAMES)
 
@@ -266,6 +270,7 @@ def _parts(lines: DataFrame, budget: int, block_rows: int = BLOCK_ROWS, fan: int
         entries = _entries(level, entries, fan, budget)
     entries = written(entries, "entries")
 
+    @freeing
     def cut(batches):
         for key, (rows, size, used, part) in _by_block(batches, ["row_no", "size", "used", "part"]):
             out, u, n = [], used[0].as_py(), part[0].as_py()

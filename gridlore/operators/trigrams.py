@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.shared import bounded_batches
+from gridlore.shared import bounded_batches, freeing
 
 GRAM = 3
 #: Of a text that is looked for, so many of its rarest trigrams choose the rows.
@@ -114,6 +114,7 @@ class TextIndex:
         numbered.write.mode("overwrite").option("compression", "zstd").partitionBy("__bucket").parquet(f"{self.path}/rows")
         stored = spark.read.parquet(f"{self.path}/rows")
 
+        @freeing
         def post(batches):
             for b in batches:
                 bucket, row = b.column(0).to_numpy(), b.column(1).to_numpy()
