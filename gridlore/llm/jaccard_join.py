@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,12 +14,12 @@ from .common import bounded_batches, components, table, text_of, worker, worker_
 from .exact_dedup import flagged
 
 #: Shingles for each coordinate of a count vector, and its fewest and most coordinates; fan-out of the R-tree.
-PER_COORDINATE, COORDINATES = 8, (16, 1 << 16)
+PER_COORDINATE, COORDINATES = 8, (64, 1 << 16)
 FAN_OUT = 16
-#: A group of candidates with more shingles than this is dealt into chunks of about so many.
+#: A group of candidates with more shingles than this is dealt into chunks of about so many, and what is compared with all chunks into blocks of so many.
 CHUNK_SHINGLES = 1_500_000
-#: A key with more classes than this is tied without the bound; a task folds what it has of a key beyond the second number.
-BUCKET, LOCAL_BUCKET = 512, 128
+#: A key with more classes than this is dealt into blocks of about so many; no more than the second number are compared at once, as one box without a tree.
+BUCKET, LOCAL_BUCKET = 512, 32
 #: Counters of shingles; how many of the largest a task reports, and how many of all are told to the tasks.
 COUNTERS, TASK_HOT, HOT = 1 << 20, 4_096, 16_384
 #: Rows of a batch whose sets are held at once; keys held before they are folded.
@@ -147,6 +149,15 @@ class CountVectorTree:
         return self.order[at]
 
 
+def one_box(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of a few sets may link with which, by the bound of the tree: a mask of pairs, without those of a set with itself."""
+    need = -(-num * (sizes[:, None] + sizes) // (num + den))
+    near = (sizes * den >= sizes[:, None] * num) & (sizes[:, None] * den >= sizes * num)
+    near &= np.stack([np.minimum(vectors, v).sum(1) for v in vectors]) >= need
+    np.fill_diagonal(near, False)
+    return near
+
+
 def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num: int, den: int, verify=None, label: np.ndarray | None = None, may=None) -> list[tuple[int, int]]:
     """Pairs that span the components of those which the bound leaves and verify (positions x, y) accepts.
 
@@ -167,18 +178,23 @@ def spanning(ids: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], num:
         if len(at) < 2:
             continue
         flat = np.stack([folded(vectors[k], c) for k in at])
-        tree = CountVectorTree(flat, sizes[at], num, den)
+        near = one_box(flat, sizes[at], num, den) if len(at) <= LOCAL_BUCKET else None
+        if near is not None and not near[own].any():
+            continue
+        tree = CountVectorTree(flat, sizes[at], num, den) if near is None else None
         later = np.arange(len(at))
         for i in np.nonzero(own)[0]:
             x = at[i]
             if len(members[label[x]]) == len(ids):
                 return out
             wanted = (label[at] != label[x]) & (~own | (later > i))
+            if near is not None:
+                wanted &= near[i]
             if may is not None:
                 wanted &= may(x, at)
             if not wanted.any():
                 continue
-            for j in tree.query(flat[i], int(sizes[x]), wanted):
+            for j in np.nonzero(wanted)[0] if tree is None else tree.query(flat[i], int(sizes[x]), wanted):
                 y = at[j]
                 if label[x] != label[y] and (verify is None or verify(x, y)):
                     out.append((int(ids[x]), int(ids[y])))
@@ -218,8 +234,8 @@ def _longs(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names)
 
 
-_KEYS = ["a", "c1", "c2", "f1", "f2"]
-_KEYS_SQL = "a long, c1 long, c2 long, f1 long, f2 long"
+_KEYS = ["a", "c1", "c2"]
+_KEYS_SQL = "a long, c1 long, c2 long"
 
 
 def _named(rows: DataFrame, width: int) -> DataFrame:
@@ -252,44 +268,38 @@ def _named(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _fold(keys: list[np.ndarray], owner: list[np.ndarray], called: list[tuple[int, int]]):
-    """Keys and the classes that have them; of a key with many classes the first stays, and the others are tied to it."""
+    """Keys and the classes that have them, in order of keys."""
     k, o = np.concatenate(keys), np.concatenate(owner)
-    order = np.lexsort((o, k))
+    order = np.argsort(k, kind="stable")
     k, o = k[order], o[order]
-    start = np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0]
-    size = np.diff(np.concatenate((start, [len(k)])))
-    first = np.repeat(o[start], size)
-    many = np.repeat(size > LOCAL_BUCKET, size)
-    tie, send = many & (o != first), ~many | (o == first)
     c = np.array(called, np.int64).reshape(-1, 2)
-    yield _longs([k[send].view(np.int64), c[o[send], 0], c[o[send], 1], None, None], _KEYS)
-    if tie.any():
-        x, y = np.unique(np.stack([o[tie], first[tie]], 1), axis=0).T
-        yield _longs([None, c[x, 0], c[x, 1], c[y, 0], c[y, 1]], _KEYS)
+    return _longs([k.view(np.int64), c[o, 0], c[o, 1]], _KEYS)
 
 
-def _buckets(batches):
-    """Rows sorted by key and class: buckets of two classes or more, named by their members, so that keys with the same members are one."""
+def _buckets(batches, bucket: int):
+    """Rows sorted by key and class: buckets of two classes or more, named by their members, so that keys with the same members are one.
+    Rows of a key with more than bucket classes are wide and keep the key."""
     carry, hot = None, None
 
-    def settle(a, c, d):
+    def apart(a, c, d):
         one = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
-        a, c, d = a[one], c[one], d[one]
+        return a[one], c[one], d[one]
+
+    def rows(a, c, d, wide):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, c, d)), pa.array(np.full(len(a), wide))], [*_KEYS, "wide"])
+
+    def settle(a, c, d):
+        a, c, d = apart(a, c, d)
         start = np.nonzero(np.concatenate(([True], a[1:] != a[:-1])))[0]
         size = np.diff(np.concatenate((start, [len(a)])))
-        wide = np.repeat((size > BUCKET) | (a[start] == hot if hot is not None else False), size)
-        first = np.repeat(start, size)
+        wide = np.repeat((size > bucket) | (a[start] == hot if hot is not None else False), size)
         name = np.repeat(np.add.reduceat(_mixed(c.view(np.uint64) ^ _mixed(d.view(np.uint64))), start).view(np.int64), size)
         keep = (np.repeat(size, size) > 1) & ~wide
-        yield _longs([name[keep], c[keep], d[keep], None, None], _KEYS)
-        wide &= np.arange(len(a)) != first
-        yield _longs([None, c[wide], d[wide], c[first[wide]], d[first[wide]]], _KEYS)
+        yield rows(name[keep], c[keep], d[keep], False)
+        yield rows(a[wide], c[wide], d[wide], True)
 
     for b in batches:
-        tie = np.asarray(b.column("a").is_null())
-        if tie.any():
-            yield b.filter(pa.array(tie)).select(_KEYS)
-        a, c, d = (np.asarray(b.column(x).filter(pa.array(~tie))).astype(np.int64) for x in _KEYS[:3])
+        a, c, d = (np.asarray(b.column(x)).astype(np.int64) for x in _KEYS)
         if not len(a):
             continue
         if carry is not None:
@@ -298,17 +308,36 @@ def _buckets(batches):
         if at:
             yield from settle(a[:at], c[:at], d[:at])
         a, c, d = a[at:], c[at:], d[at:]
-        if len(a) > 16 * BUCKET:  # more rows of one key than are held: its classes are tied to the first as they come
+        if len(a) > 16 * bucket:
+            a, c, d = apart(a, c, d)
+        if len(a) > 16 * bucket:  # more classes of one key than are held: they go as they come
             hot = a[0]
-            other = (c != c[0]) | (d != d[0])
-            n = int(other.sum())
-            yield _longs([None, c[other], d[other], np.full(n, c[0]), np.full(n, d[0])], _KEYS)
-            a, c, d = a[:1], c[:1], d[:1]
+            yield rows(a, c, d, True)
+            a, c, d = a[-1:], c[-1:], d[-1:]
         carry = (a, c, d)
     if carry is not None:
         yield from settle(*carry)
 
 
+def _blocks(wide: DataFrame, num: int, den: int, bucket: int, chunk_shingles: int) -> DataFrame:
+    """a, cls: buckets of bounded size in which all classes of a key that may link by size meet; wide: a (the key), cls, n.
+
+    Sizes fall into bands so wide that sets which link are of one band or of two neighbours: a window is a band and the next. The classes of a window are dealt
+    into blocks, and each two blocks are a bucket (one block: that block). So a bucket holds no more than two blocks, however many classes have the key.
+    """
+    width = math.log(max(den / num, 1.01)) * (1 + 1e-9)
+    wide = wide.select("a", "cls", "n", F.floor(F.log("n") / width).alias("band"))
+    bands = written(wide.groupBy("a", "band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")), "bands")
+    after = bands.select("a", (F.col("band") - 1).alias("band"), F.col("k").alias("k2"), F.col("s").alias("s2"))
+    windows = bands.join(after, ["a", "band"], "left").select("a", "band", (F.col("k") + F.coalesce("k2", F.lit(0))).alias("k"), (F.col("s") + F.coalesce("s2", F.lit(0))).alias("s"))
+    windows = written(windows.where("k > 1").select("a", "band", F.greatest(F.ceil(F.col("k") / bucket), F.ceil(F.col("s") / chunk_shingles)).cast("int").alias("blocks")), "windows")
+    rows = wide.select("a", "cls", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(windows, ["a", "band"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("own")))
+    rows = rows.select("a", "cls", "band", "own", F.explode(others).alias("other"))
+    return rows.select(F.xxhash64("a", "band", F.least("own", "other"), F.greatest("own", "other")).alias("a"), "cls")
+
+
 def _grouped(batches, key: list[str], finish):
     """Batches sorted by key: finish(key, rows as tuples) for one group at a time, which gives batches."""
     at, held = None, []
@@ -337,19 +366,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     1. Equal sets make one class, so copies are not paired. The pass that names them also counts shingles, and the largest counters are
        told to all tasks (at most HOT of them).
     2. Classes meet under the shingles of their prefix, rare ones first (see prefix). The classes of a key are a bucket; in it an R-tree
-       over count vectors rules out pairs by the summed smaller counts, and what is left is tied. Classes beyond a bucket's bound are tied
-       to its first without the tree, in each task before the shuffle already, so a hot key costs a bounded number of rows a task.
+       over count vectors rules out pairs by the summed smaller counts, and what is left is tied. A key with more than BUCKET classes is dealt
+       into buckets of bounded size by size and block (see _blocks), so no pair is tied without the bound and no task holds a hot key.
     3. Components of these ties are groups of candidates. In each, an R-tree over count vectors bounds the overlap by the summed smaller
        counts, and what survives is verified on whole sets until every pair is joined or ruled out. A group of more than
        chunk_shingles shingles is dealt into chunks, each with the group's first set, and solved chunk by chunk; then only the sets that
-       were not joined to the group's largest component are compared with the other chunks.
+       were not joined to the group's largest component are compared with the other chunks, in blocks of chunk_shingles shingles too: a task
+       holds one chunk and one block.
     4. Links that span are turned into components, and components carried back to the rows.
 
     Sets are of 64-bit shingle hashes, classes named by 128 bits. Null text, or text without words: an empty set, its own component. Fewer words
     than width: the whole sequence is the one shingle. Rows that repeat an id share its component; a row with a null id keeps component
     null unless its class has an id, and joins no others. Empty tables give an empty result; other columns are left out.
     """
-    spark = bounded_batches(docs.sparkSession)
+    spark, bucket = bounded_batches(docs.sparkSession), BUCKET
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sets = written(_named(rows, width), "sets")
     named = sets.where("counter is null").select("id", "n", "c1", "c2", "vec")
@@ -375,15 +405,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
                 called[c] = None
                 size += len(k)
                 if size > KEYS_HELD:
-                    yield from _fold(keys, owner, list(called))
+                    yield _fold(keys, owner, list(called))
                     keys, owner, called, size = [], [], {}, 0
         if keys:
-            yield from _fold(keys, owner, list(called))
+            yield _fold(keys, owner, list(called))
 
     met = rows.select("text").mapInArrow(meet, _KEYS_SQL)
-    met = met.repartition(F.coalesce("a", F.xxhash64("c1", "c2"))).sortWithinPartitions("a", "c1", "c2")
-    met = written(met.mapInArrow(_buckets, _KEYS_SQL).distinct(), "buckets")
-    members = met.where("a is not null").join(classes, ["c1", "c2"]).select("a", "cls", "n", "vec")
+    met = met.repartition("a").sortWithinPartitions("a", "c1", "c2")
+    met = written(met.mapInArrow(worker("jaccard")(lambda batches: _buckets(batches, bucket)), f"{_KEYS_SQL}, wide boolean").distinct(), "buckets")
+    members = met.where("not wide").join(classes, ["c1", "c2"]).select("a", "cls", "n", "vec")
+    wide = met.where("wide")
+    if wide.limit(1).count():
+        wide = written(wide.join(classes.select("c1", "c2", "cls", "n"), ["c1", "c2"]).select("a", "cls", "n"), "wide")
+        members = members.unionByName(_blocks(wide, num, den, bucket, chunk_shingles).join(classes, "cls").select("a", "cls", "n", "vec"))
 
     @worker("jaccard")
     def bound(batches):
@@ -395,43 +429,43 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         return _grouped(batches, ["a"], finish)
 
     ties = members.repartition("a").sortWithinPartitions("a", "cls").mapInArrow(bound, "a long, b long")
-    name = classes.select("c1", "c2", F.col("cls").alias("a"))
-    other = classes.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("cls").alias("b"))
-    ties = ties.unionByName(met.where("a is null").drop("a").join(name, ["c1", "c2"]).join(other, ["f1", "f2"]).select("a", "b"))
     groups = written(components(written(ties.distinct(), "ties")).withColumnsRenamed({"node": "cls", "component": "grp"}), "groups")
     sized = groups.join(classes.select("cls", "c1", "c2", "n", "first_id"), "cls")
-    whole = sized.groupBy("grp").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
+    whole = sized.groupBy("grp").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks")).withColumns({"blocks": F.lit(1), "block": F.lit(0)})
     sized = sized.join(whole, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     sized = written(sized.withColumns({"everywhere": F.col("cls") == F.col("grp"), "label": F.col("cls")}), "members")
 
     def links(some: DataFrame, strays: bool) -> DataFrame:
-        """Links within the chunks of the members some; strays: only those between a set that is everywhere and one of another label."""
+        """Links within the chunks of the members some. What is everywhere comes to all chunks, block by block: each chunk meets one block at a time.
+        strays: only those between a set that is everywhere and one of another label."""
         may = flagged(rows, some.select(F.col("first_id").alias("digest")), "id", "may").where("may").drop("may")
-        chosen = may.join(some, F.col("id") == F.col("first_id")).select("cls", "c1", "c2", "grp", "chunks", "own", "everywhere", "label", "text")
+        chosen = may.join(some, F.col("id") == F.col("first_id")).select("c1", "c2", "grp", "cls", "everywhere", "label", "own", "block", "chunks", "blocks", "text")
 
-        def deal(b, sets):
-            out = []
-            for c, c1, c2, g, m, own, everywhere, label, s in zip(*(b.column(k).to_pylist() for k in range(8)), sets, strict=True):
-                if len(s) and set_name(s) == (c1, c2):  # else another row of the same id
-                    out += [(g, chunk, c, own, everywhere, label, s.tobytes()) for chunk in (range(m) if everywhere else (own,))]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "chunk", "cls", "own", "everywhere", "label", "s"])
+        def named(b, sets):
+            called = zip(b.column("c1").to_pylist(), b.column("c2").to_pylist(), strict=True)
+            same = pa.array([len(s) > 0 and set_name(s) == c for s, c in zip(sets, called, strict=True)], pa.bool_())  # else another row of the same id
+            whole = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(2, 10)), whole], [*b.schema.names[2:10], "s"]).filter(same)
 
         @worker("jaccard")
         def solve(batches):
 
             def finish(at, held):
                 held = list({h[0]: h for h in held}.values())
-                ids, own, everywhere, label = (np.array([h[k] for h in held]) for k in range(4))
-                sets = [np.frombuffer(h[4], np.uint64) for h in held]
-                may = (lambda x, y: (everywhere[x] & (own[y] == at[1])) | (everywhere[y] & (own[x] == at[1]))) if strays else None
+                ids, everywhere, label, own, block = (np.array([h[k] for h in held]) for k in range(5))
+                sets = [np.frombuffer(h[5], np.uint64) for h in held]
+                stray, here = everywhere & (block == at[2]), own == at[1]
+                may = (lambda x, y: (stray[x] & here[y]) | (stray[y] & here[x])) if strays else None
                 yield from _pairs(linked(ids, sets, num, den, label, may))
 
-            return _grouped(batches, ["grp", "chunk"], finish)
+            return _grouped(batches, ["grp", "chunk", "block"], finish)
 
-        dealt = _sets(chosen, width, deal, "grp long, chunk int, cls long, own int, everywhere boolean, label long, s binary")
-        return dealt.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(solve, "a long, b long")
+        place = "struct({} as chunk, {} as block)"
+        all_ = F.expr(f"if(everywhere, transform(sequence(0, chunks - 1), k -> {place.format('k', 'block')}), array())")
+        dealt = _sets(chosen, width, named, "grp long, cls long, everywhere boolean, label long, own int, block int, chunks int, blocks int, s binary")
+        dealt = dealt.withColumn("to", F.explode(F.array_union(all_, F.expr(f"transform(sequence(0, blocks - 1), k -> {place.format('own', 'k')})"))))
+        dealt = dealt.select("grp", "to.chunk", F.col("to.block").alias("to_block"), "cls", "everywhere", "label", "own", "block", "s")
+        return dealt.repartition("grp", "chunk", "to_block").sortWithinPartitions("grp", "chunk", "to_block").mapInArrow(solve, "a long, b long")
 
     pairs = written(links(sized, False), "links")
     large = sized.where("chunks > 1")
@@ -440,6 +474,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         large = large.drop("label").join(joined, "cls", "left").withColumn("label", F.coalesce("to", "cls")).drop("to")
         most = large.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
         large = large.join(most.where("labels > 1"), "grp").withColumn("everywhere", F.col("label") != F.col("main"))
+        blocks = large.where("everywhere").groupBy("grp").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("blocks"))
+        large = large.drop("blocks").join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
         pairs = pairs.unionByName(links(written(large.select(sized.columns), "strays"), True))
     linked_classes = components(written(pairs, "links"))
     linked_classes = linked_classes.withColumnsRenamed({"node": "cls", "component": "grp"}).join(classes.select("cls", "first_id"), "cls")
